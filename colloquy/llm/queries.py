@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, simple8b, urls
+from . import bpe, packing, simhash, simple8b, urls
 from .common import new_path, table
 
 
@@ -49,10 +49,21 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op6_url_filters": op6_url_filters,
     "op8_token_files": op8_token_files,
+    "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE: dict[str, str] = {"op6_url_filters": OP6_SQL}
