@@ -141,11 +141,10 @@ def _forest(words: np.ndarray, node: np.ndarray, group: np.ndarray, radius: int)
         if not len(here):
             break
         there = here + d
-        differ = np.bitwise_count(words[here, 0] ^ words[there, 0])
+        differ = np.zeros(len(here), dtype=np.int32)
+        for column in words.T:
+            differ += np.bitwise_count(column[here] ^ column[there])
         near = np.flatnonzero(differ <= radius)
-        if words.shape[1] > 1 and len(near):
-            differ = np.bitwise_count(words[here[near]] ^ words[there[near]]).sum(axis=1, dtype=np.int32)
-            near = near[differ <= radius]
         a, b = here[near], there[near]
         while len(a):
             x, y = label[a], label[b]
