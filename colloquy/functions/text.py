@@ -33,8 +33,12 @@ def collapse(text: Column) -> Column:
 def thai_grams(run: Column) -> Column:
     """Overlapping pairs, then triples, of a Thai run; the run itself where it has one character."""
     n = F.length(run)
-    grams = [F.when(n >= w, F.transform(F.sequence(F.lit(1), n - w + 1), lambda i, w=w: F.substring(run, i, F.lit(w)))).otherwise(F.array().cast("array<string>")) for w in (2, 3)]
-    return F.when(n > 1, F.concat(*grams)).otherwise(F.array(run))
+
+    def grams(w: int) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), n - w + 1), lambda i: F.substring(run, i, F.lit(w)))
+        return F.when(n >= w, cut).otherwise(F.array().cast("array<string>"))
+
+    return F.when(n > 1, F.concat(grams(2), grams(3))).otherwise(F.array(run))
 
 
 def latin_tokens(run: Column) -> Column:
