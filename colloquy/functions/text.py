@@ -152,18 +152,18 @@ def cue_at(text: Column, cue: str) -> Column:
     Cues with Latin letters are bounded by other characters. Thai has no spaces, and no dictionary is at hand: a
     Thai cue counts unless a Thai vowel or mark that must follow a consonant continues its last word.
     """
-    if any("a" <= c <= "z" for c in cue):
-        found = F.regexp_extract(text, rf"(?s)^(.*?){_bounded(cue)}", 1)
-        return F.when(text.rlike(_bounded(cue)), F.length(found))
-    inside = rf"{cue}(?![ะ-ฺๅ-๎])"
-    return F.when(text.rlike(inside), F.length(F.regexp_extract(text, rf"(?s)^(.*?){inside}", 1)))
+    return F.nullif(F.regexp_instr(text, F.lit(_pattern(cue))), F.lit(0)) - 1
+
+
+def _pattern(cue: str) -> str:
+    return _bounded(cue) if any("a" <= c <= "z" for c in cue) else rf"{cue}(?![ะ-ฺๅ-๎])"
 
 
 def first_cue(text: Column, some: list[str], window: int | None = None) -> Column:
     """The first cue, in list order, that occurs (no later than the window); null if none does."""
     low = F.lower(text)
-    hits = [F.when(cue_at(low, c).isNotNull() if window is None else cue_at(low, c) <= window, F.lit(c)) for c in some]
-    return F.coalesce(*hits)
+    hits = [F.when(low.rlike(_pattern(c)) if window is None else cue_at(low, c) <= window, F.lit(c)) for c in some]
+    return F.when(low.rlike("|".join(f"(?:{_pattern(c)})" for c in some)), F.coalesce(*hits))
 
 
 def is_question(text: Column) -> Column:

@@ -51,7 +51,7 @@ def neighbourhood_rerank(scored: DataFrame, neighbours: DataFrame, depth: int =
     asked = ranked.where(F.col("place") <= size).groupBy("query_id").agg(F.collect_set("id").alias("mine"))
     near = neighbours.where(F.col("rank") <= size).groupBy(F.col("l").alias("id")).agg(F.collect_set("r").alias("near"))
     head = ranked.where(F.col("place") <= depth).join(asked, "query_id").join(near, "id", "left")
-    around = F.array_union(F.coalesce("near", F.array().cast("array<bigint>")), F.array("id"))
+    around = F.array_union(F.coalesce("near", F.array("id")), F.array("id"))
     head = head.withColumn("overlap", jaccard(F.col("mine"), around))
     mixed = blend * min_max(F.col("score"), "query_id") + (1 - blend) * min_max(F.col("overlap"), "query_id")
     tail = ranked.where(F.col("place") > depth)

@@ -47,25 +47,26 @@ def knn(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embeddin
     right = dealt.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))
 
     def best(key_: tuple, table_: pa.Table) -> pa.Table:
-        side = table_.column("side").to_numpy()
-        ids = table_.column("id").to_numpy()
-        v = table_.column("v").combine_chunks()
-        x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        side, named = table_.column("side").to_numpy(), table_.column("id").combine_chunks()
+        ids = named.to_numpy(zero_copy_only=False)
+        x = table_.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         b = b[np.argsort(ids[b], kind="stable")]
-        out = []
-        for at in range(0, len(a), 1024):
+        rows, cols, sims = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        for at in range(0, len(a) if len(b) else 0, 1024):
             some = a[at : at + 1024]
-            sims = np.einsum("id,jd->ij", x[some], x[b]) if len(b) else np.empty((len(some), 0))
-            sims = np.where(ids[some][:, None] == ids[b][None, :], -np.inf, sims)
-            order = np.argsort(-np.round(sims, 9), axis=1, kind="stable")[:, : k + 1]
-            l = np.repeat(ids[some], order.shape[1])  # noqa: E741
-            out.append((l, ids[b][order.ravel()], np.take_along_axis(sims, order, 1).ravel()))
-        l, r, s = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))  # noqa: E741
-        keep = np.isfinite(s)
-        return pa.table({"l": pa.array(l[keep], pa.int64()), "r": pa.array(r[keep], pa.int64()), "sim": pa.array(s[keep], pa.float64())})
-
-    found = left.unionByName(right).groupBy("i", "j").applyInArrow(best, "l bigint, r bigint, sim double")
+            s = np.einsum("id,jd->ij", x[some], x[b])
+            s = np.where(ids[some][:, None] == ids[b][None, :], -np.inf, s)
+            order = np.argsort(-np.round(s, 9), axis=1, kind="stable")[:, : k + 1]
+            rows.append(np.repeat(some, order.shape[1]))
+            cols.append(b[order.ravel()])
+            sims.append(np.take_along_axis(s, order, 1).ravel())
+        row, col, sim = np.concatenate(rows), np.concatenate(cols), np.concatenate(sims)
+        keep = np.isfinite(sim)
+        return pa.table({"l": named.take(pa.array(row[keep])), "r": named.take(pa.array(col[keep])), "sim": pa.array(sim[keep], pa.float64())})
+
+    kind = vectors.schema[key].dataType.simpleString()
+    found = left.unionByName(right).groupBy("i", "j").applyInArrow(best, f"l {kind}, r {kind}, sim double")
     order = Window.partitionBy("l").orderBy(F.desc(F.round("sim", 9)), "r")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
