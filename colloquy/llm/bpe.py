@@ -230,6 +230,8 @@ class BytePairs:
         points = np.frombuffer(big.encode("utf-32-le", "surrogatepass"), dtype="<u4")
         resets = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])])
         begin = beginnings(points, resets)
+        if not len(begin):
+            return [b""] * len(parts)
         end = np.append(begin[1:], len(points))
         first = np.searchsorted(begin, resets)
         stops = np.searchsorted(begin, resets[1:]) - 1
