@@ -1,6 +1,6 @@
 """Document fingerprints by winnowing, in DataFrame expressions alone.
 
-Tokens are lower-cased runs between white space; each character of a script written without spaces is a token of its
+Tokens are lower-cased runs between ASCII white space; each character of a script written without spaces is a token of its
 own. Each run of K tokens has a hash, made from the hashes of its tokens. In each window of W such hashes in a row the
 least is chosen, the rightmost of equals; a hash chosen by several windows counts once. So two texts that share
 W + K - 1 tokens in a row share a chosen hash, and positions say where.

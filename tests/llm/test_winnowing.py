@@ -12,7 +12,7 @@ def grams(text):
     """Hashes of five words in a row, by Spark's chained XXH64 over longs."""
     import regex
 
-    tokens = regex.findall(r"[^\s\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]+|[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]", text.lower())
+    tokens = regex.findall(r"[^\x20\x09-\x0d\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]+|[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]", text.lower())
     h = [xxhash.xxh64_intdigest(t, 42) for t in tokens]
 
     def chain(values):
