@@ -118,7 +118,7 @@ def standup_forms(spark: SparkSession, d: str) -> DataFrame:
     """Forms filled in by orders: who declares a blocker, and when it was last cleared."""
     o = table(spark, d, "orders")
     answer = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("waiting for part "), F.col("o_orderkey").cast("string"))).when(F.col("o_orderkey") % 3 == 1, "None.").otherwise("-")
-    r = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user"), F.col("o_orderkey").cast("double").alias("ts"), F.concat(F.lit("What are you working on today?\n- orders\n*Are there any blockers?*\n"), answer).alias("text"))
+    r = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user"), F.col("o_orderkey").cast("double").alias("ts"), F.concat(F.lit("What are you working on today?\n- orders\n*Are there any blockers*?\n"), answer).alias("text"))
     slots = state.form_slots(r)
     said = state.declared(slots).groupBy("user").agg(F.count(F.lit(1)).alias("declared"))
     return said.join(state.cleared(slots), "user", "full").select("user", F.coalesce("declared", F.lit(0)).cast("bigint").alias("declared"), F.coalesce("cleared", F.lit(-1.0)).cast("bigint").alias("cleared"))
