@@ -8,7 +8,8 @@ log probabilities are found by extending the best partial sums, projection by pr
 are merged and ranked by their exact inner products.
 
 The rows are dealt evenly into slices, by a hash of their id, and each slice indexes all of its rows; so no bucket can
-overload a task. A query visits every slice. How many cells it visits is fitted on a bounded sample of SAMPLE queries
+overload a task. A query visits every slice. With fewer slices than tasks the queries are dealt into blocks, and each
+task has one slice and one block, so that a query's cells are found once for each slice. How many cells it visits is fitted on a bounded sample of SAMPLE queries
 and their true neighbours, found by brute force against all rows, so that RECALL of these are found; if even MOST_CELLS
 cells would not do, slices are searched whole.
 
@@ -33,8 +34,8 @@ TABLES, WIDTH = 10, 1.8
 #: Queries whose true neighbours fit the number of cells, and the share of them to be found.
 SAMPLE, RECALL = 96, 0.96
 MOST_CELLS = 3000
-#: Rows of a slice at most, and slices at least.
-SLICE, LEAST_SLICES = 100_000, 8
+#: Rows of a slice at most, and tasks at least.
+SLICE, LEAST_TASKS = 100_000, 8
 SEED = 20240
 #: Steps along one projection that are considered.
 STEPS = np.arange(-2, 3)
@@ -177,7 +178,7 @@ def _searched(index: Index, k: int):
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["q_rep", "rep", "score"])
 
         for b in batches:
-            at, kind = b.column("slice").to_numpy(), b.column("kind").to_numpy()
+            at, kind = b.column("part").to_numpy(), b.column("kind").to_numpy()
             new = np.flatnonzero((np.diff(at) != 0) | (np.diff(kind) != 0)) + 1
             for lo, hi in zip([0, *new.tolist()], [*new.tolist(), len(at)], strict=True):
                 if lo == hi:
@@ -221,10 +222,14 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     index = Index(found["dim"], math.sqrt(whole["most"]) * (1 + 1e-12), max(4, round(math.log2(whole["n"])) - 6))
     _fit(classes, index, k)
-    slices = max(LEAST_SLICES, -(-whole["n"] // SLICE))
-    dealt = classes.select(F.pmod(F.xxhash64("rep"), F.lit(slices)).cast("int").alias("slice"), F.lit(0).alias("kind"), "rep", "v")
-    asked = classes.where("is_query").select(F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(1).alias("kind"), "rep", "v")
-    both = dealt.unionByName(asked).repartition(slices, "slice").sortWithinPartitions("slice", "kind")
+    slices = -(-whole["n"] // SLICE)
+    blocks = -(-LEAST_TASKS // slices)
+    at = lambda n: F.pmod(F.xxhash64("rep"), F.lit(n)).cast("int")
+    every_ = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = classes.select(at(slices).alias("s"), every_(blocks).alias("b"), F.lit(0).alias("kind"), "rep", "v")
+    asked = classes.where("is_query").select(every_(slices).alias("s"), at(blocks).alias("b"), F.lit(1).alias("kind"), "rep", "v")
+    parts = dealt.unionByName(asked).select((F.col("s") * blocks + F.col("b")).alias("part"), "kind", "rep", "v")
+    both = parts.repartitionByRange(2 * slices * blocks, "part").sortWithinPartitions("part", "kind")  # twice as many ranges as parts: no two share one
     hits = both.mapInArrow(_searched(index, k), "q_rep bigint, rep bigint, score double")
     best = Window.partitionBy("q_rep").orderBy(F.desc("score"), "rep")
     hits = durable(hits.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r"))
