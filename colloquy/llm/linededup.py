@@ -56,6 +56,7 @@ def recurring(lines: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     exact = known.where(F.col("n") >= documents).select("line")
     filled = known.select("leaf", "line", "n", F.size(F.filter("slots", lambda x: x.isNotNull())).alias("of"), F.posexplode("slots").alias("slot", "value")).where("value is not null")
     often = filled.groupBy("leaf", "slot", "value").agg(F.sum("n").alias("times")).where(F.col("times") >= documents).drop("times")
+    often = durable(often)  # read as a plain shuffle below, so that a join on a very common value can be split
     constant = filled.join(often, ["leaf", "slot", "value"], "left_semi")
     templates = constant.groupBy("leaf", "line", "n", "of").agg(F.count(F.lit(1)).alias("constants"), F.bit_xor(F.xxhash64("slot", "value")).alias("template"))
     templates = durable(templates.where(F.col("constants") * 2 >= F.col("of")).select("leaf", "template", "line", "n"))
