@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, radius: i
     distinct = durable(distinct.withColumn("node", F.monotonically_increasing_id()))
     found = components(links(distinct, words, radius, deal))
     named = distinct.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = durable(named.groupBy("root").agg(F.min("least").alias("component_id")))  # a plain shuffle below: a large group's join can be split
     of = durable(named.join(least, "root").select("words", "component_id"))
     return prints.join(of, "words").select("key", "words", "component_id")
 
