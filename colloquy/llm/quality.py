@@ -34,7 +34,7 @@ KEEP = 0.7
 #: Characters of a text that are folded at once.
 PART = 1 << 20
 #: Words kept with their codes by each Python worker.
-KEPT = 400_000
+KEPT = 200_000
 
 WORDS = re.compile(r"\w+|[^\w\s]+").findall
 

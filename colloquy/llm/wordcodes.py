@@ -19,8 +19,10 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-#: Pieces kept by each Python worker; about 200 bytes each.
-KEPT = 600_000
+#: Pieces kept by each table of a Python worker; about 200 bytes each.
+KEPT = 450_000
+#: Pieces at a line's beginning, which are fewer.
+FIRST = 100_000
 #: The first code point of a combining mark: texts below it are in NFC, and lower-case code point by code point.
 MARKS = 0x300
 
@@ -60,13 +62,13 @@ def _packed(ids: list[int]) -> bytes:
 class _Kept(dict):
     """Ids of pieces; a piece that is not there is encoded, and kept while there is room."""
 
-    def __init__(self, encode: Callable[[str], bytes]):
+    def __init__(self, encode: Callable[[str], bytes], most: int = KEPT):
         super().__init__()
-        self.encode = encode
+        self.encode, self.most = encode, most
 
     def __missing__(self, piece: str) -> bytes:
         out = self.encode(piece) if piece else b""
-        if len(self) < KEPT and len(piece) <= 64:
+        if len(self) < self.most and len(piece) <= 64:
             self[piece] = out
         return out
 
@@ -113,7 +115,7 @@ class ByteCodes:
             pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.merge = ranks and tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.cut = re.compile(r"(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)").split
-        self.kept = _Kept(self.piece)
+        self.kept = _Kept(self.piece, FIRST)
         self.after_space = _Kept(lambda x: self.piece(" " + x))
 
     def piece(self, piece: str) -> bytes:
