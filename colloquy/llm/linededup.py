@@ -7,9 +7,10 @@ it there, and a variable field otherwise. A line's template is its leaf with its
 least half of the slots are constant. A template recurs if lines of at least ``documents`` different texts have it, and
 so does any line that as many texts have word for word.
 
-All lines of recurring templates are dropped, with one exception: a document that recurring lines make up at least
-half of is a copy, not a document with boilerplate. It is left as it is, for near-duplicate removal to choose from.
-Texts that are equal count once, so an exact copy doesn't make a document's lines recur.
+All lines of recurring templates are dropped, whatever their share, with one exception: a document that recurring
+lines make up at least half of, and whose runs of five tokens have Jaccard similarity ALIKE or more with those of
+another such document, is a near copy. It is left as it is, for near-duplicate removal to choose from. Texts that are
+equal count once, so an exact copy doesn't make a document's lines recur.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, stored
-from .winnowing import NO_ID
+from .winnowing import NO_ID, grams
 
 #: Leading tokens of the path to a leaf, and slots for the rest of a line.
 DEPTH, SLOTS = 3, 8
@@ -26,6 +27,8 @@ DEPTH, SLOTS = 3, 8
 DOCUMENTS = 3
 #: Lines of fewer tokens are never dropped: they repeat by chance.
 LEAST_TOKENS = 3
+#: Similarity of near copies. Candidates share one of BANDS / ROWS keys, each of the least hashes in ROWS bands.
+ALIKE, BANDS, ROWS = 0.8, 64, 4
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -65,6 +68,25 @@ def recurring(lines: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     return durable(exact.unionByName(general).distinct())
 
 
+def near_copies(texts: DataFrame) -> DataFrame:
+    """texts(th, text), th unique -> (th): those with a similarity of at least ALIKE to another of texts.
+
+    Each is compared, exactly, with the first of those that share a key with it, so a large group costs no more than its
+    rows. Two texts of similarity 0.8 share no key with probability 2e-4.
+    """
+    sets = durable(texts.select("th", F.array_distinct(grams(F.col("text"))).alias("grams")))
+    each = sets.select("th", F.explode("grams").alias("gram"))
+    least = each.groupBy("th", F.pmod("gram", F.lit(BANDS)).alias("band")).agg(F.min("gram").alias("least"))
+    keys = least.groupBy("th", F.floor(F.col("band") / ROWS).alias("of")).agg(F.xxhash64("of", F.sort_array(F.collect_list("least"))).alias("key"))
+    keys = durable(keys.select("th", "key"))
+    first = durable(keys.groupBy("key").agg(F.min("th").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    pairs = durable(keys.join(first, "key").where("th != first").select("th", "first").distinct())
+    both = pairs.join(sets, "th").join(sets.select(F.col("th").alias("first"), F.col("grams").alias("others")), "first")
+    shared = F.size(F.array_intersect("grams", "others"))
+    found = both.where(shared >= ALIKE * (F.size("grams") + F.size("others") - shared))
+    return durable(found.select(F.explode(F.array("th", "first")).alias("th")).distinct())
+
+
 def dropped(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     """docs with recurring lines dropped from text, and __lines, __dropped: a row's lines, and how many of them went.
 
@@ -77,8 +99,12 @@ def dropped(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     both = _keyed(docs).join(gone, ["__id", "__th"], "left")
     all_lines = F.split("text", "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__all") - 1), F.col("__gone")), lambda k: F.get(F.col("__all"), k))
-    cut = both.withColumn("__all", F.when(F.col("__gone").isNotNull(), all_lines)).withColumn("__kept", F.when(F.col("__gone").isNotNull(), F.array_join(kept, "\n")))
-    changed = F.col("__gone").isNotNull() & (F.octet_length("__kept") * 2 > F.octet_length("text"))
+    cut = both.withColumn("__all", F.when(F.col("__gone").isNotNull(), all_lines)).withColumn("__kept", F.when(F.col("__gone").isNotNull(), F.array_join(kept, "\n"))).drop("__all")
+    cut = stored(cut.withColumn("__mostly", F.col("__gone").isNotNull() & (F.octet_length("__kept") * 2 <= F.octet_length("text"))), "cut")
+    mostly = cut.where("__mostly")
+    copies = near_copies(mostly.select(F.col("__th").alias("th"), "text").dropDuplicates(["th"])).select(F.col("th").alias("__th"), F.lit(True).alias("__copy"))
+    cut = cut.where("not __mostly").withColumn("__copy", F.lit(None).cast("boolean")).unionByName(mostly.join(copies, "__th", "left"))
+    changed = F.col("__gone").isNotNull() & F.col("__copy").isNull()
     out = cut.withColumn("__dropped", F.when(changed, F.size("__gone")).otherwise(0).cast("bigint")).withColumn("__text", F.when(changed, F.col("__kept")).otherwise(F.col("text")))
     count = F.when(F.length("text") > 0, F.size(all_lines)).otherwise(0).cast("bigint")
     return out.withColumn("__lines", count).select(*[F.col("__text").alias("text") if c == "text" else F.col(c) for c in docs.columns], "__lines", "__dropped")

@@ -53,3 +53,15 @@ def test_columns_counts_and_empty(spark, odd_docs, no_docs):
     df, _ = docs_with(spark, lambda i: "All rights reserved by the owners")
     counts = {r.doc_id: (r["__lines"], r["__dropped"]) for r in linededup.dropped(df).collect()}
     assert counts[0] == (3, 1) and counts[100] == (4, 0)
+
+
+def test_short_documents_that_are_mostly_recurring_lines_lose_them(spark):
+    rnd = random.Random(4)
+    line = "All rights reserved by the owners of this page and of all that stands on it"
+    own = [prose(rnd, 6) for _ in range(6)]
+    assert kept(spark.createDataFrame([(i, f"{line}\n{t}") for i, t in enumerate(own)], "doc_id bigint, text string")) == dict(enumerate(own))
+    base = [prose(rnd, 40) for _ in range(8)]
+    near = ["\n".join([*base[:i], base[i][:-1] + "zz", *base[i + 1 :]]) for i in range(4)]
+    short = [f"{base[0]}\n{t}" for t in own]
+    after = kept(spark.createDataFrame(list(enumerate(near + short)), "doc_id bigint, text string"))
+    assert after == dict(enumerate(near + own))
