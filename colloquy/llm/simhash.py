@@ -12,11 +12,14 @@ A tile's links leave it as a forest, never as all pairs, and components() joins
 Where the radius is too wide for population counts to tell tiles apart (``deal="minima"``), the tiles are named by the
 least shingle hash in each of ``bands`` equal parts of the hash range: documents of Jaccard similarity J share one of
 them with probability 1 - (1 - J)^bands. The comparison in a tile stays the same.
+
+With ``alike``, repeated shingles count once, and links of fingerprints are only candidates: within each group of them
+two texts link if their sets of shingles have at least that Jaccard similarity, which is computed in full.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, runs, texts
+from .common import durable, runs, stored, texts
 from .components import components
 
 SEED = 42
@@ -72,20 +75,25 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, bands: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, words: array of 64-bit words as longs, minima: array of tile names if bands are asked for)."""
+def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, bands: int = 0, key: str = "doc_id", text: str = "text", once: bool = False) -> DataFrame:
+    """(key, words: array of 64-bit words as longs, minima: array of tile names if bands are asked for).
+
+    once: repeated shingles count once, and there is a column th, a hash of the text.
+    """
+    also = ["th"] * once
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             prints, least = [], []
-            for t in texts(b.column(1)):
+            for t in texts(b.column("text")):
                 h = shingle_hashes(t, shingle)
+                h = np.unique(h) if once else h
                 prints.append(np.array(fingerprint(h, words), dtype=np.uint64).view(np.int64).tolist())
                 least.append(_minima(h, bands))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.list_(pa.int64())), pa.array(least, pa.list_(pa.int64()))], ["key", "words", "minima"])
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in ["key", *also]], pa.array(prints, pa.list_(pa.int64())), pa.array(least, pa.list_(pa.int64()))], ["key", *also, "words", "minima"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(of, f"key {kind}, words array<bigint>, minima array<bigint>")
+    return docs.select(F.col(key).alias("key"), *[F.xxhash64(text).alias("th")] * once, F.col(text).alias("text")).mapInArrow(of, f"key {kind}, {'th bigint, ' * once}words array<bigint>, minima array<bigint>")
 
 
 def _minima(h: np.ndarray, bands: int) -> list[int]:
@@ -124,8 +132,11 @@ def tiles_by_population(words: np.ndarray, reach: int) -> tuple[np.ndarray, np.n
     return np.concatenate(rows), np.concatenate(names).view(np.int64)
 
 
-def _forest(words: np.ndarray, node: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (node, least linked node) between rows of a group whose fingerprints differ in at most radius bits."""
+def _forest(words: np.ndarray, node: np.ndarray, group: np.ndarray, radius: int, sure: Callable[[int, int], bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, least linked node) between rows of a group whose fingerprints differ in at most radius bits.
+
+    sure: says of two rows' places whether they link indeed; asked only of rows that no links connect yet.
+    """
     pop = np.bitwise_count(words).sum(axis=1, dtype=np.int32)
     order = np.lexsort((node, pop, group))
     words, node, group, pop = words[order], node[order], group[order], pop[order]
@@ -146,6 +157,9 @@ def _forest(words: np.ndarray, node: np.ndarray, group: np.ndarray, radius: int)
             differ += np.bitwise_count(column[here] ^ column[there])
         near = np.flatnonzero(differ <= radius)
         a, b = here[near], there[near]
+        if sure:
+            near = [k for k in np.flatnonzero(label[a] != label[b]).tolist() if sure(order[a[k]], order[b[k]])]
+            a, b = a[near], b[near]
         while len(a):
             x, y = label[a], label[b]
             open_ = x != y
@@ -214,18 +228,66 @@ def links(prints: DataFrame, w: int = 1, radius: int = 2, deal: str = "populatio
     return cut.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j").mapInArrow(compared, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, radius: int = 2, deal: str = "population", bands: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
+def confirmed(named: DataFrame, docs: DataFrame, shingle: int, w: int, radius: int, alike: float, text: str = "text", group_rows: int = 256) -> DataFrame:
+    """named(root, node, words, th) -> (u, v): a forest of the links within each root that a comparison of the texts confirms.
+
+    Groups above group_rows are cut into chunks, and each pair of chunks is compared by itself.
+    """
+    named = durable(named)
+    sizes = named.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("chunks"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
+    some = durable(named.join(durable(sizes), "root"))
+    source = docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    held = some.select("th").distinct()
+    read = stored(source.join(held, "th", "left_semi").dropDuplicates(["th"]), "candidates")
+    cut = some.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    cut = cut.select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "words", "th").join(read, "th").select("root", "i", "j", "node", "words", "text")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(rows: list[tuple]) -> pa.RecordBatch:
+            node = np.array([r[0] for r in rows], dtype=np.int64)
+            prints = np.array([r[1] for r in rows], dtype=np.int64).view(np.uint64).reshape(len(rows), w)
+            sets = [r[2] for r in rows]
+
+            def sure(a: int, b: int) -> bool:
+                x, y = sets[a], sets[b]
+                if min(len(x), len(y)) < alike * max(len(x), len(y)):
+                    return False
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                return shared >= alike * (len(x) + len(y) - shared)
+
+            u, v = _forest(prints, node, np.zeros(len(rows), dtype=np.int64), radius, sure)
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+        now, rows = None, []
+        for b in batches:
+            root, i, j, node, prints = (b.column(k).to_pylist() for k in ("root", "i", "j", "node", "words"))
+            for r, t in enumerate(texts(b.column("text"))):
+                if (root[r], i[r], j[r]) != now:
+                    if len(rows) > 1:
+                        yield done(rows)
+                    now, rows = (root[r], i[r], j[r]), []
+                rows.append((node[r], prints[r], np.unique(shingle_hashes(t, shingle))))
+        if len(rows) > 1:
+            yield done(rows)
+
+    return cut.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(compared, "u bigint, v bigint")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, radius: int = 2, deal: str = "population", bands: int = 0, key: str = "doc_id", text: str = "text", alike: float = 0.0) -> DataFrame:
     """(key, words, component_id): each row's fingerprint and the least key of the rows reachable by links.
 
-    Rows link if their fingerprints differ in at most ``radius`` bits. Null and empty texts have fingerprint zero and
+    Rows link if their fingerprints differ in at most ``radius`` bits and, where ``alike`` is given, their distinct
+    shingles have at least that Jaccard similarity. Null and empty texts have fingerprint zero and
     link like any other; equal fingerprints always link; rows with a null key take part, and have the component of
     their fingerprint, whose least key ignores nulls. Further columns of docs play no part. Repeated rows are repeated
     in the result. An empty table gives an empty one.
     """
-    prints = durable(fingerprints(docs, shingle, words, bands, key, text))
-    distinct = prints.groupBy("words").agg(F.min("key").alias("least"), *[F.min("minima").alias("minima")] * (deal != "population"))
+    prints = durable(fingerprints(docs, shingle, words, bands, key, text, once=alike > 0))
+    distinct = prints.groupBy("words").agg(F.min("key").alias("least"), *[F.min("th").alias("th")] * (alike > 0), *[F.min("minima").alias("minima")] * (deal != "population"))
     distinct = durable(distinct.withColumn("node", F.monotonically_increasing_id()))
     found = components(links(distinct, words, radius, deal))
+    if alike:
+        found = components(confirmed(distinct.join(found, "node").select("root", "node", "words", "th"), docs, shingle, words, radius, alike, text))
     named = distinct.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = durable(named.groupBy("root").agg(F.min("least").alias("component_id")))  # a plain shuffle below: a large group's join can be split
     of = durable(named.join(least, "root").select("words", "component_id"))

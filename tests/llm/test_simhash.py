@@ -1,5 +1,6 @@
 import random
 
+import corpus_pipeline
 import numpy as np
 import xxhash
 from colloquy.llm import components, simhash
@@ -81,6 +82,43 @@ def test_near_copies_by_five_words(spark):
     assert kept - {i for i, _ in clean} == {3 * g for g in range(12)}
 
 
+def test_near_copies_with_repeated_lines(spark):
+    rnd = random.Random(6)
+    line = prose(rnd, 10)
+    texts = [prose(rnd, 300)]
+    texts += [texts[0] + f"\n{line}" * n for n in (5, 10, 40)]  # Jaccard 0.93 to the first, 1 to each other
+    texts += [prose(rnd, 60) + f"\n{line}" * 400 for _ in range(6)]  # little in common but the line
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = {r.doc_id for r in simhash.one_of_each(docs, **corpus_pipeline.NEAR).collect()}
+    assert kept == {0, *range(4, 10)}
+
+
+def test_candidates_are_confirmed_in_chunks(spark):
+    rnd = random.Random(8)
+    base = prose(rnd, 200).split()
+    near = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in range(0, 60, 2)]
+    far = [" ".join([*base[:150], *prose(rnd, 50).split()]) for _ in range(5)]
+    texts = near + far
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    named = simhash.fingerprints(docs, 5, 8, once=True).selectExpr("0L as root", "key as node", "words", "th")
+    want = brute_alike(texts, 5, 0.8)
+    for rows in (256, 4):
+        found = components.components(simhash.confirmed(named, docs, 5, 8, 512, 0.8, group_rows=rows)).collect()
+        roots = {r.node: r.root for r in found}
+        assert [roots.get(k, k) for k in range(len(texts))] == want
+
+
+def brute_alike(texts, k, alike):
+    sets = [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (t.split() for t in texts)]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= alike * len(sets[i] | sets[j]):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    return label
+
+
 def test_empty(no_docs):
     out = simhash.near_duplicates(no_docs)
     assert out.columns == ["key", "words", "component_id"] and out.count() == 0
