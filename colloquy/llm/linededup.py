@@ -5,7 +5,7 @@ DEPTH tokens lead to a leaf. The rest of the line fills up to SLOTS slots, each
 (one token each in short lines). Within a leaf a slot's value is constant if lines of at least ``documents`` texts have
 it there, and a variable field otherwise. A line's template is its leaf with its constant slots; it counts only if at
 least half of the slots are constant. A template recurs if lines of at least ``documents`` different texts have it, and
-so does any line that as many texts have word for word.
+so does any line that as many texts have but for digits, and a line of LONG tokens that two texts have word for word.
 
 All lines of recurring templates are dropped, whatever their share, with one exception: a document that recurring
 lines make up at least half of, and whose runs of five tokens have Jaccard similarity ALIKE or more with those of
@@ -25,6 +25,8 @@ from .winnowing import NO_ID, grams
 DEPTH, SLOTS = 3, 8
 #: Different texts that make a template recur.
 DOCUMENTS = 3
+#: A line of so many tokens recurs from LONG_DOCUMENTS different texts on, if they have it word for word.
+LONG, LONG_DOCUMENTS = 20, 2
 #: Lines of fewer tokens are never dropped: they repeat by chance.
 LEAST_TOKENS = 3
 #: Similarity of near copies. Candidates share one of BANDS / ROWS keys, each of the least hashes in ROWS bands.
@@ -36,10 +38,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """(id, th, pos, line, leaf, slots) for each line of enough tokens; slots without tokens are null."""
+    """(id, th, pos, line, leaf, slots, exact, least) for each line of enough tokens; slots without tokens are null.
+
+    exact: the line word for word, where it recurs from ``least`` texts on; null for other lines.
+    """
     lines = _keyed(docs.select("doc_id", "text")).select(F.col("__id").alias("id"), F.col("__th").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     tokens = F.regexp_extract_all("line", F.lit(r"\S+"), F.lit(0))
     cut = lines.select("id", "th", "pos", tokens.alias("tokens")).where(F.size("tokens") >= LEAST_TOKENS)
+    cut = cut.withColumn("least", F.when(F.size("tokens") >= LONG, LONG_DOCUMENTS)).withColumn("exact", F.when(F.col("least").isNotNull(), F.xxhash64("tokens")))
     cut = cut.withColumn("tokens", F.transform("tokens", lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t)))
     rest = F.size("tokens") - DEPTH
 
@@ -48,7 +54,7 @@ def parsed(docs: DataFrame) -> DataFrame:
         return F.when(end > begin, F.hash(F.slice("tokens", begin + DEPTH + 1, end - begin)))
 
     leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH))
-    return cut.select("id", "th", "pos", F.xxhash64("tokens").alias("line"), leaf.alias("leaf"), F.array(*[slot(s) for s in range(SLOTS)]).alias("slots"))
+    return cut.select("id", "th", "pos", F.xxhash64("tokens").alias("line"), leaf.alias("leaf"), F.array(*[slot(s) for s in range(SLOTS)]).alias("slots"), "exact", "least")
 
 
 def recurring(lines: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
@@ -68,6 +74,12 @@ def recurring(lines: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     return durable(exact.unionByName(general).distinct())
 
 
+def recurring_exactly(lines: DataFrame) -> DataFrame:
+    """(exact): the lines that enough texts have word for word."""
+    texts = lines.where("exact is not null").select("exact", "least", "th").distinct().groupBy("exact", "least").agg(F.count(F.lit(1)).alias("n"))
+    return durable(texts.where("n >= least").select("exact"))
+
+
 def near_copies(texts: DataFrame) -> DataFrame:
     """texts(th, text), th unique -> (th): those with a similarity of at least ALIKE to another of texts.
 
@@ -94,7 +106,8 @@ def dropped(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     repeated rows, are treated like others. An empty table gives an empty one.
     """
     lines = stored(parsed(docs), "lines")
-    found = lines.select("id", "th", "pos", "line").join(recurring(lines, documents), "line", "left_semi")
+    found = lines.select("id", "th", "pos", "line").join(recurring(lines, documents), "line", "left_semi").drop("line")
+    found = found.unionByName(lines.where("exact is not null").select("id", "th", "pos", "exact").join(recurring_exactly(lines), "exact", "left_semi").drop("exact"))
     gone = found.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_set("pos").alias("__gone"))
     both = _keyed(docs).join(gone, ["__id", "__th"], "left")
     all_lines = F.split("text", "\n")

@@ -65,3 +65,13 @@ def test_short_documents_that_are_mostly_recurring_lines_lose_them(spark):
     short = [f"{base[0]}\n{t}" for t in own]
     after = kept(spark.createDataFrame(list(enumerate(near + short)), "doc_id bigint, text string"))
     assert after == dict(enumerate(near + own))
+
+
+def test_a_long_line_of_two_texts_recurs_word_for_word(spark):
+    passage = prose(random.Random(10), 60)
+    df, _ = docs_with(spark, lambda i: passage, n=2, words=100)
+    assert all(passage not in t for t in kept(df).values())
+    df, before = docs_with(spark, lambda i: f"{passage} {i}", n=2, words=100)
+    assert kept(df) == before
+    df, before = docs_with(spark, lambda i: "All rights reserved by the owners", n=2)
+    assert kept(df) == before
