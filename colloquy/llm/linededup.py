@@ -59,21 +59,36 @@ def parsed(docs: DataFrame) -> DataFrame:
 
 def recurring(lines: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     """(line): the lines that belong to a recurring template."""
-    texts = lines.select("line", "leaf", "slots", "th").distinct().groupBy("line", "leaf", "slots").agg(F.count(F.lit(1)).alias("n"))
-    busy = texts.groupBy("leaf").agg(F.sum("n").alias("of_leaf")).where(F.col("of_leaf") >= documents)
-    known = durable(texts.join(busy, "leaf", "left_semi"))
+    texts = lines.select("line", "leaf", "slots", "th").distinct()
+    each = texts.groupBy("line", "leaf", "slots").agg(F.count(F.lit(1)).alias("n"), F.min("th").alias("a"), F.max("th").alias("b"))
+    busy = each.groupBy("leaf").agg(F.sum("n").alias("of_leaf")).where(F.col("of_leaf") >= documents)  # at least its texts
+    known = durable(each.join(busy, "leaf", "left_semi"))
     exact = known.where(F.col("n") >= documents).select("line")
-    filled = known.select("leaf", "line", "n", F.size(F.filter("slots", lambda x: x.isNotNull())).alias("of"), F.posexplode("slots").alias("slot", "value")).where("value is not null")
-    often = filled.groupBy("leaf", "slot", "value").agg(F.sum("n").alias("times")).where(F.col("times") >= documents).drop("times")
+    of = _some_texts(known, texts, documents)
+    filled = known.select("leaf", "line", F.size(F.filter("slots", lambda x: x.isNotNull())).alias("of"), F.posexplode("slots").alias("slot", "value")).where("value is not null")
+    often = known.select("line", "leaf", F.posexplode("slots").alias("slot", "value")).where("value is not null").join(of, "line")
+    often = often.select("leaf", "slot", "value", "th").distinct().groupBy("leaf", "slot", "value").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= documents).drop("times")
     often = durable(often)  # read as a plain shuffle below, so that a join on a very common value can be split
     constant = filled.join(often, ["leaf", "slot", "value"], "left_semi")
-    templates = constant.groupBy("leaf", "line", "n", "of").agg(F.count(F.lit(1)).alias("constants"), F.bit_xor(F.xxhash64("slot", "value")).alias("template"))
-    templates = durable(templates.where(F.col("constants") * 2 >= F.col("of")).select("leaf", "template", "line", "n"))
-    common = templates.groupBy("leaf", "template").agg(F.sum("n").alias("times")).where(F.col("times") >= documents)
+    templates = constant.groupBy("leaf", "line", "of").agg(F.count(F.lit(1)).alias("constants"), F.bit_xor(F.xxhash64("slot", "value")).alias("template"))
+    templates = durable(templates.where(F.col("constants") * 2 >= F.col("of")).select("leaf", "template", "line"))
+    common = templates.join(of, "line").select("leaf", "template", "th").distinct().groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= documents)
     general = templates.join(common, ["leaf", "template"], "left_semi").select("line")
     return durable(exact.unionByName(general).distinct())
 
 
+def _some_texts(known: DataFrame, texts: DataFrame, documents: int) -> DataFrame:
+    """(line, th): all texts of a line that fewer than ``documents`` have, and as many stand-ins for those of others.
+
+    Whether the lines of a set stand in at least ``documents`` different texts can be told from these.
+    """
+    few = F.when(F.col("n") >= documents, F.sequence(F.lit(1), F.lit(documents)).cast("array<bigint>")).when(F.col("n") <= 2, F.array_distinct(F.array("a", "b")))
+    some = known.select("line", F.explode(few).alias("th"))
+    if documents > 3:
+        some = some.unionByName(texts.select("line", "th").join(known.where(F.col("n").between(3, documents - 1)).select("line"), "line", "left_semi"))
+    return durable(some)
+
+
 def recurring_exactly(lines: DataFrame) -> DataFrame:
     """(exact): the lines that enough texts have word for word."""
     texts = lines.where("exact is not null").select("exact", "least", "th").distinct().groupBy("exact", "least").agg(F.count(F.lit(1)).alias("n"))

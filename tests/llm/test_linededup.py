@@ -75,3 +75,19 @@ def test_a_long_line_of_two_texts_recurs_word_for_word(spark):
     assert kept(df) == before
     df, before = docs_with(spark, lambda i: "All rights reserved by the owners", n=2)
     assert kept(df) == before
+
+
+def test_a_template_needs_different_texts_not_lines(spark):
+    rnd = random.Random(11)
+    shape = lambda x: f"Add two cups {x} to bowl"
+    things = ["flour", "sugar", "milk", "salt", "rice"]
+    one = "\n".join([prose(rnd, 60), *map(shape, things), prose(rnd, 60)])
+    assert kept(spark.createDataFrame([(1, one), (2, prose(rnd, 90))], "doc_id bigint, text string"))[1] == one
+    many = spark.createDataFrame([(i, f"{prose(rnd, 30)}\n{shape(x)}\n{prose(rnd, 30)}") for i, x in enumerate(things)], "doc_id bigint, text string")
+    for documents, gone in ((3, True), (5, True), (6, False)):
+        out = linededup.without_recurring_lines(many, documents).collect()
+        assert all(("cups" not in r.text) == gone for r in out)
+    twice = [(i, f"{prose(rnd, 30)}\n{shape(things[i % 2])}\n{prose(rnd, 30)}") for i in range(8)]
+    for documents, gone in ((5, True), (8, True), (9, False)):
+        out = linededup.without_recurring_lines(spark.createDataFrame(twice, "doc_id bigint, text string"), documents).collect()
+        assert all(("cups" not in r.text) == gone for r in out)
