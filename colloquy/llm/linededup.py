@@ -5,7 +5,9 @@ DEPTH tokens lead to a leaf. The rest of the line fills up to SLOTS slots, each
 (one token each in short lines). Within a leaf a slot's value is constant if lines of at least ``documents`` texts have
 it there, and a variable field otherwise. A line's template is its leaf with its constant slots; it counts only if at
 least half of the slots are constant. A template recurs if lines of at least ``documents`` different texts have it, and
-so does any line that as many texts have but for digits, and a line of LONG tokens that two texts have word for word.
+so does any line that as many texts have but for digits, a line of LONG tokens that two texts have word for word, and a
+line of fewer than LEAST_TOKENS that SHORT_DOCUMENTS have. Tokens are cut as in winnowing: characters of scripts
+written without spaces stand alone. Blank lines are never dropped.
 
 All lines of recurring templates are dropped, whatever their share, with one exception: a document that recurring
 lines make up at least half of, and whose runs of five tokens have Jaccard similarity ALIKE or more with those of
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, stored
-from .winnowing import NO_ID, grams
+from .winnowing import NO_ID, TOKEN, grams
 
 #: Leading tokens of the path to a leaf, and slots for the rest of a line.
 DEPTH, SLOTS = 3, 8
@@ -27,8 +29,10 @@ DEPTH, SLOTS = 3, 8
 DOCUMENTS = 3
 #: A line of so many tokens recurs from LONG_DOCUMENTS different texts on, if they have it word for word.
 LONG, LONG_DOCUMENTS = 20, 2
-#: Lines of fewer tokens are never dropped: they repeat by chance.
-LEAST_TOKENS = 3
+#: Lines of fewer tokens repeat by chance, and have no template: they recur from so many texts on, word for word.
+LEAST_TOKENS, SHORT_DOCUMENTS = 3, 10
+#: Only with such characters can a line have tokens of one character that no space parts.
+UNSPACED = r"[\u0E00-\x{10FFFF}]"
 #: Similarity of near copies. Candidates share one of BANDS / ROWS keys, each of the least hashes in ROWS bands.
 ALIKE, BANDS, ROWS = 0.8, 64, 4
 
@@ -38,28 +42,30 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """(id, th, pos, line, leaf, slots, exact, least) for each line of enough tokens; slots without tokens are null.
+    """(id, th, pos, line, leaf, slots, exact, least) for each line with tokens; slots without tokens are null.
+
+    Lines of fewer than LEAST_TOKENS have no leaf and no slots.
 
     exact: the line word for word, where it recurs from ``least`` texts on; null for other lines.
     """
     lines = _keyed(docs.select("doc_id", "text")).select(F.col("__id").alias("id"), F.col("__th").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    tokens = F.regexp_extract_all("line", F.lit(r"\S+"), F.lit(0))
-    cut = lines.select("id", "th", "pos", tokens.alias("tokens")).where(F.size("tokens") >= LEAST_TOKENS)
-    cut = cut.withColumn("least", F.when(F.size("tokens") >= LONG, LONG_DOCUMENTS)).withColumn("exact", F.when(F.col("least").isNotNull(), F.xxhash64("tokens")))
+    tokens = F.when(F.col("line").rlike(UNSPACED), F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0))).otherwise(F.regexp_extract_all("line", F.lit(r"\S+"), F.lit(0)))
+    cut = lines.select("id", "th", "pos", tokens.alias("tokens")).where(F.size("tokens") > 0)
+    cut = cut.withColumn("least", F.when(F.size("tokens") >= LONG, LONG_DOCUMENTS).when(F.size("tokens") < LEAST_TOKENS, SHORT_DOCUMENTS)).withColumn("exact", F.when(F.col("least").isNotNull(), F.xxhash64("tokens")))
     cut = cut.withColumn("tokens", F.transform("tokens", lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t)))
-    rest = F.size("tokens") - DEPTH
+    rest = F.greatest(F.size("tokens") - DEPTH, F.lit(0))
 
     def slot(s: int) -> Column:
         begin, end = F.floor(rest * s / SLOTS).cast("int"), F.floor(rest * (s + 1) / SLOTS).cast("int")
         return F.when(end > begin, F.hash(F.slice("tokens", begin + DEPTH + 1, end - begin)))
 
-    leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH))
+    leaf = F.when(F.size("tokens") >= LEAST_TOKENS, F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)))
     return cut.select("id", "th", "pos", F.xxhash64("tokens").alias("line"), leaf.alias("leaf"), F.array(*[slot(s) for s in range(SLOTS)]).alias("slots"), "exact", "least")
 
 
 def recurring(lines: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     """(line): the lines that belong to a recurring template."""
-    texts = lines.select("line", "leaf", "slots", "th").distinct()
+    texts = lines.where("leaf is not null").select("line", "leaf", "slots", "th").distinct()
     each = texts.groupBy("line", "leaf", "slots").agg(F.count(F.lit(1)).alias("n"), F.min("th").alias("a"), F.max("th").alias("b"))
     busy = each.groupBy("leaf").agg(F.sum("n").alias("of_leaf")).where(F.col("of_leaf") >= documents)  # at least its texts
     known = durable(each.join(busy, "leaf", "left_semi"))
@@ -121,7 +127,7 @@ def dropped(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     repeated rows, are treated like others. An empty table gives an empty one.
     """
     lines = stored(parsed(docs), "lines")
-    found = lines.select("id", "th", "pos", "line").join(recurring(lines, documents), "line", "left_semi").drop("line")
+    found = lines.where("leaf is not null").select("id", "th", "pos", "line").join(recurring(lines, documents), "line", "left_semi").drop("line")
     found = found.unionByName(lines.where("exact is not null").select("id", "th", "pos", "exact").join(recurring_exactly(lines), "exact", "left_semi").drop("exact"))
     gone = found.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_set("pos").alias("__gone"))
     both = _keyed(docs).join(gone, ["__id", "__th"], "left")

@@ -91,3 +91,14 @@ def test_a_template_needs_different_texts_not_lines(spark):
     for documents, gone in ((5, True), (8, True), (9, False)):
         out = linededup.without_recurring_lines(spark.createDataFrame(twice, "doc_id bigint, text string"), documents).collect()
         assert all(("cups" not in r.text) == gone for r in out)
+
+
+def test_short_lines_and_scripts_without_spaces(spark):
+    for n, gone in ((9, False), (10, True)):
+        df, before = docs_with(spark, lambda i: "And ornd.", n=n)
+        assert all(("And ornd." not in t) == gone for i, t in kept(df).items() if i < 100)
+    df, before = docs_with(spark, lambda i: f"page {i}\n\n{i}", n=12)
+    assert kept(df) == before
+    for line in ("版權所有未經許可不得轉載" * 8, "สงวนลิขสิทธิ์ตามกฎหมาย" * 4, "すべての権利を保有します"):
+        df, _ = docs_with(spark, lambda i, line=line: line, n=3)
+        assert all(line not in t for t in kept(df).values())
