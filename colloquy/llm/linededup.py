@@ -50,7 +50,7 @@ def parsed(docs: DataFrame) -> DataFrame:
     """
     lines = _keyed(docs.select("doc_id", "text")).select(F.col("__id").alias("id"), F.col("__th").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     tokens = F.when(F.col("line").rlike(UNSPACED), F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0))).otherwise(F.regexp_extract_all("line", F.lit(r"\S+"), F.lit(0)))
-    cut = lines.select("id", "th", "pos", tokens.alias("tokens")).where(F.size("tokens") > 0)
+    cut = lines.where(F.col("line").rlike(r"\S")).select("id", "th", "pos", tokens.alias("tokens"))  # a filter by tokens would cut them twice
     cut = cut.withColumn("least", F.when(F.size("tokens") >= LONG, LONG_DOCUMENTS).when(F.size("tokens") < LEAST_TOKENS, SHORT_DOCUMENTS)).withColumn("exact", F.when(F.col("least").isNotNull(), F.xxhash64("tokens")))
     cut = cut.withColumn("tokens", F.transform("tokens", lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t)))
     rest = F.greatest(F.size("tokens") - DEPTH, F.lit(0))
@@ -133,15 +133,16 @@ def dropped(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     both = _keyed(docs).join(gone, ["__id", "__th"], "left")
     all_lines = F.split("text", "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__all") - 1), F.col("__gone")), lambda k: F.get(F.col("__all"), k))
-    cut = both.withColumn("__all", F.when(F.col("__gone").isNotNull(), all_lines)).withColumn("__kept", F.when(F.col("__gone").isNotNull(), F.array_join(kept, "\n"))).drop("__all")
-    cut = stored(cut.withColumn("__mostly", F.col("__gone").isNotNull() & (F.octet_length("__kept") * 2 <= F.octet_length("text"))), "cut")
+    cut = both.withColumn("__all", F.when(F.col("__gone").isNotNull(), all_lines)).withColumn("__kept", F.when(F.col("__gone").isNotNull(), F.array_join(kept, "\n")))
+    cut = cut.withColumn("__mostly", F.col("__gone").isNotNull() & (F.octet_length("__kept") * 2 <= F.octet_length("text")))
+    cut = cut.withColumn("__lines", F.when(F.length("text") > 0, F.size(all_lines)).otherwise(0).cast("bigint")).withColumn("__dropped", F.when(F.col("__gone").isNotNull(), F.size("__gone")).otherwise(0).cast("bigint"))
+    cut = cut.withColumn("text", F.when(F.col("__mostly"), F.col("text")).otherwise(F.coalesce("__kept", "text"))).withColumn("__kept", F.when(F.col("__mostly"), F.col("__kept")))
+    cut = stored(cut.withColumn("__th", F.when(F.col("__mostly"), F.col("__th"))).drop("__id", "__gone", "__all"), "cut")
     mostly = cut.where("__mostly")
     copies = near_copies(mostly.select(F.col("__th").alias("th"), "text").dropDuplicates(["th"])).select(F.col("th").alias("__th"), F.lit(True).alias("__copy"))
-    cut = cut.where("not __mostly").withColumn("__copy", F.lit(None).cast("boolean")).unionByName(mostly.join(copies, "__th", "left"))
-    changed = F.col("__gone").isNotNull() & F.col("__copy").isNull()
-    out = cut.withColumn("__dropped", F.when(changed, F.size("__gone")).otherwise(0).cast("bigint")).withColumn("__text", F.when(changed, F.col("__kept")).otherwise(F.col("text")))
-    count = F.when(F.length("text") > 0, F.size(all_lines)).otherwise(0).cast("bigint")
-    return out.withColumn("__lines", count).select(*[F.col("__text").alias("text") if c == "text" else F.col(c) for c in docs.columns], "__lines", "__dropped")
+    judged = mostly.join(copies, "__th", "left").withColumn("text", F.when(F.col("__copy"), F.col("text")).otherwise(F.col("__kept"))).withColumn("__dropped", F.when(F.col("__copy"), 0).otherwise(F.col("__dropped")).cast("bigint"))
+    columns = [*docs.columns, "__lines", "__dropped"]
+    return cut.where("not __mostly").select(*columns).unionByName(judged.select(*columns))
 
 
 def without_recurring_lines(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
