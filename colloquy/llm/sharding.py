@@ -3,9 +3,10 @@
 A node that is to make n shards is split along the dimension in which its rows spread widest, as a share of the whole
 table's spread, at the weighted quantile that leaves n // 2 shards' bytes on the left. Quantiles are found by counting
 bytes in equal bins of the dimension, for all nodes of a level in one pass, and counting again within the bin that
-holds the quantile, until one value is left. Rows that share that value are split in the same way by doc_id, so a
-value that fills a third of the table, or copies of one text, don't make a shard uneven. Only bin sums reach the
-driver: at most ``BINS`` rows for each node of a level, whatever the table's size.
+holds the quantile, until one value is left. Rows that share that value are split in the same way by what comes next:
+the whole string's hash, the doc_id, the text's checksum, and last a number that each row has for itself. So a value
+that fills a third of the table, or copies of one row, don't make a shard uneven. Only bin sums reach the driver: at
+most ``BINS`` rows for each node of a level, whatever the table's size.
 
 Everything is a DataFrame expression; the rows that passes go over have a few numbers each, no texts.
 """
@@ -14,15 +15,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from .common import durable
 
 BINS = 1024
-#: Parts of a shard in which slots are counted.
-PARTS = 64
-#: Bytes of a string that order it along its dimension.
+#: Slots of a shard are counted in parts of about so many rows, and in PARTS at least.
+PART_ROWS, PARTS = 1_000_000, 64
+#: Bytes of a string that order it along its dimension; strings that agree in these are told apart by a hash.
 LEAD = 6
 
 
@@ -34,15 +35,15 @@ class _Node:
     first: int
     shards: int
     weight: int
-    dim: str = ""
-    #: The range of the value, and then of the id within one value, that still holds the quantile.
+    #: The dimension and what splits its ties, and the values found so far for the first of these.
+    along: tuple[str, ...] = ()
+    found: tuple[int, ...] = ()
+    #: The range of the next of them that still holds the quantile.
     low: int = 0
     high: int = 0
-    ids: tuple[int, int] = (0, 0)
-    value: int | None = None
     below: int = 0
-    target: int = 0
-    cut: tuple[int, int] | None = None
+    target: float = 0
+    cut: tuple[int, ...] | None = None
     kids: list[_Node] = field(default_factory=list)
 
 
@@ -51,72 +52,82 @@ def _number(c: Column) -> Column:
     return F.coalesce(F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, LEAD)), 2 * LEAD, "0"), 16, 10).cast("bigint"), F.lit(-1))
 
 
+def _along(dim: str) -> tuple[str, ...]:
+    ties = ("id", "text_crc32", "row")
+    return (dim, "h" + dim[1:], *ties) if dim in ("d_source", "d_lang") else (dim, *ties)
+
+
 def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, id, size, text_crc32, dimensions): what splitting needs of a row. A missing doc_id comes before all others."""
+    """(doc_id, id, size, text_crc32, row, dimensions): what splitting needs of a row. A missing doc_id comes before all others."""
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint")
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
     dims = {"d_size": size, "d_doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1))}
     for name in ("source", "lang"):
         if name in docs.columns:
             dims[f"d_{name}"] = _number(F.col(name).cast("string"))
-    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("id"), size.alias("size"), crc.alias("text_crc32"), *[c.alias(k) for k, c in dims.items()])
+            dims[f"h_{name}"] = F.shiftrightunsigned(F.xxhash64(name), 16)
+    own = F.monotonically_increasing_id().alias("row")
+    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("id"), size.alias("size"), crc.alias("text_crc32"), own, *[c.alias(k) for k, c in dims.items()])
 
 
 def _child(nodes: list[_Node]) -> Column:
     """The node a row goes to from its node."""
     out = F.col("node")
     for n in nodes:
-        value, id_ = n.cut
-        left = (F.col(n.dim) < value) | ((F.col(n.dim) == value) & (F.col("id") <= id_))
+        left = F.struct(*n.along[: len(n.cut)]) <= F.struct(*[F.lit(x).cast("bigint").alias(c) for c, x in zip(n.along, n.cut, strict=False)])
         out = F.when(F.col("node") == n.at, F.when(left, n.kids[0].at).otherwise(n.kids[1].at)).otherwise(out)
     return out
 
 
 def _search(rows: DataFrame, nodes: list[_Node]) -> None:
-    """Find each node's split: the (value, id) up to which its rows go left."""
+    """Find each node's split: the values, along its dimension and what splits ties, up to which its rows go left."""
     open_ = nodes
+    deeper = sorted({c for n in nodes for c in n.along[1:]})
     while open_:
         bins = F.lit(None).cast("bigint")
         for n in open_:
-            over = F.col(n.dim) if n.value is None else F.col("id")
-            inside = over.between(n.low, n.high)
-            if n.value is not None:
-                inside &= F.col(n.dim) == n.value
-            width = max(1, -(-(n.high - n.low + 1) // BINS))
-            bins = F.when((F.col("node") == n.at) & inside, F.expr(f"({'id' if n.value is not None else n.dim} - {n.low}L) div {width}L")).otherwise(bins)
-        counted = rows.withColumn("bin", bins).where("bin is not null").groupBy("node", "bin").agg(F.sum("size").alias("s"))
-        sums: dict[int, list[tuple[int, int]]] = {}
+            over = n.along[len(n.found)]
+            inside = F.col(over).between(n.low, n.high)
+            for c, x in zip(n.along, n.found, strict=False):
+                inside &= F.col(c) == x
+            bins = F.when((F.col("node") == n.at) & inside, F.expr(f"({over} - {n.low}L) div {_width(n)}L")).otherwise(bins)
+        ends = [f(c).alias(f"{k}_{c}") for c in deeper for k, f in (("low", F.min), ("high", F.max))]
+        counted = rows.withColumn("bin", bins).where("bin is not null").groupBy("node", "bin").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"), *ends)
+        sums: dict[int, list[Row]] = {}
         for r in counted.collect():  # at most BINS rows for each node
-            sums.setdefault(r["node"], []).append((r["bin"], r["s"]))
+            sums.setdefault(r["node"], []).append(r)
         for n in open_:
-            width = max(1, -(-(n.high - n.low + 1) // BINS))
-            found = sorted(sums[n.at])
-            for k, s in found:
-                if n.below + s >= n.target or k == found[-1][0]:
+            found = sorted(sums[n.at], key=lambda r: r["bin"])
+            for r in found:
+                if n.below + r["s"] >= n.target or r is found[-1]:
                     break
-                n.below += s
-            low, high = n.low + k * width, min(n.high, n.low + (k + 1) * width - 1)
-            if low < high:
-                n.low, n.high = low, high
-            elif n.value is None:
-                n.value, n.low, n.high = low, n.ids[0], n.ids[1]
-            else:  # the row at the quantile goes to the side that it leaves more even
-                n.cut = (n.value, low if n.below + s / 2 <= n.target else low - 1)
+                n.below += r["s"]
+            n.low, n.high = n.low + r["bin"] * _width(n), min(n.high, n.low + (r["bin"] + 1) * _width(n) - 1)
+            while n.low == n.high and n.cut is None:  # one value; the rows that share it are split by what comes next
+                n.found += (n.low,)
+                if r["n"] == 1 or len(n.found) == len(n.along):  # the row at the quantile goes to the side that it leaves more even
+                    n.cut = n.found if n.below + r["s"] / 2 <= n.target else (*n.found[:-1], n.found[-1] - 1)
+                else:
+                    n.low, n.high = (r[f"{k}_{n.along[len(n.found)]}"] for k in ("low", "high"))
         open_ = [n for n in open_ if n.cut is None]
 
 
+def _width(n: _Node) -> int:
+    return max(1, -(-(n.high - n.low + 1) // BINS))
+
+
 def shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot): shards of nearly equal bytes.
 
     Give the number of shards, or the bytes that a shard should reach. Size is the text's UTF-8 bytes (null: none) plus
-    1. Shards differ by no more than a few of the largest rows. Slots number a shard's rows from 0 without a gap. Rows
-    that agree in doc_id and all dimensions can't be told apart and stay together. An empty table gives an empty one.
-    Only doc_id, text, source and lang are read, the last two where there are any.
+    1. Shards differ by no more than a few of the largest rows, whatever rows agree in: repeated rows and rows without a
+    doc_id are told apart by a number of their own. Slots number a shard's rows from 0 without a gap. An empty table
+    gives an empty one. Only doc_id, text, source and lang are read, the last two where there are any.
     """
     base = durable(measured(docs))
     dims = [c for c in base.columns if c.startswith("d_")]
     ranges = [f(c).alias(f"{k}_{c}") for c in dims for k, f in (("low", F.min), ("high", F.max))]
-    whole = base.agg(F.sum("size").alias("weight"), *ranges).first()
+    whole = base.agg(F.sum("size").alias("weight"), F.count(F.lit(1)).alias("rows"), *ranges).first()
     total = whole["weight"] or 0
     wanted = n_shards or max(1, round(total / target_bytes))
     spread = {c: max(1, (whole[f"high_{c}"] or 0) - (whole[f"low_{c}"] or 0)) for c in dims}
@@ -125,15 +136,15 @@ def shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int | Non
     while total and any(n.shards > 1 for n in level):
         active = [n for n in level if n.shards > 1]
         leaves += [n for n in level if n.shards == 1]
-        stats = {r["node"]: r for r in rows.groupBy("node").agg(F.sum("size").alias("weight"), F.min("id").alias("low_id"), F.max("id").alias("high_id"), *ranges).collect()}  # a row for each node
+        stats = {r["node"]: r for r in rows.groupBy("node").agg(F.sum("size").alias("weight"), *ranges).collect()}  # a row for each node
         empty = [n for n in active if n.at not in stats]
         leaves += empty
         active = [n for n in active if n.at in stats]
         for n in active:
             r = stats[n.at]
             width = {c: (r[f"high_{c}"] - r[f"low_{c}"]) / spread[c] for c in dims}
-            n.dim = max(dims, key=lambda c: (width[c], c))
-            n.weight, n.low, n.high, n.ids = r["weight"], r[f"low_{n.dim}"], r[f"high_{n.dim}"], (r["low_id"], r["high_id"])
+            widest = max(dims, key=lambda c: (width[c], c))
+            n.along, n.weight, n.low, n.high = _along(widest), r["weight"], r[f"low_{widest}"], r[f"high_{widest}"]
             half = n.shards // 2
             n.target = n.weight * half / n.shards
             n.kids = [_Node(made, n.first, half, 0), _Node(made + 1, n.first + half, n.shards - half, 0)]
@@ -145,8 +156,9 @@ def shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int | Non
     shard = F.lit(0)
     for n in leaves:
         shard = F.when(F.col("node") == n.at, n.first).otherwise(shard)
-    placed = durable(rows.select("doc_id", "id", "size", "text_crc32", shard.cast("int").alias("shard")).withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int")))
-    counts = placed.groupBy("shard", "part").count()  # at most shards * PARTS rows
+    parts = max(PARTS, -(-whole["rows"] // (wanted * PART_ROWS)))
+    placed = durable(rows.select("doc_id", "id", "size", "text_crc32", shard.cast("int").alias("shard"), F.pmod("row", F.lit(parts)).cast("int").alias("part")))
+    counts = placed.groupBy("shard", "part").count()  # at most shards * PARTS rows, or a row for each PART_ROWS
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     slot = F.row_number().over(Window.partitionBy("shard", "part").orderBy("id", "text_crc32")) - 1

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -39,6 +40,53 @@ def test_odd_rows(odd_docs, no_docs):
     assert sharding.shards(no_docs, n_shards=8).count() == 0
 
 
+def slow_shards(rows, n):
+    """The tree by sorting: a node's rows in order of its widest dimension and all that splits ties, cut at the byte that is due."""
+    dims = ["size", "doc", "lang", "source"]
+    spread = {d: max(1, max(r[d][0] for r in rows) - min(r[d][0] for r in rows)) for d in dims}
+    out = {}
+
+    def split(some, first, shards):
+        if shards == 1 or not some:
+            out.update((r["row"], first) for r in some)
+            return
+        wide = {d: (max(r[d][0] for r in some) - min(r[d][0] for r in some)) / spread[d] for d in dims}
+        along = max(dims, key=lambda d: (wide[d], d))
+        some = sorted(some, key=lambda r: (*r[along], r["doc"], r["crc"], r["row"]))
+        target, below, k = sum(r["size"][0] for r in some) * (shards // 2) / shards, 0, 0
+        while below + some[k]["size"][0] < target:
+            below += some[k]["size"][0]
+            k += 1
+        k += below + some[k]["size"][0] / 2 <= target
+        split(some[:k], first, shards // 2)
+        split(some[k:], first + shards // 2, shards - shards // 2)
+
+    split(rows, 0, n)
+    return out
+
+
+def test_against_a_tree_by_sorting(spark, odd_docs):
+    rnd = random.Random(3)
+    names = ["common_crawl", "common_voice", "common", "hot", "", None]
+    made = [(i, "x" * rnd.randint(0, 300), rnd.choice(names), rnd.choice(["en", "de", "zh-Hant", "zh-Hans"])) for i in range(900)]
+    made += [(7, "same", "hot", "en")] * 200 + [(None, f"t{i}", "hot", "en") for i in range(200)]
+    docs = spark.createDataFrame(made, "doc_id bigint, text string, source string, lang string").repartition(6)
+    for frame in (docs, odd_docs):
+        base = sharding.measured(frame).collect()
+        rows = [{"row": r.row, "size": (r.size,), "doc": (r.d_doc,), "lang": (r.d_lang, r.h_lang), "source": (r.d_source, r.h_source), "crc": r.text_crc32} for r in base]
+        for n in (8, 3):
+            want = slow_shards(rows, n)
+            got = sorted(((r.doc_id, r.text_crc32, r.shard) for r in sharding.shards(frame, n_shards=n).collect()), key=str)
+            assert got == sorted(((r.doc_id, r.text_crc32, want[r.row]) for r in base), key=str)
+
+
+def test_rows_that_agree_in_all_but_the_text_are_split(spark):
+    docs = spark.createDataFrame([(None, f"text{i:03}", "hot", "en") for i in range(400)], "doc_id bigint, text string, source string, lang string")
+    assert check(sharding.shards(docs, n_shards=8).collect(), docs.collect(), 8) == [400] * 8
+    docs = spark.createDataFrame([(1, "a copy", "hot", "en")] * 400, "doc_id bigint, text string, source string, lang string")
+    assert check(sharding.shards(docs, n_shards=8).collect(), docs.collect(), 8) == [350] * 8
+
+
 @pytest.mark.parametrize("rows", [[(1, "a")], [(7, "same")] * 9, [(None, None)] * 3])
 def test_few_and_equal_rows(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
