@@ -37,6 +37,8 @@ PART = 1 << 20
 KEPT = 200_000
 
 WORDS = re.compile(r"\w+|[^\w\s]+").findall
+#: Where a text can be cut without cutting a word.
+BETWEEN = re.compile(r"\b|(?=\s)|(?<=\s)").search
 
 
 class _Codes(dict):
@@ -67,15 +69,24 @@ def _hashed(*parts: np.ndarray) -> np.ndarray:
 
 
 def features(text: str) -> Iterator[np.ndarray]:
-    """Places of the features of a text, repeats included, part by part. A text without words has none."""
-    for a in range(0, len(text), PART):
-        words = WORDS(text[a : a + PART])
+    """Places of the features of a text, repeats included, part by part. A text without words has none.
+
+    Parts end between words, and pairs and triples go on from one part to the next.
+    """
+    a, tail = 0, np.empty(0, dtype=np.uint64)
+    while a < len(text):
+        cut = BETWEEN(text, a + PART) if a + PART < len(text) else None
+        b = cut.start() if cut else len(text)
+        words = WORDS(text[a:b] if a or b < len(text) else text)
+        a, k = b, len(tail)
         if not words:
             continue
-        code = np.fromiter(map(_codes.__getitem__, words), dtype=np.uint64, count=len(words))
+        code = np.concatenate([tail, np.fromiter(map(_codes.__getitem__, words), dtype=np.uint64, count=len(words))])
+        tail = code[-2:]
         word, shape = code & np.uint64(0xFFFFFFFF), code >> np.uint64(32)
         again = (word[:-1] == word[1:]).astype(np.uint64)
-        yield np.concatenate([_hashed(word), _hashed(word[:-1], word[1:]), _hashed(shape[:-2], shape[1:-1], shape[2:], again[1:])])
+        pairs, triples = _hashed(word[:-1], word[1:]), _hashed(shape[:-2], shape[1:-1], shape[2:], again[1:])
+        yield np.concatenate([_hashed(word[k:]), pairs[max(0, k - 1) :], triples[max(0, k - 2) :]])
 
 
 def _counted(text: str) -> tuple[np.ndarray, np.ndarray]:

@@ -46,6 +46,49 @@ def test_a_long_text_is_scored_whole():
     assert np.isclose((w[at] * x).sum(), quality.dot(text, w), rtol=1e-3)
 
 
+def test_features_do_not_depend_on_the_parts(monkeypatch):
+    text = prose(random.Random(3), 400) + " " + "x" * 90 + "!?!" * 20 + " \n\n  end it's"
+    whole = [np.sort(np.concatenate(list(quality.features(text))))]
+    for part in (1, 2, 3, 7, 50, 1000):
+        monkeypatch.setattr(quality, "PART", part)
+        whole.append(np.sort(np.concatenate(list(quality.features(text)))))
+    assert all((w == whole[0]).all() for w in whole)
+    monkeypatch.undo()
+    long = prose(random.Random(4), 1 << 18)
+    assert len(long) > quality.PART
+    n = len(quality.WORDS(long))
+    assert sum(map(len, quality.features(long))) == 3 * n - 3
+
+
+def dense(rows, size, epochs):
+    """The updates as they are written in the literature, over whole vectors; the bias is a feature without penalties."""
+    z, n = np.zeros(size + 1), np.zeros(size + 1)
+    l1, l2 = np.append(np.full(size, quality.L1), 0), np.append(np.full(size, quality.L2), 0)
+
+    def weights():
+        return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((quality.BETA + np.sqrt(n)) / quality.ALPHA + l2))
+
+    for _ in range(epochs):
+        for places, values, y in rows:
+            x = np.append(np.bincount(places, weights=values, minlength=size), 1.0)
+            w = weights()
+            g = (1 / (1 + np.exp(-w @ x)) - y) * x
+            s = (np.sqrt(n + g * g) - np.sqrt(n)) / quality.ALPHA
+            z += g - s * w
+            n += g * g
+    return weights()
+
+
+def test_training_is_the_dense_updates():
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(40):
+        places = rng.choice(60, rng.integers(1, 20), replace=False).astype(np.int32)
+        rows.append((places, rng.random(len(places)).astype(np.float32), k % 3 != 0))
+    got, want = quality.fit(rows), dense(rows, 1 << quality.BITS, quality.EPOCHS)
+    assert np.abs(got - want).max() < 1e-5 and np.count_nonzero(got) > 10
+
+
 def test_update_by_hand():
     """One row, one feature: the first step of the updates."""
     w = quality.fit.__globals__["EPOCHS"]
