@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import durable, texts
 from .wordcodes import byte_codes
 
-#: Parts into which the pieces of one length are ranked, so that none is ranked in one task.
-PARTS = 64
+#: The pieces of a length are ranked in parts of about so many, so that a common length isn't ranked in one task.
+PART_ROWS = 250_000
 
 
 class Tightest:
@@ -130,12 +130,16 @@ def packed(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int =
 
     An empty table gives an empty one. Only doc_id and text are read.
     """
-    made = durable(pieces(docs, vocabulary, capacity, end_id).withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int")))
-    sizes = made.groupBy("length", "part").count().orderBy("length", "part").collect()  # at most capacity * PARTS rows
+    made = durable(pieces(docs, vocabulary, capacity, end_id).withColumn("own", F.monotonically_increasing_id()))
+    parts = {r["length"]: 1 + r["count"] // PART_ROWS for r in made.groupBy("length").count().collect()}  # at most capacity rows
+    several = {n: p for n, p in parts.items() if p > 1}
+    of = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x).cast("bigint") for p in several.items() for x in p]), F.col("length")), F.lit(1)) if several else F.lit(1)
+    made = made.withColumn("part", F.pmod("own", of).cast("int")).drop("own")
+    sizes = made.groupBy("length", "part").count().orderBy("length", "part").collect()  # at most capacity rows, and one for each PART_ROWS pieces
     counts: dict[int, int] = {}
     before: dict[int, list[int]] = {}
     for r in sizes:
-        before.setdefault(r["length"], [0] * PARTS)[r["part"]] = counts.get(r["length"], 0)
+        before.setdefault(r["length"], [0] * parts[r["length"]])[r["part"]] = counts.get(r["length"], 0)
         counts[r["length"]] = counts.get(r["length"], 0) + r["count"]
     ranges = {n: np.array(x, dtype=np.int64) for n, x in plan(counts, capacity).items()}
     bases = {n: np.array(x, dtype=np.int64) for n, x in before.items()}

@@ -3,7 +3,8 @@
 A tokenizer that splits texts before it merges gives a piece the same ids wherever it stands, as long as texts are cut
 where it would itself split. Both splits used here cut between a word and the space before the next one. So ids of
 pieces are kept, as bytes, and a text's ids are a join of look-ups. The table of kept pieces is bounded; pieces that no
-longer fit are encoded again when they come back.
+longer fit are encoded again when they come back. Added tokens in a text, such as an end-of-text mark, have their own
+ids, as in the library.
 """
 
 from __future__ import annotations
@@ -55,6 +56,26 @@ def _ranks(model: dict, suffix: str) -> dict[bytes, int] | None:
     return ranks if ordered and len(set(merged)) == len(merged) else None
 
 
+class _Added:
+    """Added tokens of a vocabulary: a text is cut at them before all else, the leftmost and then the longest first.
+
+    That is what the library does for tokens that take no space and part no words; ``plain`` is false for others.
+    """
+
+    def __init__(self, tokens: list[dict]):
+        self.plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in tokens)
+        self.ids = {t["content"]: _packed([t["id"]]) for t in tokens}
+        longest = sorted(self.ids, key=len, reverse=True)
+        self.split = regex.compile("(" + "|".join(map(regex.escape, longest)) + ")").split if longest else None
+        self.probes = sorted({c[:2] for c in longest})
+
+    def within(self, text: str) -> bool:
+        return any(p in text for p in self.probes) and any(c in text for c in self.ids)
+
+    def joined(self, text: str, ids: Callable[[str], bytes]) -> bytes:
+        return b"".join(self.ids[x] if k % 2 else ids(x) for k, x in enumerate(self.split(text)))
+
+
 def _packed(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
@@ -78,8 +99,8 @@ class WordCodes:
 
     def __init__(self, file: str):
         self.library = Tokenizer.from_file(file)
-        self.library.encode_special_tokens = True
-        model = json.load(open(file, encoding="utf-8"))["model"]
+        spec = json.load(open(file, encoding="utf-8"))
+        model, self.added = spec["model"], _Added(spec["added_tokens"])
         suffix = model["end_of_word_suffix"] or ""
         ranks = _ranks(model, suffix) if suffix else None
         self.merge = ranks and tiktoken.Encoding("words", pat_str=r"(?s:.)+", mergeable_ranks=ranks, special_tokens={})
@@ -96,6 +117,12 @@ class WordCodes:
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
+        if self.added.within(text):
+            return self.added.joined(text, self.between) if self.added.plain else _packed(self.library.encode(text, add_special_tokens=False).ids)
+        return self.between(text)
+
+    def between(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
         return b"".join(map(self.kept.__getitem__, text.replace("\n", " ").split(" ")))
 
 
@@ -107,11 +134,11 @@ class ByteCodes:
             import public_tokenizers
 
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(file, "rb"))}
-            pattern = public_tokenizers.PATTERN
+            pattern, self.added = public_tokenizers.PATTERN, _Added([])
         else:
             self.library = Tokenizer.from_file(file)
-            self.library.encode_special_tokens = True
-            ranks = _ranks(json.load(open(file, encoding="utf-8"))["model"], "")
+            spec = json.load(open(file, encoding="utf-8"))
+            ranks, self.added = _ranks(spec["model"], ""), _Added(spec["added_tokens"])
             pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.merge = ranks and tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.cut = re.compile(r"(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)").split
@@ -124,7 +151,13 @@ class ByteCodes:
         return _packed(self.merge.encode_ordinary(piece))
 
     def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids.
+        """Little-endian unsigned 32-bit ids."""
+        if self.added.within(text):
+            return self.added.joined(text, self.between) if self.added.plain else _packed(self.library.encode(text, add_special_tokens=False).ids)
+        return self.between(text)
+
+    def between(self, text: str) -> bytes:
+        """The ids of a text without added tokens.
 
         The text is cut before each space that a word follows, and around each newline that stands alone between words.
         """

@@ -53,7 +53,6 @@ def test_tightest_open_place():
 
 def test_packed_documents(odd_docs, no_docs):
     library = Tokenizer.from_file(FILE)
-    library.encode_special_tokens = True
     capacity = 64
     rows = packing.packed(odd_docs, FILE, capacity, end_id=0).collect()
     want = []
