@@ -1,13 +1,16 @@
 """Document fingerprints by winnowing, in DataFrame expressions alone.
 
 Tokens are lower-cased runs between ASCII white space; each character of a script written without spaces is a token of its
-own. Each run of K tokens has a hash, made from the hashes of its tokens. In each window of W such hashes in a row the
-least is chosen, the rightmost of equals; a hash chosen by several windows counts once. So two texts that share
+own. Each run of K tokens has a hash. The hashes are rolled by doubling: a run's hash is made from those of two shorter
+runs, which its neighbours share with it. In each window of W such hashes in a row the least is chosen, the rightmost
+of equals; a hash chosen by several windows counts once. Minima are rolled in the same way. So two texts that share
 W + K - 1 tokens in a row share a chosen hash, and positions say where.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,12 +34,30 @@ def grams(text: Column, k: int = K) -> Column:
 
     def rolled(h: Column) -> Column:
         n = F.size(h)
-        full = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
-        return F.when(n >= k, full).when(n > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
+        return F.when(n >= k, _rolled(h, k, F.xxhash64)).when(n > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
 
     return _let(hashes, rolled)
 
 
+def _rolled(values: Column, length: int, both: Callable[[Column, Column], Column], share: bool = False) -> Column:
+    """For each run of so many values in a row, both() of two shorter runs that make it up; share: which may overlap."""
+
+    def joined(left: Column, right: Column, shift: int) -> Column:
+        n = F.size(right) - shift
+        return F.zip_with(F.slice(left, 1, n), F.slice(right, shift + 1, n), lambda x, y: both(x, y))  # noqa: PLW0108
+
+    def longer(run: Column, size: int) -> Column:
+        if size == length:
+            return run
+        if 2 * size <= length:
+            return _let(joined(run, run, size), lambda twice: longer(twice, 2 * size))
+        if share:
+            return joined(run, run, length - size)
+        return _let(_rolled(values, length - size, both), lambda rest: joined(run, rest, size))
+
+    return longer(values, 1)
+
+
 def _let(value: Column, body) -> Column:
     """body(value), with value computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -51,8 +72,7 @@ def fingerprint(text: Column, k: int = K, w: int = W) -> Column:
         keys = F.transform(g, lambda h, i: F.shiftleft(h.bitwiseAND(low), PLACE) + (F.lit(_ENDS).cast("bigint") - i))
 
         def least(keys: Column) -> Column:
-            windows = F.sequence(F.lit(1), F.greatest(n - w + 1, F.lit(1)))
-            return F.array_distinct(F.transform(windows, lambda s: F.array_min(F.slice(keys, s, w))))
+            return F.when(n > w, F.array_distinct(_rolled(keys, w, F.least, share=True))).otherwise(F.array(F.array_min(keys)))
 
         def read(key: Column) -> Column:
             pos = (F.lit(_ENDS) - key.bitwiseAND(F.lit(_ENDS).cast("bigint"))).cast("int")
@@ -93,24 +113,37 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
 
 def with_edited(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
-    """Each row's doc_id, n_chars, edited text, fingerprints of both and of the next document's text.
+    """Each row's doc_id, n_chars, edited text, digest and hashes of its own fingerprint, the edited text's fingerprint, and the next document's hashes.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
     document, by ascending doc_id; after the last comes the first, and a document alone is its own next. A missing
     doc_id comes first; of rows with one doc_id the order is by text hash, and rows that repeat both are one document,
     but all are returned. Null texts are empty. Other columns are not read.
+
+    A text's own fingerprint is made once, before rows are shuffled; its digest and hashes go on with the text, to the
+    row itself and to the one before.
     """
-    mine = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    mine = mine.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("th"), "text")
+    mine = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     order = durable(neighbours(mine.select("id", "th", F.length("text").cast("bigint").alias("n"))))
-    both = mine.join(order.hint("shuffle_merge"), ["id", "th"])
-    kept = both.select("id", "th", "n", "text", F.left("text", F.expr("cast(n - n div 2 as int)")).alias("begin"))
-    heads = both.select(F.col("prev_id").alias("id"), F.col("prev_th").alias("th"), F.left("text", F.expr("cast(prev_n div 2 as int)")).alias("head"), _hashes(fingerprint(F.col("text"), k, w)).alias("next_hashes"))
+    printed = mine.withColumn("own", fingerprint(F.col("text"), k, w))
+    printed = printed.select("id", "th", "text", digest(F.col("own")).alias("own_digest"), _hashes(F.col("own")).alias("own_hashes"))
+    both = printed.join(order.hint("shuffle_merge"), ["id", "th"])
+    kept = both.select("id", "th", "n", F.left("text", F.expr("cast(n - n div 2 as int)")).alias("begin"), "own_digest", "own_hashes")
+    heads = both.select(F.col("prev_id").alias("id"), F.col("prev_th").alias("th"), F.left("text", F.expr("cast(prev_n div 2 as int)")).alias("head"), F.col("own_hashes").alias("next_hashes"))
     if order.where("times > 1").limit(1).count():
         heads = heads.dropDuplicates(["id", "th"])
     joined = kept.join(heads, ["id", "th"]).withColumn("edited", F.concat("begin", "head"))
     doc_id = F.when(F.col("id") != NO_ID, F.col("id")).cast(docs.schema["doc_id"].dataType).alias("doc_id")
-    return joined.select(doc_id, F.col("n").alias("n_chars"), "edited", fingerprint(F.col("text"), k, w).alias("own_print"), fingerprint(F.col("edited"), k, w).alias("edited_print"), "next_hashes")
+    return joined.select(doc_id, F.col("n").alias("n_chars"), "edited", "own_digest", "own_hashes", fingerprint(F.col("edited"), k, w).alias("edited_print"), "next_hashes")
+
+
+def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
+    """(doc_id, pos, hash): a row for each chosen hash of each text, pos the number of the run's first token from 0.
+
+    Two texts that have W + K - 1 tokens in a row in common have a hash in common, and the positions say where. Null and
+    empty texts have none; rows that repeat, or have no doc_id, are treated like others. Other columns are not read.
+    """
+    return docs.select("doc_id", F.explode(fingerprint(F.col("text"), k, w)).alias("x")).select("doc_id", "x.pos", "x.hash")
 
 
 def _hashes(print_: Column) -> Column:
@@ -120,12 +153,12 @@ def _hashes(print_: Column) -> Column:
 def compared(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)."""
     made = with_edited(docs)
-    own, changed = _hashes(F.col("own_print")), _hashes(F.col("edited_print"))
+    own, changed = F.col("own_hashes"), _hashes(F.col("edited_print"))
     return made.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        digest(F.col("own_print")).alias("fingerprint"),
+        F.col("own_digest").alias("fingerprint"),
         digest(F.col("edited_print")).alias("edited_fingerprint"),
         likeness(own, changed).alias("near_edited"),
         likeness(own, F.col("next_hashes")).alias("near_next"),

@@ -8,8 +8,8 @@ from .conftest import prose
 K, W = winnowing.K, winnowing.W
 
 
-def grams(text):
-    """Hashes of five words in a row, by Spark's chained XXH64 over longs."""
+def grams(text, k=K):
+    """Hashes of k words in a row: by Spark's chained XXH64 over longs, of the longest part that is a power of two and the rest."""
     import regex
 
     tokens = regex.findall(r"[^\x20\x09-\x0d\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]+|[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]", text.lower())
@@ -21,15 +21,21 @@ def grams(text):
             seed = xxhash.xxh64_intdigest(v.to_bytes(8, "little"), seed)
         return seed
 
-    return [chain(h[i : i + K]) for i in range(len(h) - K + 1)] if len(h) >= K else ([chain(h)] if h else [])
+    def run(values):
+        if len(values) == 1:
+            return values[0]
+        first = 1 << (len(values) - 1).bit_length() - 1
+        return chain([run(values[:first]), run(values[first:])])
 
+    return [run(h[i : i + k]) for i in range(len(h) - k + 1)] if len(h) >= k else ([chain(h)] if h else [])
 
-def brute(text):
-    g = grams(text or "")
+
+def brute(text, k=K, w=W):
+    g = grams(text or "", k)
     keys = [h & ((1 << 33) - 1) for h in g]
     chosen = []
-    for s in range(max(1, len(g) - W + 1) if g else 0):
-        window = range(s, min(s + W, len(g)))
+    for s in range(max(1, len(g) - w + 1) if g else 0):
+        window = range(s, min(s + w, len(g)))
         least = min(keys[i] for i in window)
         at = max(i for i in window if keys[i] == least)
         if at not in chosen:
@@ -43,6 +49,9 @@ def test_against_brute_force(spark, odd_docs):
     rows = odd_docs.where("doc_id != 303 or doc_id is null").select("text", winnowing.fingerprint(F.col("text")).alias("f")).collect()
     for r in rows:
         assert [(x.pos, x.hash) for x in r.f] == brute(r.text), r.text
+    for k, w in ((1, 1), (7, 5), (3, 12)):
+        for r in odd_docs.where("doc_id < 40").select("text", winnowing.fingerprint(F.col("text"), k, w).alias("f")).collect():
+            assert [(x.pos, x.hash) for x in r.f] == brute(r.text, k, w), (k, w, r.text)
 
 
 def test_a_shared_run_is_always_met(spark):
@@ -55,6 +64,19 @@ def test_a_shared_run_is_always_met(spark):
     assert all(found[0] & f for f in found)
 
 
+def test_positions_say_where(spark, odd_docs, no_docs):
+    rnd = random.Random(9)
+    shared = prose(rnd, W + K - 1)
+    docs = spark.createDataFrame([(i, f"{prose(rnd, i)} {shared} {prose(rnd, 9)}", "a", 3) for i in (1, 20, 33)], "doc_id bigint, text string, pos string, hash int")
+    at = {}
+    for r in winnowing.fingerprints(docs).collect():
+        at.setdefault(r.hash, {})[r.doc_id] = r.pos
+    found = [x for x in at.values() if len(x) == 3]
+    assert found and all({i: p - i for i, p in x.items()}.keys() == {1, 20, 33} and len({p - i for i, p in x.items()}) == 1 for x in found)
+    assert winnowing.fingerprints(no_docs).count() == 0
+    assert {r.doc_id for r in odd_docs.collect()} - {r.doc_id for r in winnowing.fingerprints(odd_docs).collect()} == {300, 301, 302}
+
+
 def test_edited_texts_and_neighbours(spark, odd_docs, no_docs):
     import hashlib
 
