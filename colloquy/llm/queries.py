@@ -9,22 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, linededup, packing, quality, sharding, simhash, simple8b, urls, winnowing
-from .common import new_path, table
+from .common import new_path, spread, table
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
     found = simhash.near_duplicates(docs, shingle=3, words=1, radius=2)
     return found.select(F.col("key").alias("doc_id"), F.lpad(F.lower(F.hex(F.col("words")[0])), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linededup.dropped(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = linededup.dropped(_documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), "text")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sharding.shards(table(spark, sf_dir, "documents"), n_shards=8)
+    found = sharding.shards(_documents(spark, sf_dir), n_shards=8)
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -33,7 +37,7 @@ def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
     weights = quality.train(docs, table(spark, sf_dir, "labels"))
     found = quality.scored(docs, weights)
     return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.KEEP).cast("int").alias("predicted"))
@@ -64,7 +68,7 @@ FROM hits
 
 
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return winnowing.compared(table(spark, sf_dir, "documents"))
+    return winnowing.compared(_documents(spark, sf_dir))
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,12 +79,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir)
     return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
