@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import linededup, packing, quality, simhash
-from colloquy.llm.common import stored, table
+from colloquy.llm.common import spread, stored, table
 
 #: The last stage's vocabulary, and the ids of a sequence.
 VOCABULARY, CAPACITY = "byte_bpe_50k.json", 2048
@@ -52,7 +52,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages, over the whole documents table."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
