@@ -114,11 +114,11 @@ def merged_runs(lines: DataFrame, by: str, gap: float, joiner: str = " ") -> Dat
 def speaker_lines(text: DataFrame, seconds_per_line: float = 20.0) -> DataFrame:
     """Transcripts of "Name: words" lines (path, text) -> (path, pos, offset, user, text); a line without a name goes on for the last speaker."""
     lines = text.select("path", F.posexplode(F.split("text", r"\r\n|[\n\r]")).alias("pos", "line")).where(F.trim("line") != "")
-    shape = r"^\s*([^:<>\n]{1,40}?)\s*:\s*(\S.*)$"
+    shape = r"^\s*([^:<>\n]{1,40}?)\s*:\s*((?!//)\S.*)$"
     name = F.nullif(F.trim(F.regexp_extract("line", shape, 1)), F.lit(""))
     w = Window.partitionBy("path").orderBy("pos")
     said = F.when(name.isNotNull(), F.regexp_extract("line", shape, 2)).otherwise(F.col("line"))
-    return lines.select("path", "pos", (F.col("pos") * seconds_per_line).alias("offset"), F.coalesce(F.last(name, ignorenulls=True).over(w), F.lit("")).alias("user"), F.trim(said).alias("text"))
+    return lines.select("path", "pos", (F.col("pos") * seconds_per_line).alias("offset"), F.coalesce(F.last(name, ignorenulls=True).over(w), F.lit("unknown")).alias("user"), F.trim(said).alias("text"))
 
 
 def note(text: DataFrame, least: int = 20) -> DataFrame:

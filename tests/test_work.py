@@ -159,17 +159,38 @@ def test_measures_by_hand(spark):
 
 
 def test_transcripts(spark):
+    more = spark.createDataFrame([("b.vtt", "WEBVTT\n\nNOTE 00:00:09.000 --> 00:00:10.000\nabc-1\n00:00:01.000 --> 00:00:02.000\n<v Ana>\nfirst words\n\nstill Ana\nBen: not a name here\n<v Cy>but this is</v>\n\n00:05.5 --> 00:06.0\nno one"), ("c.json", '[{"start": null, "offset": 9, "text": "x"}, 3, {"start": "1.5", "user": "U", "text": "", "content": 7}]'), ("d.txt", "http://x.y\n\nAna: hi")], "path string, text string")
+    assert rows(transcripts.utterances(more), "path", "offset", "user", "text") == [
+        ("b.vtt", 1.0, "Ana", "first words"), ("b.vtt", 1.0, "Cy", "still Ana Ben: not a name here but this is"), ("b.vtt", 5.5, "unknown", "no one"),
+        ("c.json", 0.0, "unknown", "x"), ("c.json", 1.5, "U", "7"), ("d.txt", 0.0, "unknown", "http://x.y"), ("d.txt", 40.0, "Ana", "hi"),
+    ]
+    with pytest.raises(Exception, match="a JSON transcript is a list"):
+        transcripts.utterances(spark.createDataFrame([("e.json", '{"text": "x"}')], "path string, text string")).collect()
     files = spark.createDataFrame([("a.vtt", "WEBVTT\n\n7\n00:01:02.500 --> 00:01:04.000\n<v Ana>Hello <b>all</b>\nmore\n\n01:00:00.000 --> 01:00:01.000\nBen: bye\n"), ("b.txt", "Ana: one\ntwo"), ("c", '[{"speaker": "X", "offset": "3", "content": "hi"}, {"text": ""}]')], "path string, text string")
     got = rows(transcripts.utterances(files), "path", "offset", "user", "text")
     assert got == [("a.vtt", 62.5, "Ana", "Hello all more"), ("a.vtt", 3600.0, "Ben", "bye"), ("b.txt", 0.0, "Ana", "one"), ("b.txt", 20.0, "Ana", "two"), ("c", 3.0, "X", "hi")]
     assert rows(R.speaker_lines(files.where("path = 'b.txt'")), "user", "text") == [("Ana", "one"), ("Ana", "two")]
 
 
-def test_paste():
+def test_paste(spark):
     text = "preamble\nNok  [2:21 PM]\nimage.png 2 repliesNok Jai  [Today at 11:59 PM] late\nit is at [noon]\n[12:01 AM]\nafter midnight (edited)\n:+1: 3\nAug 25th\nBee  [9:00 AM]\n[BUG] broken"
-    got = transcripts.paste(text, dt.date(2026, 8, 19))
-    assert got.skipped == ["preamble"]
-    assert [(str(a), w, t) for a, w, t in got.messages] == [("2026-08-19 23:59:00", "Nok Jai", "late\nit is at [noon]"), ("2026-08-20 00:01:00", "Nok Jai", "after midnight"), ("2026-08-25 09:00:00", "Bee", "[BUG] broken")]
+
+    def parsed(text):
+        found = transcripts.pasted(spark.createDataFrame([("t", dt.date(2026, 8, 19), text)], "title string, day date, text string")).orderBy("pos").collect()
+        return [r.text for r in found if r.skipped], [(str(dt.datetime(1970, 1, 1) + dt.timedelta(seconds=r.ts)), r.user, r.text) for r in found if not r.skipped]
+
+    skipped, messages = parsed(text)
+    assert skipped == ["preamble"]
+    assert messages == [("2026-08-19 23:59:00", "Nok Jai", "late\nit is at [noon]"), ("2026-08-20 00:01:00", "Nok Jai", "after midnight"), ("2026-08-25 09:00:00", "Bee", "[BUG] broken")]
+    # a named day that lies before the last clock; a day line alone goes on for the last speaker; times that are none
+    _, messages = parsed("Ann  [11:00 PM] a\nToday\nstill Ann\n[10:00 PM] b\nBo  [13:05] c\nBo, no.  [13:06]\n[25:00] x\n[0:30 AM] y\nYesterday\nCy APP  [12:00 AM] d\nview thread\n3 replies")
+    assert messages == [
+        ("2026-08-19 23:00:00", "Ann", "a"),
+        ("2026-08-19 23:00:00", "Ann", "still Ann"),
+        ("2026-08-20 22:00:00", "Ann", "b"),
+        ("2026-08-21 13:05:00", "Bo", "c\nBo, no.  [13:06]\n[25:00] x\n[0:30 AM] y"),
+        ("2026-08-19 00:00:00", "Cy APP", "d"),
+    ]
 
 
 def test_paste_records_are_stable(spark):
