@@ -11,6 +11,8 @@ from . import cues
 LATIN_RUN = r"[A-Za-z0-9]+(?:[-_./][A-Za-z0-9]+)*"
 THAI_RUN = r"[฀-๿]+"
 CAMEL_PART = r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+"
+#: A run of one part, or else, as its group, a run of several.
+COMPOUND_RUN = rf"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?![-_./]?[A-Za-z0-9])|({LATIN_RUN})"
 TICKET = r"(?<![A-Za-z0-9_])[A-Z][A-Z0-9]{1,9}-\d{1,6}(?![A-Za-z0-9_])"
 EMPTY_ANSWER = r"(?i)^[\s•*\-–—.]*(?:n/?a|none|nope|no|ไม่มี|ยังไม่มี|ok|okay)?[\s.]*$"
 BULLET = r"^(?:[\s>]*[•◦‣·\-*+]+\s*|[\s>]*\d+[.)]\s*)"
@@ -43,11 +45,15 @@ def thai_grams(run: Column) -> Column:
 
 def latin_tokens(run: Column) -> Column:
     """An identifier whole, then its parts between separators, then its camel-case parts; all lower-cased."""
+    return F.concat(F.array(F.lower(run)), run_parts(run))
+
+
+def run_parts(run: Column) -> Column:
     none = F.array().cast("array<string>")
     parts = F.when(run.rlike("[-_./]"), F.split(F.lower(run), "[-_./]")).otherwise(none)
     camel = _all(run, CAMEL_PART)
     humps = F.when(F.size(camel) > 1, F.transform(camel, F.lower)).otherwise(none)
-    return F.concat(F.array(F.lower(run)), parts, humps)
+    return F.concat(parts, humps)
 
 
 def tokens(text: Column) -> Column:
@@ -56,6 +62,16 @@ def tokens(text: Column) -> Column:
     return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^{THAI_RUN}$"), thai_grams(r)).otherwise(latin_tokens(r))))
 
 
+def terms(text: Column) -> Column:
+    """The same terms in no particular order. Only runs of several parts, and Thai, are looked at one by one."""
+    none = F.array().cast("array<string>")
+    runs = _all(text, LATIN_RUN)
+    whole = F.when(F.size(runs) > 0, F.split(F.lower(F.array_join(runs, " ")), " ")).otherwise(none)
+    compound = F.array_remove(_all(text, COMPOUND_RUN, 1), "")
+    thai = F.when(text.rlike(THAI_RUN), F.flatten(F.transform(_all(text, THAI_RUN), thai_grams))).otherwise(none)
+    return F.concat(whole, F.flatten(F.transform(compound, run_parts)), thai)
+
+
 def trigrams(text: Column) -> Column:
     """Overlapping runs of three characters of the lower-cased text without white space."""
     squeezed = F.regexp_replace(F.lower(text), r"\s+", "")

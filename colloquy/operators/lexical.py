@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import terms
+from .graphs import written
 
 #: Saturation, length normalisation, and the idf below which a term explains nothing.
 K1, B, EXPLAIN_IDF = 1.5, 0.75, 0.5
@@ -15,34 +16,44 @@ def idf(n, df):
     return F.log1p((n - df + 0.5) / (df + 0.5))
 
 
+def counted(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, dl, terms): each document's terms, cut once, and its length, which counts all of them, repeats included."""
+    return docs.select(F.col(key).alias("doc_id"), terms(F.coalesce(F.col(text), F.lit(""))).alias("terms")).withColumn("dl", F.size("terms"))
+
+
 def postings(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, term, tf, dl): one row for each term of a document. Its length counts all tokens, repeats included."""
-    terms = docs.select(F.col(key).alias("doc_id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("terms")).withColumn("dl", F.size("terms"))
-    return terms.select("doc_id", "dl", F.explode("terms").alias("term")).groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    """(doc_id, term, tf, dl): one row for each term of a document, and one without a term for the document itself.
+
+    Counts of documents and their mean length follow from the rows without a term, so that texts are cut only once.
+    """
+    each = counted(docs, text, key).select("doc_id", "dl", F.explode_outer(F.concat("terms", F.array(F.lit(None).cast("string")))).alias("term"))
+    return each.groupBy("doc_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row: documents, and their mean length in tokens. Empty documents count."""
-    return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.coalesce(F.col(text), F.lit(""))))).alias("avgdl"))
+def corpus_stats(index: DataFrame) -> DataFrame:
+    """One row, from postings: documents, and their mean length in tokens. Empty documents count."""
+    return index.where("term is null").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def query_terms(queries: DataFrame, text: str = "text", key: str = "query_id") -> DataFrame:
     """(query_id, term, qf)."""
-    return queries.select(F.col(key).alias("query_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
+    return queries.select(F.col(key).alias("query_id"), F.explode(terms(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
 
 
 def matches(docs: DataFrame, queries: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(query_id, doc_id, term, idf, weight) for each query term in a document.
 
-    Documents are reduced to the queries' terms before anything is shuffled, so the work follows the matches and not
-    the corpus; the terms are broadcast while Spark's own size check allows.
+    Documents are cut into terms once and reduced to the queries' terms before anything is shuffled, so the work follows
+    the matches and not the corpus; the queries' terms are broadcast while Spark's own size check allows. What is left,
+    with a row for each document's length, is written, and everything else is read from it.
     """
-    asked = query_terms(queries)
-    # the vocabulary filter is a semi-join on the exploded stream, before the per-document count
-    exploded = docs.select(F.col(key).alias("doc_id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("terms")).withColumn("dl", F.size("terms")).select("doc_id", "dl", F.explode("terms").alias("term"))
-    hit = exploded.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    asked = written(query_terms(queries))
+    each = counted(docs, text, key).select("doc_id", "dl", F.explode(F.concat("terms", F.array(F.lit("")))).alias("term"))
+    wanted = asked.select("term").union(asked.sparkSession.range(1).select(F.lit(""))).distinct()  # no term is empty: that row is the document's
+    index = written(each.join(wanted, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+    hit = index.where("term != ''")
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = corpus_stats(docs, text)
+    stats = corpus_stats(index.withColumn("term", F.nullif("term", F.lit(""))))
     known = asked.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("idf", idf(F.col("n"), F.col("df")))
     both = hit.join(known, "term")
     saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import fusion, lexical, signals, vectors
-from ..sources.tables import conversation_records, table
+from ..operators import fusion, lexical, vectors
+from ..operators.graphs import written
+from ..sources.tables import conversation_records, table, texts
 
 #: The benchmark passages are the search strings; each is a query of its own.
 K = 10
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return texts(spark, d, "documents").select("doc_id", "text")
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
@@ -60,10 +61,10 @@ def bm25_search_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    p = lexical.postings(_docs(spark, d))
-    df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    n = lexical.corpus_stats(_docs(spark, d))
-    return df.where("df >= 5").crossJoin(F.broadcast(n)).select("term", "df", "cf", F.round(lexical.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+    p = written(lexical.postings(_docs(spark, d)))
+    df = p.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    n = lexical.corpus_stats(p)
+    return df.crossJoin(F.broadcast(n)).select("term", "df", "cf", F.round(lexical.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
 def bm25_matched_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -328,7 +329,7 @@ QUERIES = {
 
 ORACLE = {
     "bm25_search_topk": _BM25 + "SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 10",
-    "bm25_corpus_stats": f"WITH {_tokens_sql('d', 'documents', 'doc_id')}, tf AS (SELECT id, term, count(*) AS tf FROM d_toks GROUP BY ALL), c AS (SELECT count(*) AS n FROM documents) SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, round(ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM tf CROSS JOIN c GROUP BY term HAVING count(*) >= 5",
+    "bm25_corpus_stats": f"WITH {_tokens_sql('d', 'documents', 'doc_id')}, tf AS (SELECT id, term, count(*) AS tf FROM d_toks GROUP BY ALL), c AS (SELECT count(*) AS n FROM documents) SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, round(ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM tf CROSS JOIN c GROUP BY term",
     "bm25_matched_terms": _BM25
     + ", b AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s QUALIFY rank <= 3), t AS (SELECT query_id, doc_id, term, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY idf DESC, term DESC) AS k FROM m JOIN b USING (query_id, doc_id) WHERE idf >= 0.5 QUALIFY k <= 8) SELECT query_id, doc_id, string_agg(term, ' ' ORDER BY k) AS terms FROM t GROUP BY ALL",
     "trigram_local_search": _TRIGRAM,

@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts, over as many tasks as there are cores: one file of a few row groups would be one task's work."""
+    scan, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def conversation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as chat records. The table has no times: a conversation begins an hour after the one before, turns are a minute apart."""
     c = table(spark, sf_dir, "conversations")

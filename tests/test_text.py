@@ -17,6 +17,11 @@ def test_tokens_keep_the_whole_and_its_parts(spark):
     assert got[3:] == [["ก"], [], ["htmlparser", "html", "parser"]]
 
 
+def test_terms_are_the_tokens(spark):
+    odd = ["REV-1421 getUserProfile", "a_b v2.0 x- -y a--b A1b2 ABCd ABcd abC", "ยังรอapi ก", "", None, "HTMLParser K9 3.14 1a Z", "Kelvin K İx éa-b日本a", "a.b/c_d-E end."]
+    assert [x and sorted(x) for x in col(spark, odd, T.terms)] == [x and sorted(x) for x in col(spark, odd, T.tokens)]
+
+
 def test_normalize(spark):
     raw = "hi <@U12|Nok>, see <https://x.y/z|the page> or <mailto:a@b.c> in <#C1|dev> <#C2> <!here> :tada: &amp; <@U9>\r\n\r\n  next  line "
     assert col(spark, [raw], T.normalize) == ["hi @Nok, see the page or a@b.c in #dev & @U9\nnext line"]
