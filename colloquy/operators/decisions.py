@@ -7,24 +7,29 @@ from pyspark.sql import functions as F
 
 from ..functions.text import trigrams
 from .fusion import jaccard
+from .graphs import written
 
 #: Fixed value: how alike two decisions are when the later one supersedes the earlier.
 ALIKE = 0.25
 
 
-def chains(decisions: DataFrame, most: int = 64) -> DataFrame:
-    """(start, id, step): each decision's chain of successors, by superseded_by; a cycle ends where it closes."""
-    spark = decisions.sparkSession
-    view = "colloquy_decisions"
-    decisions.select("id", "superseded_by").createOrReplaceTempView(view)
-    return spark.sql(f"""
-        WITH RECURSIVE chain MAX RECURSION LEVEL {most + 1} AS (
-          SELECT id AS start, id, 0 AS step, array(id) AS seen FROM {view}
-          UNION ALL
-          SELECT c.start, d.superseded_by, c.step + 1, concat(c.seen, array(d.superseded_by))
-          FROM chain c JOIN {view} d ON d.id = c.id
-          WHERE d.superseded_by IS NOT NULL AND NOT array_contains(c.seen, d.superseded_by) AND c.step < {most - 1})
-        SELECT start, id, step FROM chain""")
+def chains(decisions: DataFrame) -> DataFrame:
+    """(start, id, step): each decision's chain of successors, by superseded_by, to its end; a cycle ends where it closes.
+
+    Ids are unique. Chains grow to twice their length in each round, by links that lead twice as far, and each round is
+    written; so the rounds are as many as the longest chain's length has binary digits. A successor that is reached
+    again, round a cycle, keeps its first step.
+    """
+    found = written(decisions.select(F.col("id").alias("start"), "id", F.lit(0).cast("bigint").alias("step")))
+    hops = written(decisions.where("superseded_by is not null").select("id", F.col("superseded_by").alias("to")))
+    known, length = found.count(), 1
+    while True:
+        further = found.join(hops, "id").select("start", F.col("to").alias("id"), (F.col("step") + length).alias("step"))
+        found = written(found.unionByName(further).groupBy("start", "id").agg(F.min("step").alias("step")))
+        if (now := found.count()) == known:
+            return found
+        known, length = now, 2 * length
+        hops = written(hops.alias("a").join(hops.alias("b"), F.expr("a.to = b.id")).select("a.id", "b.to"))
 
 
 def superseded(decisions: DataFrame) -> DataFrame:

@@ -67,15 +67,17 @@ def training_pairs(records: DataFrame, most: int = 20) -> DataFrame:
     return first.select("thread_ts", "a", "b", (F.pmod(F.xxhash64("thread_ts"), F.lit(100)) < 15).alias("held_out"))
 
 
-def separation(pairs: DataFrame) -> DataFrame:
-    """One row: mean and deviation of similarity within and across groups, and their gap in deviations. pairs(sim, same)."""
-    part = lambda same: F.when(F.col("same") == same, F.col("sim"))
-    g = pairs.agg(F.avg(part(True)).alias("same_mean"), F.stddev_pop(part(True)).alias("same_std"), F.avg(part(False)).alias("other_mean"), F.stddev_pop(part(False)).alias("other_std"), F.stddev_pop("sim").alias("spread"))
+def separation(moments: DataFrame) -> DataFrame:
+    """One row: mean and deviation of similarity within and across groups, and their gap in deviations. moments(same, pairs, total, squares)."""
+    own = lambda c, same: F.sum(F.when(F.col("same") == same, F.col(c)))
+    deviation = lambda n, t, q: F.sqrt(F.greatest(q / n - (t / n) * (t / n), F.lit(0.0)))
+    parts = {name: [own(c, same) for c in ("pairs", "total", "squares")] for name, same in (("same", True), ("other", False))}
+    columns = [x for name, (n, t, q) in parts.items() for x in ((t / n).alias(f"{name}_mean"), deviation(n, t, q).alias(f"{name}_std"))]
+    g = moments.agg(*columns, deviation(F.sum("pairs"), F.sum("total"), F.sum("squares")).alias("spread"))
     pooled = F.sqrt((F.col("same_std") * F.col("same_std") + F.col("other_std") * F.col("other_std")) / 2)
     return g.withColumn("separation", F.when(pooled > 0, (F.col("same_mean") - F.col("other_mean")) / pooled))
 
 
-def histogram(pairs: DataFrame, low: float = -0.2, width: float = 0.05) -> DataFrame:
+def histogram(moments: DataFrame) -> DataFrame:
     """(same, bin, pairs) of similarities."""
-    at = F.floor((F.round("sim", 9) - low) / width + 1e-9)
-    return pairs.groupBy("same", at.cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("pairs"))
+    return moments.groupBy("same", "bin").agg(F.sum("pairs").alias("pairs"))

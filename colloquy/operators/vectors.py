@@ -71,6 +71,40 @@ def knn(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embeddin
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def pair_moments(vectors: DataFrame, group: str, key: str = "vec_id", vector: str = "embedding", block: int = 4096, low: float = -0.2, width: float = 0.05) -> DataFrame:
+    """(same, bin, pairs, total, squares): of the inner products of all pairs, counted once, by whether the group is the same.
+
+    A statistic over all pairs is work in their number; blocks meet as in knn, and a pair of blocks sends a row for each bin.
+    """
+    blocks = max(1, -(-vectors.count() // block))
+    dealt = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.xxhash64(group).alias("g")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    left = dealt.select("id", "v", "g", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))).alias("j"), F.lit(0).alias("side"))
+    right = dealt.select("id", "v", "g", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))
+
+    def summed(key_: tuple, table_: pa.Table) -> pa.Table:
+        side, ids, g = (table_.column(c).to_numpy() for c in ("side", "id", "g"))
+        x = table_.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        sums: dict[tuple[bool, int], np.ndarray] = {}
+        for at in range(0, len(a), 512):
+            some = a[at : at + 512]
+            s = x[some] @ x[b].T
+            once = ids[some][:, None] < ids[b][None, :] if key_[0].as_py() == key_[1].as_py() else np.ones(s.shape, dtype=bool)
+            same = (g[some][:, None] == g[b][None, :])[once]
+            s = s[once]
+            bins = np.floor((np.round(s, 9) - low) / width + 1e-9).astype(np.int64)
+            for k in np.unique(bins):
+                for w in (True, False):
+                    mine = s[(bins == k) & (same == w)]
+                    if len(mine):
+                        sums[w, k] = sums.get((w, k), 0) + np.array([len(mine), mine.sum(), (mine * mine).sum()])
+        rows = [(w, int(k), int(n), t, q) for (w, k), (n, t, q) in sums.items()]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=["same", "bin", "pairs", "total", "squares"])
+
+    found = left.unionByName(right).groupBy("i", "j").applyInArrow(summed, "same boolean, bin bigint, pairs bigint, total double, squares double")
+    return found.groupBy("same", "bin").agg(*[F.sum(c).alias(c) for c in ("pairs", "total", "squares")])
+
+
 def mutual(neighbours: DataFrame) -> DataFrame:
     """(l, r, sim) with l < r, each among the other's neighbours."""
     back = neighbours.select(F.col("r").alias("l"), F.col("l").alias("r"))

@@ -15,6 +15,7 @@ from ..sources import tracker, transcripts
 from ..sources.tables import conversation_records, table
 from ..streaming import jobs
 from . import digest, retrieve
+from .search import _tokens_sql
 
 
 def _corpus(spark: SparkSession, d: str) -> retrieve.Corpus:
@@ -23,8 +24,8 @@ def _corpus(spark: SparkSession, d: str) -> retrieve.Corpus:
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
-    """The first words of some first turns, as search strings."""
-    r = conversation_records(spark, d).where("turn = 0 and conv_id % 10 = 0").select(F.col("id").alias("query_id"), F.substring_index("text", " ", 8).alias("text"))
+    """The stated query set: the first turns of conversations whose id is divisible by 20."""
+    r = conversation_records(spark, d).where("turn = 0 and conv_id % 20 = 0").select(F.col("id").alias("query_id"), "text")
     return r.join(embedded(r.select(F.col("query_id").alias("id"), "text"))[0].select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
 
 
@@ -38,7 +39,7 @@ def _search(preset: str):
 
 def related_search(spark: SparkSession, d: str) -> DataFrame:
     corpus = _corpus(spark, d)
-    found = retrieve.related(corpus, corpus.records.where("turn = 0 and conv_id % 10 = 0").select("id"), 5)
+    found = retrieve.related(corpus, corpus.records.where("turn = 0 and conv_id % 20 = 0").select("id"), 5)
     return found.select("query_id", "id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
 
 
@@ -120,11 +121,39 @@ def ticket_rows(spark: SparkSession, d: str) -> DataFrame:
     return tracker.tickets(rows).select("ticket", "text", "state", "resolved", F.round("updated", 3).alias("updated"))
 
 
+def _search_sql() -> str:
+    """Scores of the stated queries against all conversation turns: l by BM25 over what is asserted, v by the hashing encoder."""
+    key = "'msg_' || conv_id || '_' || turn"
+    asserted = r"array_to_string(list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)```.*?(?:```|\z)', ' ', 'g'), '(?m)^[ \t]*(?:&gt;|>)[ \t]?.*$', ' ', 'g'), '~([^~\n]{2,})~', ' ', 'g'), '`[^`\n]+`', ' ', 'g'), '\r\n|[\n\r]'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), ' ')"
+    return rf"""
+WITH qs AS (SELECT {key} AS query_id, text FROM conversations WHERE turn = 0 AND conv_id % 20 = 0),
+  idx AS (SELECT {key} AS id, CASE WHEN {asserted} = '' THEN text ELSE {asserted} END AS text FROM conversations),
+  {_tokens_sql("d", "idx", "id")}, {_tokens_sql("q", "qs", "query_id")}, {_tokens_sql("e", "conversations", key)},
+  tf AS (SELECT id, term, count(*) AS tf FROM d_toks GROUP BY ALL), dl AS (SELECT idx.id, coalesce(n, 0) AS dl FROM idx LEFT JOIN (SELECT id, count(*) AS n FROM d_toks GROUP BY ALL) t ON t.id = idx.id),
+  st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL), qf AS (SELECT id AS query_id, term, count(*) AS qf FROM q_toks GROUP BY ALL),
+  ls AS (SELECT query_id, tf.id, sum(ln(1 + (st.n - df + 0.5) / (df + 0.5)) * qf * 2.5 / (qf + 1.5) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl.dl / st.avgdl))) AS score FROM qf JOIN tf USING (term) JOIN df USING (term) JOIN dl ON dl.id = tf.id CROSS JOIN st GROUP BY ALL),
+  cell AS (SELECT id, h % 64 AS cell, sum(CASE WHEN h >= 8388608 THEN 1.0 ELSE -1.0 END)::DOUBLE AS x FROM (SELECT id, ('0x' || substr(md5(term), 1, 6))::INT AS h FROM e_toks) GROUP BY ALL),
+  unit AS (SELECT id, cell, x / n AS x FROM cell JOIN (SELECT id, sqrt(sum(x * x)) AS n FROM cell GROUP BY ALL) USING (id) WHERE n > 0),
+  dots AS (SELECT a.id AS l, b.id AS r, sum(a.x * b.x) AS s FROM unit a JOIN unit b USING (cell) GROUP BY ALL),
+  al AS (SELECT query_id, id FROM qs CROSS JOIN idx),
+  l AS (SELECT query_id, id, coalesce(score, 0) AS score FROM al LEFT JOIN ls USING (query_id, id)),
+  v AS (SELECT query_id, id, coalesce(s, 0) AS score FROM al LEFT JOIN dots ON l = query_id AND r = id)"""
+
+
+_TOP = "SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank, round(score, 6)::DOUBLE AS score FROM {f} QUALIFY rank <= 10"
+_HYBRID = "f AS (SELECT query_id, id, 1.0 / (60 + rank() OVER (PARTITION BY query_id ORDER BY round(l.score, 9) DESC)) + 1.0 / (60 + rank() OVER (PARTITION BY query_id ORDER BY round(v.score, 9) DESC)) AS score FROM l JOIN v USING (query_id, id))"
+_NEAR10 = "nb AS (SELECT a.id AS l, b.id AS r, coalesce(s, 0) AS s, row_number() OVER (PARTITION BY a.id ORDER BY round(coalesce(s, 0), 9) DESC, b.id) AS k FROM idx a JOIN idx b ON a.id <> b.id LEFT JOIN dots ON l = a.id AND r = b.id QUALIFY k <= 10)"
+
 QUERIES = {f"search_{p.replace('-', '_')}": _search(p) for p in ("dense", "lexical", "dense-csls", "hybrid", "hybrid-anchors", "hybrid-jaccard")} | {
     f.__name__: f for f in (related_search, gated_search, embed_cache, digest_build, stream_dedup, stream_window_counts, stream_streak_state, stream_upsert, vtt_udtf, paste_udtf, ticket_rows)
 }
 
 ORACLE = {
+    "search_lexical": f"{_search_sql()} {_TOP.format(f='l')}",
+    "search_dense": f"{_search_sql()} {_TOP.format(f='v')}",
+    "search_dense_csls": f"{_search_sql()}, {_NEAR10}, f AS (SELECT query_id, id, score - hub AS score FROM v JOIN (SELECT l AS id, avg(s) AS hub FROM nb GROUP BY ALL) USING (id)) {_TOP.format(f='f')}",
+    "search_hybrid": f"{_search_sql()}, {_HYBRID} {_TOP.format(f='f')}",
+    "gated_search": f"{_search_sql()}, {_HYBRID}, g AS (SELECT query_id FROM l JOIN v USING (query_id, id) GROUP BY query_id HAVING max(l.score) > 0 AND max(v.score) >= 0.45) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM f SEMI JOIN g USING (query_id) QUALIFY rank <= 5",
     "embed_cache": "SELECT 'msg_' || conv_id || '_' || turn AS id, CASE WHEN regexp_matches(text, '[A-Za-z0-9]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM conversations",
     "stream_dedup": "SELECT DISTINCT event_id, user_id FROM events",
     "stream_window_counts": "WITH m AS (SELECT max(ts) - INTERVAL 1 HOUR AS w FROM events) SELECT strftime(ts::DATE, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events CROSS JOIN m WHERE ts::DATE + INTERVAL 1 DAY <= w GROUP BY ALL",

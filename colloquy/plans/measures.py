@@ -16,7 +16,7 @@ def _ranked(spark: SparkSession, d: str, depth: int = 50) -> tuple[DataFrame, Da
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
     ranked = c.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= depth).select("query_id", F.col("vec_id").alias("id"), "rank")
     labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    asked = labels.where(F.pmod("id", F.lit(25)) == 0).select(F.col("id").alias("query_id"), "label")
+    asked = labels.where(F.pmod("id", F.lit(20)) == 0).select(F.col("id").alias("query_id"), "label")
     return ranked, labels.join(asked, "label").where("id != query_id").select("query_id", "id")
 
 
@@ -56,22 +56,22 @@ def training_pairs(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.training_pairs(r, 20).select("thread_ts", "a", "b")
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "embeddings")
-    return _cosines(spark, d).join(v.select("vec_id", "label"), "vec_id").join(v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label")), "query_id").select(F.col("score").alias("sim"), (F.col("label") == F.col("q_label")).alias("same"))
+def _moments(spark: SparkSession, d: str) -> DataFrame:
+    """Of the similarities of all pairs of vectors, within and across labels."""
+    return vectors.pair_moments(table(spark, d, "embeddings"), "label")
 
 
 def thread_separation(spark: SparkSession, d: str) -> DataFrame:
-    s = evaluation.separation(_pairs(spark, d))
+    s = evaluation.separation(_moments(spark, d))
     return s.select(*[F.round(c, 6).alias(c) for c in ("same_mean", "same_std", "other_mean", "other_std", "separation")])
 
 
 def score_spread(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.separation(_pairs(spark, d)).select(F.round("spread", 6).alias("spread"))
+    return evaluation.separation(_moments(spark, d)).select(F.round("spread", 6).alias("spread"))
 
 
 def sim_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.histogram(_pairs(spark, d))
+    return evaluation.histogram(_moments(spark, d))
 
 
 def integrity(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +85,8 @@ def integrity(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (eval_recall_ndcg_mrr_map, eval_summary, rankings_without_excluded, weak_labels, training_pairs, thread_separation, score_spread, sim_histogram, integrity)}
 
-_SEP = f"WITH {_COS}, s AS (SELECT avg(score) FILTER (q_label = label) AS a, stddev_pop(score) FILTER (q_label = label) AS b, avg(score) FILTER (q_label <> label) AS c, stddev_pop(score) FILTER (q_label <> label) AS d, stddev_pop(score) AS e FROM c)"
+_PAIRS = f"c AS (SELECT {_DOT.format(a='a.embedding', b='b.embedding')} AS score, a.label AS q_label, b.label FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)"
+_SEP = f"WITH {_PAIRS}, s AS (SELECT avg(score) FILTER (q_label = label) AS a, stddev_pop(score) FILTER (q_label = label) AS b, avg(score) FILTER (q_label <> label) AS c, stddev_pop(score) FILTER (q_label <> label) AS d, stddev_pop(score) AS e FROM c)"
 
 ORACLE = {
     "eval_recall_ndcg_mrr_map": _EVAL + "SELECT query_id, round(recall, 6) AS recall, round(ceiling, 6) AS ceiling, round(ndcg, 6) AS ndcg, round(rr, 6) AS rr, round(ap, 6) AS ap, first_hit FROM m",
@@ -95,6 +96,6 @@ ORACLE = {
     "training_pairs": f"WITH {RECORDS}, p AS (SELECT a.thread_ts, a.id AS a, b.id AS b, row_number() OVER (PARTITION BY a.thread_ts ORDER BY a.turn, b.turn) AS k FROM rec a JOIN rec b ON a.thread_ts = b.thread_ts AND a.turn < b.turn) SELECT thread_ts, a, b FROM p WHERE k <= 20",
     "thread_separation": _SEP + "SELECT round(a, 6) AS same_mean, round(b, 6) AS same_std, round(c, 6) AS other_mean, round(d, 6) AS other_std, round((a - c) / sqrt((b * b + d * d) / 2), 6) AS separation FROM s",
     "score_spread": _SEP + "SELECT round(e, 6) AS spread FROM s",
-    "sim_histogram": f"WITH {_COS} SELECT q_label = label AS same, floor((round(score, 9) + 0.2) / 0.05 + 1e-9)::BIGINT AS bin, count(*) AS pairs FROM c GROUP BY ALL",
+    "sim_histogram": f"WITH {_PAIRS} SELECT q_label = label AS same, floor((round(score, 9) + 0.2) / 0.05 + 1e-9)::BIGINT AS bin, count(*) AS pairs FROM c GROUP BY ALL",
     "integrity": f"SELECT 'labels' AS kind, count(*) AS broken FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'conversations', count(*) FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE turn = 0) UNION ALL SELECT 'embeddings', count(*) FROM embeddings WHERE abs(sqrt({_DOT.format(a='embedding', b='embedding')}) - 1) > 1e-3",
 }

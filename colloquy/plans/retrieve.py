@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import for_analysis
 from ..functions.when import nearness
 from ..operators import fusion, lexical, signals, vectors
+from ..operators.graphs import written
 
 
 @dataclass(frozen=True)
@@ -79,24 +80,26 @@ class Corpus:
             v = self.vectors
             if preset.transform != "none":
                 v = vectors.transformed(v, *vectors.fit(v, preset.transform, vector="v"), key="id", vector="v")
-            self._kept[name] = v.persist()
+            self._kept[name] = written(v)
         return self._kept[name]
 
 
 def scored(corpus: Corpus, queries: DataFrame, preset: Preset) -> DataFrame:
-    """(query_id, id, stage, score) for every record: what a stage doesn't score is 0, so that its ties share a rank.
+    """(query_id, id, stage, score): of the dense stage for every record, of others only what is above zero.
 
+    A stated query set is compared with all vectors in blocks; all other stages find their records by equal keys.
     queries(query_id, text, q) and, for structural stages, the anchor record's id, ts, thread_ts and user.
     """
-    every = queries.select("query_id").join(corpus.records.select("id"), F.lit(True))
     out = []
     for stage in preset.stages():
         if stage == "dense":
             space = corpus.space(preset)
-            found = vectors.cosine_to(space, queries.select("query_id", "q"), "id", "v")
+            whole = corpus.records.select("id").join(space, "id", "left")
+            found = vectors.cosine_to(whole, queries.select("query_id", "q"), "id", "v")
             if preset.csls:
                 near = vectors.knn(space, preset.csls, "id", "v")
                 found = vectors.csls(found, vectors.hubness(near), key="id")
+            found = found.withColumn("score", F.coalesce("score", F.lit(0.0)))
         elif stage == "lexical":
             docs = corpus.indexed()
             found = lexical.scores(lexical.matches(docs, queries.select("query_id", "text"), key="id")).withColumnRenamed("doc_id", "id")
@@ -105,35 +108,65 @@ def scored(corpus: Corpus, queries: DataFrame, preset: Preset) -> DataFrame:
             idfs = signals.anchor_idf(table, corpus.records.count())
             asked = queries.select("query_id", F.explode(signals.anchors(F.col("text"))).alias("anchor"))
             found = signals.anchor_overlap(table, idfs, asked)
-        else:
-            a = queries.select("query_id", F.col("ts").alias("q_ts"), F.col("thread_ts").alias("q_thread"), F.col("user").alias("q_user"))
-            both = corpus.records.select("id", "ts", "thread_ts", "user").join(a, F.lit(True))
-            same = lambda c, q: ((F.col(c) == F.col(q)) & (F.col(q) != "")).cast("double")
-            value = {"thread": same("thread_ts", "q_thread"), "user": same("user", "q_user"), "time": nearness(F.col("ts"), F.col("q_ts"))}[stage]
-            found = both.select("query_id", "id", F.coalesce(value, F.lit(0.0)).alias("score"))
-        out.append(every.join(found.select("query_id", "id", "score"), ["query_id", "id"], "left").select("query_id", "id", F.lit(stage).alias("stage"), F.coalesce("score", F.lit(0.0)).alias("score")))
+        elif stage in ("thread", "user"):
+            key = {"thread": "thread_ts", "user": "user"}[stage]
+            found = queries.where(F.col(key) != "").select("query_id", key).join(corpus.records.select("id", key), key).withColumn("score", F.lit(1.0))
+        else:  # nearness in time ends at 48 hours, so two records meet in bins of that width
+            width = 48 * 3600
+            asked = queries.select("query_id", F.col("ts").alias("q_ts"), F.explode(F.array(*[F.floor(F.col("ts") / width) + k for k in (-1, 0, 1)])).alias("bin"))
+            found = corpus.records.select("id", "ts", F.floor(F.col("ts") / width).alias("bin")).join(asked, "bin").select("query_id", "id", nearness(F.col("ts"), F.col("q_ts")).alias("score"))
+        found = found.select("query_id", "id", F.lit(stage).alias("stage"), "score")
+        out.append(found if stage == "dense" else found.where("score > 0"))
     whole = out[0]
     for more in out[1:]:
         whole = whole.unionByName(more)
     return whole
 
 
+def fused(stages: DataFrame, queries: DataFrame, preset: Preset) -> DataFrame:
+    """(query_id, id, score, base): reciprocal ranks over all stages; base is the score of a record that no stage scored.
+
+    What a stage did not score ties at 0, and its rank is one more than the number of records that were scored.
+    """
+    weights = preset.stages()
+    ranks = written(stages.withColumn("rank", fusion.competition_rank(F.col("score"), "query_id", "stage")))
+    counts = ranks.groupBy("query_id").pivot("stage", list(weights)).agg(F.count(F.lit(1)))
+    last = queries.select("query_id").join(counts, "query_id", "left")
+    missing = F.create_map(*[x for k, w in weights.items() for x in (F.lit(k), w / (fusion.DAMPING + 1 + F.coalesce(F.col(k), F.lit(0))))])
+    base = last.select("query_id", missing.alias("missing")).withColumn("base", F.aggregate(F.map_values("missing"), F.lit(0.0), lambda s, x: s + x))
+    share = F.create_map(*[F.lit(x) for item in weights.items() for x in item])[F.col("stage")] / (fusion.DAMPING + F.col("rank"))
+    both = ranks.withColumn("share", share).join(base, "query_id")
+    return both.groupBy("query_id", "id").agg((F.first("base") + F.sum(F.col("share") - F.col("missing")[F.col("stage")])).alias("score"), F.first("base").alias("base"))
+
+
+def filled(found: DataFrame, corpus: Corpus, queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
+    """Rankings with fewer than k records, filled up with the least ids that no stage scored. base(query_id, base)."""
+    short = queries.select("query_id").join(found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < k).select("query_id")
+    least = corpus.records.select("id").orderBy("id").limit(2 * k)  # at most k of them are in a ranking that is short
+    more = short.join(F.broadcast(least), F.lit(True)).join(found.select("query_id", "id"), ["query_id", "id"], "left_anti").join(base, "query_id", "left")
+    return found.select("query_id", "id", "score").unionByName(more.select("query_id", "id", F.coalesce("base", F.lit(0.0)).alias("score")))
+
+
 def ranked(corpus: Corpus, queries: DataFrame, preset: Preset | str = "hybrid", k: int = 10) -> DataFrame:
     """(query_id, id, rank, score): fused by reciprocal ranks, reranked as the preset says; ties to the smaller id."""
     preset = PRESETS[preset] if isinstance(preset, str) else preset
     stages = scored(corpus, queries, preset)
     if len(preset.stages()) == 1:
-        fused = stages.select("query_id", "id", "score")
+        found, base = written(stages.select("query_id", "id", "score")), queries.select("query_id", F.lit(0.0).alias("base"))
     else:
-        fused = fusion.reciprocal(stages.withColumn("rank", fusion.competition_rank(F.col("score"), "query_id", "stage")), preset.stages())
+        found = written(fused(stages, queries, preset))
+        base = found.select("query_id", "base").distinct()
+    if not preset.dense:
+        found = filled(found, corpus, queries, base, max(k, preset.rerank))
+    found = found.select("query_id", "id", "score")
     if preset.jaccard < 1.0:
-        fused = fusion.neighbourhood_rerank(fused, vectors.knn(corpus.space(preset), 10, "id", "v"), blend=preset.jaccard)
+        found = fusion.neighbourhood_rerank(found, vectors.knn(corpus.space(preset), 10, "id", "v"), blend=preset.jaccard)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
     if preset.rerank and corpus.reranker:
-        head = fused.withColumn("r", F.row_number().over(order)).where(F.col("r") <= preset.rerank)
+        head = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= preset.rerank)
         texts = head.join(corpus.indexed(), "id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
-        fused = fusion.spliced(fused, corpus.reranker(texts.select("query_id", "id", "query", "text")))
-    return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "rank", "score")
+        found = fusion.spliced(found, corpus.reranker(texts.select("query_id", "id", "query", "text")))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "id", "rank", "score")
 
 
 def related(corpus: Corpus, ids: DataFrame, k: int = 10, preset: str = "related") -> DataFrame:

@@ -98,14 +98,14 @@ SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER B
 """
 
 
-def _probe(spark: SparkSession, d: str, every: int = 25) -> tuple[DataFrame, DataFrame]:
-    """All vectors, and the stated query set: those whose id is divisible by 25."""
+def _probe(spark: SparkSession, d: str, every: int = 20) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and the stated query set: those whose id is divisible by 20."""
     v = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
     return v, v.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
 
 
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))"
-_COS = f"c AS (SELECT q.vec_id AS query_id, v.vec_id, {_DOT.format(a='q.embedding', b='v.embedding')} AS score, q.label AS q_label, v.label FROM embeddings q CROSS JOIN embeddings v WHERE q.vec_id % 25 = 0 AND q.vec_id <> v.vec_id)"
+_COS = f"c AS (SELECT q.vec_id AS query_id, v.vec_id, {_DOT.format(a='q.embedding', b='v.embedding')} AS score, q.label AS q_label, v.label FROM embeddings q CROSS JOIN embeddings v WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id)"
 
 
 def _cosines(spark: SparkSession, d: str) -> DataFrame:

@@ -11,7 +11,7 @@ from ..operators import decisions, drift, relations, signals, state, upserts
 from ..sources import tracker
 from ..sources.tables import conversation_records, table
 from .search import RECORDS
-from .work import _EXPLICIT, _LINES, _MESSAGES, _STATE, _TICKETS, NOW, _events, _messages, _states, _tickets
+from .work import _EXPLICIT, _LINES, _MESSAGES, _STATE, _TICKETS, NOW, _declared, _events, _messages, _states, _steps, _tickets
 
 
 def trusted_prefixes(spark: SparkSession, d: str) -> DataFrame:
@@ -47,7 +47,7 @@ def channel_projects(spark: SparkSession, d: str) -> DataFrame:
 
 def item_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Items found by exact id, then by folded case, then by number: the best tier of each asked name."""
-    asked = table(spark, d, "orders").where("o_orderkey % 40 = 0").select(F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("ord-"), F.col("o_orderkey").cast("string"))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("ORD-"), F.col("o_orderkey").cast("string"))).otherwise(F.col("o_orderkey").cast("string")).alias("asked"))
+    asked = table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("ord-"), F.col("o_orderkey").cast("string"))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("ORD-"), F.col("o_orderkey").cast("string"))).otherwise(F.col("o_orderkey").cast("string")).alias("asked"))
     items = table(spark, d, "orders").select(F.concat(F.lit("ORD-"), F.col("o_orderkey").cast("string")).alias("item"))
     keys = items.select("item", F.explode(F.array(F.struct(F.lit(0).alias("tier"), F.col("item").alias("k")), F.struct(F.lit(1).alias("tier"), F.lower("item").alias("k")), F.struct(F.lit(2).alias("tier"), F.substring_index("item", "-", -1).alias("k")))).alias("x")).select("item", "x.*")
     asked_keys = asked.select("asked", F.explode(F.array(F.struct(F.lit(0).alias("tier"), F.col("asked").alias("k")), F.struct(F.lit(1).alias("tier"), F.lower("asked").alias("k")), F.struct(F.lit(2).alias("tier"), F.col("asked").alias("k")))).alias("x")).select("asked", "x.*")
@@ -73,7 +73,8 @@ def messages_by_day(spark: SparkSession, d: str) -> DataFrame:
 def hot_items(spark: SparkSession, d: str) -> DataFrame:
     """Blocked items by age; hot after three days, their age in words."""
     now = F.lit(float(spark.sql(f"select unix_seconds(timestamp'{NOW}') as s").first()["s"]))
-    s = _states(spark, d).where("state = 'blocked'").withColumn("age", when.age_days(now, F.col("since")))
+    e, said, cleared = _declared(spark, d)
+    s = state.with_declarations(state.inferred(_steps(e), e), e.select("id", "topic", "user", "ts"), said, cleared).where("state = 'blocked'").withColumn("age", when.age_days(now, F.col("since")))
     return s.select("topic", (F.col("age") >= 3).alias("hot"), when.human_age(F.col("age")).alias("age"))
 
 
@@ -126,7 +127,7 @@ def standup_forms(spark: SparkSession, d: str) -> DataFrame:
 
 def superseded_decisions(spark: SparkSession, d: str) -> DataFrame:
     """Conversation turns of one person as decisions; a later one that is alike enough supersedes."""
-    r = conversation_records(spark, d).where("turn < 3")
+    r = conversation_records(spark, d)
     said = r.select("id", F.col("turn").alias("pos"), F.col("ts").alias("at"), F.concat(F.lit("we ship "), F.when(F.col("turn") == 1, "something quite different").otherwise("the build on monday")).alias("text"), F.col("thread_ts").alias("topic"))
     return decisions.superseded(said)
 
@@ -159,17 +160,17 @@ ORACLE = {
     "placement_histogram": f"WITH {_EXPLICIT}, p AS (SELECT key, count(*) AS n FROM st WHERE key IS NOT NULL GROUP BY key) SELECT key, n, row_number() OVER (ORDER BY n DESC, key) AS place FROM p QUALIFY place <= 10",
     "unassigned": f"WITH {_EXPLICIT} SELECT id FROM st WHERE key IS NULL",
     "channel_projects": f"WITH {_LINES}, p(channel_id, project, label) AS (VALUES ('S0', 'ASIA', 'Asia'), ('S1', 'ASIA', 'Asia'), ('S2', 'EU', 'EU'), ('S3', 'US', 'United States')) SELECT channel_id, project, label, count(*) AS n FROM (SELECT 'S' || (l_suppkey % 5) AS channel_id FROM li) LEFT JOIN p USING (channel_id) GROUP BY ALL",
-    "item_lookup": "SELECT CASE o_orderkey % 3 WHEN 0 THEN 'ord-' || o_orderkey WHEN 1 THEN 'ORD-' || o_orderkey ELSE o_orderkey::VARCHAR END AS asked, 'ORD-' || o_orderkey AS item, CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 2 END::BIGINT AS tier FROM orders WHERE o_orderkey % 40 = 0",
+    "item_lookup": "SELECT CASE o_orderkey % 3 WHEN 0 THEN 'ord-' || o_orderkey WHEN 1 THEN 'ORD-' || o_orderkey ELSE o_orderkey::VARCHAR END AS asked, 'ORD-' || o_orderkey AS item, CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 2 END::BIGINT AS tier FROM orders",
     "open_and_silent": f"WITH {_TICKETS} SELECT ticket, updated > 0 AND topic NOT IN (SELECT topic FROM mn) AND (epoch(TIMESTAMP '{NOW}') - updated) / 86400 >= 21 AS silent FROM tk WHERE NOT resolved",
     "messages_by_day": "WITH g AS (SELECT user_id AS \"user\", strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY \"user\" ORDER BY day DESC) AS place FROM g QUALIFY place <= 40",
-    "hot_items": f"WITH {_STATE}, a AS (SELECT topic, (epoch(TIMESTAMP '{NOW}') - since) / 86400 AS age FROM f WHERE state = 'blocked') SELECT topic, age >= 3 AS hot, CASE WHEN age * 24 < 1 THEN 'just now' WHEN age * 24 < 24 THEN floor(age * 24)::INT || 'h' WHEN age < 14 THEN floor(age)::INT || 'd' ELSE floor(age / 7)::INT || 'w' END AS age FROM a",
+    "hot_items": f"WITH {_STATE}, c AS (SELECT topic, max(ts) AS cleared FROM ev WHERE relation = 'resolves' AND id % 3 = 0 GROUP BY topic), l AS (SELECT ev.topic, max(ts) AS at FROM ev LEFT JOIN c USING (topic) WHERE relation = 'blocked_by' AND id % 5 = 0 AND (cleared IS NULL OR cleared <= ts) GROUP BY ev.topic), a AS (SELECT topic, (epoch(TIMESTAMP '{NOW}') - coalesce(l.at, since)) / 86400 AS age FROM f LEFT JOIN l USING (topic) WHERE l.at IS NOT NULL OR state = 'blocked') SELECT topic, age >= 3 AS hot, CASE WHEN age * 24 < 1 THEN 'just now' WHEN age * 24 < 24 THEN floor(age * 24)::INT || 'h' WHEN age < 14 THEN floor(age)::INT || 'd' ELSE floor(age / 7)::INT || 'w' END AS age FROM a",
     "daily_summary": "WITH e AS (SELECT ts::DATE AS date, user_id, event_type FROM events), a AS (SELECT d.date, u.user_id FROM (SELECT DISTINCT date FROM e) d CROSS JOIN (SELECT DISTINCT user_id FROM e) u), s AS (SELECT date, user_id, count(CASE WHEN event_type = 'error' THEN 1 END) AS b FROM e GROUP BY ALL) SELECT a.date::VARCHAR AS date, count(b) AS answered, count(*) - count(b) AS missing, coalesce(sum(b), 0)::BIGINT AS blockers FROM a LEFT JOIN s USING (date, user_id) GROUP BY a.date",
     "last_reply_wins": "WITH e AS (SELECT ts::DATE AS date, user_id AS \"user\", event_type = 'view' AS v, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY ALL) SELECT date::VARCHAR AS date, \"user\", event_id FROM e QUALIFY row_number() OVER (PARTITION BY date, \"user\" ORDER BY v) = 1",
     "insert_if_absent": "WITH o AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderkey % 3 = 0), n AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderkey % 5 = 0) SELECT id, 'old' AS kind FROM o UNION ALL SELECT id, 'new' FROM n WHERE id NOT IN (SELECT id FROM o)",
     "meeting_upsert": "SELECT 'mtg_' || conv_id || '_' || turn AS id FROM conversations WHERE conv_id % 4 <> 0 OR turn = 0",
     "resume_point": f"WITH {RECORDS} SELECT channel_id, max(ts)::DOUBLE AS newest FROM rec WHERE turn <> 1 GROUP BY channel_id",
     "standup_forms": "SELECT o_custkey AS \"user\", count(CASE WHEN o_orderkey % 3 = 0 THEN 1 END) AS declared, coalesce(max(CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey END), -1) AS cleared FROM orders GROUP BY o_custkey",
-    "superseded_decisions": f"WITH {RECORDS} SELECT a.id, min(b.id) AS superseded_by FROM rec a JOIN rec b ON a.thread_ts = b.thread_ts AND a.turn = 0 AND b.turn = 2 GROUP BY a.id",
+    "superseded_decisions": f"WITH {RECORDS} SELECT a.id, arg_min(b.id, b.turn) AS superseded_by FROM rec a JOIN rec b ON a.thread_ts = b.thread_ts AND a.turn <> 1 AND b.turn <> 1 AND b.turn > a.turn GROUP BY a.id",
     "same_thread_pairs": f"WITH {RECORDS} SELECT a.id AS l, b.id AS r FROM rec a JOIN rec b ON a.thread_ts = b.thread_ts AND a.id < b.id",
     "embed_texts": r"WITH l AS (SELECT doc_id, source, list_filter(list_transform(string_split_regex(text, '\r\n|[\n\r]'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: length(x) >= 15 AND NOT regexp_matches(x, '^[#>|!`\[\-*]')) AS p FROM documents), w AS (SELECT doc_id, array_to_string(list_concat([source], p[1:2]), ' ') AS t FROM l) SELECT doc_id, CASE WHEN length(t) > 400 THEN 401 ELSE length(t) END AS n FROM w",
     "shortened": r"WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, sha1(CASE WHEN length(t) > 120 THEN substr(t, 1, 119) || '…' ELSE t END) AS digest FROM t",

@@ -38,7 +38,7 @@ def usefulness_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def asserted_lines(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where(F.pmod("doc_id", F.lit(1)) == 0)
+    docs = table(spark, d, "documents")
     noisy = F.concat(F.lit("> quoted line\n"), F.col("text"), F.lit("\n~struck out~ kept `code` end\n```\nfenced\n```"))
     lines = docs.select("doc_id", T.asserted_lines(noisy).alias("lines"))
     return lines.select("doc_id", F.size("lines").cast("bigint").alias("n"), F.sha1(F.array_join("lines", " ").cast("binary")).alias("digest"))
@@ -154,7 +154,7 @@ SELECT anchor, count(*) AS df, round(ln(1 + (any_value(n) - count(*) + 0.5) / (c
 def anchor_overlap(spark: SparkSession, d: str) -> DataFrame:
     """How much of what a page's url pins down other pages share: hosts and digits of its path."""
     a = _url_anchors(spark, d)
-    asked = a.where(F.pmod("id", F.lit(10)) == 0).select(F.col("id").alias("query_id"), "anchor")
+    asked = a.where(F.pmod("id", F.lit(20)) == 0).select(F.col("id").alias("query_id"), "anchor")
     idfs = signals.anchor_idf(a, table(spark, d, "pages").count())
     return signals.anchor_overlap(a, idfs, asked).where("query_id != id").select("query_id", "id", F.round("score", 6).alias("score"))
 
@@ -274,7 +274,7 @@ def link_thread_vote(spark: SparkSession, d: str) -> DataFrame:
 
 def _small(spark: SparkSession, d: str) -> DataFrame:
     """Messages whose cluster can agree: two tickets in all, one much more common."""
-    m = _messages(spark, d).where("label < 12")
+    m = _messages(spark, d)
     return m.withColumn("text", F.when(F.col("pos") % 7 == 0, F.when(F.col("pos") % 5 == 0, "see REV-22").otherwise("see REV-21")).otherwise("nothing named")).withColumn("thread_ts", F.lit(""))
 
 
@@ -285,7 +285,7 @@ def link_consensus(spark: SparkSession, d: str) -> DataFrame:
 
 
 _CONSENSUS = f"""
-WITH {_LINES}, m AS (SELECT 'm' || l_orderkey || '_' || l_linenumber AS id, l_orderkey * 10 + l_linenumber AS pos, l_suppkey % 40 AS label FROM li WHERE l_suppkey % 40 < 12),
+WITH {_LINES}, m AS (SELECT 'm' || l_orderkey || '_' || l_linenumber AS id, l_orderkey * 10 + l_linenumber AS pos, l_suppkey % 40 AS label FROM li),
   e AS (SELECT *, CASE WHEN pos % 7 = 0 THEN CASE WHEN pos % 5 = 0 THEN 'ticket:REV-22' ELSE 'ticket:REV-21' END END AS key FROM m),
   v AS (SELECT label, key, count(*) AS votes, sum(count(*)) OVER (PARTITION BY label) AS linked, row_number() OVER (PARTITION BY label ORDER BY count(*) DESC, min(pos)) AS r FROM e WHERE key IS NOT NULL GROUP BY label, key),
   a AS (SELECT label, key AS ck FROM v WHERE r = 1 AND linked >= 2 AND votes / linked >= 0.5), s AS (SELECT label, count(*) AS size FROM m GROUP BY label),
@@ -296,7 +296,7 @@ SELECT key, tier, CASE tier WHEN 'explicit' THEN 1.0 WHEN 'consensus' THEN 0.75
 
 def _overrides(spark: SparkSession, d: str) -> DataFrame:
     """A log of overrides from orders: the last one of a message wins; some messages don't exist, some are unlinked."""
-    o = table(spark, d, "orders").where(F.col("o_orderkey") % 50 == 0)
+    o = table(spark, d, "orders")
     log = o.select(F.format_string("m%d_1", "o_orderkey").alias("id"), F.lit("ticket:OLD-1").alias("key"), F.lit(1).alias("pos")).unionByName(o.select(F.format_string("m%d_1", "o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 100 == 0, "").otherwise("ticket:NEW-2").alias("key"), F.lit(2).alias("pos")))
     gone = o.select(F.format_string("gone%d", "o_orderkey").alias("id"), F.lit("ticket:X-1").alias("key"), F.lit(1).alias("pos"))
     return relations.last_overrides(log.unionByName(gone))
@@ -397,12 +397,12 @@ def window_topics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def digest_order(spark: SparkSession, d: str) -> DataFrame:
-    """The twenty items that a digest begins with."""
+    """Items in the order of a digest."""
     found = _states(spark, d)
     last = _events(spark, d).groupBy("topic").agg(F.max("ts").alias("last"))
     both = found.join(last, "topic")
     order = Window.orderBy(*state.digest_order(F.col("state"), F.col("last")), "topic")
-    return both.withColumn("place", F.row_number().over(order).cast("bigint")).where("place <= 20").select("place", "topic", "state", F.round("last", 3).alias("last"))
+    return both.withColumn("place", F.row_number().over(order).cast("bigint")).select("place", "topic", "state", F.round("last", 3).alias("last"))
 
 
 def state_histogram(spark: SparkSession, d: str) -> DataFrame:
@@ -446,7 +446,7 @@ def silent_tickets(spark: SparkSession, d: str) -> DataFrame:
 
 def coverage(spark: SparkSession, d: str) -> DataFrame:
     topics, tickets, _ = _tickets(spark, d)
-    return drift.coverage(topics, tickets.where("o_orderkey % 3 = 0"))
+    return drift.coverage(topics, tickets)
 
 
 def agreement(spark: SparkSession, d: str) -> DataFrame:
@@ -507,13 +507,13 @@ def decision_chain(spark: SparkSession, d: str) -> DataFrame:
     """Each person's purchases supersede the one before."""
     e = table(spark, d, "events").where("event_type = 'purchase'")
     nxt = F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    found = decisions.chains(e.select(F.col("event_id").alias("id"), nxt.alias("superseded_by")), 128)
+    found = decisions.chains(e.select(F.col("event_id").alias("id"), nxt.alias("superseded_by")))
     return found.groupBy("start").agg(F.count(F.lit(1)).alias("length"), F.max_by("id", "step").alias("last"))
 
 
 _CHAIN = """
 WITH RECURSIVE p AS (SELECT event_id AS id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events WHERE event_type = 'purchase'),
-  c(start, id, step) AS (SELECT id, id, 0 FROM p UNION ALL SELECT c.start, p.nxt, c.step + 1 FROM c JOIN p ON p.id = c.id WHERE p.nxt IS NOT NULL AND c.step < 127)
+  c(start, id, step) AS (SELECT id, id, 0 FROM p UNION ALL SELECT c.start, p.nxt, c.step + 1 FROM c JOIN p ON p.id = c.id WHERE p.nxt IS NOT NULL)
 SELECT start, count(*) AS length, arg_max(id, step) AS last FROM c GROUP BY start
 """
 
@@ -578,7 +578,7 @@ ORACLE = {
     "timeline_dedup": f"WITH {RECORDS} SELECT CASE WHEN b.turn % 3 = 0 THEN 'resolves' ELSE 'follows_up' END AS relation, b.id AS to_id, any_value(b.ts)::BIGINT AS ts, arg_min(a.id, a.turn) AS from_id, min(a.ts)::BIGINT AS from_ts, count(*) - 1 AS also_answers FROM rec a JOIN rec b ON a.thread_ts = b.thread_ts AND a.turn < b.turn GROUP BY b.id, b.turn",
     "waiting_lines": _WAITING,
     "anchor_idf": _ANCHOR_IDF,
-    "anchor_overlap": f"WITH {_URL_ANCHORS}, q AS (SELECT id AS query_id, anchor, idf FROM k JOIN w USING (anchor) WHERE id % 10 = 0), t AS (SELECT query_id, sum(idf) AS whole FROM q GROUP BY ALL) SELECT query_id, id, round(sum(q.idf) / any_value(whole), 6) AS score FROM q JOIN k USING (anchor) JOIN t USING (query_id) WHERE query_id <> id GROUP BY query_id, id",
+    "anchor_overlap": f"WITH {_URL_ANCHORS}, q AS (SELECT id AS query_id, anchor, idf FROM k JOIN w USING (anchor) WHERE id % 20 = 0), t AS (SELECT query_id, sum(idf) AS whole FROM q GROUP BY ALL) SELECT query_id, id, round(sum(q.idf) / any_value(whole), 6) AS score FROM q JOIN k USING (anchor) JOIN t USING (query_id) WHERE query_id <> id GROUP BY query_id, id",
     "pair_signals": _PAIRS,
     "similarity_edges": f"SELECT l, r, round(1.5 + 0.3 * \"time\" + 0.8 * anchors + 0.35 * channel, 6) AS weight FROM ({_PAIRS.replace('round(CASE', '(CASE').replace('END, 6)', 'END)')})",
     "isolate_rescue": f"WITH {_MUTUAL} SELECT l, r, round(greatest(sim, 0.05), 6) AS weight FROM n WHERE rank = 1 AND l NOT IN (SELECT l FROM g UNION SELECT r FROM g)",
@@ -587,19 +587,19 @@ ORACLE = {
     "cluster_purity": f"WITH {_LABELLED}, c AS (SELECT label, truth, count(*) AS n FROM e GROUP BY ALL) SELECT label, sum(n)::BIGINT AS size, round(max(n) / sum(n), 6) AS purity FROM c GROUP BY label",
     "link_thread_vote": f"WITH {_EXPLICIT} SELECT coalesce(key, '') AS key, coalesce(tier, 'unassigned') AS tier, CASE tier WHEN 'explicit' THEN 1.0 WHEN 'thread' THEN 0.9 ELSE 0.0 END::DOUBLE AS confidence, count(*) AS n FROM st GROUP BY ALL",
     "link_consensus": _CONSENSUS,
-    "link_overrides": f"WITH {_EXPLICIT}, o AS (SELECT 'm' || o_orderkey || '_1' AS id, CASE WHEN o_orderkey % 100 = 0 THEN '' ELSE 'ticket:NEW-2' END AS ok FROM orders WHERE o_orderkey % 50 = 0), f AS (SELECT CASE WHEN ok = '' THEN 'unassigned' WHEN ok IS NOT NULL THEN 'override' ELSE coalesce(tier, 'unassigned') END AS tier, coalesce(ok, key, '') AS key FROM st LEFT JOIN o USING (id)) SELECT tier, count(*) AS n, count(CASE WHEN key = '' THEN 1 END) AS unlinked FROM f GROUP BY tier",
-    "unresolved_links": "SELECT 'gone' || o_orderkey AS id, 'ticket:X-1' AS key, 'missing' AS cause FROM orders WHERE o_orderkey % 50 = 0 UNION ALL SELECT 'm' || o_orderkey || '_1', CASE WHEN o_orderkey % 100 = 0 THEN '' ELSE 'ticket:NEW-2' END, 'missing' FROM orders WHERE o_orderkey % 50 = 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1)",
+    "link_overrides": f"WITH {_EXPLICIT}, o AS (SELECT 'm' || o_orderkey || '_1' AS id, CASE WHEN o_orderkey % 100 = 0 THEN '' ELSE 'ticket:NEW-2' END AS ok FROM orders), f AS (SELECT CASE WHEN ok = '' THEN 'unassigned' WHEN ok IS NOT NULL THEN 'override' ELSE coalesce(tier, 'unassigned') END AS tier, coalesce(ok, key, '') AS key FROM st LEFT JOIN o USING (id)) SELECT tier, count(*) AS n, count(CASE WHEN key = '' THEN 1 END) AS unlinked FROM f GROUP BY tier",
+    "unresolved_links": "SELECT 'gone' || o_orderkey AS id, 'ticket:X-1' AS key, 'missing' AS cause FROM orders UNION ALL SELECT 'm' || o_orderkey || '_1', CASE WHEN o_orderkey % 100 = 0 THEN '' ELSE 'ticket:NEW-2' END, 'missing' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1)",
     "item_owner": _OWNER,
     "content_ids": f"WITH {RECORDS} SELECT conv_id AS topic, 'c' || substr(sha1(arg_min(id, (ts, id))), 1, 6) AS content_id FROM rec GROUP BY conv_id",
     "latest_state": f"WITH {_STATE} SELECT topic, state, evidence_id, round(since, 3) AS since, moved_id FROM f",
     "state_gate": f"WITH {_EVENTS} SELECT relation, count(*) AS events, count(CASE WHEN NOT is_bot AND NOT (length(said) <= 25 AND size > 10) THEN 1 END) AS allowed FROM st WHERE relation IN ('resolves', 'blocked_by') GROUP BY relation",
     "declarations_asof": _DECLARED,
     "window_topics": f"WITH {_EVENTS}, x AS (SELECT topic * 10 + id % 7 AS topic, topic::VARCHAR AS u, ts, id FROM ev), n AS (SELECT epoch_us(TIMESTAMP '{NOW}') / 1e6 AS n) SELECT topic, count(*) AS messages, round(min(ts), 3) AS first_ts, round(max(ts), 3) AS last_ts, string_agg(DISTINCT u, ',' ORDER BY u) AS people FROM x CROSS JOIN n GROUP BY topic HAVING count(*) >= 2 AND count(CASE WHEN id % 3 <> 0 THEN 1 END) * 2 >= count(*) AND bool_or(ts BETWEEN n - 172800 AND n)",
-    "digest_order": f"WITH {_STATE}, l AS (SELECT topic, max(ts) AS last FROM ev GROUP BY topic) SELECT row_number() OVER (ORDER BY CASE state WHEN 'blocked' THEN 0 WHEN 'active' THEN 1 ELSE 2 END, last DESC, topic) AS place, topic, state, round(last, 3) AS last FROM f JOIN l USING (topic) QUALIFY place <= 20",
+    "digest_order": f"WITH {_STATE}, l AS (SELECT topic, max(ts) AS last FROM ev GROUP BY topic) SELECT row_number() OVER (ORDER BY CASE state WHEN 'blocked' THEN 0 WHEN 'active' THEN 1 ELSE 2 END, last DESC, topic) AS place, topic, state, round(last, 3) AS last FROM f JOIN l USING (topic)",
     "state_histogram": f"WITH {_STATE} SELECT state, count(*) AS n FROM f GROUP BY state",
     "drift_four_kinds": f"WITH {_TICKETS} SELECT topic, ticket, state, resolved, kind, mentions, last_id FROM dr WHERE kind IS NOT NULL",
     "silent_tickets": f"WITH {_TICKETS} SELECT ticket, round((epoch(TIMESTAMP '{NOW}') - updated) / 86400, 3) AS idle_days FROM tk WHERE NOT resolved AND updated > 0 AND topic NOT IN (SELECT topic FROM mn) AND (epoch(TIMESTAMP '{NOW}') - updated) / 86400 >= 21",
-    "coverage": f"WITH {_TICKETS} SELECT count(*) AS topics, count(ticket) AS with_ticket, count(CASE WHEN topic % 3 = 0 AND topic IN (SELECT topic FROM tk) THEN 1 END) AS known FROM tp",
+    "coverage": f"WITH {_TICKETS} SELECT count(*) AS topics, count(ticket) AS with_ticket, count(CASE WHEN topic IN (SELECT topic FROM tk) THEN 1 END) AS known FROM tp",
     "agreement": f"WITH {_TICKETS} SELECT CASE WHEN coalesce(mentions, 0) = 0 THEN 'not comparable' WHEN kind IS NOT NULL THEN 'drift' ELSE 'agree' END AS verdict, count(*) AS n FROM tp LEFT JOIN dr USING (topic) GROUP BY verdict",
     "people_rows": f"WITH {_MEMBERS} SELECT \"user\", count(DISTINCT topic) AS items, count(DISTINCT CASE WHEN state = 'blocked' THEN topic END) AS blocked, count(*) AS messages, round(max(ts), 3) AS last_ts FROM mb GROUP BY \"user\"",
     "person_partners": f"WITH {_MEMBERS}, o AS (SELECT DISTINCT \"user\", topic FROM mb), pp AS (SELECT a.\"user\", b.\"user\" AS partner, count(*) AS items FROM o a JOIN o b ON a.topic = b.topic AND a.\"user\" <> b.\"user\" GROUP BY ALL) SELECT \"user\", partner, items FROM (SELECT *, row_number() OVER (PARTITION BY \"user\" ORDER BY items DESC, partner) AS r FROM pp) WHERE r <= 5",
