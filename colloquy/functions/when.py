@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: days in which what is recent fades.
+RECENT = 120.0
+
 #: How nearness in time fades, and where it ends.
 FADE_MINUTES, CUTOFF_HOURS = 90.0, 48.0
 
@@ -52,3 +55,35 @@ def human_age(days: Column) -> Column:
 def bucket(days: Column, step: int) -> Column:
     """The multiple of step that has been reached."""
     return (F.floor(days / step) * step).cast("bigint")
+
+
+def instant(text: Column, zone: str) -> Column:
+    """An ISO 8601 time in seconds since 1970; one without an offset is in the given zone. Null if it is none."""
+    shape = r"^\s*(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2})(:\d{2}(?:\.\d{1,6})?)?)?(Z|[+-]\d{2}:?\d{2})?\s*$"
+    part = lambda k, otherwise: F.coalesce(F.nullif(F.regexp_extract(text, shape, k), F.lit("")), F.lit(otherwise))
+    offset = F.regexp_replace(F.regexp_replace(F.regexp_extract(text, shape, 4), "^Z$", "+00:00"), r"^([+-]\d{2})(\d{2})$", "$1:$2")
+    whole = F.concat(part(1, ""), F.lit("T"), part(2, "00:00"), part(3, ":00"), F.when(offset != "", offset).otherwise(zone))
+    return F.when(text.rlike(shape), F.unix_micros(F.try_to_timestamp(whole)) / 1e6)
+
+
+def workdays_before(day: Column, count: int) -> Column:
+    """The last working days before a date, in order."""
+    weeks = F.sequence(F.date_sub(day, 7 * (count // 5 + 2)), F.date_sub(day, 1))
+    working = F.filter(weeks, lambda d: F.weekday(d) < 5)
+    return F.slice(working, -count, count)
+
+
+def clock_in(ts: Column, zone: str) -> Column:
+    """Hour and minute of a time in a zone."""
+    return F.date_format(F.from_utc_timestamp(F.timestamp_micros((ts * 1e6).cast("long")), zone), "HH:mm")
+
+
+def minute_of(clock: Column) -> Column:
+    """The minute of the day of a clock such as 08:45; null if it is none."""
+    shape = r"^\s*([01]?\d|2[0-3]):([0-5]\d)\s*$"
+    return F.when(clock.rlike(shape), F.regexp_extract(clock, shape, 1).cast("int") * 60 + F.regexp_extract(clock, shape, 2).cast("int"))
+
+
+def recency(days: Column) -> Column:
+    """From 1 down, by e in 120 days."""
+    return F.exp(-F.abs(days) / RECENT)

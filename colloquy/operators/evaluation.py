@@ -81,3 +81,23 @@ def separation(moments: DataFrame) -> DataFrame:
 def histogram(moments: DataFrame) -> DataFrame:
     """(same, bin, pairs) of similarities."""
     return moments.groupBy("same", "bin").agg(F.sum("pairs").alias("pairs"))
+
+
+def found_by_depth(ranks: DataFrame, truth: DataFrame, depths: list[int]) -> DataFrame:
+    """(depth, found, total, reachable, first_correct): over all queries, how much of what is relevant the first ranks hold.
+
+    reachable is what a ranking of that depth could hold at most. ranks(query_id, id, rank), truth(query_id, id).
+    """
+    known = truth.distinct()
+    totals = known.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
+    hits = ranks.join(known, ["query_id", "id"]).select("query_id", "rank")
+    at = F.explode(F.array(*map(F.lit, depths))).alias("depth")
+    found = hits.select("rank", at).groupBy("depth").agg(F.count(F.when(F.col("rank") <= F.col("depth"), 1)).alias("found"))
+    first = hits.where("rank = 1").agg(F.count(F.lit(1)).alias("first_correct"))
+    most = totals.select("total", at).groupBy("depth").agg(F.sum("total").alias("total"), F.sum(F.least("total", "depth")).alias("reachable"))
+    return most.join(found, "depth", "left").crossJoin(F.broadcast(first)).select("depth", F.coalesce("found", F.lit(0)).alias("found"), "total", "reachable", "first_correct")
+
+
+def label_counts(cases: DataFrame, threads: DataFrame) -> DataFrame:
+    """One row: different pairs, queries and threads of weak labels. cases(query_id, id), threads(query_id, thread_ts)."""
+    return cases.join(threads, "query_id").agg(F.countDistinct("query_id", "id").alias("pairs"), F.countDistinct("query_id").alias("queries"), F.countDistinct("thread_ts").alias("threads"))

@@ -172,3 +172,8 @@ def item_ids(records: DataFrame, links: DataFrame, by: str = "topic") -> DataFra
     order = Window.partitionBy("key").orderBy(F.desc("n"), "begun", by)
     owned = claim.withColumn("r", F.row_number().over(order)).where("r = 1").select(by, F.substring("key", 8, 1 << 20).alias("ticket"), F.col("n").alias("ticket_votes"))
     return content_ids(records, by).join(owned, by, "left").select(by, F.coalesce("ticket", "content_id").alias("item_id"), F.coalesce("ticket_votes", F.lit(0)).cast("bigint").alias("ticket_votes"))
+
+
+def strong(relations: DataFrame, least: float) -> DataFrame:
+    """Relations of at least a score: the highest first, and then by name."""
+    return relations.where(F.col("score") >= least).orderBy(F.desc("score"), "relation", "source", "target")

@@ -31,6 +31,42 @@ def foreign_sources(existing: DataFrame, produced: list[str]) -> list[str]:
     return sorted(r[0] for r in existing.where(~F.coalesce("source", F.lit("")).isin(produced)).select(F.coalesce("source", F.lit(""))).distinct().collect())
 
 
+class Deltas:
+    """A table of batches, merged when it is read: of the rows of a key the last batch's stands, and in it the latest by ``order``.
+
+    Rows without a key all stay. compact() puts the merged rows in place of the batches, which keeps reading cheap.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "id", order: list[str] | None = None):
+        self.spark, self.path, self.key, self.order = spark, path, key, order or []
+
+    def write(self, batch: DataFrame, number: int) -> None:
+        self._last(batch, self.order).write.mode("overwrite").parquet(f"{self.path}/__batch={number}")
+
+    def _last(self, rows: DataFrame, order: list[str]) -> DataFrame:
+        """One row of each key, whole."""
+        whole = F.struct(*rows.columns)
+        by = F.struct(*order, F.xxhash64(*rows.columns)) if order else F.xxhash64(*rows.columns)
+        known = rows.where(F.col(self.key).isNotNull()).groupBy(F.col(self.key).alias("__key")).agg(F.max_by(whole, by).alias("__row")).select("__row.*")
+        return known.unionByName(rows.where(F.col(self.key).isNull()))
+
+    def read(self) -> DataFrame | None:
+        try:
+            rows = self.spark.read.option("mergeSchema", "true").parquet(self.path)
+        except Exception as e:
+            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+                return None
+            raise
+        return self._last(rows, ["__batch", *self.order]).drop("__batch")
+
+    def compact(self, to: str) -> Deltas:
+        """The merged rows as the first batch of a store beside this one."""
+        fresh = Deltas(self.spark, to, self.key, self.order)
+        if (rows := self.read()) is not None:
+            rows.write.parquet(f"{to}/__batch=-1")
+        return fresh
+
+
 class Versions:
     """A table of whole versions: a new one is written beside the others, then named as the current one.
 

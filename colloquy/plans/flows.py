@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.encode import embedded
 from ..operators.graphs import shared_dir
-from ..operators.upserts import Versions
-from ..sources import tracker, transcripts
+from ..operators.upserts import Deltas
+from ..sources import tracker
 from ..sources.tables import conversation_records, table
 from ..streaming import jobs
 from . import digest, retrieve
@@ -84,32 +83,42 @@ def stream_window_counts(spark: SparkSession, d: str) -> DataFrame:
     return shared_stream(spark, found).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
+def _in_parts(spark: SparkSession, d: str, run) -> None:
+    """Events arrive in three parts, by time; after each, run(stream, checkpoint folder) goes on from where the last run ended."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    base = f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}"
+    low, high = (x.timestamp() for x in e.agg(F.min("ts"), F.max("ts")).first())
+    at = F.floor((F.unix_micros("ts") / 1e6 - low) / ((high - low) / 3 + 1e-3))
+    for k in range(3):
+        e.where(at == k).write.mode("append").parquet(f"{base}/in")
+        run(spark.readStream.schema(e.schema).parquet(f"{base}/in"), f"{base}/state")
+
+
 def stream_streak_state(spark: SparkSession, d: str) -> DataFrame:
-    e = _stream(spark, d).where("event_type = 'error'").select(F.datediff(F.to_date("ts"), F.lit("2023-12-31").cast("date")).cast("bigint").alias("day"), F.to_date("ts").alias("date"), F.col("user_id").alias("user"), F.lit("error").alias("blocker"))
-    return shared_stream(spark, jobs.streaks(e)).select("user", "date", F.col("days").cast("bigint").alias("days"), "since")
+    """Runs of days with an error for each person, kept as state from one part of the events to the next."""
+    out = f"{shared_dir(spark)}/streaks-{uuid.uuid4().hex}"
 
+    def run(stream: DataFrame, state: str) -> None:
+        jobs.streaks(_error_days(stream)).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
-def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """Each person's last event, kept by an upsert per batch."""
-    store = Versions(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    rows = _stream(spark, d).select(F.col("event_id").alias("id"), "event_type")
-    rows.writeStream.foreachBatch(jobs.upserting(store)).option("checkpointLocation", base).trigger(availableNow=True).start().awaitTermination()
-    return store.read()
+    _in_parts(spark, d, run)
+    return spark.read.parquet(out).select("user", "date", F.col("days").cast("bigint").alias("days"), "since")
 
 
-#: A short meeting, and a pasted chat that crosses midnight.
-VTT = "WEBVTT\n\n1\n00:00:01.000 --> 00:00:04.000\n<v Ana>Good morning\n\n2\n00:00:05.500 --> 00:00:08.000\nBen: waiting on the build\nstill\n\n00:01:00.000 --> 00:01:02.000\n<v Ana>Thanks</v>\n"
-PASTE = "someone above\nAna  [11:58 PM]\nhello\n[11:59 PM]\nstill here (edited)\n3 replies\nBen  [12:01 AM] done at [noon], really\nYesterday\nAna  [9:05 AM]\nback\n:tada: 2\n"
+def _error_days(events: DataFrame) -> DataFrame:
+    return events.where("event_type = 'error'").select(F.datediff(F.to_date("ts"), F.lit("2023-12-31").cast("date")).cast("bigint").alias("day"), F.to_date("ts").alias("date"), F.col("user_id").alias("user"), F.lit("error").alias("blocker"))
 
 
-def vtt_udtf(spark: SparkSession, d: str) -> DataFrame:
-    return transcripts.utterances(spark.createDataFrame([("standup.vtt", VTT), ("lines.txt", "Ana: one\ntwo\nBen: three"), ("asr.json", '[{"speaker": "Cy", "start": 2.5, "text": "four"}, {"content": "five"}]')], "path string, text string"))
+def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Each person's last event, kept by an upsert for each part that arrives."""
+    store = Deltas(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", order=["ts", "event_id"])
 
+    def run(stream: DataFrame, state: str) -> None:
+        rows = stream.select(F.col("user_id").alias("id"), "ts", "event_id", "event_type")
+        rows.writeStream.foreachBatch(jobs.upserting(store)).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
-def paste_udtf(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([("chat", dt.date(2026, 8, 19), PASTE)], "title string, day date, text string")
-    return transcripts.paste_records(transcripts.pasted(rows)).select("id", "ts", "user", "text")
+    _in_parts(spark, d, run)
+    return store.read().select("id", "event_id", "event_type")
 
 
 def ticket_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -145,7 +154,7 @@ _HYBRID = "f AS (SELECT query_id, id, 1.0 / (60 + rank() OVER (PARTITION BY quer
 _NEAR10 = "nb AS (SELECT a.id AS l, b.id AS r, coalesce(s, 0) AS s, row_number() OVER (PARTITION BY a.id ORDER BY round(coalesce(s, 0), 9) DESC, b.id) AS k FROM idx a JOIN idx b ON a.id <> b.id LEFT JOIN dots ON l = a.id AND r = b.id QUALIFY k <= 10)"
 
 QUERIES = {f"search_{p.replace('-', '_')}": _search(p) for p in ("dense", "lexical", "dense-csls", "hybrid", "hybrid-anchors", "hybrid-jaccard")} | {
-    f.__name__: f for f in (related_search, gated_search, embed_cache, digest_build, stream_dedup, stream_window_counts, stream_streak_state, stream_upsert, vtt_udtf, paste_udtf, ticket_rows)
+    f.__name__: f for f in (related_search, gated_search, embed_cache, digest_build, stream_dedup, stream_window_counts, stream_streak_state, stream_upsert, ticket_rows)
 }
 
 ORACLE = {
@@ -158,6 +167,6 @@ ORACLE = {
     "stream_dedup": "SELECT DISTINCT event_id, user_id FROM events",
     "stream_window_counts": "WITH m AS (SELECT max(ts) - INTERVAL 1 HOUR AS w FROM events) SELECT strftime(ts::DATE, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events CROSS JOIN m WHERE ts::DATE + INTERVAL 1 DAY <= w GROUP BY ALL",
     "stream_streak_state": "WITH d AS (SELECT DISTINCT user_id AS \"user\", ts::DATE AS date FROM events WHERE event_type = 'error'), r AS (SELECT *, date - row_number() OVER (PARTITION BY \"user\" ORDER BY date)::INT AS run FROM d) SELECT \"user\", date::VARCHAR AS date, row_number() OVER (PARTITION BY \"user\", run ORDER BY date) AS days, (min(date) OVER (PARTITION BY \"user\", run))::VARCHAR AS since FROM r",
-    "stream_upsert": "SELECT event_id AS id, event_type FROM events",
+    "stream_upsert": "SELECT user_id AS id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id",
     "ticket_rows": "SELECT 'ORD-' || o_orderkey AS ticket, o_orderpriority || ' A line of prose that is long enough' AS text, o_orderstatus AS state, o_orderstatus = 'F' AS resolved, round(epoch_ms(o_orderdate) / 1000.0, 3)::DOUBLE AS updated FROM orders",
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import for_analysis
 from ..functions.when import nearness
-from ..operators import fusion, lexical, signals, vectors
+from ..operators import evaluation, fusion, lexical, signals, vectors
 from ..operators.graphs import written
 
 
@@ -196,3 +196,13 @@ def relevance(corpus: Corpus, queries: DataFrame) -> DataFrame:
 def gated(found: DataFrame, known: DataFrame, least: float = 0.45) -> DataFrame:
     """Rankings of queries that the gate lets through: a lexical hit, and a dense score of at least 0.45."""
     return found.join(known.where((F.col("lexical") > 0) & (F.col("dense") >= least)).select("query_id"), "query_id", "left_semi")
+
+
+def swept(corpus: Corpus, queries: DataFrame, truth: DataFrame, presets: list[str], depth: int = 50) -> DataFrame:
+    """(preset, recall, ceiling, ndcg, mrr, map, worst): each preset's measures over one corpus, whose vectors are made once."""
+    out = None
+    for name in presets:
+        ranks = ranked(corpus, queries, name, depth).where("query_id != id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+        row = evaluation.summary(evaluation.measures(ranks.select("query_id", "id", "rank"), truth)).withColumn("preset", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out

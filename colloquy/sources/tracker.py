@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import embed_text
@@ -62,3 +62,13 @@ def channel_projects(spark: SparkSession, raw: str) -> DataFrame:
     good = groups.where(F.col("g").rlike(shape)).select("pos", F.upper(F.regexp_extract("g", shape, 1)).alias("project"), F.trim(F.regexp_extract("g", shape, 2)).alias("label"), F.explode(F.split(F.regexp_extract("g", shape, 3), ",")).alias("channel_id"))
     clean = good.withColumn("channel_id", F.trim("channel_id")).where("channel_id != ''")
     return clean.select("channel_id", "project", F.when(F.col("label") == "", F.col("project")).otherwise(F.col("label")).alias("label"), "pos")
+
+
+def all_projects(projects: list[DataFrame]) -> DataFrame:
+    """Tickets of several projects, in the order of the projects; of those with one key the first stays."""
+    out = None
+    for k, part in enumerate(projects):
+        part = part.withColumn("__place", F.lit(k))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    first = Window.partitionBy("ticket").orderBy("__place")
+    return out.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth", "__place")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.upserts import Versions, upsert
+from ..operators.upserts import Deltas
 
 
 def deduplicated(stream: DataFrame, key: str = "id", time: str = "ts", late: str = "2 days") -> DataFrame:
@@ -17,15 +17,15 @@ def deduplicated(stream: DataFrame, key: str = "id", time: str = "ts", late: str
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def upserting(store: Versions, key: str = "id") -> Callable[[DataFrame, int], None]:
-    """A foreachBatch that puts each batch's rows in place of those they repeat; late replies are accepted for ever."""
+def upserting(store: Deltas) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch that puts each batch's rows in place of those they repeat; late replies are accepted for ever.
 
-    def write(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates([key])
-        if fresh.isEmpty():
-            return
-        existing = store.read()
-        store.write(fresh if existing is None else upsert(existing, fresh, key))
+    A batch writes its own rows and no others, so its cost follows the batch and not the store. A batch that is run
+    again after a failure writes the same rows in the same place.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        store.write(batch, number)
 
     return write
 

@@ -1,6 +1,6 @@
 import datetime as dt
 
-from colloquy.operators.upserts import Versions
+from colloquy.operators.upserts import Deltas, Versions
 from colloquy.streaming import jobs
 from pyspark.sql import functions as F
 
@@ -19,13 +19,21 @@ def test_resumed_reads_repeat_no_rows(spark, tmp_path):
 
 
 def test_upserts_by_batch(spark, tmp_path):
-    store = Versions(spark, str(tmp_path / "store"))
+    store = Deltas(spark, str(tmp_path / "store"))
     write = jobs.upserting(store)
     write(spark.createDataFrame([("a", 1), ("b", 1)], "id string, v int"), 0)
     write(spark.createDataFrame([("b", 2), ("c", 2)], "id string, v int"), 1)
     assert sorted(map(tuple, store.read().collect())) == [("a", 1), ("b", 2), ("c", 2)]
 
 
+def test_versions(spark, tmp_path):
+    store = Versions(spark, str(tmp_path / "versions"))
+    assert store.read() is None
+    for k in (1, 2):
+        store.write(spark.createDataFrame([("a", k)], "id string, v int"))
+    assert [tuple(r) for r in store.read().collect()] == [("a", 2)]
+
+
 def test_streak_state(spark, tmp_path):
     rows = [(d, dt.date(2026, 8, d), "U1", "api") for d in (1, 2, 4)] + [(1, dt.date(2026, 8, 1), "U2", "db")]
     data = spark.createDataFrame(rows, "day bigint, date date, user string, blocker string")
