@@ -7,11 +7,13 @@ neighbour lies there: along each projection a neighbour is normally distributed
 log probabilities are found by extending the best partial sums, projection by projection. The candidates of all tables
 are merged and ranked by their exact inner products.
 
-The rows are dealt evenly into slices, by a hash of their id, and each slice indexes all of its rows; so no bucket can
-overload a task. A query visits every slice. With fewer slices than tasks the queries are dealt into blocks, and each
-task has one slice and one block, so that a query's cells are found once for each slice. How many cells it visits is fitted on a bounded sample of SAMPLE queries
-and their true neighbours, found by brute force against all rows, so that RECALL of these are found; if even MOST_CELLS
-cells would not do, slices are searched whole.
+Rows and queries are shuffled by table and bucket. The buckets of a table are dealt into parts of about SLICE rows, by
+their hash; a bucket that holds more than a quarter of that is a part of its own, and cut by a hash of the id if it holds
+more than that. A query goes to the parts that have buckets it visits, with those buckets' keys, and to no others. With
+fewer parts than tasks the queries are dealt into blocks, and each block of a part is a task's work. The best of all
+parts and tables are merged by id. How many buckets a query visits in a table is fitted on a bounded sample of SAMPLE
+queries and their true neighbours, found by brute force against all rows, so that RECALL of these are found; if even
+MOST_CELLS would not do, the rows are dealt by a hash of their id instead and searched whole, in blocks.
 
 Equal vectors are one class, of which at most k + 1 rows can be among the k nearest; the least ids are those.
 """
@@ -34,7 +36,7 @@ TABLES, WIDTH = 10, 1.8
 #: Queries whose true neighbours fit the number of cells, and the share of them to be found.
 SAMPLE, RECALL = 96, 0.96
 MOST_CELLS = 3000
-#: Rows of a slice at most, and tasks at least.
+#: Rows of a part, and parts at least.
 SLICE, LEAST_TASKS = 100_000, 8
 SEED = 20240
 #: Steps along one projection that are considered.
@@ -142,62 +144,145 @@ def _fit(classes: DataFrame, index: Index, k: int) -> None:
     index.cells = cells if cells <= MOST_CELLS else 0
 
 
+@dataclass
+class Dealt:
+    """Where buckets go. large: (table, key) -> the parts that a large bucket is cut into; at most 4 * TABLES for each SLICE rows."""
+
+    parts: int
+    blocks: int
+    large: dict[tuple[int, int], int]
+
+    def units(self, table: int, keys: np.ndarray) -> np.ndarray:
+        """The first unit of each bucket: below ``parts`` they are shared, above they belong to a large bucket alone."""
+        x = (keys.view(np.uint64) + np.uint64(table)) * np.uint64(0x9E3779B97F4A7C15)
+        out = ((x >> np.uint64(33)) % np.uint64(self.parts)).astype(np.int64) * TABLES + table
+        if mine := self.first[table]:
+            for i in np.flatnonzero(np.isin(keys, self.keys[table])):
+                out[i] = mine[int(keys[i])]
+        return out
+
+    def __post_init__(self):
+        self.first, at = [{} for _ in range(TABLES)], self.parts * TABLES
+        for (table, key), cuts in sorted(self.large.items()):
+            self.first[table][key] = at
+            at += cuts
+        self.keys = [np.array(list(x), dtype=np.int64) for x in self.first]
+
+
+def _mix(x: np.ndarray, n: int) -> np.ndarray:
+    h = (x.astype(np.int64).view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
+
+
+def _entries(index: Index, dealt: Dealt):
+    """Classes to rows (unit, block, kind, rep, v, keys): vectors to their bucket in each table, queries to the units that they visit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for lo in range(0, big.num_rows, 256):
+                b = big.slice(lo, 256)
+                reps, x, asks = b.column("rep").to_numpy(), _matrix(b.column("v")), b.column("is_query").to_numpy(zero_copy_only=False)
+                rows: list[tuple[int, int, int, int, list[int]]] = []  # unit, block, kind, row, keys
+                keys = index.keys(x) if index.cells else np.zeros((len(x), 1), dtype=np.int64)
+                salts = {cuts: _mix(reps, cuts) for cuts in set(dealt.large.values())}
+                for t in range(TABLES if index.cells else 1):
+                    unit = dealt.units(t, keys[:, t]) if index.cells else _mix(reps, dealt.parts)
+                    for i in range(len(x)):
+                        k = int(keys[i, t])
+                        at = int(unit[i]) + (int(salts[dealt.large[t, k]][i]) if (t, k) in dealt.large else 0)
+                        rows += [(at, block, 0, i, [k]) for block in range(dealt.blocks)]
+                asked = np.flatnonzero(asks)
+                if len(asked):
+                    block = _mix(reps[asked] + 1, dealt.blocks)
+                    probes = index.probes(x[asked], index.cells) if index.cells else None
+                    for j, i in enumerate(asked.tolist()):
+                        if probes is None:
+                            rows += [(unit, int(block[j]), 1, i, []) for unit in range(dealt.parts)]
+                            continue
+                        for t in range(TABLES):
+                            visit = probes[j, t]
+                            unit = dealt.units(t, visit)
+                            order = np.argsort(unit, kind="stable")
+                            edges = [0, *(np.flatnonzero(np.diff(unit[order])) + 1).tolist(), len(order)]
+                            for p, q in zip(edges, edges[1:], strict=False):
+                                some = visit[order[p:q]]
+                                cuts = dealt.large.get((t, int(some[0])), 1) if int(unit[order[p]]) >= dealt.parts * TABLES else 1
+                                rows += [(int(unit[order[p]]) + c, int(block[j]), 1, i, some.tolist()) for c in range(cuts)]
+                unit, block, kind, row, held = zip(*rows, strict=True)
+                at = pa.array(row, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int64()), pa.array(block, pa.int32()), pa.array(kind, pa.int32()), b.column("rep").take(at), b.column("v").take(at), pa.array(held, pa.list_(pa.int64()))], ["unit", "block", "kind", "rep", "v", "keys"])
+
+    return run
+
+
+ENTRIES = "unit bigint, block int, kind int, rep bigint, v array<double>, keys array<bigint>"
+
+
 def _searched(index: Index, k: int):
-    """Slices of rows, vectors first and then queries, to each query's best k + 1 classes in the slice."""
+    """Units, vectors first and then queries, to each query's best k + 1 classes among the candidates of the unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slice_, reps, vectors, ready = None, [], [], None
+        now, held, ready = None, [], None
 
         def built():
-            ids, x = np.concatenate(reps), np.concatenate(vectors)
-            keys = index.keys(x) if index.cells else None
-            orders = [np.argsort(keys[:, t], kind="stable") for t in range(TABLES)] if index.cells else []
-            return ids, x, orders, [keys[o, t] for t, o in enumerate(orders)]
+            ids, x, keys = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.argsort(keys, kind="stable")
+            return ids[order], x[order], x[order].astype(np.float32), keys[order]
 
-        def answered(asker: np.ndarray, q: np.ndarray) -> pa.RecordBatch | None:
-            ids, x, orders, sorted_keys = ready
+        def answered(asker: np.ndarray, q: np.ndarray, visits: pa.Array) -> pa.RecordBatch | None:
+            ids, x, light, keys = ready
             out: list[tuple[np.ndarray, ...]] = []
-            for a in range(0, len(q), 64):
-                some = q[a : a + 64]
-                probes = index.probes(some, index.cells) if index.cells else None
-                for i in range(len(some)):
-                    if index.cells:
-                        hit = np.zeros(len(ids), dtype=bool)
-                        for t, (o, s) in enumerate(zip(orders, sorted_keys, strict=True)):
-                            low, high = np.searchsorted(s, probes[i, t], "left"), np.searchsorted(s, probes[i, t], "right")
-                            n = high - low
-                            hit[o[np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]] = True
-                        row = np.flatnonzero(hit)
-                    else:
-                        row = np.arange(len(ids))
-                    scores = (x[row] * some[i]).sum(axis=1)
-                    best = _top(scores, ids[row], k + 1)
-                    out.append((np.full(len(best), asker[a + i]), ids[row][best], scores[best]))
-            if not out:
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["q_rep", "rep", "score"])
+            ends, flat = visits.offsets.to_numpy(), visits.values.to_numpy()
+            for i in range(len(asker)):
+                if index.cells:
+                    visit = flat[ends[i] : ends[i + 1]]
+                    low, high = np.searchsorted(keys, visit, "left"), np.searchsorted(keys, visit, "right")
+                    n = high - low
+                    row = np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                else:
+                    row = np.arange(len(ids))
+                if len(row) > 8 * k:  # single precision tells which can't be among the best; the rest are scored in double
+                    rough = light[row] @ q[i].astype(np.float32)
+                    least = np.partition(rough, len(row) - k - 1)[len(row) - k - 1] - 1e-4 * index.norm * np.linalg.norm(q[i])
+                    row = row[rough >= least]
+                scores = (x[row] * q[i]).sum(axis=1)
+                best = _top(scores, ids[row], k + 1)
+                out.append((np.full(len(best), asker[i]), ids[row][best], scores[best]))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["q_rep", "rep", "score"]) if out else None
 
         for b in batches:
-            at, kind = b.column("part").to_numpy(), b.column("kind").to_numpy()
-            new = np.flatnonzero((np.diff(at) != 0) | (np.diff(kind) != 0)) + 1
-            for lo, hi in zip([0, *new.tolist()], [*new.tolist(), len(at)], strict=True):
+            unit, block, kind = (b.column(c).to_numpy() for c in ("unit", "block", "kind"))
+            new = np.flatnonzero((np.diff(unit) != 0) | (np.diff(block) != 0) | (np.diff(kind) != 0)) + 1
+            for lo, hi in zip([0, *new.tolist()], [*new.tolist(), len(unit)], strict=True):
                 if lo == hi:
                     continue
                 part = b.slice(lo, hi - lo)
-                if at[lo] != slice_:
-                    slice_, reps, vectors, ready = at[lo], [], [], None
+                if (unit[lo], block[lo]) != now:
+                    now, held, ready = (unit[lo], block[lo]), [], None
                 ids, x = part.column("rep").to_numpy(), _matrix(part.column("v"))
                 if kind[lo] == 0:
-                    reps.append(ids)
-                    vectors.append(x)
-                elif reps:
+                    held.append((ids, x, part.column("keys").flatten().to_numpy()))
+                elif held:
                     ready = ready or built()
-                    if (made := answered(ids, x)) is not None:
+                    if (made := answered(ids, x, pa.concat_arrays([part.column("keys")]))) is not None:
                         yield made
 
     return run
 
 
+def _buckets(classes: DataFrame, index: Index) -> dict[tuple[int, int], int]:
+    """Buckets that hold more than a quarter of SLICE rows, with the parts that they are cut into."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                keys = index.keys(_matrix(b.column(0)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TABLES, dtype=np.int32), len(keys))), pa.array(keys.ravel())], ["table", "key"])
+
+    counted = classes.select("v").mapInArrow(of, "table int, key bigint").groupBy("table", "key").count().where(F.col("count") > SLICE // 4)
+    return {(r["table"], r["key"]): -(-r["count"] // SLICE) for r in counted.collect()}  # at most 4 * TABLES for each SLICE rows
+
+
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by ``every``, its k nearest others.
 
@@ -222,15 +307,13 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     index = Index(found["dim"], math.sqrt(whole["most"]) * (1 + 1e-12), max(4, round(math.log2(whole["n"])) - 6))
     _fit(classes, index, k)
-    slices = -(-whole["n"] // SLICE)
-    blocks = -(-LEAST_TASKS // slices)
-    at = lambda n: F.pmod(F.xxhash64("rep"), F.lit(n)).cast("int")
-    every_ = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = classes.select(at(slices).alias("s"), every_(blocks).alias("b"), F.lit(0).alias("kind"), "rep", "v")
-    asked = classes.where("is_query").select(every_(slices).alias("s"), at(blocks).alias("b"), F.lit(1).alias("kind"), "rep", "v")
-    parts = dealt.unionByName(asked).select((F.col("s") * blocks + F.col("b")).alias("part"), "kind", "rep", "v")
-    both = parts.repartitionByRange(2 * slices * blocks, "part").sortWithinPartitions("part", "kind")  # twice as many ranges as parts: no two share one
-    hits = both.mapInArrow(_searched(index, k), "q_rep bigint, rep bigint, score double")
+    parts = -(-whole["n"] // SLICE)
+    dealt = Dealt(parts, -(-LEAST_TASKS // (parts * (TABLES if index.cells else 1))), _buckets(classes, index) if index.cells and parts > 1 else {})
+    entries = classes.mapInArrow(_entries(index, dealt), ENTRIES)
+    n = min(2 * (parts * TABLES + sum(dealt.large.values())) * dealt.blocks, 20_000)
+    ordered = entries.repartition(n, "unit", "block").sortWithinPartitions("unit", "block", "kind")
+    found = ordered.mapInArrow(_searched(index, k), "q_rep bigint, rep bigint, score double")
+    hits = found.groupBy("q_rep", "rep").agg(F.max("score").alias("score"))  # found in several tables
     best = Window.partitionBy("q_rep").orderBy(F.desc("score"), "rep")
     hits = durable(hits.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r"))
     # back from classes to rows: the k + 1 least ids of a class, and all queries of it

@@ -36,6 +36,31 @@ def test_recall_and_exact_scores(spark):
     assert all(s == sorted(s, reverse=True) for s in ([y for _, y in v] for v in got.values()))
 
 
+def test_parts_and_large_buckets(spark, monkeypatch):
+    """Clusters, one of them a third of all rows: queries go to the parts of their buckets, large buckets are cut."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((24, 16))
+    of = np.where(np.arange(1800) % 3 == 0, 0, rng.integers(0, 24, 1800))
+    x = (centres[of] + 0.15 * rng.standard_normal((1800, 16))).astype(np.float32)
+    ids = np.arange(1800)
+    want = brute(ids, x.astype(np.float64))
+    seen = {}
+    for name in ("_entries", "_buckets"):
+        real = getattr(ann, name)
+        monkeypatch.setattr(ann, name, lambda *a, real=real, name=name: seen.setdefault(name, (a, real(*a)))[1])
+    monkeypatch.setattr(ann, "SLICE", 150)
+    got = run(frame(spark, ids, x))
+    index, dealt = seen["_entries"][0]
+    assert index.cells and dealt.parts == 12 and dealt.large and max(dealt.large.values()) > 1
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) / (20 * len(want)) >= 0.9
+    visits = [len(set(dealt.units(t, index.probes(x[q : q + 1].astype(float), index.cells)[0, t]).tolist())) for q in list(want)[:20] for t in range(ann.TABLES)]
+    assert np.mean(visits) < dealt.parts
+    seen.clear()
+    monkeypatch.setattr(ann, "MOST_CELLS", 0)
+    assert {q: [i for i, _ in v] for q, v in run(frame(spark, ids, x)).items()} == {q: [i for i, _ in v] for q, v in want.items()}
+    assert not seen["_entries"][0][0].cells
+
+
 def test_many_equal_vectors_and_ties(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((400, 8)).astype(np.float32)
