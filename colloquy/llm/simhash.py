@@ -5,7 +5,9 @@ named by the population counts of the fingerprint's bytes. Flipping one bit move
 fingerprints within the radius have tile names at most that far apart, and tile pairs further apart are never made:
 each fingerprint is dealt to its own tile and to those at most half the radius away, where any two that may be linked
 meet. Within a tile rows are ordered by total population count and a comparison stops where that differs beyond the
-radius. Tiles above ``tile_rows`` are cut into chunks, and each pair of chunks is a task's work of its own.
+radius. In tiles above ``tile_rows`` all rows are first compared with one of them, the pivot. Rows near it are linked by
+that; the others, and they alone, are compared with all rows, chunk by chunk, each pair of chunks a task's work. So a
+large group of near copies costs no more than its rows.
 
 A tile's links leave it as a forest, never as all pairs, and components() joins these up.
 
@@ -14,7 +16,8 @@ least shingle hash in each of ``bands`` equal parts of the hash range: documents
 them with probability 1 - (1 - J)^bands. The comparison in a tile stays the same.
 
 With ``alike``, repeated shingles count once, and links of fingerprints are only candidates: within each group of them
-two texts link if their sets of shingles have at least that Jaccard similarity, which is computed in full.
+two texts link if their sets of shingles have at least that Jaccard similarity, which is computed in full. Large groups
+are treated as large tiles are: first all with one text, then what isn't linked by that with all.
 """
 
 from __future__ import annotations
@@ -174,6 +177,26 @@ def _forest(words: np.ndarray, node: np.ndarray, group: np.ndarray, radius: int,
     return node[linked], node[label[linked]]
 
 
+def _cells(rows: DataFrame, group: str, chunk_rows: int) -> DataFrame:
+    """rows(group, node, open, ...) with i, j: cells in which all pairs of a group meet of which one at least is open.
+
+    Rows that aren't open are connected already; groups without open rows have no cells.
+    """
+    chunks = lambda c: F.ceil(F.count_if(c) / chunk_rows).cast("int")
+    counts = durable(rows.groupBy(group).agg(chunks(F.col("open")).alias("of_open"), chunks(~F.col("open")).alias("of_rest")).where("of_open > 0"))
+    known = rows.join(_small(counts), group)
+    at = lambda n: F.pmod(F.xxhash64("node"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    mine = F.when(F.col("open"), at("of_open")).otherwise(F.col("of_open") + at("of_rest"))
+    others = F.sequence(F.lit(0), F.col("of_open") - 1 + F.when(F.col("open"), F.col("of_rest")).otherwise(0))
+    cut = known.withColumn("mine", mine).withColumn("other", F.explode(others))
+    return cut.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("mine", "other", "of_open", "of_rest")
+
+
+def _small(rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """Durable rows, to be broadcast only if they are few."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def links(prints: DataFrame, w: int = 1, radius: int = 2, deal: str = "population", tile_rows: int = 2048) -> DataFrame:
     """prints(node long, words, minima), one row for each distinct fingerprint -> (u, v): a forest of its links.
 
@@ -193,13 +216,20 @@ def links(prints: DataFrame, w: int = 1, radius: int = 2, deal: str = "populatio
         entries = prints.select("node", "words").mapInArrow(dealt, "tile bigint, node bigint, words array<bigint>")
     else:
         entries = prints.select(F.explode("minima").alias("tile"), "node", "words")
-    sizes = entries.groupBy("tile").count().where(F.col("count") > 1)
-    large = durable(sizes.where(F.col("count") > tile_rows).select("tile", F.ceil(F.col("count") / tile_rows).cast("int").alias("chunks")))
-    held = large.count()  # at most rows / tile_rows; broadcast only while that is small
-    known = entries.join(F.broadcast(large) if held <= 100_000 else large, "tile", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    mine = F.pmod(F.xxhash64("node"), F.col("chunks"))
-    cut = known.withColumn("mine", mine.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    cut = cut.select("tile", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", *[F.col("words")[k].alias(f"w{k}") for k in range(w)])
+    sizes = entries.groupBy("tile").count().where(F.col("count") > tile_rows)
+    large = durable(sizes.select("tile"))
+    star, once = None, entries
+    if large.limit(1).count():
+        tiles = _small(large)
+        big = entries.join(tiles, "tile")
+        pivots = durable(big.groupBy("tile").agg(F.min_by(F.struct("node", "words"), "node").alias("p")).select("tile", F.col("p.node").alias("pivot"), F.col("p.words").alias("pivot_words")))
+        bits = F.zip_with("words", "pivot_words", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        big = durable(big.join(_small(pivots), "tile").withColumn("open", F.aggregate(bits, F.lit(0), lambda n, x: n + x) > radius).drop("pivot_words"))
+        star = big.where("not open and node != pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
+        cells = _cells(big.drop("pivot"), "tile", tile_rows).select("tile", "i", "j", "node", "words")
+        once = entries.join(tiles, "tile", "left_anti")
+    cut = once.select("tile", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "words")
+    cut = (cut.unionByName(cells) if star is not None else cut).select("tile", "i", "j", "node", *[F.col("words")[k].alias(f"w{k}") for k in range(w)])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
@@ -225,55 +255,90 @@ def links(prints: DataFrame, w: int = 1, radius: int = 2, deal: str = "populatio
         if rest is not None and len(rest[0]):
             yield done(rest)
 
-    return cut.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j").mapInArrow(compared, "u bigint, v bigint")
+    found = cut.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j").mapInArrow(compared, "u bigint, v bigint")
+    return found if star is None else found.unionByName(star)
+
+
+def _similar(x: np.ndarray, y: np.ndarray, alike: float) -> bool:
+    """Whether two sets have at least that Jaccard similarity."""
+    if min(len(x), len(y)) < alike * max(len(x), len(y)):
+        return False
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared >= alike * (len(x) + len(y) - shared)
 
 
 def confirmed(named: DataFrame, docs: DataFrame, shingle: int, w: int, radius: int, alike: float, text: str = "text", group_rows: int = 256) -> DataFrame:
     """named(root, node, words, th) -> (u, v): a forest of the links within each root that a comparison of the texts confirms.
 
-    Groups above group_rows are cut into chunks, and each pair of chunks is compared by itself.
+    In groups above group_rows all texts are first compared with the root's, in parts; those that aren't linked by that
+    are then compared with all, chunk by chunk.
     """
     named = durable(named)
-    sizes = named.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("chunks"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
-    some = durable(named.join(durable(sizes), "root"))
+    sizes = durable(named.groupBy("root").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+    some = durable(named.join(sizes, "root"))
     source = docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    held = some.select("th").distinct()
-    read = stored(source.join(held, "th", "left_semi").dropDuplicates(["th"]), "candidates")
-    cut = some.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    cut = cut.select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "words", "th").join(read, "th").select("root", "i", "j", "node", "words", "text")
+    read = stored(source.join(some.select("th").distinct(), "th", "left_semi").dropDuplicates(["th"]), "candidates")
+
+    def sets(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple]:
+        """Rows of sorted groups with their sets of shingles."""
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                columns = [part.column(k).to_pylist() for k in keys]
+                for row, t in zip(zip(*columns, strict=True), texts(part.column("text")), strict=True):
+                    yield (*row, np.unique(shingle_hashes(t, shingle)))
+
+    def forest(u: list[int], v: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    def starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = first = None
+        found: list[tuple[int, int]] = []
+        for root, part, node, mine in sets(batches, "root", "part", "node"):
+            if (root, part) != now:  # the root's row comes first in each part
+                now, first = (root, part), mine
+            elif _similar(first, mine, alike):
+                found.append((node, root))
+            if len(found) >= 4096:
+                yield forest(*map(list, zip(*found, strict=True)))
+                found = []
+        if found:
+            yield forest(*map(list, zip(*found, strict=True)))
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: list[tuple]) -> pa.RecordBatch:
             node = np.array([r[0] for r in rows], dtype=np.int64)
             prints = np.array([r[1] for r in rows], dtype=np.int64).view(np.uint64).reshape(len(rows), w)
-            sets = [r[2] for r in rows]
-
-            def sure(a: int, b: int) -> bool:
-                x, y = sets[a], sets[b]
-                if min(len(x), len(y)) < alike * max(len(x), len(y)):
-                    return False
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                return shared >= alike * (len(x) + len(y) - shared)
-
-            u, v = _forest(prints, node, np.zeros(len(rows), dtype=np.int64), radius, sure)
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+            u, v = _forest(prints, node, np.zeros(len(rows), dtype=np.int64), radius, lambda a, b: _similar(rows[a][2], rows[b][2], alike))
+            return forest(u.tolist(), v.tolist())
 
         now, rows = None, []
-        for b in batches:
-            root, i, j, node, prints = (b.column(k).to_pylist() for k in ("root", "i", "j", "node", "words"))
-            for r, t in enumerate(texts(b.column("text"))):
-                if (root[r], i[r], j[r]) != now:
-                    if len(rows) > 1:
-                        yield done(rows)
-                    now, rows = (root[r], i[r], j[r]), []
-                rows.append((node[r], prints[r], np.unique(shingle_hashes(t, shingle))))
+        for root, i, j, node, prints, mine in sets(batches, "root", "i", "j", "node", "words"):
+            if (root, i, j) != now:
+                if len(rows) > 1:
+                    yield done(rows)
+                now, rows = (root, i, j), []
+            rows.append((node, prints, mine))
         if len(rows) > 1:
             yield done(rows)
 
-    return cut.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(compared, "u bigint, v bigint")
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, radius: int = 2, deal: str = "population", bands: int = 0, key: str = "doc_id", text: str = "text", alike: float = 0.0) -> DataFrame:
+    kind = "u bigint, v bigint"
+    cut = some.where(F.col("rows") <= group_rows).select("root", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "words", "th")
+    star = None
+    if sizes.where(F.col("rows") > group_rows).limit(1).count():
+        large = some.where(F.col("rows") > group_rows)
+        parts = F.ceil(F.col("rows") / (16 * group_rows)).cast("int")
+        every = F.explode(F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), parts).cast("int"))))
+        dealt = large.withColumn("part", every).select("root", "part", (F.col("node") != F.col("root")).alias("later"), "node", "th").join(read, "th")
+        star = durable(dealt.repartition("root", "part").sortWithinPartitions("root", "part", "later").mapInArrow(starred, kind))
+        linked = star.select(F.col("u").alias("node"), F.lit(False).alias("open"))
+        rest = large.join(linked, "node", "left").withColumn("open", F.coalesce("open", F.col("node") != F.col("root")))
+        cut = cut.unionByName(_cells(durable(rest), "root", group_rows).select("root", "i", "j", "node", "words", "th"))
+    found = cut.join(read, "th").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").select("root", "i", "j", "node", "words", "text").mapInArrow(compared, kind)
+    return found if star is None else found.unionByName(star)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, radius: int = 2, deal: str = "population", bands: int = 0, key: str = "doc_id", text: str = "text", alike: float = 0.0, tile_rows: int = 2048, group_rows: int = 256) -> DataFrame:
     """(key, words, component_id): each row's fingerprint and the least key of the rows reachable by links.
 
     Rows link if their fingerprints differ in at most ``radius`` bits and, where ``alike`` is given, their distinct
@@ -285,9 +350,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, words: int = 1, radius: i
     prints = durable(fingerprints(docs, shingle, words, bands, key, text, once=alike > 0))
     distinct = prints.groupBy("words").agg(F.min("key").alias("least"), *[F.min("th").alias("th")] * (alike > 0), *[F.min("minima").alias("minima")] * (deal != "population"))
     distinct = durable(distinct.withColumn("node", F.monotonically_increasing_id()))
-    found = components(links(distinct, words, radius, deal))
+    found = components(links(distinct, words, radius, deal, tile_rows))
     if alike:
-        found = components(confirmed(distinct.join(found, "node").select("root", "node", "words", "th"), docs, shingle, words, radius, alike, text))
+        found = components(confirmed(distinct.join(found, "node").select("root", "node", "words", "th"), docs, shingle, words, radius, alike, text, group_rows))
     named = distinct.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = durable(named.groupBy("root").agg(F.min("least").alias("component_id")))  # a plain shuffle below: a large group's join can be split
     of = durable(named.join(least, "root").select("words", "component_id"))

@@ -108,6 +108,59 @@ def test_candidates_are_confirmed_in_chunks(spark):
         assert [roots.get(k, k) for k in range(len(texts))] == want
 
 
+def test_large_tiles_and_groups_are_compared_with_one_and_then_the_rest_with_all(spark):
+    rnd = random.Random(12)
+    base = prose(rnd, 120).split()
+    near = [" ".join([*base[:k], f"w{k}", *base[k + 1 :]]) for k in range(60)]
+    chain, now = [], list(base)
+    for k in range(30):  # each is near the one before, and less and less near the first
+        now = [*now[:k * 4], *prose(rnd, 4).split(), *now[k * 4 + 4 :]]
+        chain.append(" ".join(now))
+    texts = near + chain + [prose(rnd, 100) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = brute_alike(texts, 5, 0.8)
+    for sizes in ({}, {"tile_rows": 5, "group_rows": 3}):
+        got = {r.key: r.component_id for r in simhash.near_duplicates(docs, **corpus_pipeline.NEAR, **sizes).collect()}
+        assert [got[k] for k in range(len(texts))] == want
+    prints = {r.key: r.words[0] & ((1 << 64) - 1) for r in simhash.fingerprints(docs, 3).collect()}
+    label = list(range(len(texts)))
+    for i in label:
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 8:
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    for rows in (2048, 4):
+        got = {r.key: r.component_id for r in simhash.near_duplicates(docs, radius=8, tile_rows=rows, deal="minima", bands=1).collect()}
+        assert all(got[k] >= label[k] for k in got)
+        if rows == 2048:
+            first = got
+    assert got == first
+
+
+def test_pairs_from_four_fifths_on_are_caught(spark):
+    """Planted pairs of Jaccard similarity 0.8 to 0.9, of short texts and long ones."""
+    rnd = random.Random(21)
+    pairs, rows = [], []
+    while len(pairs) < 150:
+        n = rnd.choice([25, 40, 80, 300])
+        base = prose(rnd, n).split()
+        mine, edits = list(base), 0
+        while True:
+            mine[rnd.randrange(n)] = f"edit{rnd.random()}"
+            edits += 1
+            a, b = ({tuple(w[i : i + 5]) for i in range(n - 4)} for w in (base, mine))
+            likeness = len(a & b) / len(a | b)
+            if likeness < 0.9:
+                break
+        if likeness >= 0.8:
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(mine))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.key: r.component_id for r in simhash.near_duplicates(docs, **corpus_pipeline.NEAR).collect()}
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.99 * len(pairs)
+    assert all(abs(k - c) <= 1 for k, c in got.items())
+
+
 def brute_alike(texts, k, alike):
     sets = [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (t.split() for t in texts)]
     label = list(range(len(texts)))
