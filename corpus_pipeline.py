@@ -17,8 +17,8 @@ from colloquy.llm.common import spread, stored, table
 #: The last stage's vocabulary, and the ids of a sequence.
 VOCABULARY, CAPACITY = "byte_bpe_50k.json", 2048
 #: Near-duplicates by distinct runs of five words: 512 bits, of which Jaccard similarity 0.8 makes 78 differ, give or take
-#: 8, name candidates; the similarity itself is then computed.
-NEAR = {"shingle": 5, "words": 8, "radius": 94, "deal": "minima", "bands": 8, "alike": 0.8}
+#: 8, name candidates, four deviations wide; the similarity itself is then computed.
+NEAR = {"shingle": 5, "words": 8, "radius": 112, "deal": "minima", "bands": 8, "alike": 0.8}
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
