@@ -113,7 +113,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
 
 def with_edited(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
-    """Each row's doc_id, n_chars, edited text, digest and hashes of its own fingerprint, the edited text's fingerprint, and the next document's hashes.
+    """Each row's doc_id, n_chars, edited text, digest and hashes of its own fingerprint, the edited text's fingerprint, and the next document's digest and hashes.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
     document, by ascending doc_id; after the last comes the first, and a document alone is its own next. A missing
@@ -121,7 +121,7 @@ def with_edited(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     but all are returned. Null texts are empty. Other columns are not read.
 
     A text's own fingerprint is made once, before rows are shuffled; its digest and hashes go on with the text, to the
-    row itself and to the one before.
+    row itself and to the one before. Both take the same columns, so that Spark makes and shuffles them once.
     """
     mine = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     order = durable(neighbours(mine.select("id", "th", F.length("text").cast("bigint").alias("n"))))
@@ -129,12 +129,12 @@ def with_edited(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     printed = printed.select("id", "th", "text", digest(F.col("own")).alias("own_digest"), _hashes(F.col("own")).alias("own_hashes"))
     both = printed.join(order.hint("shuffle_merge"), ["id", "th"])
     kept = both.select("id", "th", "n", F.left("text", F.expr("cast(n - n div 2 as int)")).alias("begin"), "own_digest", "own_hashes")
-    heads = both.select(F.col("prev_id").alias("id"), F.col("prev_th").alias("th"), F.left("text", F.expr("cast(prev_n div 2 as int)")).alias("head"), F.col("own_hashes").alias("next_hashes"))
+    heads = both.select(F.col("prev_id").alias("id"), F.col("prev_th").alias("th"), F.left("text", F.expr("cast(prev_n div 2 as int)")).alias("head"), F.col("own_hashes").alias("next_hashes"), F.col("own_digest").alias("next_digest"))
     if order.where("times > 1").limit(1).count():
         heads = heads.dropDuplicates(["id", "th"])
     joined = kept.join(heads, ["id", "th"]).withColumn("edited", F.concat("begin", "head"))
     doc_id = F.when(F.col("id") != NO_ID, F.col("id")).cast(docs.schema["doc_id"].dataType).alias("doc_id")
-    return joined.select(doc_id, F.col("n").alias("n_chars"), "edited", "own_digest", "own_hashes", fingerprint(F.col("edited"), k, w).alias("edited_print"), "next_hashes")
+    return joined.select(doc_id, F.col("n").alias("n_chars"), "edited", "own_digest", "own_hashes", fingerprint(F.col("edited"), k, w).alias("edited_print"), "next_hashes", "next_digest")
 
 
 def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
@@ -161,5 +161,5 @@ def compared(docs: DataFrame) -> DataFrame:
         F.col("own_digest").alias("fingerprint"),
         digest(F.col("edited_print")).alias("edited_fingerprint"),
         likeness(own, changed).alias("near_edited"),
-        likeness(own, F.col("next_hashes")).alias("near_next"),
+        F.when(F.col("own_digest") == F.col("next_digest"), 1.0).otherwise(likeness(own, F.col("next_hashes"))).alias("near_next"),
     )
