@@ -126,7 +126,7 @@ def with_edited(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     mine = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     order = durable(neighbours(mine.select("id", "th", F.length("text").cast("bigint").alias("n"))))
     printed = mine.withColumn("own", fingerprint(F.col("text"), k, w))
-    printed = printed.select("id", "th", "text", digest(F.col("own")).alias("own_digest"), _hashes(F.col("own")).alias("own_hashes"))
+    printed = printed.select("id", "th", "text", F.unhex(digest(F.col("own"))).alias("own_digest"), _hashes(F.col("own")).alias("own_hashes"))
     both = printed.join(order.hint("shuffle_merge"), ["id", "th"])
     kept = both.select("id", "th", "n", F.left("text", F.expr("cast(n - n div 2 as int)")).alias("begin"), "own_digest", "own_hashes")
     heads = both.select(F.col("prev_id").alias("id"), F.col("prev_th").alias("th"), F.left("text", F.expr("cast(prev_n div 2 as int)")).alias("head"), F.col("own_hashes").alias("next_hashes"), F.col("own_digest").alias("next_digest"))
@@ -158,7 +158,7 @@ def compared(docs: DataFrame) -> DataFrame:
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        F.col("own_digest").alias("fingerprint"),
+        F.lower(F.hex("own_digest")).alias("fingerprint"),
         digest(F.col("edited_print")).alias("edited_fingerprint"),
         likeness(own, changed).alias("near_edited"),
         F.when(F.col("own_digest") == F.col("next_digest"), 1.0).otherwise(likeness(own, F.col("next_hashes"))).alias("near_next"),
