@@ -277,7 +277,8 @@ def confirmed(named: DataFrame, docs: DataFrame, shingle: int, w: int, radius: i
     sizes = durable(named.groupBy("root").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
     some = durable(named.join(sizes, "root"))
     source = docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    read = stored(source.join(some.select("th").distinct(), "th", "left_semi").dropDuplicates(["th"]), "candidates")
+    # copies of a text are put together before they are shuffled; an inner join, as a semi-join would be moved below that
+    read = stored(source.dropDuplicates(["th"]).join(some.select("th").distinct(), "th"), "candidates")
 
     def sets(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple]:
         """Rows of sorted groups with their sets of shingles."""

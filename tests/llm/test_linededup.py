@@ -1,6 +1,6 @@
 import random
 
-from colloquy.llm import linededup
+from colloquy.llm import linededup, winnowing
 
 from .conftest import prose
 
@@ -12,6 +12,67 @@ def docs_with(spark, line_of, n=8, words=30):
     return spark.createDataFrame(rows, "doc_id bigint, text string"), dict(rows)
 
 
+def slow(docs, documents=3):
+    """The texts by id without recurring lines, by plain loops over all distinct texts."""
+    import regex
+
+    def tokens(line):
+        return regex.findall(winnowing.TOKEN.replace("Is", "") if regex.search(r"[\u0E00-\U0010FFFF]", line) else r"\S+", line)
+
+    having, exactly, slots_of = {}, {}, {}
+    for t in {t for t in docs.values() if t}:
+        for line in filter(str.strip, t.split("\n")):
+            toks = tokens(line)
+            exactly.setdefault(tuple(toks), set()).add(t)
+            having.setdefault(tuple("<*>" if regex.search("[0-9]", x) else x for x in toks), set()).add(t)
+    often, templates = {}, {}
+    for g in (g for g in having if len(g) >= linededup.LEAST_TOKENS):
+        rest = g[linededup.DEPTH :]
+        cut = [rest[len(rest) * s // linededup.SLOTS : len(rest) * (s + 1) // linededup.SLOTS] for s in range(linededup.SLOTS)]
+        slots_of[g] = (len(g), g[: linededup.DEPTH]), [(s, x) for s, x in enumerate(cut) if x]
+        for slot in slots_of[g][1]:
+            often.setdefault((slots_of[g][0], slot), set()).update(having[g])
+    for g, (leaf, filled) in slots_of.items():
+        constant = [s for s in filled if len(often[leaf, s]) >= documents]
+        if filled and 2 * len(constant) >= len(filled):
+            templates.setdefault((leaf, tuple(constant)), []).append(g)
+    recur = {g for g in slots_of if len(having[g]) >= documents}
+    for some in templates.values():
+        if len(set().union(*(having[g] for g in some))) >= documents:
+            recur |= set(some)
+
+    def goes(line):
+        toks = tuple(tokens(line))
+        least = linededup.LONG_DOCUMENTS if len(toks) >= linededup.LONG else linededup.SHORT_DOCUMENTS if len(toks) < linededup.LEAST_TOKENS else None
+        return bool(line.strip()) and ((least and len(exactly[toks]) >= least) or tuple("<*>" if regex.search("[0-9]", x) else x for x in toks) in recur)
+
+    out = {i: t and "\n".join(x for x in t.split("\n") if not goes(x)) for i, t in docs.items()}
+    mostly = {docs[i]: t for i, t in out.items() if docs[i] and t != docs[i] and 2 * len(t.encode()) <= len(docs[i].encode())}
+    sets = {t: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for t in mostly for w in [t.lower().split()]}
+    copies = {a for a in sets for b in sets if a != b and len(sets[a] & sets[b]) >= linededup.ALIKE * len(sets[a] | sets[b])}
+    return {i: docs[i] if docs[i] in copies else t for i, t in out.items()}
+
+
+def test_against_plain_loops(spark):
+    rnd = random.Random(17)
+    long, short = [prose(rnd, 25) for _ in range(3)], ["And ornd.", "page end", "x"]
+    shapes = [lambda: f"signed in as {prose(rnd, 1)} from the main office", lambda: f"page {rnd.randint(1, 99)} of {rnd.randint(1, 99)}", lambda: f"All rights reserved by {prose(rnd, 2)}", lambda: f"{prose(rnd, 1)} {prose(rnd, 1)} same start and very much the same end here"]
+    docs = {}
+    for i in range(150):
+        lines = [prose(rnd, rnd.randint(1, 30)) for _ in range(rnd.randint(0, 5))]
+        lines += [rnd.choice(shapes)() for _ in range(rnd.randint(0, 2))] + rnd.sample(short, rnd.randint(0, 2))
+        lines += [rnd.choice(long)] * (rnd.random() < 0.05) + [""] * rnd.randint(0, 1)
+        rnd.shuffle(lines)
+        docs[i] = "\n".join(lines)
+    base = [prose(rnd, 40) for _ in range(6)]
+    docs |= {200 + i: "\n".join([*base[:5], f"{base[5]} {i}"]) for i in range(4)} | {300: docs[3], 301: docs[4], 302: None, 303: ""}
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(7)
+    for documents in (3, 5):
+        got = {r.doc_id: r.text for r in linededup.without_recurring_lines(df, documents).collect()}
+        want = slow(docs, documents)
+        assert got == want and sum(a != b for a, b in zip(want.values(), docs.values(), strict=True)) > 20
+
+
 def kept(df):
     return {r.doc_id: r.text for r in linededup.without_recurring_lines(df).collect()}
 
