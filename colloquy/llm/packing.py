@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from .common import durable, texts
 from .wordcodes import byte_codes
 
-#: The pieces of a length are ranked in parts of about so many, so that a common length isn't ranked in one task.
-PART_ROWS = 250_000
+#: The pieces of a length are ranked in parts of at least so many rows, of which there are at most PARTS in all besides
+#: one for each length, so that a common length isn't ranked in one task.
+PART_ROWS, PARTS = 1000, 100_000
 
 
 class Tightest:
@@ -131,11 +132,13 @@ def packed(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int =
     An empty table gives an empty one. Only doc_id and text are read.
     """
     made = durable(pieces(docs, vocabulary, capacity, end_id).withColumn("own", F.monotonically_increasing_id()))
-    parts = {r["length"]: 1 + r["count"] // PART_ROWS for r in made.groupBy("length").count().collect()}  # at most capacity rows
+    whole = {r["length"]: r["count"] for r in made.groupBy("length").count().collect()}  # at most capacity rows
+    each = max(PART_ROWS, sum(whole.values()) // PARTS)
+    parts = {n: 1 + count // each for n, count in whole.items()}
     several = {n: p for n, p in parts.items() if p > 1}
     of = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x).cast("bigint") for p in several.items() for x in p]), F.col("length")), F.lit(1)) if several else F.lit(1)
     made = made.withColumn("part", F.pmod("own", of).cast("int")).drop("own")
-    sizes = made.groupBy("length", "part").count().orderBy("length", "part").collect()  # at most capacity rows, and one for each PART_ROWS pieces
+    sizes = made.groupBy("length", "part").count().orderBy("length", "part").collect()  # at most capacity + PARTS rows
     counts: dict[int, int] = {}
     before: dict[int, list[int]] = {}
     for r in sizes:

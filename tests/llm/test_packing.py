@@ -51,6 +51,19 @@ def test_tightest_open_place():
         assert tree.least_from(ask) == min((m for m in marked if m >= ask), default=None)
 
 
+def test_a_common_length_is_ranked_in_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "one two") for i in range(300)] + [(i, "x " * (i % 40)) for i in range(300, 400)], "doc_id bigint, text string").repartition(5)
+    whole = packing.packed(docs, FILE, 32).collect()
+    monkeypatch.setattr(packing, "PART_ROWS", 7)
+    parts = packing.packed(docs, FILE, 32).collect()
+    for rows in (whole, parts):
+        by = {}
+        for r in rows:
+            by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert all(sum(n for _, n in x) <= 32 and [o for o, _ in sorted(x)] == [sum(n for _, n in sorted(x)[:k]) for k in range(len(x))] for x in by.values())
+    assert len(whole) == len(parts) == 400 and len({r.sequence_id for r in whole}) == len({r.sequence_id for r in parts})
+
+
 def test_packed_documents(odd_docs, no_docs):
     library = Tokenizer.from_file(FILE)
     capacity = 64
