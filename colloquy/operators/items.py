@@ -19,6 +19,8 @@ PLEASANTRIES = ["ขอบคุณ", "โอเค", "ok", "okay", "thanks", "t
 TITLE, SUBJECT, POLITE = 90, 18, 40
 #: Sources that a record may name, and the blocks of one post.
 SOURCES, BLOCKS = ["slack", "slack_paste", "meeting", "note", "youtrack", "notion"], 47
+#: Fixed value: what a number stands after in the key of an item without a ticket.
+UNNAMED = "TAM"
 MESSAGE_ID = r"^msg_([A-Z0-9]+)_(\d+\.\d+)$"
 
 
@@ -210,7 +212,7 @@ def source_of(id_: Column, given: Column) -> Column:
 def linker_key(key: Column) -> Column:
     """A key as the linker has it: empty to unlink, as it is with a namespace, cluster:n or ticket:KEY; null if it is none."""
     k, up = F.trim(key), F.upper(F.trim(key))
-    topic = F.regexp_extract(up, r"^TAM-(\d+)$", 1)
+    topic = F.regexp_extract(up, rf"^{UNNAMED}-(\d+)$", 1)
     return F.when(k == "", "").when(k.contains(":"), k).when(topic != "", F.concat(F.lit("cluster:"), topic)).when(up.rlike(rf"^{TICKET}$"), F.concat(F.lit("ticket:"), up))
 
 

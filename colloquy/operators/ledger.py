@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cues
 from ..functions.text import TICKET, first_cue, trigrams
-from .items import STALE_DAYS, headlines
+from .items import STALE_DAYS, UNNAMED, headlines
 
 #: The likeness from which a message joins an item, and the characters from which it begins one.
 ALIKE, LONG = 0.12, 60
@@ -29,7 +29,7 @@ class _Open:
     def item(self, key: str | None = None) -> int:
         if key is None:
             self.named += 1
-            key = f"TAM-{self.named}"
+            key = f"{UNNAMED}-{self.named}"
         if key not in self.of:
             self.of[key] = len(self.keys)
             self.keys.append(key)
@@ -54,7 +54,7 @@ def assigned(messages: DataFrame) -> DataFrame:
 
     messages(id, channel, pos, ts, thread_ts, text). Each message is judged by what came before it in its channel, so a
     channel is a fold, and one task's work: the runs of characters are made by Spark, the fold only counts them. Items
-    of a channel that no ticket names are numbered TAM-1 and so on.
+    of a channel that no ticket names are numbered.
     """
     ready = messages.select("id", "channel", "pos", "ts", "thread_ts", F.nullif(F.regexp_extract("text", TICKET, 0), F.lit("")).alias("ticket"), F.length("text").alias("length"), F.array_distinct(trigrams(F.col("text"))).alias("grams"))
     kind = messages.schema["channel"].dataType.simpleString()
@@ -100,7 +100,7 @@ def built(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Items (item, headline, state, evidence_id, messages) of all channels, and the messages that belong to none."""
     of = assigned(messages)
     whole = messages.join(of, ["id", "channel"])
-    named = F.when(F.col("item").rlike(rf"^{TICKET}$") & ~F.col("item").rlike(r"^TAM-\d+$"), F.col("item")).otherwise(F.concat_ws(":", "channel", "item"))
+    named = F.when(F.col("item").rlike(rf"^{TICKET}$") & ~F.col("item").rlike(rf"^{UNNAMED}-\d+$"), F.col("item")).otherwise(F.concat_ws(":", "channel", "item"))
     members = whole.where("item is not null").withColumn("item", named)
     counts = members.groupBy("item").agg(F.count(F.lit(1)).alias("messages"))
     return headlines(members).join(states(members), "item").join(counts, "item"), whole.where("item is null").select(*messages.columns)
