@@ -1,10 +1,7 @@
-"""Structural signals: anchors, pair signals, edges, communities and their measures."""
+"""Structural signals: anchors, pair signals, edges, and measures of communities."""
 
 from __future__ import annotations
 
-
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,76 +109,7 @@ def rescued(nodes: DataFrame, graph: DataFrame, nearest: DataFrame) -> DataFrame
     return nearest.where("rank = 1").join(alone.select(F.col("id").alias("l")), "l", "left_semi").select("l", "r", F.greatest(F.col("sim"), F.lit(LEAST)).alias("weight"))
 
 
-# communities
-
-
-def _louvain(nodes: list, links: list[tuple], resolution: float) -> dict:
-    """Communities of one connected component, nodes and ties in id order."""
-    community = {n: n for n in nodes}
-    members = {n: {n} for n in nodes}
-    graph: dict = {n: {} for n in nodes}
-    for a, b, w in links:
-        graph[a][b] = graph[a].get(b, 0.0) + w
-        graph[b][a] = graph[b].get(a, 0.0) + w
-    twice = sum(w for a, b, w in links) * 2
-    if not twice:
-        return community
-    while True:
-        label = {n: n for n in graph}
-        degree = {n: sum(g.values()) for n, g in graph.items()}
-        total = dict(degree)
-        moved_any, moved = False, True
-        while moved:
-            moved = False
-            for n in sorted(graph):
-                own = label[n]
-                near: dict = {}
-                for m, w in graph[n].items():
-                    if m != n:
-                        near[label[m]] = near.get(label[m], 0.0) + w
-                total[own] -= degree[n]
-                gain = lambda c: near.get(c, 0.0) - resolution * degree[n] * total[c] / twice  # noqa: B023, E731
-                best, most = own, gain(own)
-                for c in sorted(near):
-                    if gain(c) > most + 1e-12:
-                        best, most = c, gain(c)
-                total[best] += degree[n]
-                if best != own:
-                    label[n], moved, moved_any = best, True, True
-        if not moved_any:
-            return {x: min(members[n]) for n in members for x in members[n]}
-        merged: dict = {}
-        for n in sorted(graph):
-            merged.setdefault(label[n], set()).update(members.pop(n))
-        name = {c: min(xs) for c, xs in merged.items()}
-        fresh: dict = {name[c]: {} for c in merged}
-        for n, g in graph.items():
-            for m, w in g.items():
-                a, b = name[label[n]], name[label[m]]
-                fresh[a][b] = fresh[a].get(b, 0.0) + w
-        graph, members = fresh, {name[c]: xs for c, xs in merged.items()}
-
-
-def communities(nodes: DataFrame, graph: DataFrame, labelled: DataFrame, resolution: float = 4.0) -> DataFrame:
-    """(id, community): Louvain within each connected component, named by the least member.
-
-    labelled(id, component). A component is worked on as a whole in one task, as the method demands; several that
-    don't touch run side by side. Resolution is scaled to each component's share of the whole weight, so that splitting
-    the work changes nothing.
-    """
-    whole = graph.agg(F.sum("weight").alias("w")).first()["w"] or 0.0
-    inside = graph.join(labelled.select(F.col("id").alias("l"), "component"), "l").select("component", "l", "r", "weight")
-    alone = nodes.join(labelled, "id", "left").select(F.coalesce("component", "id").alias("component"), F.col("id").alias("l"), F.lit(None).cast(nodes.schema["id"].dataType).alias("r"), F.lit(0.0).alias("weight"))
-    kind = nodes.schema["id"].dataType.simpleString()
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        links = [(a, b, w) for a, b, w in part[part.r.notna()][["l", "r", "weight"]].itertuples(index=False)]
-        weight = sum(w for _, _, w in links)
-        ids = sorted(set(part.l) | {b for _, b, _ in links})
-        found = _louvain(ids, sorted(links), resolution * weight / whole if whole else 1.0)
-        return pd.DataFrame({"id": ids, "community": [found[n] for n in ids]})
-
-    return inside.unionByName(alone).groupBy("component").applyInPandas(run, f"id {kind}, community {kind}")
+# measures of communities
 
 
 def size_ranked(found: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import cues, when
 from ..functions import text as T
-from ..operators import decisions, drift, relations, signals, state, upserts
-from ..operators.graphs import components
+from ..operators import decisions, drift, louvain, relations, signals, state, upserts
+from ..operators.graphs import components, written
 from ..sources import records as R
 from ..sources.tables import conversation_records, table
 from .search import RECORDS
@@ -214,7 +214,7 @@ def isolate_rescue(spark: SparkSession, d: str) -> DataFrame:
 def _communities(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     nodes, edge, near = _graph(spark, d)
     whole = edge.unionByName(signals.rescued(nodes, edge, near))
-    return signals.communities(nodes.select("id"), whole, components(whole)), whole
+    return louvain.communities(nodes.select("id"), whole), whole
 
 
 def communities(spark: SparkSession, d: str) -> DataFrame:
@@ -230,6 +230,29 @@ def community_quality(spark: SparkSession, d: str) -> DataFrame:
     return signals.modularity(whole, labels).crossJoin(signals.agreement(truth)).select(F.round("modularity", 6).alias("modularity"), F.round("ari", 6).alias("ari"), F.round("nmi", 6).alias("nmi"))
 
 
+def community_laws(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the communities found, whatever they are: a row for each law."""
+    found, whole = _communities(spark, d)
+    found, whole = written(found), written(whole)
+    nodes = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("truth"))
+    labels = found.select("id", F.col("community").alias("label"))
+    inside = components(whole).join(labels, "id")
+    law = lambda name, df: df.select(F.lit(name).alias("law"), F.col("n").cast("bigint").alias("n"))
+    count = lambda df: df.agg(F.count(F.lit(1)).alias("n"))
+    better = signals.modularity(whole, labels).select(F.col("modularity").alias("m")).crossJoin(signals.modularity(whole, nodes.select("id", F.col("truth").alias("label"))))
+    rows = [
+        law("nodes", count(nodes.join(labels, "id", "left_semi"))),
+        law("nodes in two communities", count(labels.groupBy("id").count().where("count > 1"))),
+        law("named by another than the least member", count(labels.groupBy("label").agg(F.min("id").alias("least")).where("least != label"))),
+        law("communities of nodes that no path joins", count(inside.groupBy("label").agg(F.count_distinct("component").alias("k")).where("k > 1"))),
+        law("modularity not above that of the true labels", count(better.where("m <= modularity"))),
+    ]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
 def modularity(spark: SparkSession, d: str) -> DataFrame:
     nodes, edge, _ = _graph(spark, d)
     return signals.modularity(edge, nodes.select("id", F.col("truth").alias("label"))).select(F.round("modularity", 6).alias("modularity"))
@@ -549,7 +572,7 @@ QUERIES = {
     for f in (
         normalize_markup, usefulness_filter, asserted_lines, flatten_turns, thread_rollup, upsert_by_id, carry_forward_heading, run_merge,
         cue_relations, relation_histogram, timeline_dedup, waiting_lines, anchor_idf, anchor_overlap, pair_signals, similarity_edges, isolate_rescue,
-        communities, community_quality, modularity, ari_nmi, cluster_purity, link_thread_vote, link_consensus, link_overrides, unresolved_links,
+        communities, community_quality, community_laws, modularity, ari_nmi, cluster_purity, link_thread_vote, link_consensus, link_overrides, unresolved_links,
         item_owner, content_ids, latest_state, state_gate, declarations_asof, window_topics, digest_order, state_histogram,
         drift_four_kinds, silent_tickets, coverage, agreement, people_rows, person_partners, pending_streaks, escalate_once, business_days_stale,
         decision_chain, json_props, hash_ids, pseudonyms,
@@ -583,6 +606,7 @@ ORACLE = {
     "similarity_edges": f"SELECT l, r, round(1.5 + 0.3 * \"time\" + 0.8 * anchors + 0.35 * channel, 6) AS weight FROM ({_PAIRS.replace('round(CASE', '(CASE').replace('END, 6)', 'END)')})",
     "isolate_rescue": f"WITH {_MUTUAL} SELECT l, r, round(greatest(sim, 0.05), 6) AS weight FROM n WHERE rank = 1 AND l NOT IN (SELECT l FROM g UNION SELECT r FROM g)",
     "modularity": f"WITH {_MUTUAL}, x AS (SELECT weight, a.label AS ca, b.label AS cb FROM g JOIN embeddings a ON a.vec_id = l JOIN embeddings b ON b.vec_id = r), d AS (SELECT c, sum(weight) AS d FROM (SELECT ca AS c, weight FROM x UNION ALL SELECT cb, weight FROM x) GROUP BY c) SELECT round(sum(CASE WHEN ca = cb THEN weight ELSE 0 END) / sum(weight) - (SELECT sum(d * d) FROM d) / (4 * sum(weight) * sum(weight)), 6) AS modularity FROM x",
+    "community_laws": "SELECT 'nodes' AS law, count(*) AS n FROM embeddings UNION ALL SELECT unnest(['nodes in two communities', 'named by another than the least member', 'communities of nodes that no path joins', 'modularity not above that of the true labels']), 0",
     "ari_nmi": f"WITH {_LABELLED}, c AS (SELECT label, truth, count(*)::DOUBLE AS n FROM e GROUP BY ALL), a AS (SELECT label, sum(n) AS x FROM c GROUP BY ALL), b AS (SELECT truth, sum(n) AS y FROM c GROUP BY ALL), t AS (SELECT count(*)::DOUBLE AS t FROM e), s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS bo, (SELECT sum(x * (x - 1) / 2) FROM a) AS sa, (SELECT sum(y * (y - 1) / 2) FROM b) AS sb, t FROM t) SELECT round((bo - sa * sb / (t * (t - 1) / 2)) / ((sa + sb) / 2 - sa * sb / (t * (t - 1) / 2)), 6) AS ari, round(2 * (SELECT sum(n / t * ln(n * t / (x * y))) FROM c JOIN a USING (label) JOIN b USING (truth)) / ((SELECT -sum(x / t * ln(x / t)) FROM a) + (SELECT -sum(y / t * ln(y / t)) FROM b)), 6) AS nmi FROM s",
     "cluster_purity": f"WITH {_LABELLED}, c AS (SELECT label, truth, count(*) AS n FROM e GROUP BY ALL) SELECT label, sum(n)::BIGINT AS size, round(max(n) / sum(n), 6) AS purity FROM c GROUP BY label",
     "link_thread_vote": f"WITH {_EXPLICIT} SELECT coalesce(key, '') AS key, coalesce(tier, 'unassigned') AS tier, CASE tier WHEN 'explicit' THEN 1.0 WHEN 'thread' THEN 0.9 ELSE 0.0 END::DOUBLE AS confidence, count(*) AS n FROM st GROUP BY ALL",

@@ -1,8 +1,9 @@
 import datetime as dt
+import random
 
 import pytest
 from colloquy.functions.encode import embedded
-from colloquy.operators import decisions, drift, evaluation, fusion, graphs, relations, signals, state, upserts
+from colloquy.operators import decisions, drift, evaluation, fusion, graphs, louvain, relations, signals, state, upserts
 from colloquy.plans import digest, retrieve
 from colloquy.sources import records as R
 from colloquy.sources import tracker, transcripts
@@ -140,7 +141,7 @@ def test_communities_and_measures(spark):
     nodes = spark.createDataFrame([(i,) for i in (*range(5), *range(10, 15), 30, 31, 99)], "id bigint")
     parts = graphs.components(graph)
     assert {r.id: r.component for r in parts.collect()} == {i: 0 for i in (*range(5), *range(10, 15))} | {30: 30, 31: 30}
-    found = signals.communities(nodes, graph, parts, 1.0)
+    found = louvain.communities(nodes, graph, 1.0)
     assert {r.id: r.community for r in found.collect()} == {i: 0 for i in range(5)} | {i: 10 for i in range(10, 15)} | {30: 30, 31: 30, 99: 99}
     assert {r.label: r.size for r in signals.size_ranked(found).collect()} == {0: 5, 1: 5, 2: 2, 3: 1}
     both = found.select(F.col("community").alias("label"), F.col("community").alias("truth"))
@@ -149,6 +150,39 @@ def test_communities_and_measures(spark):
     assert signals.modularity(graph, found.select("id", F.col("community").alias("label"))).first()[0] > signals.modularity(graph, nodes.select("id", F.lit(1).alias("label"))).first()[0]
 
 
+def test_communities_in_rounds_are_as_good_as_node_by_node(spark):
+    """Parallel moves against the sequential fold on a graph with planted groups, repeated edges, loops and a hub."""
+    rnd = random.Random(3)
+    links = []
+    for _ in range(6000):
+        a = rnd.randrange(1500)
+        b = a // 30 * 30 + rnd.randrange(30) if rnd.random() < 0.7 else rnd.randrange(1500)
+        links.append((a, b, round(rnd.random() + 0.05, 3)))
+    links += [(0, i, 0.05) for i in range(1, 1500)] + [(None, 3, 1.0), (3, 4, None), (5, 6, -1.0)]
+    graph = spark.createDataFrame(links, "l bigint, r bigint, weight double")
+    nodes = spark.range(1502).toDF("id")
+    found = {r.id: r.community for r in louvain.communities(nodes, graph, 1.0, fold_edges=2000).collect()}
+    assert set(found) == set(range(1502)) and all(min(i for i, c in found.items() if c == x) == x for x in set(found.values()))
+    assert found[1500] == 1500 and found[1501] == 1501
+
+    weight: dict = {}
+    for a, b, w in links:
+        if a is not None and w is not None and w > 0:
+            weight[min(a, b), max(a, b)] = weight.get((min(a, b), max(a, b)), 0) + round(w * louvain.UNIT)
+    whole = 2 * sum(weight.values())
+
+    def quality(label):
+        total: dict = {}
+        for (a, b), w in weight.items():
+            total[label[a]] = total.get(label[a], 0) + w
+            total[label[b]] = total.get(label[b], 0) + w
+        return 2 * sum(w for (a, b), w in weight.items() if label[a] == label[b]) / whole - sum((t / whole) ** 2 for t in total.values())
+
+    both = [(a, b, w) for (a, b), w in weight.items() if a != b]
+    exact = louvain.folded(both + [(b, a, w) for a, b, w in both], {i: weight.get((i, i), 0) for i in range(1500)}, float(whole), 1.0)
+    assert quality(found) > 0.99 * quality(exact) > 0.3
+
+
 def test_measures_by_hand(spark):
     ranks = spark.createDataFrame([(1, i, i) for i in range(1, 6)] + [(2, 9, 1)], "query_id int, id int, rank int")
     truth = spark.createDataFrame([(1, 2), (1, 4), (1, 77), (2, 5)], "query_id int, id int")
