@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graphs import stored, written
+
 
 def dot(a: Column, b: Column) -> Column:
     pairs = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -25,12 +28,58 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
 
 
-def cosine_to(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, key, score) of each given query with each vector.
+def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """A column of vectors as rows, and which of them count: null ones, and such as lack components, don't."""
+    arrays = column.combine_chunks()
+    lengths = arrays.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    width = int(lengths.max()) if len(lengths) else 0
+    good = (lengths == width) & (width > 0)
+    out = np.zeros((len(lengths), width))
+    if good.any():
+        out[good] = arrays.filter(pa.array(good)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    good &= np.isfinite(out).all(axis=1)
+    out[~good] = 0
+    return out, good
+
+
+def cosine_to(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", best: int | None = None, block: int = 4096) -> DataFrame:
+    """(query_id, key, score) of each given query with each vector, or with its ``best`` vectors, ties to the smaller key.
 
-    queries(query_id, q) is a stated query set: it is broadcast if it is small, and joined in blocks by Spark if not.
+    queries(query_id, q) is a stated query set. Both sides are dealt into blocks of a bounded size; a block of queries
+    meets a block of vectors in one task, as one matrix product. With best, only so many of each query leave a task, and
+    the final choice is made over these. Vectors that are null or lack components have a null score, and are no one's best.
     """
-    return vectors.select(key, vector).join(queries, F.lit(True)).select("query_id", key, dot(F.col(vector), F.col("q")).alias("score"))
+    asked, rows = queries.select("query_id", F.col("q").cast("array<double>").alias("v")), vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    across, down = (max(1, -(-df.count() // block)) for df in (rows, asked))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("query_id", F.lit(None).cast(rows.schema["id"].dataType).alias("id"), "v", dealt("query_id", down).alias("i"), every(across).alias("j"), F.lit(0).alias("side"))
+    right = rows.select(F.lit(None).cast(asked.schema["query_id"].dataType).alias("query_id"), "id", "v", dealt("id", across).alias("j"), every(down).alias("i"), F.lit(1).alias("side"))
+
+    def met(t: pa.Table) -> pa.Table:
+        side = t.column("side").to_numpy()
+        x, good = _matrix(t.column("v"))
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if best is not None:
+            b = b[good[b]]
+            names = t.column("id").combine_chunks().take(pa.array(b))
+            b = b[pc.array_sort_indices(names).to_numpy()]
+        out = []
+        for at in range(0, len(a) if len(b) else 0, 256):
+            some = a[at : at + 256]
+            s = np.einsum("id,jd->ij", x[some], x[b])
+            columns = np.broadcast_to(np.arange(len(b)), s.shape)
+            if best is not None and best < len(b):
+                columns = np.argsort(-np.round(s, 9), axis=1, kind="stable")[:, :best]
+                s = np.take_along_axis(s, columns, 1)
+            null = ~(good[some][:, None] & good[b][columns])
+            row = pa.array(np.repeat(some, s.shape[1]))
+            out.append(pa.table({"query_id": t["query_id"].take(row), key: t["id"].take(pa.array(b[columns].ravel())), "score": pa.array(s.ravel(), mask=null.ravel())}))
+        empty = pa.table({"query_id": t["query_id"].slice(0, 0), key: t["id"].slice(0, 0), "score": pa.array([], pa.float64())})
+        return pa.concat_tables([empty, *out])
+
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((asked, "query_id"), (rows, "id"))]
+    return left.unionByName(right).groupBy("i", "j").applyInArrow(met, f"query_id {kinds[0]}, {key} {kinds[1]}, score double")
 
 
 def knn(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
@@ -71,6 +120,77 @@ def knn(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embeddin
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+#: Of approximate neighbours: tables of random halvings, rows of a part in which all meet all, neighbours of a node that
+#: are introduced to each other, rounds at most, and the share of neighbours whose change is worth another round.
+TABLES, PART, MEET, ROUNDS, LEAST_NEW = 6, 512, 16, 8, 0.005
+
+
+def neighbours(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", exact_rows: int = 100_000) -> DataFrame:
+    """knn() up to exact_rows vectors, and descended() beyond: exact work grows with the square."""
+    return knn(vectors, k, key, vector) if vectors.count() <= exact_rows else descended(vectors, k, key, vector)
+
+
+def _group_best(table_: pa.Table, k: int) -> pa.Table:
+    """(l, r, sim): the k best others of each vector of a group, both ends named."""
+    named, (x, good) = table_.column("id").combine_chunks(), _matrix(table_.column("v"))
+    order = pc.array_sort_indices(named).to_numpy()
+    order = order[good[order]]
+    x, named = x[order], named.take(pa.array(order))
+    s = np.einsum("id,jd->ij", x, x)
+    np.fill_diagonal(s, -np.inf)
+    col = np.argsort(-np.round(s, 9), axis=1, kind="stable")[:, : min(k, max(0, len(order) - 1))]
+    row = np.repeat(np.arange(len(order)), col.shape[1])
+    return pa.table({"l": named.take(pa.array(row)), "r": named.take(pa.array(col.ravel())), "sim": pa.array(np.take_along_axis(s, col, 1).ravel())})
+
+
+def _k_best(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("l").orderBy(F.desc(F.round("sim", 9)), "r")
+    return found.groupBy("l", "r").agg(F.max("sim").alias("sim")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def descended(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", rounds: int = ROUNDS, seed: int = 7) -> DataFrame:
+    """(l, r, sim, rank): each vector's k nearest others by inner product, approximately, in work near the number of rows.
+
+    A first graph comes from several tables, in which random hyperplanes part the vectors; the rows of a part, cut where
+    it is large, all meet. Then neighbours are introduced to each other: each node sends some of its neighbours, and
+    some of the nodes whose neighbour it is, to one group, where all pairs are compared, and every node keeps its k best.
+    That is repeated until few neighbours change. Sizes of groups are bounded whatever the data; a node that very many
+    have as a neighbour sends MEET of them, chosen by a hash of the round.
+    """
+    rows = stored(vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null"), "vectors")
+    n, kind = rows.count(), vectors.schema[key].dataType.simpleString()
+    width = rows.agg(F.max(F.size("v"))).first()[0] or 1
+    bits = min(30, max(0, int(np.ceil(np.log2(max(1, 2 * n / PART))))))
+    planes = np.random.default_rng(seed).standard_normal((TABLES, width, max(1, bits)))
+
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            x, _ = _matrix(t.column("v"))
+            x = np.pad(x, ((0, 0), (0, width - x.shape[1])))
+            for i in range(TABLES):
+                cell = ((x @ planes[i] > 0) @ (1 << np.arange(max(1, bits)))).astype(np.int64) if bits else np.zeros(len(x), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(np.full(len(x), i, dtype=np.int32)), pa.array(cell)], names=["id", "v", "side", "cell"])
+
+    dealt = rows.mapInArrow(parted, f"id {kind}, v array<double>, side int, cell bigint")
+    sizes = written(dealt.groupBy("side", "cell").agg(F.count(F.lit(1)).alias("n")))
+    cut = dealt.join(sizes.hint("shuffle_merge"), ["side", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / PART)))
+    schema = f"l {kind}, r {kind}, sim double"
+    graph = stored(_k_best(cut.groupBy("side", "cell", "part").applyInArrow(lambda t: _group_best(t.select(["id", "v"]), k), schema), k), "graph")
+    for i in range(rounds):
+        ends = graph.select(F.col("l").alias("at"), F.col("r").alias("id")).unionByName(graph.select(F.col("r").alias("at"), F.col("l").alias("id"))).distinct()
+        chance = Window.partitionBy("at").orderBy(F.xxhash64("id", F.lit(i)), "id")
+        meets = ends.withColumn("place", F.row_number().over(chance)).where(F.col("place") <= MEET).select("at", "id")
+        found = meets.unionByName(graph.select(F.col("l").alias("at"), F.col("l").alias("id")).distinct()).join(rows.hint("shuffle_merge"), "id")
+        better = found.groupBy("at").applyInArrow(lambda t: _group_best(t.select(["id", "v"]), k), schema)
+        fresh = stored(_k_best(graph.select("l", "r", "sim").unionByName(better), k), "graph")
+        new = fresh.join(graph.select("l", "r"), ["l", "r"], "left_anti").count()
+        graph = fresh
+        if new <= LEAST_NEW * k * n:
+            break
+    return graph
+
+
 def pair_moments(vectors: DataFrame, group: str, key: str = "vec_id", vector: str = "embedding", block: int = 4096, low: float = -0.2, width: float = 0.05) -> DataFrame:
     """(same, bin, pairs, total, squares): of the inner products of all pairs, counted once, by whether the group is the same.
 

@@ -186,7 +186,7 @@ def relevance(corpus: Corpus, queries: DataFrame) -> DataFrame:
     lex = lexical.scores(lexical.matches(corpus.indexed(), queries.select("query_id", "text"), key="id")).groupBy("query_id").agg(F.max("score").alias("lexical"))
     out = queries.select("query_id").join(lex, "query_id", "left")
     if corpus.vectors is not None:
-        dense = vectors.cosine_to(corpus.vectors, queries.select("query_id", "q"), "id", "v").groupBy("query_id").agg(F.max("score").alias("dense"))
+        dense = vectors.cosine_to(corpus.vectors, queries.select("query_id", "q"), "id", "v", best=1).groupBy("query_id").agg(F.max("score").alias("dense"))
         out = out.join(dense, "query_id", "left")
     else:
         out = out.withColumn("dense", F.lit(0.0))

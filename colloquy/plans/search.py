@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import fusion, lexical, vectors
-from ..operators.graphs import written
+from ..operators import fusion, lexical, postings, vectors
+from ..operators.graphs import shared_dir, written
 from ..sources.tables import conversation_records, table, texts
 
 #: The benchmark passages are the search strings; each is a query of its own.
@@ -60,6 +62,17 @@ def bm25_search_topk(spark: SparkSession, d: str) -> DataFrame:
     return best.select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
 
 
+def bm25_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a written index: all documents in one segment, of which some are out of date, and those anew in a second."""
+    docs = _docs(spark, d)
+    late = F.pmod("doc_id", F.lit(100)) == 7
+    index = postings.Index(spark, f"{shared_dir(spark)}/bm25-{uuid.uuid4().hex}")
+    index.append(docs.withColumn("text", F.when(late, F.concat(F.lit("of the before "), F.reverse("text"))).otherwise(F.col("text"))))
+    index.append(docs.where(late))
+    found = index.search(_asked(spark, d), K)
+    return found.select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 6).alias("score"))
+
+
 def bm25_corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     p = written(lexical.postings(_docs(spark, d)))
     df = p.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
@@ -108,14 +121,14 @@ _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda x: x[1]::DOUBLE * x[2
 _COS = f"c AS (SELECT q.vec_id AS query_id, v.vec_id, {_DOT.format(a='q.embedding', b='v.embedding')} AS score, q.label AS q_label, v.label FROM embeddings q CROSS JOIN embeddings v WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id)"
 
 
-def _cosines(spark: SparkSession, d: str) -> DataFrame:
+def _cosines(spark: SparkSession, d: str, best: int | None = None) -> DataFrame:
     v, q = _probe(spark, d)
-    return vectors.cosine_to(v, q).where("query_id != vec_id")
+    return vectors.cosine_to(v, q, best=best and best + 1).where("query_id != vec_id")
 
 
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
-    best = _cosines(spark, d).withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= K)
+    best = _cosines(spark, d, K).withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= K)
     return best.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -127,6 +140,15 @@ def knn6(spark: SparkSession, d: str) -> DataFrame:
     return _neighbours(spark, d).select("l", "r", F.round("sim", 6).alias("sim"), F.col("rank").cast("bigint").alias("rank"))
 
 
+def neighbour_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Approximate neighbours against exact ones: how many rows there are, and whether 95 in 100 are the true ones."""
+    v = table(spark, d, "embeddings")
+    found, true = written(vectors.descended(v, 6)), vectors.knn(v, 6)
+    hit = true.join(found.select("l", "r"), ["l", "r"], "left_semi").agg(F.count(F.lit(1)).alias("hit"))
+    rows = found.agg(F.count(F.lit(1)).alias("rows"))
+    return rows.crossJoin(hit).select("rows", (F.col("hit") >= 0.95 * F.col("rows")).alias("enough"))
+
+
 def _knn_sql(k: int) -> str:
     return f"p AS (SELECT a.vec_id AS l, b.vec_id AS r, {_DOT.format(a='a.embedding', b='b.embedding')} AS sim FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id <> b.vec_id), n AS (SELECT l, r, sim, row_number() OVER (PARTITION BY l ORDER BY round(sim, 9) DESC, r) AS rank FROM p QUALIFY rank <= {k})"
 
@@ -247,7 +269,7 @@ def relevance_gate(spark: SparkSession, d: str) -> DataFrame:
     lex = lexical.scores(_matches(spark, d)).groupBy("query_id").agg(F.max("score").alias("lexical"))
     v, _ = _probe(spark, d)
     q = v.join(asked.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    dense = vectors.cosine_to(v, q).where("query_id != vec_id").groupBy("query_id").agg(F.max("score").alias("dense"))
+    dense = vectors.cosine_to(v, q, best=2).where("query_id != vec_id").groupBy("query_id").agg(F.max("score").alias("dense"))
     both = asked.select("query_id").join(lex, "query_id", "left").join(dense, "query_id", "left").fillna(0.0, ["lexical", "dense"])
     known = both.withColumn("passes", (F.col("lexical") > 0) & (F.col("dense") >= 0.45))
     sure = F.when((F.col("lexical") > 0.01) & (F.col("dense") >= 0.5), "high").when(F.col("lexical") > 0.01, "medium").otherwise("low")
@@ -305,11 +327,13 @@ SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(sco
 
 QUERIES = {
     "bm25_search_topk": bm25_search_topk,
+    "bm25_index_topk": bm25_index_topk,
     "bm25_corpus_stats": bm25_corpus_stats,
     "bm25_matched_terms": bm25_matched_terms,
     "trigram_local_search": trigram_local_search,
     "cosine_topk": cosine_topk,
     "knn6": knn6,
+    "neighbour_recall": neighbour_recall,
     "mutual_knn": mutual_knn,
     "hubness_csls": hubness_csls,
     "center_transform": center_transform,
@@ -329,11 +353,13 @@ QUERIES = {
 
 ORACLE = {
     "bm25_search_topk": _BM25 + "SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 10",
+    "bm25_index_topk": _BM25 + "SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank, round(score, 6) AS score FROM s QUALIFY rank <= 10",
     "bm25_corpus_stats": f"WITH {_tokens_sql('d', 'documents', 'doc_id')}, tf AS (SELECT id, term, count(*) AS tf FROM d_toks GROUP BY ALL), c AS (SELECT count(*) AS n FROM documents) SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, round(ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf FROM tf CROSS JOIN c GROUP BY term",
     "bm25_matched_terms": _BM25
     + ", b AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s QUALIFY rank <= 3), t AS (SELECT query_id, doc_id, term, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY idf DESC, term DESC) AS k FROM m JOIN b USING (query_id, doc_id) WHERE idf >= 0.5 QUALIFY k <= 8) SELECT query_id, doc_id, string_agg(term, ' ' ORDER BY k) AS terms FROM t GROUP BY ALL",
     "trigram_local_search": _TRIGRAM,
     "cosine_topk": f"WITH {_COS} SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank, round(score, 6) AS score FROM c QUALIFY rank <= 10",
+    "neighbour_recall": "SELECT sum(least(6, n - 1))::BIGINT AS rows, true AS enough FROM (SELECT count(*) OVER () AS n FROM embeddings)",
     "knn6": f"WITH {_knn_sql(6)} SELECT l, r, round(sim, 6) AS sim, rank FROM n",
     "mutual_knn": f"WITH {_knn_sql(6)} SELECT a.l, a.r, round(a.sim, 6) AS sim FROM n a JOIN n b ON a.l = b.r AND a.r = b.l WHERE a.l < a.r",
     "hubness_csls": f"WITH {_COS}, {_knn_sql(10)}, h AS (SELECT l AS vec_id, avg(sim) AS hub FROM n GROUP BY ALL), f AS (SELECT query_id, vec_id, score - hub AS score FROM c JOIN h USING (vec_id)) SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank, round(score, 6) AS score FROM f QUALIFY rank <= 10",
