@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graphs import stored
+
 #: Hours of quiet after a ticket changed, and days without a word that make a ticket silent.
 QUIET_HOURS, SILENT_DAYS = 6.0, 21.0
 
@@ -39,6 +41,42 @@ def silent(tickets: DataFrame, named: DataFrame, now: float, days: float = SILEN
     return tickets.where("not resolved and updated > 0").join(named.select("ticket").distinct(), "ticket", "left_anti").withColumn("idle_days", idle).where(F.col("idle_days") >= days).select("ticket", "idle_days")
 
 
+def keys_in(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """texts(text), keys(key) -> (key): the keys that stand anywhere in a text, also within longer words, case aside.
+
+    A key of letters and digits, a hyphen and digits can only stand in a run of that shape: of each run all ends of its first
+    part are put together with all beginnings of its second, no longer than the longest keys, and meet the keys as
+    equals. Any other key meets the texts that have its first three characters in a row, and is then looked for in full.
+    So no text meets a key that it has nothing in common with. Null and empty keys are in no text.
+    """
+    shape = "^[A-Z0-9]+-[0-9]+$"
+    low = stored(keys.select("key", F.upper("key").alias("k")).where("k != ''").distinct(), "keys")
+    said = texts.select(F.upper("text").alias("t")).where("t is not null")
+    plain, rest = low.where(F.col("k").rlike(shape)), low.where(~F.col("k").rlike(shape))
+    cut = F.split("k", "-")
+    most = plain.agg(F.coalesce(F.max(F.length(cut[0])), F.lit(0)).alias("a"), F.coalesce(F.max(F.length(cut[1])), F.lit(0)).alias("b")).first()
+    run = said.select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"[A-Z0-9]+(?:-[0-9]+)+"), F.lit(0)))).alias("run")).distinct()
+    part = run.select(F.explode(F.expr("transform(sequence(1, size(split(run, '-')) - 1), i -> struct(split(run, '-')[i - 1] as a, split(run, '-')[i] as b))")).alias("p")).select("p.*").distinct()
+    ends = part.select(F.explode(F.expr(f"transform(sequence(1, least(length(a), {max(1, most['a'])})), i -> right(a, i))")).alias("a"), "b")
+    both = ends.select(F.explode(F.expr(f"transform(sequence(1, least(length(b), {max(1, most['b'])})), i -> concat(a, '-', left(b, i)))")).alias("k"))
+    out = plain.join(both.distinct(), "k", "left_semi")
+    lengths = [r["n"] for r in rest.select(F.least(F.length("k"), F.lit(3)).alias("n")).distinct().collect()]  # three at most
+    if lengths:
+        grams = F.concat(*[F.expr(f"transform(sequence(1, greatest(length(t) - {n - 1}, 1)), i -> substr(t, i, {n}))") for n in lengths])
+        some = said.distinct().select("t", F.explode(F.array_distinct(grams)).alias("g"))
+        first = rest.withColumn("g", F.left("k", F.lit(3)))
+        out = out.unionByName(first.join(some, "g").where(F.col("t").contains(F.col("k"))).select("k", "key").distinct())
+    return out.select("key").distinct()
+
+
+def quiet(tickets: DataFrame, texts: DataFrame, now: float, days: float = SILENT_DAYS) -> DataFrame:
+    """(ticket, idle_days, mentioned): open tickets unchanged for so long, and whether any text has their key in it."""
+    idle = (F.lit(now) - F.col("updated")) / 86400.0
+    still = tickets.where("not resolved and updated > 0").withColumn("idle_days", idle).where(F.col("idle_days") >= days).select("ticket", "idle_days")
+    named = keys_in(texts, still.select(F.col("ticket").alias("key"))).select(F.col("key").alias("ticket"), F.lit(True).alias("mentioned"))
+    return still.join(named, "ticket", "left").select("ticket", "idle_days", F.coalesce("mentioned", F.lit(False)).alias("mentioned"))
+
+
 def coverage(topics: DataFrame, tickets: DataFrame) -> DataFrame:
     """One row: topics, how many have a ticket, and how many of those the tracker knows."""
     known = tickets.select(F.upper("ticket").alias("k"), F.lit(1).alias("hit"))

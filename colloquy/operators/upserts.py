@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,30 +72,77 @@ class Deltas:
 class Versions:
     """A table of whole versions: a new one is written beside the others, then named as the current one.
 
-    Readers of the last version are never disturbed, and a write that fails leaves it current.
+    A version is named by a pointer, a small file whose name is its number and which is put only if none of that number is
+    there. So of two writers that start from one version, the second finds the number taken, reads what the first has
+    made and tries again: neither is lost. Readers of the last version are never disturbed; a write that fails, or a
+    pointer that was torn, leaves the last good one current.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self._at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/log")
+        self._fs = self._at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _current(self) -> DataFrame | None:
+    def _pointers(self) -> list[int]:
+        if not self._fs.exists(self._at):
+            return []
+        return sorted(int(f.getPath().getName()) for f in self._fs.listStatus(self._at) if f.getPath().getName().isdigit())
+
+    def _named(self, n: int) -> str | None:
+        """What a pointer names; None if it is torn."""
+        stream = self._fs.open(self.spark._jvm.org.apache.hadoop.fs.Path(self._at, f"{n:012d}"))
         try:
-            log = self.spark.read.schema("n long, version string").json(f"{self.path}/log")
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
-        return log
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return text[:-1] if text.endswith("\n") and len(text) > 1 else None
+
+    def current(self) -> tuple[int, str | None]:
+        """The greatest number that is taken, and the newest version whose pointer is whole."""
+        found = self._pointers()
+        for n in reversed(found):
+            if name := self._named(n):
+                return found[-1], name
+        return (found[-1] if found else 0), None
 
     def read(self) -> DataFrame | None:
-        log = self._current()
-        row = log.orderBy(F.desc("n")).first() if log is not None else None
-        return self.spark.read.parquet(f"{self.path}/{row['version']}") if row else None
+        _, name = self.current()
+        return self.spark.read.parquet(f"{self.path}/{name}") if name else None
+
+    def _put(self, n: int, name: str) -> bool:
+        """Point number n at a version, if nothing has that number."""
+        self._fs.mkdirs(self._at)
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self._at, f"{n:012d}")
+        try:
+            if self._fs.getScheme() == "file":  # Hadoop's local file system looks first and creates then, which is not one step
+                with open(self._fs.makeQualified(place).toUri().getPath(), "x") as f:
+                    f.write(name + "\n")
+            else:
+                stream = self._fs.create(place, False)
+                stream.write(bytearray((name + "\n").encode()))
+                stream.close()
+        except FileExistsError:
+            return False
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception.getClass()) or self._fs.exists(place):
+                return False
+            raise
+        return True
 
     def write(self, df: DataFrame) -> str:
-        log = self._current()
-        n = (log.agg(F.max("n")).first()[0] or 0) + 1 if log is not None else 1
-        version = f"v{n}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(f"{self.path}/{version}")
-        self.spark.createDataFrame([(n, version)], "n long, version string").coalesce(1).write.mode("append").json(f"{self.path}/log")
-        return version
+        """These rows as the newest version, whatever others have written meanwhile."""
+        name = f"v-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{name}")
+        while not self._put(self.current()[0] + 1, name):
+            pass
+        return name
+
+    def update(self, change: Callable[[DataFrame | None], DataFrame], tries: int = 20) -> str:
+        """change(current rows, None at first) as the next version; made again from what another writer has put first."""
+        for _ in range(tries):
+            n, was = self.current()
+            name = f"v-{uuid.uuid4().hex}"
+            change(self.spark.read.parquet(f"{self.path}/{was}") if was else None).write.parquet(f"{self.path}/{name}")
+            if self._put(n + 1, name):
+                return name
+        raise RuntimeError(f"others have written {tries} versions first")

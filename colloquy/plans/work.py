@@ -467,6 +467,13 @@ def silent_tickets(spark: SparkSession, d: str) -> DataFrame:
     return drift.silent(tickets, named, float(now)).select("ticket", F.round("idle_days", 3).alias("idle_days"))
 
 
+def quiet_tickets(spark: SparkSession, d: str) -> DataFrame:
+    """All open tickets without a change for long, against every text: also those that no topic has."""
+    _, tickets, said = _tickets(spark, d)
+    now = spark.sql(f"select unix_seconds(timestamp'{NOW}') as s").first()["s"]
+    return drift.quiet(tickets, said.select("text"), float(now)).select("ticket", F.round("idle_days", 3).alias("idle_days"), "mentioned")
+
+
 def coverage(spark: SparkSession, d: str) -> DataFrame:
     topics, tickets, _ = _tickets(spark, d)
     return drift.coverage(topics, tickets)
@@ -574,7 +581,7 @@ QUERIES = {
         cue_relations, relation_histogram, timeline_dedup, waiting_lines, anchor_idf, anchor_overlap, pair_signals, similarity_edges, isolate_rescue,
         communities, community_quality, community_laws, modularity, ari_nmi, cluster_purity, link_thread_vote, link_consensus, link_overrides, unresolved_links,
         item_owner, content_ids, latest_state, state_gate, declarations_asof, window_topics, digest_order, state_histogram,
-        drift_four_kinds, silent_tickets, coverage, agreement, people_rows, person_partners, pending_streaks, escalate_once, business_days_stale,
+        drift_four_kinds, silent_tickets, quiet_tickets, coverage, agreement, people_rows, person_partners, pending_streaks, escalate_once, business_days_stale,
         decision_chain, json_props, hash_ids, pseudonyms,
     )
 }
@@ -622,6 +629,7 @@ ORACLE = {
     "digest_order": f"WITH {_STATE}, l AS (SELECT topic, max(ts) AS last FROM ev GROUP BY topic) SELECT row_number() OVER (ORDER BY CASE state WHEN 'blocked' THEN 0 WHEN 'active' THEN 1 ELSE 2 END, last DESC, topic) AS place, topic, state, round(last, 3) AS last FROM f JOIN l USING (topic)",
     "state_histogram": f"WITH {_STATE} SELECT state, count(*) AS n FROM f GROUP BY state",
     "drift_four_kinds": f"WITH {_TICKETS} SELECT topic, ticket, state, resolved, kind, mentions, last_id FROM dr WHERE kind IS NOT NULL",
+    "quiet_tickets": f"WITH {_TICKETS}, said AS (SELECT string_agg(DISTINCT 'ABOUT ORD-' || topic, ' ') AS t FROM mn) SELECT ticket, round((epoch(TIMESTAMP '{NOW}') - updated) / 86400, 3) AS idle_days, contains(t, ticket) AS mentioned FROM tk, said WHERE NOT resolved AND updated > 0 AND (epoch(TIMESTAMP '{NOW}') - updated) / 86400 >= 21",
     "silent_tickets": f"WITH {_TICKETS} SELECT ticket, round((epoch(TIMESTAMP '{NOW}') - updated) / 86400, 3) AS idle_days FROM tk WHERE NOT resolved AND updated > 0 AND topic NOT IN (SELECT topic FROM mn) AND (epoch(TIMESTAMP '{NOW}') - updated) / 86400 >= 21",
     "coverage": f"WITH {_TICKETS} SELECT count(*) AS topics, count(ticket) AS with_ticket, count(CASE WHEN topic IN (SELECT topic FROM tk) THEN 1 END) AS known FROM tp",
     "agreement": f"WITH {_TICKETS} SELECT CASE WHEN coalesce(mentions, 0) = 0 THEN 'not comparable' WHEN kind IS NOT NULL THEN 'drift' ELSE 'agree' END AS verdict, count(*) AS n FROM tp LEFT JOIN dr USING (topic) GROUP BY verdict",
