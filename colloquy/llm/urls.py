@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import durable
+
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with the rule's.
 RULES = [
     ("allow", "org", "/"),
@@ -44,8 +46,8 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, otherwis
     """pages with host, path, rule (null if none fits) and verdict (the rule's, else ``otherwise``).
 
     Of the rules that fit, the longest (host and path together) wins; of equally long ones, the one with the longer
-    path, then block. Each distinct host and path is judged once, so a url that fills a third of the table costs one
-    row here; expressions are made only for path lengths that some rule has. Null urls have an empty host and path.
+    path, then block. Each distinct host and path is judged once and what was found is written, so that Spark can
+    split the join on a url that fills a third of the table; expressions are made only for path lengths that some rule has. Null urls have an empty host and path.
     Columns of pages named like the results are replaced.
     """
     spark = pages.sparkSession
@@ -62,4 +64,4 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, otherwis
     hit = made.join(rule_table(spark, rules), "short").where(F.col("digest") == F.col("rule_digest"))
     won = F.max(F.struct(F.length("rule").alias("n"), F.col("rule_len"), F.col("rule_verdict"), F.col("rule"))).alias("won")
     best = hit.groupBy("host", "path").agg(won).select("host", "path", F.col("won.rule").alias("rule"), F.col("won.rule_verdict").alias("verdict"))
-    return mine.join(best, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(otherwise)))
+    return mine.join(durable(best), ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(otherwise)))
