@@ -12,7 +12,8 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     """Link each node's neighbours (the smaller ones, or the larger ones) to the least of them and itself."""
     both = edges if small else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    near = both.join(least, "u")
+    least = durable(least)  # so that a hub's neighbours can be split
+    near = both.join(least.hint("shuffle_merge"), "u")
     if small:
         moved = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     else:
