@@ -9,10 +9,11 @@ so does any line that as many texts have but for digits, a line of LONG tokens t
 line of fewer than LEAST_TOKENS that SHORT_DOCUMENTS have. Tokens are cut as in winnowing: characters of scripts
 written without spaces stand alone. Blank lines are never dropped.
 
-All lines of recurring templates are dropped, whatever their share, with one exception: a document that recurring
-lines make up at least half of, and whose runs of five tokens have Jaccard similarity ALIKE or more with those of
-another such document, is a near copy. It is left as it is, for near-duplicate removal to choose from. Texts that are
-equal count once, so an exact copy doesn't make a document's lines recur.
+All lines of recurring templates are dropped, whatever their share. Texts that are equal count once, and so do groups of
+near copies: texts that recurring lines make up at least half of, and whose runs of five tokens have Jaccard similarity
+ALIKE or more, directly or through others. So copies don't make each other's lines recur, but lines that stand in other
+documents too are dropped from copies as from any text. Which values of a slot are constant is told before, from texts as
+they are.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, stored
+from .components import components
 from .winnowing import NO_ID, TOKEN, grams
 
 #: Leading tokens of the path to a leaf, and slots for the rest of a line.
@@ -42,33 +44,33 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """(id, th, pos, line, leaf, slots, exact, least) for each line with tokens; slots without tokens are null.
+    """(id, th, pos, line, leaf, slots, exact, least, size, whole) for each line with tokens; slots without tokens are null.
 
-    Lines of fewer than LEAST_TOKENS have no leaf and no slots.
+    Lines of fewer than LEAST_TOKENS have no leaf and no slots. size, whole: bytes of the line and of its text.
 
     exact: the line word for word, where it recurs from ``least`` texts on; null for other lines.
     """
-    lines = _keyed(docs.select("doc_id", "text")).select(F.col("__id").alias("id"), F.col("__th").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = _keyed(docs.select("doc_id", "text")).select(F.col("__id").alias("id"), F.col("__th").alias("th"), F.octet_length("text").alias("whole"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     tokens = F.when(F.col("line").rlike(UNSPACED), F.regexp_extract_all("line", F.lit(TOKEN), F.lit(0))).otherwise(F.regexp_extract_all("line", F.lit(r"\S+"), F.lit(0)))
-    cut = lines.where(F.col("line").rlike(r"\S")).select("id", "th", "pos", tokens.alias("tokens"))  # a filter by tokens would cut them twice
+    cut = lines.where(F.col("line").rlike(r"\S")).select("id", "th", "pos", F.octet_length("line").alias("size"), "whole", tokens.alias("tokens"))  # a filter by tokens would cut them twice
     cut = cut.withColumn("least", F.when(F.size("tokens") >= LONG, LONG_DOCUMENTS).when(F.size("tokens") < LEAST_TOKENS, SHORT_DOCUMENTS)).withColumn("exact", F.when(F.col("least").isNotNull(), F.xxhash64("tokens")))
     cut = cut.withColumn("tokens", F.transform("tokens", lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t)))
     rest = F.greatest(F.size("tokens") - DEPTH, F.lit(0))
 
     def slot(s: int) -> Column:
         begin, end = F.floor(rest * s / SLOTS).cast("int"), F.floor(rest * (s + 1) / SLOTS).cast("int")
-        return F.when(end > begin, F.hash(F.slice("tokens", begin + DEPTH + 1, end - begin)))
+        return F.when(end > begin, F.xxhash64(F.slice("tokens", begin + DEPTH + 1, end - begin)))
 
     leaf = F.when(F.size("tokens") >= LEAST_TOKENS, F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)))
-    return cut.select("id", "th", "pos", F.xxhash64("tokens").alias("line"), leaf.alias("leaf"), F.array(*[slot(s) for s in range(SLOTS)]).alias("slots"), "exact", "least")
+    return cut.select("id", "th", "pos", F.xxhash64("tokens").alias("line"), leaf.alias("leaf"), F.array(*[slot(s) for s in range(SLOTS)]).alias("slots"), "exact", "least", "size", "whole")
 
 
 def recurring(lines: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
-    """(line): the lines that belong to a recurring template."""
+    """(line, template): the lines that belong to a recurring template; template is null for such as recur only word for word."""
     texts = lines.where("leaf is not null").select("line", "leaf", "slots", "th").distinct()
     each = texts.groupBy("line", "leaf", "slots").agg(F.count(F.lit(1)).alias("n"), F.min("th").alias("a"), F.max("th").alias("b"))
     busy = each.groupBy("leaf").agg(F.sum("n").alias("of_leaf")).where(F.col("of_leaf") >= documents)  # at least its texts
-    known = durable(each.join(busy, "leaf", "left_semi"))
+    known = durable(each.join(durable(busy).hint("shuffle_merge"), "leaf", "left_semi"))
     exact = known.where(F.col("n") >= documents).select("line")
     of = _some_texts(known, texts, documents)
     filled = known.select("leaf", "line", F.size(F.filter("slots", lambda x: x.isNotNull())).alias("of"), F.posexplode("slots").alias("slot", "value")).where("value is not null")
@@ -79,8 +81,9 @@ def recurring(lines: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     templates = constant.groupBy("leaf", "line", "of").agg(F.count(F.lit(1)).alias("constants"), F.bit_xor(F.xxhash64("slot", "value")).alias("template"))
     templates = durable(templates.where(F.col("constants") * 2 >= F.col("of")).select("leaf", "template", "line"))
     common = templates.join(of, "line").select("leaf", "template", "th").distinct().groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= documents)
-    general = templates.join(common, ["leaf", "template"], "left_semi").select("line")
-    return durable(exact.unionByName(general).distinct())
+    general = templates.join(common, ["leaf", "template"], "left_semi").select("line", F.xxhash64("leaf", "template").alias("template"))
+    both = exact.withColumn("template", F.lit(None).cast("bigint")).unionByName(general)
+    return durable(both.groupBy("line").agg(F.max("template").alias("template")))
 
 
 def _some_texts(known: DataFrame, texts: DataFrame, documents: int) -> DataFrame:
@@ -102,7 +105,7 @@ def recurring_exactly(lines: DataFrame) -> DataFrame:
 
 
 def near_copies(texts: DataFrame) -> DataFrame:
-    """texts(th, text), th unique -> (th): those with a similarity of at least ALIKE to another of texts.
+    """texts(th, text), th unique -> (th, first): pairs with a similarity of at least ALIKE.
 
     Each is compared, exactly, with the first of those that share a key with it, so a large group costs no more than its
     rows. Two texts of similarity 0.8 share no key with probability 2e-4.
@@ -116,8 +119,29 @@ def near_copies(texts: DataFrame) -> DataFrame:
     pairs = durable(keys.join(first, "key").where("th != first").select("th", "first").distinct())
     both = pairs.join(sets, "th").join(sets.select(F.col("th").alias("first"), F.col("grams").alias("others")), "first")
     shared = F.size(F.array_intersect("grams", "others"))
-    found = both.where(shared >= ALIKE * (F.size("grams") + F.size("others") - shared))
-    return durable(found.select(F.explode(F.array("th", "first")).alias("th")).distinct())
+    return both.where(shared >= ALIKE * (F.size("grams") + F.size("others") - shared)).select("th", "first")
+
+
+def _grouped(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """(th, group): the near copies among texts that hits, their recurring lines, make up at least half of."""
+    each = hits.groupBy("th", "pos").agg(F.max("size").alias("size"), F.max("whole").alias("whole"))
+    mostly = durable(each.groupBy("th").agg((F.sum("size") * 2 >= F.max("whole")).alias("mostly")).where("mostly").select("th"))
+    texts = _keyed(docs.select("doc_id", "text")).select(F.col("__th").alias("th"), "text").join(mostly.hint("shuffle_merge"), "th", "left_semi")
+    pairs = near_copies(texts.dropDuplicates(["th"]))
+    return components(pairs.select(F.col("th").alias("u"), F.col("first").alias("v"))).select(F.col("node").alias("th"), F.col("root").alias("group"))
+
+
+def _again(hits: DataFrame, groups: DataFrame, documents: int) -> DataFrame:
+    """The hits that still recur if each group of near copies counts as one text."""
+    told = hits.join(durable(groups).hint("shuffle_merge"), "th", "left").withColumn("of", F.coalesce("group", "th")).drop("group")
+    told = stored(told, "hits")
+    kept = None
+    for key, least in (("line", F.lit(documents)), ("template", F.lit(documents)), ("exact", F.col("least"))):
+        own = told.where(F.col(key).isNotNull())
+        often = own.select(key, "of", "least").distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least")).where(F.col("n") >= least).select(key)
+        some = own.join(durable(often).hint("shuffle_merge"), key, "left_semi").select("id", "th", "pos")
+        kept = some if kept is None else kept.unionByName(some)
+    return kept
 
 
 def dropped(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
@@ -127,22 +151,18 @@ def dropped(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     repeated rows, are treated like others. An empty table gives an empty one.
     """
     lines = stored(parsed(docs), "lines")
-    found = lines.where("leaf is not null").select("id", "th", "pos", "line").join(recurring(lines, documents), "line", "left_semi").drop("line")
-    found = found.unionByName(lines.where("exact is not null").select("id", "th", "pos", "exact").join(recurring_exactly(lines), "exact", "left_semi").drop("exact"))
+    whole = ["id", "th", "pos", "size", "whole"]
+    general = lines.where("leaf is not null").select(*whole, "line").join(recurring(lines, documents), "line").select(*whole, "line", "template")
+    exactly = lines.where("exact is not null").select(*whole, "exact", "least").join(recurring_exactly(lines), "exact", "left_semi")
+    hits = stored(general.unionByName(exactly, allowMissingColumns=True), "hits")
+    found = _again(hits, _grouped(docs, hits), documents)
     gone = found.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_set("pos").alias("__gone"))
     both = _keyed(docs).join(gone, ["__id", "__th"], "left")
     all_lines = F.split("text", "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__all") - 1), F.col("__gone")), lambda k: F.get(F.col("__all"), k))
     cut = both.withColumn("__all", F.when(F.col("__gone").isNotNull(), all_lines)).withColumn("__kept", F.when(F.col("__gone").isNotNull(), F.array_join(kept, "\n")))
-    cut = cut.withColumn("__mostly", F.col("__gone").isNotNull() & (F.octet_length("__kept") * 2 <= F.octet_length("text")))
     cut = cut.withColumn("__lines", F.when(F.length("text") > 0, F.size(all_lines)).otherwise(0).cast("bigint")).withColumn("__dropped", F.when(F.col("__gone").isNotNull(), F.size("__gone")).otherwise(0).cast("bigint"))
-    cut = cut.withColumn("text", F.when(F.col("__mostly"), F.col("text")).otherwise(F.coalesce("__kept", "text"))).withColumn("__kept", F.when(F.col("__mostly"), F.col("__kept")))
-    cut = stored(cut.withColumn("__th", F.when(F.col("__mostly"), F.col("__th"))).drop("__id", "__gone", "__all"), "cut")
-    mostly = cut.where("__mostly")
-    copies = near_copies(mostly.select(F.col("__th").alias("th"), "text").dropDuplicates(["th"])).select(F.col("th").alias("__th"), F.lit(True).alias("__copy"))
-    judged = mostly.join(copies, "__th", "left").withColumn("text", F.when(F.col("__copy"), F.col("text")).otherwise(F.col("__kept"))).withColumn("__dropped", F.when(F.col("__copy"), 0).otherwise(F.col("__dropped")).cast("bigint"))
-    columns = [*docs.columns, "__lines", "__dropped"]
-    return cut.where("not __mostly").select(*columns).unionByName(judged.select(*columns))
+    return cut.withColumn("text", F.coalesce("__kept", "text")).select(*docs.columns, "__lines", "__dropped")
 
 
 def without_recurring_lines(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
