@@ -1,50 +1,35 @@
 """Sharding by a k-d tree over metadata.
 
 A node that is to make n shards is split along the dimension in which its rows spread widest, as a share of the whole
-table's spread, at the weighted quantile that leaves n // 2 shards' bytes on the left. Quantiles are found by counting
-bytes in equal bins of the dimension, for all nodes of a level in one pass, and counting again within the bin that
-holds the quantile, until one value is left. Rows that share that value are split in the same way by what comes next:
-the whole string's hash, the doc_id, the text's checksum, and last a number that each row has for itself. So a value
-that fills a third of the table, or copies of one row, don't make a shard uneven. Only bin sums reach the driver: at
-most ``BINS`` rows for each node of a level, whatever the table's size.
-
-Everything is a DataFrame expression; the rows that passes go over have a few numbers each, no texts.
+table's spread, at the weighted quantile that leaves n // 2 shards' bytes on the left. For all nodes of a level at once,
+bytes are counted in equal bins of the dimension, and again within the bin that holds the quantile, until no more than
+``SORTED`` rows are left there, which are put in order. Rows that share a value are told apart by what comes next: the
+whole string's hash, the doc_id, the text's checksum, and last a number that each row has for itself. So a value that
+fills a third of the table, or copies of one row, don't make a shard uneven.
+
+Everything is a DataFrame expression. A level's nodes, their search and their splits are tables, joined to the rows by
+node: broadcast while they are few, and shuffled when they are so many that none has a large share of the rows. Each level's
+rows, a few numbers without texts, are written, so plans don't grow with the tree, and nothing of it comes to the driver.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, stored
 
 BINS = 1024
+#: Rows in a node's search below which they are put in order, by one task at most.
+SORTED = 50_000
+#: Nodes of a level, or rows of offsets, up to which their table is broadcast.
+FEW = 10_000
 #: Slots of a shard are counted in parts of about so many rows, and in PARTS at least.
 PART_ROWS, PARTS = 1_000_000, 64
 #: Bytes of a string that order it along its dimension; strings that agree in these are told apart by a hash.
 LEAD = 6
-
-
-@dataclass
-class _Node:
-    """A set of rows, the shards it is to make, and the search for its split."""
-
-    at: int
-    first: int
-    shards: int
-    weight: int
-    #: The dimension and what splits its ties, and the values found so far for the first of these.
-    along: tuple[str, ...] = ()
-    found: tuple[int, ...] = ()
-    #: The range of the next of them that still holds the quantile.
-    low: int = 0
-    high: int = 0
-    below: int = 0
-    target: float = 0
-    cut: tuple[int, ...] | None = None
-    kids: list[_Node] = field(default_factory=list)
+#: Numbers that order rows along a dimension.
+DEPTH = 5
 
 
 def _number(c: Column) -> Column:
@@ -52,9 +37,9 @@ def _number(c: Column) -> Column:
     return F.coalesce(F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, LEAD)), 2 * LEAD, "0"), 16, 10).cast("bigint"), F.lit(-1))
 
 
-def _along(dim: str) -> tuple[str, ...]:
-    ties = ("id", "text_crc32", "row")
-    return (dim, "h" + dim[1:], *ties) if dim in ("d_source", "d_lang") else (dim, *ties)
+def _along(dim: str) -> list[str]:
+    ties = ["id", "text_crc32", "row"]
+    return [dim, "h" + dim[1:], *ties] if dim in ("d_source", "d_lang") else [dim, *ties]
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -70,50 +55,84 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("id"), size.alias("size"), crc.alias("text_crc32"), own, *[c.alias(k) for k, c in dims.items()])
 
 
-def _child(nodes: list[_Node]) -> Column:
-    """The node a row goes to from its node."""
-    out = F.col("node")
-    for n in nodes:
-        left = F.struct(*n.along[: len(n.cut)]) <= F.struct(*[F.lit(x).cast("bigint").alias(c) for c, x in zip(n.along, n.cut, strict=False)])
-        out = F.when(F.col("node") == n.at, F.when(left, n.kids[0].at).otherwise(n.kids[1].at)).otherwise(out)
+def _key(dims: list[str]) -> Column:
+    """What orders a row along its node's dimension."""
+    out = F.lit(None).cast("array<bigint>")
+    for d in dims:
+        columns = [F.col(c).cast("bigint") for c in _along(d)]
+        out = F.when(F.col("dim") == d, F.array(*columns, *[F.lit(0).cast("bigint")] * (DEPTH - len(columns)))).otherwise(out)
     return out
 
 
-def _search(rows: DataFrame, nodes: list[_Node]) -> None:
-    """Find each node's split: the values, along its dimension and what splits ties, up to which its rows go left."""
-    open_ = nodes
-    deeper = sorted({c for n in nodes for c in n.along[1:]})
-    while open_:
-        bins = F.lit(None).cast("bigint")
-        for n in open_:
-            over = n.along[len(n.found)]
-            inside = F.col(over).between(n.low, n.high)
-            for c, x in zip(n.along, n.found, strict=False):
-                inside &= F.col(c) == x
-            bins = F.when((F.col("node") == n.at) & inside, F.expr(f"({over} - {n.low}L) div {_width(n)}L")).otherwise(bins)
-        ends = [f(c).alias(f"{k}_{c}") for c in deeper for k, f in (("low", F.min), ("high", F.max))]
-        counted = rows.withColumn("bin", bins).where("bin is not null").groupBy("node", "bin").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"), *ends)
-        sums: dict[int, list[Row]] = {}
-        for r in counted.collect():  # at most BINS rows for each node
-            sums.setdefault(r["node"], []).append(r)
-        for n in open_:
-            found = sorted(sums[n.at], key=lambda r: r["bin"])
-            for r in found:
-                if n.below + r["s"] >= n.target or r is found[-1]:
-                    break
-                n.below += r["s"]
-            n.low, n.high = n.low + r["bin"] * _width(n), min(n.high, n.low + (r["bin"] + 1) * _width(n) - 1)
-            while n.low == n.high and n.cut is None:  # one value; the rows that share it are split by what comes next
-                n.found += (n.low,)
-                if r["n"] == 1 or len(n.found) == len(n.along):  # the row at the quantile goes to the side that it leaves more even
-                    n.cut = n.found if n.below + r["s"] / 2 <= n.target else (*n.found[:-1], n.found[-1] - 1)
-                else:
-                    n.low, n.high = (r[f"{k}_{n.along[len(n.found)]}"] for k in ("low", "high"))
-        open_ = [n for n in open_ if n.cut is None]
-
-
-def _width(n: _Node) -> int:
-    return max(1, -(-(n.high - n.low + 1) // BINS))
+def _with(rows: DataFrame, nodes: DataFrame, few: bool) -> DataFrame:
+    return rows.join(F.broadcast(nodes) if few else nodes.hint("shuffle_merge"), "node")
+
+
+def _inside() -> Column:
+    """Whether a row is in the range that its node's search has come to."""
+    at = F.get("key", F.col("depth"))
+    return ((F.col("depth") == 0) | (F.slice("key", 1, F.greatest("depth", F.lit(1))) == F.col("found"))) & at.between(F.col("low"), F.col("high"))
+
+
+def _narrowed(rows: DataFrame, search: DataFrame, dims: list[str], few: bool) -> DataFrame:
+    """The search of each node, within the bin that holds its quantile; one value found goes on to the next number."""
+    width = F.greatest(F.lit(1), F.ceil((F.col("high") - F.col("low") + 1) / BINS)).cast("bigint")
+    some = _with(rows, search.withColumn("width", width), few).withColumn("key", _key(dims)).where(_inside())
+    binned = some.select("node", "size", "key", "depth", F.expr("(key[depth] - low) div width").alias("bin"))
+    following = F.get("key", F.col("depth") + 1)
+    counted = binned.groupBy("node", "bin").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"), F.min(following).alias("next_low"), F.max(following).alias("next_high"))
+    line = Window.partitionBy("node").orderBy("bin")  # at most BINS rows
+    upto = counted.withColumn("upto", F.sum("s").over(line)).withColumn("last", F.lead("bin").over(line).isNull())
+    both = upto.join(search.withColumn("width", width).drop("n").hint("shuffle_merge"), "node").where((F.col("below") + F.col("upto") >= F.col("target")) | F.col("last"))
+    first = Window.partitionBy("node").orderBy("bin")
+    held = both.withColumn("k", F.row_number().over(first)).where("k = 1")
+    low, high = F.col("low") + F.col("bin") * F.col("width"), F.least(F.col("high"), F.col("low") + (F.col("bin") + 1) * F.col("width") - 1)
+    one = low == high
+    return held.select(
+        *[c for c in search.columns if c not in ("found", "depth", "low", "high", "below", "n")],
+        F.when(one, F.concat("found", F.array(low))).otherwise(F.col("found")).alias("found"),
+        F.when(one, F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"),
+        F.when(one, F.col("next_low")).otherwise(low).alias("low"),
+        F.when(one, F.col("next_high")).otherwise(high).alias("high"),
+        (F.col("below") + F.col("upto") - F.col("s")).alias("below"),
+        "n",
+    )
+
+
+def _cuts(rows: DataFrame, search: DataFrame, dims: list[str], few: bool) -> DataFrame:
+    """(node, half, dim, cut, own): rows up to cut go left, and the row at cut does if own: the side that it leaves more even."""
+    done = []
+    while True:
+        search = durable(search)
+        done.append(search.where(F.col("n") <= SORTED))
+        search = search.where(F.col("n") > SORTED)
+        if not search.limit(1).count():
+            break
+        search = _narrowed(rows, search, dims, few)
+    found = done[0]
+    for more in done[1:]:
+        found = found.unionByName(more)
+    some = _with(rows, found, few).withColumn("key", _key(dims)).where(_inside()).select("node", "half", "dim", "key", "size", "below", "target")
+    line = Window.partitionBy("node").orderBy("key")  # at most SORTED rows, which differ in their last number
+    upto = some.withColumn("upto", F.col("below") + F.sum("size").over(line)).withColumn("last", F.lead("size").over(line).isNull())
+    held = upto.where((F.col("upto") >= F.col("target")) | F.col("last")).withColumn("k", F.row_number().over(line)).where("k = 1")
+    return held.select("node", "half", "dim", F.col("key").alias("cut"), (F.col("upto") - F.col("size") / 2 <= F.col("target")).alias("own"))
+
+
+def _split(rows: DataFrame, nodes: DataFrame, dims: list[str], spread: dict[str, int], few: bool) -> DataFrame:
+    """rows after one level: a node that makes several shards becomes two, named by the first shard of each."""
+    ranges = [f(c).alias(f"{k}_{c}") for c in dims for k, f in (("low", F.min), ("high", F.max))]
+    active = nodes.where("shards > 1")
+    stats = durable(rows.groupBy("node").agg(F.sum("size").alias("weight"), F.count(F.lit(1)).alias("n"), *ranges).join(active.hint("shuffle_merge"), "node"))
+    widths = [F.struct(((F.col(f"high_{d}") - F.col(f"low_{d}")) / spread[d]).alias("width"), F.lit(d).alias("dim"), F.col(f"low_{d}").alias("low"), F.col(f"high_{d}").alias("high")) for d in dims]
+    half = F.expr("cast(shards div 2 as int)")
+    widest = F.greatest(*widths) if len(widths) > 1 else widths[0]
+    begin = stats.withColumn("w", widest).select("node", half.alias("half"), (F.col("weight") * half / F.col("shards")).alias("target"), "w.dim", F.array().cast("array<bigint>").alias("found"), F.lit(0).alias("depth"), "w.low", "w.high", F.lit(0).cast("bigint").alias("below"), "n")
+    cuts = durable(_cuts(rows, begin, dims, few))
+    both = rows.join(F.broadcast(cuts) if few else cuts.hint("shuffle_merge"), "node", "left").withColumn("key", _key(dims))
+    left = (F.col("key") < F.col("cut")) | ((F.col("key") == F.col("cut")) & F.col("own"))
+    node = F.when(F.col("cut").isNull() | left, F.col("node")).otherwise(F.col("node") + F.col("half"))
+    return stored(both.withColumn("node", node.cast("int")).select(*rows.columns), "level")
 
 
 def shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
@@ -131,35 +150,19 @@ def shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int | Non
     total = whole["weight"] or 0
     wanted = n_shards or max(1, round(total / target_bytes))
     spread = {c: max(1, (whole[f"high_{c}"] or 0) - (whole[f"low_{c}"] or 0)) for c in dims}
-    level, made, leaves = [_Node(0, 0, wanted, total)], 1, []
     rows = base.withColumn("node", F.lit(0))
-    while total and any(n.shards > 1 for n in level):
-        active = [n for n in level if n.shards > 1]
-        leaves += [n for n in level if n.shards == 1]
-        stats = {r["node"]: r for r in rows.groupBy("node").agg(F.sum("size").alias("weight"), *ranges).collect()}  # a row for each node
-        empty = [n for n in active if n.at not in stats]
-        leaves += empty
-        active = [n for n in active if n.at in stats]
-        for n in active:
-            r = stats[n.at]
-            width = {c: (r[f"high_{c}"] - r[f"low_{c}"]) / spread[c] for c in dims}
-            widest = max(dims, key=lambda c: (width[c], c))
-            n.along, n.weight, n.low, n.high = _along(widest), r["weight"], r[f"low_{widest}"], r[f"high_{widest}"]
-            half = n.shards // 2
-            n.target = n.weight * half / n.shards
-            n.kids = [_Node(made, n.first, half, 0), _Node(made + 1, n.first + half, n.shards - half, 0)]
-            made += 2
-        _search(rows, active)
-        rows = rows.withColumn("node", _child(active))
-        level = [k for n in active for k in n.kids]
-    leaves += level
-    shard = F.lit(0)
-    for n in leaves:
-        shard = F.when(F.col("node") == n.at, n.first).otherwise(shard)
+    nodes = base.sparkSession.range(1).select(F.lit(0).alias("node"), F.lit(wanted).alias("shards"))
+    made = 1
+    while total and made < wanted:
+        rows = _split(rows, nodes, dims, spread, made <= FEW)
+        half = "cast(shards div 2 as int)"
+        nodes = durable(nodes.selectExpr(f"inline(if(shards > 1, array(struct(node, {half} as shards), struct(node + {half} as node, shards - {half} as shards)), array(struct(node, shards))))"))
+        made *= 2
     parts = max(PARTS, -(-whole["rows"] // (wanted * PART_ROWS)))
-    placed = durable(rows.select("doc_id", "id", "size", "text_crc32", shard.cast("int").alias("shard"), F.pmod("row", F.lit(parts)).cast("int").alias("part")))
+    placed = durable(rows.select("doc_id", "id", "size", "text_crc32", F.col("node").alias("shard"), F.pmod("row", F.lit(parts)).cast("int").alias("part")))
     counts = placed.groupBy("shard", "part").count()  # at most shards * PARTS rows, or a row for each PART_ROWS
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    offsets = F.broadcast(offsets) if wanted * parts <= FEW else durable(offsets).hint("shuffle_merge")
     slot = F.row_number().over(Window.partitionBy("shard", "part").orderBy("id", "text_crc32")) - 1
-    return placed.withColumn("slot", slot).join(F.broadcast(offsets), ["shard", "part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("slot") + F.col("offset")).cast("bigint").alias("slot"))
+    return placed.withColumn("slot", slot).join(offsets, ["shard", "part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("slot") + F.col("offset")).cast("bigint").alias("slot"))

@@ -91,3 +91,15 @@ def test_rows_that_agree_in_all_but_the_text_are_split(spark):
 def test_few_and_equal_rows(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     check(sharding.shards(docs, n_shards=8).collect(), docs.collect(), 8)
+
+
+def test_many_shards_and_searches_by_bins(spark, monkeypatch):
+    """300 shards by nine levels, with bins down to a few rows: no shard is further from even than the largest rows."""
+    rnd = random.Random(6)
+    rows = [(i, "z" * rnd.randint(0, 40), f"source {i % 7}" if i % 3 else "hot", None) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    monkeypatch.setattr(sharding, "SORTED", 40)
+    monkeypatch.setattr(sharding, "FEW", 100)  # later levels shuffle their nodes
+    found = sharding.shards(docs, n_shards=300)
+    sizes = check(found.collect(), docs.collect(), 300)
+    assert max(sizes) - min(sizes) <= 4 * 41
