@@ -109,17 +109,17 @@ class Versions:
         _, name = self.current()
         return self.spark.read.parquet(f"{self.path}/{name}") if name else None
 
-    def _put(self, n: int, name: str) -> bool:
+    def _put(self, n: int, name: str, end: str = "\n") -> bool:
         """Point number n at a version, if nothing has that number."""
         self._fs.mkdirs(self._at)
         place = self.spark._jvm.org.apache.hadoop.fs.Path(self._at, f"{n:012d}")
         try:
             if self._fs.getScheme() == "file":  # Hadoop's local file system looks first and creates then, which is not one step
                 with open(self._fs.makeQualified(place).toUri().getPath(), "x") as f:
-                    f.write(name + "\n")
+                    f.write(name + end)
             else:
                 stream = self._fs.create(place, False)
-                stream.write(bytearray((name + "\n").encode()))
+                stream.write(bytearray((name + end).encode()))
                 stream.close()
         except FileExistsError:
             return False
@@ -137,6 +137,12 @@ class Versions:
             pass
         return name
 
+    def torn(self, df: DataFrame) -> None:
+        """What a writer leaves that is lost while it writes its pointer: for tests of those who read."""
+        name = f"v-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{name}")
+        self._put(self.current()[0] + 1, name, end="")
+
     def update(self, change: Callable[[DataFrame | None], DataFrame], tries: int = 20) -> str:
         """change(current rows, None at first) as the next version; made again from what another writer has put first."""
         for _ in range(tries):

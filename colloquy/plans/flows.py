@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.encode import embedded
 from ..operators.graphs import shared_dir
-from ..operators.upserts import Deltas
+from ..operators.upserts import Deltas, Versions
 from ..sources import tracker
 from ..sources.tables import conversation_records, table
 from ..streaming import jobs
@@ -121,6 +121,52 @@ def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     return store.read().select("id", "event_id", "event_type")
 
 
+def stream_overrides(spark: SparkSession, d: str) -> DataFrame:
+    """Events' links, corrected by overrides that grow between the parts; the last snapshot's pointer is torn, so the one before it holds."""
+    base = f"{shared_dir(spark)}/overrides-{uuid.uuid4().hex}"
+    store, overrides, part = Deltas(spark, f"{base}/rows"), Versions(spark, f"{base}/overrides"), [0]
+    e = table(spark, d, "events")
+    fixes = F.when(F.col("event_id") % 7 == 0, "").otherwise(F.concat(F.lit("fix-"), (F.col("event_id") % 7).cast("string")))
+
+    def run(stream: DataFrame, state: str) -> None:
+        made = e.where(F.col("event_id") % 7 <= part[0]).select(F.col("event_id").alias("id"), fixes.alias("key"))
+        if part[0] < 2:
+            overrides.write(made)
+        else:
+            overrides.torn(made)
+        part[0] += 1
+        rows = stream.select(F.col("event_id").alias("id"), F.concat(F.lit("ORD-"), (F.col("user_id") % 10).cast("string")).alias("key"))
+        rows.writeStream.foreachBatch(jobs.corrected(store, overrides)).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+    _in_parts(spark, d, run)
+    return store.read().select("id", "key")
+
+
+def stream_last_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Each person's last event of a day, as its replies would be, through three runs of one stream."""
+    store = Deltas(spark, f"{shared_dir(spark)}/replies-{uuid.uuid4().hex}", order=["at"])
+
+    def run(stream: DataFrame, state: str) -> None:
+        rows = stream.select(F.to_date("ts").alias("date"), F.col("user_id").alias("user"), F.struct("ts", "event_id").alias("at"), F.col("event_type").alias("text"))
+        last = jobs.last_replies(rows).withColumn("id", F.concat_ws("/", "date", "user"))
+        last.writeStream.outputMode("update").foreachBatch(jobs.upserting(store)).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+    _in_parts(spark, d, run)
+    return store.read().select(F.col("date").cast("string").alias("date"), "user", F.col("at.event_id").alias("event_id"), "text")
+
+
+def stream_announced(spark: SparkSession, d: str) -> DataFrame:
+    """Days since the first event, in steps of twenty, told once for each person, through three runs of one stream."""
+    out = f"{shared_dir(spark)}/announced-{uuid.uuid4().hex}"
+
+    def run(stream: DataFrame, state: str) -> None:
+        found = stream.select(F.col("user_id").alias("key"), (F.floor(F.dayofyear("ts") / 20) * 20).cast("bigint").alias("bucket"))
+        jobs.announced_once(found).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+    _in_parts(spark, d, run)
+    return spark.read.parquet(out).select("key", "bucket")
+
+
 def ticket_rows(spark: SparkSession, d: str) -> DataFrame:
     """Orders as tracker rows, read into tickets and records."""
     o = table(spark, d, "orders")
@@ -154,7 +200,7 @@ _HYBRID = "f AS (SELECT query_id, id, 1.0 / (60 + rank() OVER (PARTITION BY quer
 _NEAR10 = "nb AS (SELECT a.id AS l, b.id AS r, coalesce(s, 0) AS s, row_number() OVER (PARTITION BY a.id ORDER BY round(coalesce(s, 0), 9) DESC, b.id) AS k FROM idx a JOIN idx b ON a.id <> b.id LEFT JOIN dots ON l = a.id AND r = b.id QUALIFY k <= 10)"
 
 QUERIES = {f"search_{p.replace('-', '_')}": _search(p) for p in ("dense", "lexical", "dense-csls", "hybrid", "hybrid-anchors", "hybrid-jaccard")} | {
-    f.__name__: f for f in (related_search, gated_search, embed_cache, digest_build, stream_dedup, stream_window_counts, stream_streak_state, stream_upsert, ticket_rows)
+    f.__name__: f for f in (related_search, gated_search, embed_cache, digest_build, stream_dedup, stream_window_counts, stream_streak_state, stream_upsert, stream_overrides, stream_last_replies, stream_announced, ticket_rows)
 }
 
 ORACLE = {
@@ -168,5 +214,8 @@ ORACLE = {
     "stream_window_counts": "WITH m AS (SELECT max(ts) - INTERVAL 1 HOUR AS w FROM events) SELECT strftime(ts::DATE, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events CROSS JOIN m WHERE ts::DATE + INTERVAL 1 DAY <= w GROUP BY ALL",
     "stream_streak_state": "WITH d AS (SELECT DISTINCT user_id AS \"user\", ts::DATE AS date FROM events WHERE event_type = 'error'), r AS (SELECT *, date - row_number() OVER (PARTITION BY \"user\" ORDER BY date)::INT AS run FROM d) SELECT \"user\", date::VARCHAR AS date, row_number() OVER (PARTITION BY \"user\", run ORDER BY date) AS days, (min(date) OVER (PARTITION BY \"user\", run))::VARCHAR AS since FROM r",
     "stream_upsert": "SELECT user_id AS id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id",
+    "stream_overrides": "WITH m AS (SELECT min(epoch_us(ts)) / 1e6 AS low, max(epoch_us(ts)) / 1e6 AS high FROM events), p AS (SELECT event_id, user_id, least(floor((epoch_us(ts) / 1e6 - low) / ((high - low) / 3 + 1e-3)), 1) AS part FROM events, m) SELECT event_id AS id, CASE WHEN event_id % 7 > part THEN 'ORD-' || user_id % 10 WHEN event_id % 7 > 0 THEN 'fix-' || event_id % 7 END AS key FROM p",
+    "stream_last_replies": "SELECT ts::DATE::VARCHAR AS date, user_id AS \"user\", arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS text FROM events GROUP BY ALL",
+    "stream_announced": "WITH b AS (SELECT user_id AS key, (dayofyear(ts) // 20 * 20)::BIGINT AS bucket, ts FROM events) SELECT DISTINCT key, bucket FROM b",
     "ticket_rows": "SELECT 'ORD-' || o_orderkey AS ticket, o_orderpriority || ' A line of prose that is long enough' AS text, o_orderstatus AS state, o_orderstatus = 'F' AS resolved, round(epoch_ms(o_orderdate) / 1000.0, 3)::DOUBLE AS updated FROM orders",
 }

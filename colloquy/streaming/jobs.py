@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.upserts import Deltas
+from ..operators.upserts import Deltas, Versions
 
 
 def deduplicated(stream: DataFrame, key: str = "id", time: str = "ts", late: str = "2 days") -> DataFrame:
@@ -30,6 +30,25 @@ def upserting(store: Deltas) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def corrected(store: Deltas, overrides: Versions, key: str = "id") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch that links each batch's rows as people have corrected them by then: overrides(id, key), '' unlinks.
+
+    The newest whole snapshot is read anew for each batch, so a correction holds from the next batch on without a
+    restart. A snapshot whose pointer is torn, because its writer is not done or was lost, is passed over for the one
+    before; without any, rows stay as they came. A batch that is run again takes what is newest then.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        known = overrides.read()
+        if known is not None:
+            said = known.groupBy(F.col("id").alias("__id")).agg(F.max("key").alias("__key"))
+            both = batch.join(said, batch[key] == F.col("__id"), "left")
+            batch = both.withColumn("key", F.when(F.col("__id").isNull(), F.col("key")).otherwise(F.nullif("__key", F.lit("")))).drop("__id", "__key")
+        store.write(batch, number)
+
+    return write
+
+
 def streaks(days: DataFrame) -> DataFrame:
     """(user, blocker, date, days, since) for a stream of (day number, date, user, blocker): how long a blocker has come back.
 
