@@ -16,9 +16,8 @@ from .winnowing import _let as let
 from .winnowing import _rolled as rolled
 
 #: Words are runs of what is none of these.
-SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACES, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
-SYMBOL_CHARS = "#*$%&|<>"
+NO_SYMBOLS = r"[^#*$%&|<>]+"
 #: Words of a window whose repetition counts, words that a document has at least, and percent of words in repeated windows at most.
 RUN, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 #: Percent of its characters that a document may lose with failing lines.
@@ -29,7 +28,7 @@ SENTENCE_WORDS = 10
 SEPARATORS, LEAST_SEPARATORS, ENTRY_WORDS = r"[|»›•·]|(?<=[\x20\x09])[>/](?=[\x20\x09])", 2, 4
 #: Percent of a line's words that may end in a run of symbols, or be in capitals with a mark of exclamation.
 MOST_MARKED = 20
-MARKED = r"[^\x20\x09-\x0D]*(?:[#*$%&|<>~^=_]{2,}|!{2,})(?![^\x20\x09-\x0D])"
+MARKED = r"(?:[#*$%&|<>~^=_]{2,}+|!{2,}+)(?![^\x20\x09-\x0D])"
 ENDS = r"""[.!?…。！？:;][\])}"'”’»*_]*(?:[\x20\x09-\x0D]|$)|[。！？]"""
 #: Stock phrases of web pages, in lower case.
 BOILERPLATE = ("lorem ipsum", "javascript", "use of cookies", "uses cookies", "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "click here", "read more", "sign up", "log in", "subscribe to")
@@ -54,8 +53,8 @@ def repeated_words(words: Column) -> Column:
 
 def measured(text: Column) -> Column:
     """struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, longs, of a text that isn't null."""
-    words = F.filter(F.split(text, SPACES), lambda w: w != "")
-    of_words = let(words, lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("repeated")))
+    words = F.array_remove(F.split(text, SPACES), "")
+    of_words = let(words, lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("chars"), repeated_words(w).alias("repeated")))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     again = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
     long = lambda c, name: c.cast("bigint").alias(name)
@@ -63,8 +62,8 @@ def measured(text: Column) -> Column:
         of_words,
         lambda w: F.struct(
             long(w["n"], "n_words"),
-            long(F.length(F.translate(text, SPACE_CHARS, "")), "word_chars"),
-            long(F.length(text) - F.length(F.translate(text, SYMBOL_CHARS, "")), "n_symbols"),
+            long(w["chars"], "word_chars"),
+            long(F.length(F.regexp_replace(text, NO_SYMBOLS, "")), "n_symbols"),
             long(again, "n_dup_lines"),
             long(w["repeated"], "n_repeat_words"),
         ),
@@ -106,11 +105,11 @@ def judged(docs: DataFrame, most_lost: int = MOST_LOST) -> DataFrame:
     def cleaned(lines: Column) -> Column:
         kept = F.array_join(F.transform(F.filter(lines, lambda x: x["why"].isNull()), lambda x: x["line"]), "\n")
         lost = [_count(lines, reason).alias(reason) for reason in ("navigation", "boilerplate", "punctuation")]
-        return F.struct(kept.alias("text"), F.struct(*lost).alias("lost"))
+        failing = F.array_join(F.transform(F.filter(lines, lambda x: x["why"].isNotNull()), lambda x: x["line"]), "")
+        return F.struct(kept.alias("text"), F.struct(*lost).alias("lost"), F.length(F.regexp_replace(failing, SPACES, "")).alias("chars"))
 
     both = own.withColumn("measures", measured(text)).withColumn("lines", let(why, cleaned))
     m = F.col("measures")
     base = (m["n_words"] < LEAST_WORDS) | (100 * m["n_repeat_words"] > MOST_REPEATED * m["n_words"])
-    left = F.length(F.translate(F.col("lines.text"), SPACE_CHARS, ""))
-    enough = 100 * (m["word_chars"] - left) <= most_lost * m["word_chars"]
+    enough = 100 * F.col("lines.chars") <= most_lost * m["word_chars"]
     return both.select(*own.columns, "measures.*", base.alias("base_failed"), (~base & enough).alias("kept"), F.col("lines.text").alias("clean_text"), F.col("lines.lost").alias("lost"))
