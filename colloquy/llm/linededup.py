@@ -135,13 +135,12 @@ def _again(hits: DataFrame, groups: DataFrame, documents: int) -> DataFrame:
     """The hits that still recur if each group of near copies counts as one text."""
     told = hits.join(durable(groups).hint("shuffle_merge"), "th", "left").withColumn("of", F.coalesce("group", "th")).drop("group")
     told = stored(told, "hits")
-    kept = None
-    for key, least in (("line", F.lit(documents)), ("template", F.lit(documents)), ("exact", F.col("least"))):
-        own = told.where(F.col(key).isNotNull())
-        often = own.select(key, "of", "least").distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least")).where(F.col("n") >= least).select(key)
-        some = own.join(durable(often).hint("shuffle_merge"), key, "left_semi").select("id", "th", "pos")
-        kept = some if kept is None else kept.unionByName(some)
-    return kept
+    kinds = [("line", F.lit(documents)), ("template", F.lit(documents)), ("exact", F.col("least"))]
+    keys = F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("key"), n.cast("int").alias("least")) for k, n in kinds]), lambda x: x["key"].isNotNull())
+    each = told.select("id", "th", "pos", "of", F.explode(keys).alias("x")).select("id", "th", "pos", "of", "x.*")
+    often = each.select("kind", "key", "of", "least").distinct().groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least"))
+    often = durable(often.where("n >= least").select("kind", "key"))
+    return each.join(often.hint("shuffle_merge"), ["kind", "key"], "left_semi").select("id", "th", "pos")
 
 
 def dropped(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
