@@ -332,7 +332,7 @@ def _cut(events: DataFrame, piece_rows: int, schema: str) -> DataFrame:
     pieces = F.sequence("from", F.coalesce(F.col("to") - 1, F.col("last")))
     middle = held.select("series", "stretch", F.lit(MIDDLE).alias("role"), F.lit(0).cast("bigint").alias("pos"), "value", "times", F.explode(pieces).alias("piece"))
     whole = placed.drop("last").unionByName(middle).withColumn("id", F.lit(None).cast("bigint"))
-    found = stored(whole.groupBy("series", "stretch", "piece").applyInArrow(_piece, schema), "moments")
+    found = stored(whole.groupBy("series", "stretch", "piece").applyInArrow(lambda t: _piece(t), schema), "moments")
     found = found.select("series", "pos", "value", "n", "median2", "mad4")
     rows = events.where(F.col("role") == ENTERS).select("id", "series", "pos", "value")
     return _on(rows, found, ["series", "pos", "value"], "inner").select("id", "series", "pos", "value", "n", "median2", "mad4")
