@@ -176,6 +176,14 @@ def ticket_rows(spark: SparkSession, d: str) -> DataFrame:
     return tracker.tickets(rows).select("ticket", "text", "state", "resolved", F.round("updated", 3).alias("updated"))
 
 
+def telling_tickets(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as tickets with nothing but a title, and of these the records that say enough."""
+    o = table(spark, d, "orders")
+    none = F.lit(None).cast("bigint")
+    rows = o.select(F.concat(F.lit("ord-"), F.col("o_orderkey").cast("string")).alias("idReadable"), F.col("o_orderpriority").alias("summary"), F.lit(None).cast("string").alias("description"), none.alias("resolved"), none.alias("updated"), none.alias("created"), F.array().cast("array<struct<name:string,value:struct<name:string,type:string>>>").alias("customFields"))
+    return tracker.telling(tracker.as_records(tracker.tickets(rows))).select("id", "text")
+
+
 def _search_sql() -> str:
     """Scores of the stated queries against all conversation turns: l by BM25 over what is asserted, v by the hashing encoder."""
     key = "'msg_' || conv_id || '_' || turn"
@@ -200,7 +208,7 @@ _HYBRID = "f AS (SELECT query_id, id, 1.0 / (60 + rank() OVER (PARTITION BY quer
 _NEAR10 = "nb AS (SELECT a.id AS l, b.id AS r, coalesce(s, 0) AS s, row_number() OVER (PARTITION BY a.id ORDER BY round(coalesce(s, 0), 9) DESC, b.id) AS k FROM idx a JOIN idx b ON a.id <> b.id LEFT JOIN dots ON l = a.id AND r = b.id QUALIFY k <= 10)"
 
 QUERIES = {f"search_{p.replace('-', '_')}": _search(p) for p in ("dense", "lexical", "dense-csls", "hybrid", "hybrid-anchors", "hybrid-jaccard")} | {
-    f.__name__: f for f in (related_search, gated_search, embed_cache, digest_build, stream_dedup, stream_window_counts, stream_streak_state, stream_upsert, stream_overrides, stream_last_replies, stream_announced, ticket_rows)
+    f.__name__: f for f in (related_search, gated_search, embed_cache, digest_build, stream_dedup, stream_window_counts, stream_streak_state, stream_upsert, stream_overrides, stream_last_replies, stream_announced, ticket_rows, telling_tickets)
 }
 
 ORACLE = {
@@ -217,5 +225,6 @@ ORACLE = {
     "stream_overrides": "WITH m AS (SELECT min(epoch_us(ts)) / 1e6 AS low, max(epoch_us(ts)) / 1e6 AS high FROM events), p AS (SELECT event_id, user_id, least(floor((epoch_us(ts) / 1e6 - low) / ((high - low) / 3 + 1e-3)), 1) AS part FROM events, m) SELECT event_id AS id, CASE WHEN event_id % 7 > part THEN 'ORD-' || user_id % 10 WHEN event_id % 7 > 0 THEN 'fix-' || event_id % 7 END AS key FROM p",
     "stream_last_replies": "SELECT ts::DATE::VARCHAR AS date, user_id AS \"user\", arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS text FROM events GROUP BY ALL",
     "stream_announced": "WITH b AS (SELECT user_id AS key, (dayofyear(ts) // 20 * 20)::BIGINT AS bucket, ts FROM events) SELECT DISTINCT key, bucket FROM b",
+    "telling_tickets": "SELECT 'yt_ORD-' || o_orderkey AS id, o_orderpriority AS text FROM orders WHERE length(trim(o_orderpriority)) >= 12",
     "ticket_rows": "SELECT 'ORD-' || o_orderkey AS ticket, o_orderpriority || ' A line of prose that is long enough' AS text, o_orderstatus AS state, o_orderstatus = 'F' AS resolved, round(epoch_ms(o_orderdate) / 1000.0, 3)::DOUBLE AS updated FROM orders",
 }

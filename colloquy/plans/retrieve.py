@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, replace, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,6 +60,8 @@ class Corpus:
     vectors: DataFrame | None = None
     links: DataFrame | None = None
     reranker: Reranker | None = None
+    #: Whether the same queries come again with other presets: a stage is then scored once and written.
+    sweep: bool = False
     _kept: dict = field(default_factory=dict)
 
     def indexed(self) -> DataFrame:
@@ -92,6 +94,10 @@ def scored(corpus: Corpus, queries: DataFrame, preset: Preset) -> DataFrame:
     """
     out = []
     for stage in preset.stages():
+        name = f"scores-{stage}" + (f"-{preset.transform}-{preset.csls}" if stage == "dense" else "")
+        if name in corpus._kept:
+            out.append(corpus._kept[name])
+            continue
         if stage == "dense":
             space = corpus.space(preset)
             whole = corpus.records.select("id").join(space, "id", "left")
@@ -116,7 +122,10 @@ def scored(corpus: Corpus, queries: DataFrame, preset: Preset) -> DataFrame:
             asked = queries.select("query_id", F.col("ts").alias("q_ts"), F.explode(F.array(*[F.floor(F.col("ts") / width) + k for k in (-1, 0, 1)])).alias("bin"))
             found = corpus.records.select("id", "ts", F.floor(F.col("ts") / width).alias("bin")).join(asked, "bin").select("query_id", "id", nearness(F.col("ts"), F.col("q_ts")).alias("score"))
         found = found.select("query_id", "id", F.lit(stage).alias("stage"), "score")
-        out.append(found if stage == "dense" else found.where("score > 0"))
+        found = found if stage == "dense" else found.where("score > 0")
+        out.append(written(found) if corpus.sweep else found)
+        if corpus.sweep:
+            corpus._kept[name] = out[-1]
     whole = out[0]
     for more in out[1:]:
         whole = whole.unionByName(more)
@@ -199,7 +208,11 @@ def gated(found: DataFrame, known: DataFrame, least: float = 0.45) -> DataFrame:
 
 
 def swept(corpus: Corpus, queries: DataFrame, truth: DataFrame, presets: list[str], depth: int = 50) -> DataFrame:
-    """(preset, recall, ceiling, ndcg, mrr, map, worst): each preset's measures over one corpus, whose vectors are made once."""
+    """(preset, recall, ceiling, ndcg, mrr, map, worst): each preset's measures over one corpus.
+
+    Vectors, spaces and the scores of each stage are made once; presets only fuse them with other weights.
+    """
+    corpus = replace(corpus, sweep=True, _kept=dict(corpus._kept))
     out = None
     for name in presets:
         ranks = ranked(corpus, queries, name, depth).where("query_id != id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))

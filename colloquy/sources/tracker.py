@@ -28,6 +28,15 @@ def tickets(rows: DataFrame, base: str = "") -> DataFrame:
     return out.dropDuplicates(["ticket"])
 
 
+#: Fixed value: characters below which a ticket's text says nothing that clustering could use.
+LEAST_TEXT = 12
+
+
+def telling(records: DataFrame) -> DataFrame:
+    """Records of tickets whose text, without space at its ends, is long enough to be compared with others."""
+    return records.where(F.length(F.trim("text")) >= LEAST_TEXT)
+
+
 def as_records(found: DataFrame) -> DataFrame:
     """Tickets as records, which are their own ticket."""
     return found.select(F.concat(F.lit("yt_"), "ticket").alias("id"), F.col("updated").alias("ts"), "text", F.lit("youtrack").alias("source"), F.col("ticket").alias("youtrack_key"), F.col("state").alias("youtrack_state"), F.col("url").alias("youtrack_url"), F.col("resolved").alias("youtrack_resolved"))
