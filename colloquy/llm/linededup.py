@@ -126,7 +126,7 @@ def _grouped(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """(th, group): the near copies among texts that hits, their recurring lines, make up at least half of."""
     each = hits.groupBy("th", "pos").agg(F.max("size").alias("size"), F.max("whole").alias("whole"))
     mostly = durable(each.groupBy("th").agg((F.sum("size") * 2 >= F.max("whole")).alias("mostly")).where("mostly").select("th"))
-    texts = _keyed(docs.select("doc_id", "text")).select(F.col("__th").alias("th"), "text").join(mostly.hint("shuffle_merge"), "th", "left_semi")
+    texts = _keyed(docs.select("doc_id", "text")).select(F.col("__th").alias("th"), "text").join(mostly.hint("shuffle_hash"), "th", "left_semi")  # texts needn't be sorted
     pairs = near_copies(texts.dropDuplicates(["th"]))
     return components(pairs.select(F.col("th").alias("u"), F.col("first").alias("v"))).select(F.col("node").alias("th"), F.col("root").alias("group"))
 
@@ -136,8 +136,8 @@ def _again(hits: DataFrame, groups: DataFrame, documents: int) -> DataFrame:
     told = hits.join(durable(groups).hint("shuffle_merge"), "th", "left").withColumn("of", F.coalesce("group", "th")).drop("group")
     told = stored(told, "hits")
     kinds = [("line", F.lit(documents)), ("template", F.lit(documents)), ("exact", F.col("least"))]
-    keys = F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("key"), n.cast("int").alias("least")) for k, n in kinds]), lambda x: x["key"].isNotNull())
-    each = told.select("id", "th", "pos", "of", F.explode(keys).alias("x")).select("id", "th", "pos", "of", "x.*")
+    keys = F.array(*[F.struct(F.lit(i).alias("kind"), F.col(k).alias("key"), n.cast("int").alias("least")) for i, (k, n) in enumerate(kinds)])
+    each = told.select("id", "th", "pos", "of", F.explode(keys).alias("x")).where("x.key is not null").select("id", "th", "pos", "of", "x.*")
     often = each.select("kind", "key", "of", "least").distinct().groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least"))
     often = durable(often.where("n >= least").select("kind", "key"))
     return each.join(often.hint("shuffle_merge"), ["kind", "key"], "left_semi").select("id", "th", "pos")
@@ -156,7 +156,7 @@ def dropped(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     hits = stored(general.unionByName(exactly, allowMissingColumns=True), "hits")
     found = _again(hits, _grouped(docs, hits), documents)
     gone = found.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_set("pos").alias("__gone"))
-    both = _keyed(docs).join(gone, ["__id", "__th"], "left")
+    both = _keyed(docs).join(gone.hint("shuffle_hash"), ["__id", "__th"], "left")
     all_lines = F.split("text", "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__all") - 1), F.col("__gone")), lambda k: F.get(F.col("__all"), k))
     cut = both.withColumn("__all", F.when(F.col("__gone").isNotNull(), all_lines)).withColumn("__kept", F.when(F.col("__gone").isNotNull(), F.array_join(kept, "\n")))
