@@ -21,7 +21,7 @@ from .common import durable, stored
 
 BINS = 1024
 #: Rows in a node's search below which they are put in order, by one task at most.
-SORTED = 50_000
+SORTED = 2_000
 #: Nodes of a level, or rows of offsets, up to which their table is broadcast.
 FEW = 10_000
 #: Slots of a shard are counted in parts of about so many rows, and in PARTS at least.
