@@ -12,6 +12,7 @@ from ..operators import dailies, drift, evaluation, items, recall, relations
 from ..operators.graphs import shared_dir
 from ..sources import chat, tracker, transcripts
 from ..sources.tables import conversation_records, table
+from ..streaming import jobs
 from .measures import _ranked
 from .search import _COS, RECORDS
 from .work import _DAILIES, _LINES, _STATE, NOW, _dailies, _events, _messages, _states
@@ -307,6 +308,36 @@ WITH c AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, max(CASE WHEN tu
 SELECT 'C' || (conv_id % 5) AS channel, conv_id || '.' || lpad(turn::VARCHAR, 6, '0') AS ts, role AS "user", turn > 0 AS is_reply, length(text) AS n FROM c WHERE role <> 'system' AND head IS NOT NULL AND head <> 'system'
 """
 
+_CHAT_STREAM = f"""
+WITH h AS (SELECT conv_id FROM conversations WHERE turn = 0)
+SELECT 'C' || (conv_id % 5) AS channel, ({_BEGUN} + conv_id + 50 * turn) || '.' || lpad(turn::VARCHAR, 6, '0') AS ts, role AS "user", turn > 0 AS is_reply, length(text) AS n FROM conversations SEMI JOIN h USING (conv_id)
+"""
+
+
+#: The second at which the recorded conversations begin.
+_BEGUN = 1_700_000_000
+
+
+def chat_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same channels as a stream: three parts by time, each into the store and then read on from the last offsets.
+
+    A conversation's turns are 50 seconds apart, so that replies come to heads of earlier parts.
+    """
+    c = table(spark, d, "conversations")
+    at = lambda turn: F.format_string("%d.%06d", F.lit(_BEGUN) + F.col("conv_id") + 50 * turn, turn)
+    rows = c.select(F.format_string("C%d", F.pmod("conv_id", F.lit(5))).alias("channel"), at(F.col("turn")).alias("ts"), F.when(F.col("turn") > 0, at(F.lit(0))).alias("thread_ts"), F.col("role").alias("user"), "text")
+    sec = F.floor(F.col("ts").cast("double"))
+    low, high = rows.agg(F.min(sec), F.max(sec)).first()
+    base = f"{shared_dir(spark)}/chat-{uuid.uuid4().hex}"
+    spark.dataSource.register(chat.Chat)
+    for part in range(3):
+        rows.where(F.floor((sec - low) / ((high - low) / 3 + 1e-3)) == part).write.mode("append").partitionBy("channel").json(f"{base}/in")
+        said = spark.readStream.format("chat").option("transport", "colloquy.sources.chat:recorded").option("path", f"{base}/in").option("span", "500").load()
+        keyed = said.withColumn("key", F.concat_ws("/", "channel", "ts")).withColumn("at", F.timestamp_seconds(F.col("ts").cast("double")))
+        once = jobs.deduplicated(keyed, "key", "at", "7 days")
+        once.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("channel", "ts", "user", "is_reply", F.length("text").cast("bigint").alias("n"))
+
 
 def names_known(spark: SparkSession, d: str) -> DataFrame:
     """Members' best names, how often the corpus has each id, and a text that mentions two of them."""
@@ -446,7 +477,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         board_items, board_blocks, board_lists, item_headlines, card_titles, items_named, people_named, items_of_person, strays, hits_placed, drifts_resolved, ids_decoded, blockers_stated,
-        daily_replies, standup_drafts, standup_boxes, day_before, without_simulated, morning_post, dates_read, chat_export, names_known, vtt_udtf, paste_udtf,
+        daily_replies, standup_drafts, standup_boxes, day_before, without_simulated, morning_post, dates_read, chat_export, chat_stream, names_known, vtt_udtf, paste_udtf,
         local_search_recent, recall_answer, found_by_depth, label_counts, strong_relations, tickets_of_projects,
     )
 }
@@ -473,6 +504,7 @@ ORACLE = {
     "morning_post": _MORNING,
     "dates_read": _DATES,
     "chat_export": _CHAT,
+    "chat_stream": _CHAT_STREAM,
     "names_known": _NAMES,
     "vtt_udtf": f"WITH {_SPOKEN} SELECT 'f' || conv_id || CASE conv_id % 3 WHEN 0 THEN '.vtt' WHEN 1 THEN '.json' ELSE '.txt' END AS path, nth AS pos, CASE conv_id % 3 WHEN 0 THEN turn * 95.5 WHEN 1 THEN turn * 2.5 ELSE nth * 20.0 END::DOUBLE AS \"offset\", role AS \"user\", said AS text FROM s",
     "paste_udtf": f"WITH {_SPOKEN} SELECT 'chat ' || conv_id AS title, nth AS pos, epoch(TIMESTAMP '2026-01-05 09:00:00' + INTERVAL 7 HOUR * turn)::BIGINT AS at, role AS \"user\", said || chr(10) || 'and more of it' AS text, false AS skipped FROM s UNION ALL SELECT DISTINCT 'chat ' || conv_id, -1, NULL, '', 'above', true FROM s",

@@ -12,7 +12,7 @@ from ..operators.graphs import shared_dir
 from ..operators.upserts import Deltas, Versions
 from ..sources import tracker
 from ..sources.tables import conversation_records, table
-from ..streaming import jobs
+from ..streaming import answers, jobs
 from . import digest, retrieve
 from .search import _tokens_sql
 
@@ -167,6 +167,23 @@ def stream_announced(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out).select("key", "bucket")
 
 
+def stream_day_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Each person's answer of a day, told when the day has ended: errors and purchases as replies in the thread, views as direct ones."""
+    out, was = f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    via = F.when(F.col("event_type").isin("error", "purchase"), answers.THREAD).when(F.col("event_type") == "view", "dm")
+
+    def run(stream: DataFrame, state: str) -> None:
+        said = stream.select(F.to_date("ts").alias("date"), F.col("user_id").alias("user"), via.alias("via"), F.col("ts").alias("at"), F.col("event_id").alias("id"), F.col("event_type").alias("text"))
+        answers.day_answers(said).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        _in_parts(spark, d, run)
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
+    return spark.read.schema("date date, user bigint, id bigint, text string, kept boolean").parquet(out).select(F.col("date").cast("string").alias("date"), "user", "id", "text", "kept")
+
+
 def ticket_rows(spark: SparkSession, d: str) -> DataFrame:
     """Orders as tracker rows, read into tickets and records."""
     o = table(spark, d, "orders")
@@ -208,7 +225,7 @@ _HYBRID = "f AS (SELECT query_id, id, 1.0 / (60 + rank() OVER (PARTITION BY quer
 _NEAR10 = "nb AS (SELECT a.id AS l, b.id AS r, coalesce(s, 0) AS s, row_number() OVER (PARTITION BY a.id ORDER BY round(coalesce(s, 0), 9) DESC, b.id) AS k FROM idx a JOIN idx b ON a.id <> b.id LEFT JOIN dots ON l = a.id AND r = b.id QUALIFY k <= 10)"
 
 QUERIES = {f"search_{p.replace('-', '_')}": _search(p) for p in ("dense", "lexical", "dense-csls", "hybrid", "hybrid-anchors", "hybrid-jaccard")} | {
-    f.__name__: f for f in (related_search, gated_search, embed_cache, digest_build, stream_dedup, stream_window_counts, stream_streak_state, stream_upsert, stream_overrides, stream_last_replies, stream_announced, ticket_rows, telling_tickets)
+    f.__name__: f for f in (related_search, gated_search, embed_cache, digest_build, stream_dedup, stream_window_counts, stream_streak_state, stream_upsert, stream_overrides, stream_last_replies, stream_announced, stream_day_answers, ticket_rows, telling_tickets)
 }
 
 ORACLE = {
@@ -225,6 +242,7 @@ ORACLE = {
     "stream_overrides": "WITH m AS (SELECT min(epoch_us(ts)) / 1e6 AS low, max(epoch_us(ts)) / 1e6 AS high FROM events), p AS (SELECT event_id, user_id, least(floor((epoch_us(ts) / 1e6 - low) / ((high - low) / 3 + 1e-3)), 1) AS part FROM events, m) SELECT event_id AS id, CASE WHEN event_id % 7 > part THEN 'ORD-' || user_id % 10 WHEN event_id % 7 > 0 THEN 'fix-' || event_id % 7 END AS key FROM p",
     "stream_last_replies": "SELECT ts::DATE::VARCHAR AS date, user_id AS \"user\", arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS text FROM events GROUP BY ALL",
     "stream_announced": "WITH b AS (SELECT user_id AS key, (dayofyear(ts) // 20 * 20)::BIGINT AS bucket, ts FROM events) SELECT DISTINCT key, bucket FROM b",
+    "stream_day_answers": "WITH m AS (SELECT max(ts) - INTERVAL 1 HOUR AS w FROM events WHERE event_type IN ('error', 'purchase', 'view')), e AS (SELECT ts::DATE AS date, user_id AS \"user\", event_type <> 'view' AS thread, ts, event_id, event_type FROM events, m WHERE event_type IN ('error', 'purchase', 'view') AND ts::DATE + INTERVAL 1 DAY < w) SELECT date::VARCHAR AS date, \"user\", arg_max(event_id, (thread, ts, event_id)) AS id, arg_max(event_type, (thread, ts, event_id)) AS text, NOT max(thread) AS kept FROM e GROUP BY date, \"user\"",
     "telling_tickets": "SELECT 'yt_ORD-' || o_orderkey AS id, o_orderpriority AS text FROM orders WHERE length(trim(o_orderpriority)) >= 12",
     "ticket_rows": "SELECT 'ORD-' || o_orderkey AS ticket, o_orderpriority || ' A line of prose that is long enough' AS text, o_orderstatus AS state, o_orderstatus = 'F' AS resolved, round(epoch_ms(o_orderdate) / 1000.0, 3)::DOUBLE AS updated FROM orders",
 }

@@ -1,4 +1,5 @@
-"""A chat service as a Spark data source: channels are partitions, pages follow cursors, and a stream resumes by time.
+"""A chat service as a Spark data source: channels and ranges of time are partitions, pages follow cursors, and a stream
+goes on in each channel from its newest time.
 
 The service is a callable, named as ``module:name`` in the option ``transport`` and called as
 ``transport(method, options, **parameters)``; it returns the method's answer as a dict, and raises Limited where the
@@ -7,21 +8,26 @@ service asks to wait. ``recorded`` is one that answers from files.
 
 from __future__ import annotations
 
-import glob
 import json
 import time
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 from importlib import import_module
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..operators.items import is_chat_id
 
-SCHEMA = "channel string, ts string, thread_ts string, user string, text string, subtype string, bot_id string, is_reply boolean"
+SCHEMA = "channel string, ts string, thread_ts string, user string, text string, subtype string, bot_id string, is_reply boolean, reactions array<string>, permalink string"
 #: Messages of a page at most, and how often a call that must wait is tried.
 PAGE, TRIES = 200, 5
+#: Seconds that a stream looks back for threads with new replies, seconds of a partition, and partitions of a channel at most.
+LOOKBACK, SPAN, RANGES = 7 * 86400.0, 86400.0, 16
 
 
 class Limited(Exception):
@@ -66,20 +72,37 @@ class _Service:
         found = [(c.get("name") or "", c["id"]) for c in self.pages("conversations.list", "channels") if c.get("is_member")]
         return [c for _, c in sorted(found)]
 
+    def heads(self, channel: str, oldest: str = "", latest: str = "") -> Iterator[dict]:
+        return self.pages("conversations.history", "messages", channel=channel, oldest=oldest, **({"latest": latest} if latest else {}))
+
+    def replies(self, channel: str, head: dict) -> Iterator[dict]:
+        """The replies to a message, without the message itself that the service repeats."""
+        if int(head.get("reply_count") or 0) > 0:
+            yield from (r for r in self.pages("conversations.replies", "messages", channel=channel, ts=head["ts"]) if r.get("ts") != head["ts"])
+
+    def row(self, channel: str, m: dict, reply: bool) -> Iterator[tuple]:
+        """A message's row, if it is wanted: not one's own; with the option subtypes only those, and only what has a text."""
+        own, kinds = self.options.get("own", ""), self.options.get("subtypes")
+        if own and m.get("user") == own:
+            return
+        if kinds is not None and (not m.get("text") or (m.get("subtype") and m["subtype"] not in kinds.split(","))):
+            return
+        link = m.get("permalink")
+        if link is None and not reply and self.options.get("permalinks", "").lower() == "true":
+            link = called(lambda: self.transport("chat.getPermalink", self.options, channel=channel, ts=m["ts"])).get("permalink")
+        yield channel, m.get("ts"), m.get("thread_ts"), m.get("user"), m.get("text"), m.get("subtype"), m.get("bot_id"), reply, [r.get("name") for r in m.get("reactions") or []], link
+
     def messages(self, channel: str, oldest: str = "") -> Iterator[tuple]:
-        """A channel's messages, each followed by its replies; neither one's own messages nor a parent's repetition."""
-        own, most = self.options.get("own", ""), int(self.options.get("limit", 1 << 62))
-        row = lambda m, reply: (channel, m.get("ts"), m.get("thread_ts"), m.get("user"), m.get("text"), m.get("subtype"), m.get("bot_id"), reply)
-        for m in self.pages("conversations.history", "messages", channel=channel, oldest=oldest):
+        """A channel's messages, each followed by its replies; what isn't wanted comes without its thread."""
+        most = int(self.options.get("limit", 1 << 62))
+        for m in self.heads(channel, oldest):
             if most <= 0:
                 return
             most -= 1
-            if own and m.get("user") == own:
-                continue
-            yield row(m, False)
-            if int(m.get("reply_count") or 0) > 0:
-                replies = self.pages("conversations.replies", "messages", channel=channel, ts=m["ts"])
-                yield from (row(r, True) for r in replies if r.get("ts") != m["ts"] and not (own and r.get("user") == own))
+            for row in self.row(channel, m, False):
+                yield row
+                for r in self.replies(channel, m):
+                    yield from self.row(channel, r, True)
 
 
 class _Reader(DataSourceReader):
@@ -93,29 +116,89 @@ class _Reader(DataSourceReader):
         yield from _Service(self.options).messages(partition.value, self.options.get("oldest", ""))
 
 
-class _Stream(SimpleDataSourceStreamReader):
-    """From the newest time that was read; its rows come again, so that what shares the second isn't lost."""
+@dataclass
+class _Range(InputPartition):
+    """Heads of a channel from low on, up to high (with it, if last); of their threads what is from since to end."""
+
+    channel: str
+    low: float
+    high: float
+    last: bool
+    since: str
+    end: str
+
+
+class _Stream(DataSourceStreamReader):
+    """From the newest time of each channel; its rows come again, so that what shares it isn't lost.
+
+    An offset is a time for each channel. A batch's messages are read by tasks, one for each channel and range of time:
+    the newest RANGES - 1 spans, and what is older. Replies to messages of up to ``lookback`` seconds before the offset
+    are found as they come; a reply later than that is not. The driver only asks for the newest time of each channel,
+    for which it turns the pages of messages from ``lookback`` seconds ago on and keeps none. A batch that is run again
+    asks for the same ranges. Replies are told from heads by their own time, so none comes before its batch.
+    """
 
     def __init__(self, options: dict[str, str]):
         self.options = dict(options)
+        self.lookback, self.span = float(options.get("lookback", LOOKBACK)), float(options.get("span", SPAN))
+        self.known: dict[str, str] = {}
 
     def initialOffset(self) -> dict:
-        return {"oldest": self.options.get("oldest", "0")}
+        return {}
 
-    def _since(self, start: dict) -> list[tuple]:
-        service = _Service(self.options)
-        return [m for c in service.channels() for m in service.messages(c, start["oldest"])]
+    def _newest(self, service: _Service, channel: str) -> str | None:
+        head = next(service.heads(channel), None)
+        if head is None:
+            return None
+        low = max(float(self.options.get("oldest", "0")), float(head["ts"]) - self.lookback)
+        times = (t for m in service.heads(channel, repr(low)) for t in (m["ts"], m.get("latest_reply")) if t)
+        return max(times, key=float, default=None)
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows = self._since(start)
-        return iter(rows), {"oldest": max([start["oldest"], *(r[1] for r in rows if r[1])], key=float)}
+    def latestOffset(self) -> dict:
+        service = _Service(self.options)
+        found = {c: self._newest(service, c) for c in service.channels()}
+        for c, t in found.items():  # a channel never goes back, not even when its newest message was deleted
+            if t is not None and float(t) >= float(self.known.get(c, "-inf")):
+                self.known[c] = t
+        return dict(self.known)
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.known = {**start, **end}
+        return [r for c in sorted(end) if end[c] != start.get(c) for r in self._ranges(c, start.get(c), end[c])]
+
+    def _ranges(self, channel: str, start: str | None, end: str) -> Iterator[_Range]:
+        oldest, high = float(self.options.get("oldest", "0")), float(end)
+        since = self.options.get("oldest", "0") if start is None else start
+        low = oldest if start is None else max(oldest, float(start) - self.lookback)
+        last = True
+        for _ in range(RANGES - 1):
+            if high - self.span <= low:
+                break
+            yield _Range(channel, high - self.span, high, last, since, end)
+            high, last = high - self.span, False
+        yield _Range(channel, low, high, last, since, end)
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([r for r in self._since(start) if r[1] is None or float(r[1]) <= float(end["oldest"])])
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        service, p = _Service(self.options), partition
+        since, end = float(p.since), float(p.end)
+        for m in service.heads(p.channel, repr(p.low), repr(p.high)):
+            at = float(m["ts"])
+            if not (p.low <= at < p.high or (p.last and at == p.high)):
+                continue
+            rows = list(service.row(p.channel, m, False))
+            if not rows:
+                continue
+            if at >= since:
+                yield from rows
+            elif m.get("latest_reply") and float(m["latest_reply"]) < since:
+                continue
+            for r in service.replies(p.channel, m):
+                if since <= float(r["ts"]) <= end:
+                    yield from service.row(p.channel, r, True)
 
 
 class Chat(DataSource):
-    """format("chat") with the options transport, channels, oldest, page, limit and own."""
+    """format("chat") with the options transport, channels, oldest, page, limit, own, subtypes, permalinks; streams: lookback, span."""
 
     @classmethod
     def name(cls) -> str:
@@ -127,25 +210,60 @@ class Chat(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return _Stream(self.options)
 
 
-def recorded(method: str, options: dict[str, str], channel: str = "", ts: str = "", oldest: str = "", cursor: str = "", limit: int = PAGE) -> dict:
-    """Answers from JSON lines in the folder of the option path, one folder channel=ID for each channel, newest first."""
-    path = options["path"].removeprefix("file:")
+@lru_cache(maxsize=2)
+def _kept(path: str, files: tuple[tuple[str, int, int], ...]) -> tuple[list[float], list[dict], dict[str, list[dict]]]:
+    """A channel's times and heads in order, heads with what is known of their threads, and the threads, heads first.
+
+    The last two channels that were asked for are held, so that a page costs no more than its messages.
+    """
+    store, rows = _store(path)[0], []
+    for name, _, _ in files:
+        with store.open_input_stream(name) as f:
+            rows += [json.loads(line) for line in f.read().splitlines() if line.strip()]
+    rows.sort(key=lambda r: float(r["ts"]))
+    heads = [r for r in rows if r.get("thread_ts") in (None, r["ts"])]
+    threads: dict[str, list[dict]] = {h["ts"]: [h] for h in heads}
+    for r in rows:
+        if r.get("thread_ts") not in (None, r["ts"]):
+            threads.setdefault(r["thread_ts"], []).append(r)
+    for i, h in enumerate(heads):
+        if len(said := threads[h["ts"]]) > 1:
+            heads[i] = said[0] = h | {"reply_count": len(said) - 1, "latest_reply": said[-1]["ts"]}
+    return [float(h["ts"]) for h in heads], heads, threads
+
+
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a Hadoop path or a plain one, and the path in it."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def recorded(method: str, options: dict[str, str], channel: str = "", ts: str = "", oldest: str = "", latest: str = "", cursor: str = "", limit: int = PAGE) -> dict:
+    """Answers from JSON lines in the folder of the option path, one folder channel=ID for each channel, newest first.
+
+    The path may be in any file system that Arrow opens by its scheme, as a cluster's shared folders are.
+    """
+    store, path = _store(options["path"])
     if method == "conversations.list":
-        return {"channels": [{"id": p.rsplit("=", 1)[1], "name": p.rsplit("=", 1)[1], "is_member": True} for p in glob.glob(f"{path}/channel=*")]}
-    rows = []
-    for name in sorted(glob.glob(f"{path}/channel={channel}/*.json")):
-        with open(name, encoding="utf-8") as f:
-            rows += [json.loads(line) for line in f]
+        found = sorted(i.base_name.split("=", 1)[1] for i in store.get_file_info(fs.FileSelector(path)) if i.base_name.startswith("channel="))
+        return {"channels": [{"id": c, "name": c, "is_member": True} for c in found]}
+    if method == "chat.getPermalink":
+        return {"permalink": f"{options['path']}/channel={channel}#{ts}"}
+    files = store.get_file_info(fs.FileSelector(f"{path}/channel={channel}", allow_not_found=True))
+    times, heads, threads = _kept(options["path"], tuple(sorted((i.path, i.size, i.mtime_ns or 0) for i in files if i.base_name.endswith(".json"))))
+    at = int(cursor or 0)
     if method == "conversations.replies":
-        rows = sorted((r for r in rows if ts in (r["ts"], r.get("thread_ts"))), key=lambda r: float(r["ts"]))
+        said = threads.get(ts, [])
+        some, n = said[at : at + limit], len(said)
     else:
-        rows = sorted((r for r in rows if r.get("thread_ts") in (None, r["ts"]) and float(r["ts"]) >= float(oldest or 0)), key=lambda r: -float(r["ts"]))
-    at = int(cursor or 0)
-    return {"messages": rows[at : at + limit], "response_metadata": {"next_cursor": str(at + limit) if at + limit < len(rows) else ""}}
+        low, high = bisect_left(times, float(oldest or 0)), bisect_right(times, float(latest or "inf"))
+        some, n = heads[max(low, high - at - limit) : max(low, high - at)][::-1], high - low
+    return {"messages": some, "response_metadata": {"next_cursor": str(at + limit) if at + limit < n else ""}}
 
 
 # names

@@ -44,11 +44,45 @@ def test_chat_source(spark, tmp_path):
     got = rows(spark.read.format("chat").options(**options).load(), "channel", "ts", "is_reply")
     assert got == [("C1", "1.5", False), ("C2", "1.0", False), ("C2", "3.0", False), ("C2", "5.0", False), ("C2", "6.0", False), ("C2", "7.0", True)]
     assert rows(spark.read.format("chat").options(**options, channels="C2", oldest="5.0").load(), "ts") == [("5.0",), ("6.0",), ("7.0",)]
-    service = chat.Chat(options | {"channels": "C2"}).simpleStreamReader(None)
-    first, at = service.read(service.initialOffset())
-    assert at == {"oldest": "7.0"} and len(list(first)) == 5
-    again, _ = service.read({"oldest": "5.0"})
-    assert [m[1] for m in again] == ["6.0", "7.0", "5.0"]
+
+
+def test_chat_stream_goes_on_in_each_channel(spark, tmp_path):
+    def add(name, channel, *messages):
+        (tmp_path / "in" / f"channel={channel}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / f"channel={channel}" / f"{name}.json").write_text("\n".join(json.dumps(m) for m in messages))
+
+    def run():
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        return rows(spark.read.parquet(str(tmp_path / "out")), "channel", "ts")
+
+    spark.dataSource.register(chat.Chat)
+    add("a", "C1", {"ts": "10.0", "text": "old"}, {"ts": "20.0", "text": "head"}, {"ts": "21.0", "thread_ts": "20.0", "text": "reply"}, {"ts": "90.0", "text": "new"})
+    add("a", "C2", {"ts": "5.0", "text": "quiet"})
+    options = {"transport": "colloquy.sources.chat:recorded", "path": f"file:{tmp_path}/in", "page": "1", "span": "7", "lookback": "75"}
+    stream = spark.readStream.format("chat").options(**options).load()
+    assert run() == [("C1", "10.0"), ("C1", "20.0"), ("C1", "21.0"), ("C1", "90.0"), ("C2", "5.0")]
+    # a late reply alone, one that is later than is looked back for, and a channel that wasn't there
+    add("b", "C1", {"ts": "95.0", "thread_ts": "20.0", "text": "late reply"}, {"ts": "96.0", "thread_ts": "10.0", "text": "too late"})
+    add("b", "C3", {"ts": "7.0", "text": "fresh"})
+    once = {("C1", "10.0"), ("C1", "20.0"), ("C1", "21.0"), ("C1", "90.0"), ("C2", "5.0"), ("C1", "95.0"), ("C3", "7.0")}
+    got = run()
+    assert set(got) == once and got.count(("C1", "90.0")) == 2  # the boundary comes again
+    assert run() == got  # nothing new, no batch
+    reader = chat.Chat(options).streamReader(None)
+    parts = reader.partitions({"C1": "90.0", "C2": "5.0"}, {"C1": "95.0", "C2": "5.0"})
+    assert {p.channel for p in parts} == {"C1"} and 2 < len(parts) <= chat.RANGES and parts[-1].low == 15.0
+    assert sorted(r[1] for p in parts for r in reader.read(p)) == ["90.0", "95.0"]
+
+
+def test_chat_rows_as_people_wrote_them(spark, tmp_path):
+    talk = [{"ts": "1.0", "user": "U1", "text": "hi", "reactions": [{"name": "eyes"}, {"name": "+1"}]}, {"ts": "2.0", "subtype": "channel_join", "text": "joined"}]
+    talk += [{"ts": "3.0", "subtype": "thread_broadcast", "text": "told"}, {"ts": "4.0", "user": "U1", "text": ""}]
+    options = recorded(tmp_path, {"C1": talk})
+    spark.dataSource.register(chat.Chat)
+    got = spark.read.format("chat").options(**options, subtypes="thread_broadcast", permalinks="true").load()
+    assert rows(got, "ts", "reactions") == [("1.0", ["eyes", "+1"]), ("3.0", [])]
+    assert got.where("permalink like '%channel=C1#1.0'").count() == 1
+    assert spark.read.format("chat").options(**options).load().count() == 4
 
 
 def test_corpus_files_are_checked(spark, tmp_path):

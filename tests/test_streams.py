@@ -1,7 +1,7 @@
 import datetime as dt
 
 from colloquy.operators.upserts import Deltas, Versions
-from colloquy.streaming import jobs
+from colloquy.streaming import answers, jobs
 from pyspark.sql import functions as F
 
 
@@ -54,3 +54,27 @@ def test_windows_close_with_the_watermark(spark, tmp_path):
     data.write.parquet(str(tmp_path / "in"))
     got = drained(jobs.windowed(spark.readStream.schema(data.schema).parquet(str(tmp_path / "in")), "ts", "10 minutes", "5 minutes"), tmp_path)
     assert sorted((r.start.minute, r.n) for r in got) == [(0, 2), (10, 1)]
+
+
+def test_a_day_of_answers_ends_with_its_timer(spark, tmp_path):
+    def add(*rows):
+        made = [(at.date() if at else None, user, via, at, n, f"t{n}") for user, via, at, n in rows]
+        spark.createDataFrame(made, "date date, user string, via string, at timestamp, id bigint, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("date date, user string, via string, at timestamp, id bigint, text string").parquet(str(tmp_path / "in"))
+        return sorted((str(r.date), r.user, r.id, r.kept) for r in drained(answers.day_answers(stream), tmp_path))
+
+    at = lambda day, hour: dt.datetime(2026, 8, day, hour)
+    was = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        first = [("a", "thread", at(1, 9), 1), ("a", "dm", at(1, 11), 2), ("b", "dm", at(1, 9), 3), ("c", "simulated", at(1, 8), 4), ("d", "noise", at(1, 9), 5), (None, "dm", at(1, 9), 6), ("e", "dm", None, 7)]
+        assert add(*first) == []  # the day is not over
+        # late within the hour of the watermark, after a restart: a correction, an earlier reply, a second direct answer
+        assert add(("a", "thread", at(1, 12), 8), ("a", "thread", at(1, 10), 9), ("b", "dm", at(1, 13), 10)) == []
+        told = [("2026-08-01", "a", 8, False), ("2026-08-01", "b", 10, True), ("2026-08-01", "c", 4, True)]
+        assert add(("a", "dm", at(2, 9), 11)) == told
+        # too late for a day that was told; the next day goes on
+        assert add(("a", "thread", at(1, 23), 12), ("a", "thread", at(2, 10), 13)) == told
+        assert add(("a", "dm", at(5, 9), 14)) == [*told, ("2026-08-02", "a", 13, False)]
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
