@@ -289,7 +289,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     vectors has vec_id and embedding. Nearness is the inner product in double precision, ties go to the smaller vec_id,
     and with fewer than k others all are returned. Rows take no part if the vec_id is null, or the vector is null,
     empty, zero, or has a null or non-finite component, or not as many components as the valid row of least vec_id.
-    Repeated rows count once. An empty table, or one without queries, gives an empty result.
+    Repeated rows count once; of different vectors under one vec_id the least, compared by components, stands. An empty table, or one without queries, gives an empty result.
     """
     spark = vectors.sparkSession
     v = F.col("embedding").cast("array<double>")
@@ -299,7 +299,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     found = rows.agg(F.min_by(F.size("v"), "vec_id").alias("dim"), F.count(F.lit(1)).alias("n")).first()
     if not found["n"]:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    rows = rows.where(F.size("v") == found["dim"]).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).dropDuplicates(["vec_id"])
+    rows = rows.where(F.size("v") == found["dim"]).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).groupBy("vec_id").agg(F.min("v").alias("v"))
     classes = durable(rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.max(F.pmod("vec_id", F.lit(every)) == 0).alias("is_query")))
     squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     whole = classes.agg(F.max(squares).alias("most"), F.count(F.lit(1)).alias("n"), F.max("is_query").alias("asked")).first()
@@ -323,6 +323,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     lists = hits.join(members, "rep")
     first = Window.partitionBy("q_rep").orderBy(F.desc("score"), "vec_id")
     lists = lists.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).select("q_rep", "vec_id", "score")
+    lists = durable(lists)  # so that a vector that many rows ask with can be split in the join
     asking = of.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("rep").alias("q_rep"))
     pairs = asking.join(lists, "q_rep").where("query_id != vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
