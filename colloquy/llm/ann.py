@@ -288,7 +288,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
 
     vectors has vec_id and embedding. Nearness is the inner product in double precision, ties go to the smaller vec_id,
     and with fewer than k others all are returned. Rows take no part if the vec_id is null, or the vector is null,
-    empty, zero, or has a null or non-finite component, or not as many components as the valid row of least vec_id.
+    empty, zero, or has a null or non-finite component, or not as many components as the valid row of least vec_id,
+    the shortest if several share that id.
     Repeated rows count once; of different vectors under one vec_id the least, compared by components, stands. An empty table, or one without queries, gives an empty result.
     """
     spark = vectors.sparkSession
@@ -296,7 +297,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null")
     rows = rows.where(~bad & F.exists("v", lambda x: x != 0))
-    found = rows.agg(F.min_by(F.size("v"), "vec_id").alias("dim"), F.count(F.lit(1)).alias("n")).first()
+    found = rows.agg(F.min(F.struct("vec_id", F.size("v").alias("dim")))["dim"].alias("dim"), F.count(F.lit(1)).alias("n")).first()
     if not found["n"]:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     rows = rows.where(F.size("v") == found["dim"]).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).groupBy("vec_id").agg(F.min("v").alias("v"))

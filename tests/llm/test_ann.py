@@ -89,3 +89,20 @@ def test_cells_are_visited_by_estimated_success():
     own = (np.floor(at).astype(np.int64) * index.codes).sum(axis=1)
     assert len(set(keys[0].tolist())) == 40
     assert all(own[t] in keys[t] for t in range(ann.TABLES))
+
+
+def test_of_vectors_under_one_id_the_least_stands(spark):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((60, 4)).astype(np.float32)
+    ids = np.arange(60)
+    other = [(int(i), [float(y) for y in x[i] + (1 if i % 2 else -1)]) for i in ids[::7]]
+    odd = [(0, [9.0] * 5), (0, [float("nan")] * 4)]  # longer than another of id 0; not finite
+    rows = [(int(i), [float(y) for y in v]) for i, v in zip(ids, x, strict=True)] + other + odd
+    least = np.array([min(v for i, v in rows if i == n and len(v) == 4 and v[0] == v[0]) for n in range(60)])
+    score = {q: dict(v) for q, v in brute(ids, least, k=60).items()}
+    found = [run(spark.createDataFrame(some, "vec_id bigint, embedding array<float>").repartition(parts)) for some, parts in ((rows, 1), (rows[::-1], 5))]
+    assert found[0] == found[1] and set(found[0]) == set(score)  # however the rows are dealt
+    for q, v in found[0].items():  # the search is approximate, so it is scores that tell which vector stands
+        assert all(abs(s - score[q][i]) < 1e-9 for i, s in v)
+        top = set(sorted(score[q], key=lambda i: (-score[q][i], i))[:20])
+        assert len(top & {i for i, _ in v}) >= 18
