@@ -287,3 +287,15 @@ def test_digest(spark):
     told = digest.summaries(digest.brief(whole, 0.0, 2), built.topics).first()
     assert told.citations == ["c", "b"] and not told.unverified
     assert digest.build(r, 50.0, 60.0, resolution=0.5, projects=["REV"]).topics.count() == 0
+
+
+def test_of_lines_with_one_time_and_number_the_tables_first_tells_a_topics_state(spark, tmp_path):
+    """SQL leaves the tie open and takes the row that comes first; the flag's own order must not matter."""
+    from colloquy.plans import work
+
+    at, before = dt.datetime(1998, 1, 2), dt.datetime(1997, 1, 2)
+    lines = [(1, 1, before, "A"), (1, 2, at, "N"), (1, 2, at, "R"), (2, 2, at, "R"), (2, 1, before, "N"), (2, 2, at, "N"), (3, 1, at, "A"), (3, 2, at, "R")]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_shipdate timestamp, l_returnflag string").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, "O", before) for k in (1, 2, 3)], "o_orderkey bigint, o_orderstatus string, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    assert {r.topic: r.state for r in work._tickets(spark, str(tmp_path))[0].collect()} == {1: "active", 2: "blocked", 3: "blocked"}
+    assert {r.topic: r.kind for r in work.drift_four_kinds(spark, str(tmp_path)).collect()} == {2: "slack_blocked_but_ticket_open", 3: "slack_blocked_but_ticket_open"}
