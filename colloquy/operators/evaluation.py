@@ -12,8 +12,13 @@ def measures(rankings: DataFrame, truth: DataFrame, k: int = 10) -> DataFrame:
     A query without a hit has its first hit after the list's end.
     """
     sizes = truth.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    return measured(rankings, rankings.join(truth, ["query_id", "id"], "left_semi"), sizes, k)
+
+
+def measured(rankings: DataFrame, hits: DataFrame, sizes: DataFrame, k: int = 10) -> DataFrame:
+    """measures() where the truth is too large to list: hits(query_id, id, rank) of the rankings, sizes(query_id, n) of the truth."""
     ends = rankings.groupBy("query_id").agg((F.max("rank") + 1).alias("end"))
-    hits = rankings.join(truth, ["query_id", "id"], "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+    hits = hits.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
     g = hits.groupBy("query_id").agg(
         F.count(F.when(F.col("rank") <= k, 1)).alias("within"),
         F.min("rank").alias("first"),
@@ -89,8 +94,12 @@ def found_by_depth(ranks: DataFrame, truth: DataFrame, depths: list[int]) -> Dat
     reachable is what a ranking of that depth could hold at most. ranks(query_id, id, rank), truth(query_id, id).
     """
     known = truth.distinct()
-    totals = known.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
-    hits = ranks.join(known, ["query_id", "id"]).select("query_id", "rank")
+    return depths_of(ranks.join(known, ["query_id", "id"]), known.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), depths)
+
+
+def depths_of(hits: DataFrame, sizes: DataFrame, depths: list[int]) -> DataFrame:
+    """found_by_depth() where the truth is too large to list: hits(query_id, rank) of the rankings, sizes(query_id, n) of the truth."""
+    hits, totals = hits.select("query_id", "rank"), sizes.select("query_id", F.col("n").alias("total"))
     at = F.explode(F.array(*map(F.lit, depths))).alias("depth")
     found = hits.select("rank", at).groupBy("depth").agg(F.count(F.when(F.col("rank") <= F.col("depth"), 1)).alias("found"))
     first = hits.where("rank = 1").agg(F.count(F.lit(1)).alias("first_correct"))
