@@ -299,3 +299,18 @@ def test_of_lines_with_one_time_and_number_the_tables_first_tells_a_topics_state
     spark.createDataFrame([(k, "O", before) for k in (1, 2, 3)], "o_orderkey bigint, o_orderstatus string, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
     assert {r.topic: r.state for r in work._tickets(spark, str(tmp_path))[0].collect()} == {1: "active", 2: "blocked", 3: "blocked"}
     assert {r.topic: r.kind for r in work.drift_four_kinds(spark, str(tmp_path)).collect()} == {2: "slack_blocked_but_ticket_open", 3: "slack_blocked_but_ticket_open"}
+
+
+def test_a_text_whose_tokens_cancel_each_other_out_is_still_told_from_one_without_any(spark, tmp_path):
+    """Two tokens of one component and opposite signs: the search's encoder gives zeros, as its SQL does, the cache's a unit vector."""
+    import hashlib
+
+    from colloquy.functions.encode import hashed
+    from colloquy.plans import flows
+
+    place = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:6], 16)
+    names = [f"w{chr(97 + a)}{chr(97 + b)}" for a in range(26) for b in range(26)]
+    other = next(t for t in names if place(t) % 64 == place("waa") % 64 and (place(t) >= 1 << 23) != (place("waa") >= 1 << 23))
+    spark.createDataFrame([(1, 0, f"waa {other}"), (1, 1, "waa"), (2, 0, "..."), (2, 1, None)], "conv_id bigint, turn bigint, text string").withColumn("role", F.lit("user")).write.parquet(f"{tmp_path}/conversations.parquet")
+    assert {r.id: r.norm for r in flows.embed_cache(spark, str(tmp_path)).collect()} == {"msg_1_0": 1.0, "msg_1_1": 1.0, "msg_2_0": 0.0, "msg_2_1": 0.0}
+    assert set(spark.createDataFrame([(f"waa {other}",)], "t string").select(hashed(F.col("t")).alias("v")).first().v) == {0.0}
