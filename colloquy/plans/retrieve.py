@@ -86,6 +86,19 @@ class Corpus:
         return self._kept[name]
 
 
+def dense(corpus: Corpus, queries: DataFrame, preset: Preset, best: int | None = None) -> DataFrame:
+    """(query_id, id, score) of every record, or of each query's best ones; a record or a query without a vector scores 0."""
+    space = corpus.space(preset)
+    width = space.agg(F.max(F.size("v"))).first()[0] or 1
+    zero = F.array_repeat(F.lit(0.0), width)
+    whole = corpus.records.select("id").join(space, "id", "left").withColumn("v", F.coalesce(F.col("v").cast("array<double>"), zero))
+    asked = queries.select("query_id", F.coalesce(F.col("q").cast("array<double>"), zero).alias("q"))
+    if preset.csls:
+        whole = vectors.with_hubness(whole, vectors.knn(space, preset.csls, "id", "v"), key="id")
+    found = vectors.cosine_to(whole, asked, "id", "v", best=best, less="hub" if preset.csls else None)
+    return found.withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
 def scored(corpus: Corpus, queries: DataFrame, preset: Preset) -> DataFrame:
     """(query_id, id, stage, score): of the dense stage for every record, of others only what is above zero.
 
@@ -99,13 +112,7 @@ def scored(corpus: Corpus, queries: DataFrame, preset: Preset) -> DataFrame:
             out.append(corpus._kept[name])
             continue
         if stage == "dense":
-            space = corpus.space(preset)
-            whole = corpus.records.select("id").join(space, "id", "left")
-            found = vectors.cosine_to(whole, queries.select("query_id", "q"), "id", "v")
-            if preset.csls:
-                near = vectors.knn(space, preset.csls, "id", "v")
-                found = vectors.csls(found, vectors.hubness(near), key="id")
-            found = found.withColumn("score", F.coalesce("score", F.lit(0.0)))
+            found = dense(corpus, queries, preset)
         elif stage == "lexical":
             docs = corpus.indexed()
             found = lexical.scores(lexical.matches(docs, queries.select("query_id", "text"), key="id")).withColumnRenamed("doc_id", "id")
@@ -159,11 +166,14 @@ def filled(found: DataFrame, corpus: Corpus, queries: DataFrame, base: DataFrame
 def ranked(corpus: Corpus, queries: DataFrame, preset: Preset | str = "hybrid", k: int = 10) -> DataFrame:
     """(query_id, id, rank, score): fused by reciprocal ranks, reranked as the preset says; ties to the smaller id."""
     preset = PRESETS[preset] if isinstance(preset, str) else preset
-    stages = scored(corpus, queries, preset)
-    if len(preset.stages()) == 1:
+    if preset.stages().keys() == {"dense"} and not corpus.sweep:  # of one list only the head counts, and below a reranked one the next
+        found = written(dense(corpus, queries, preset, max(k, preset.rerank, 20 if preset.jaccard < 1.0 else 0) + 1))
+        base = queries.select("query_id", F.lit(0.0).alias("base"))
+    elif len(preset.stages()) == 1:
+        stages = scored(corpus, queries, preset)
         found, base = written(stages.select("query_id", "id", "score")), queries.select("query_id", F.lit(0.0).alias("base"))
     else:
-        found = written(fused(stages, queries, preset))
+        found = written(fused(scored(corpus, queries, preset), queries, preset))
         base = found.select("query_id", "base").distinct()
     if not preset.dense:
         found = filled(found, corpus, queries, base, max(k, preset.rerank))
