@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import sparse
 from .graphs import stored
 
 #: Hours of quiet after a ticket changed, and days without a word that make a ticket silent.
@@ -95,6 +96,14 @@ def partners(members: DataFrame) -> DataFrame:
     return once.alias("a").join(once.alias("b"), "topic").where("a.user != b.user").groupBy(F.col("a.user").alias("user"), F.col("b.user").alias("partner")).agg(F.count(F.lit(1)).alias("items"))
 
 
+def best_partners(members: DataFrame, k: int) -> DataFrame:
+    """(user, partner, items, rank): the k people with whom someone shares most items, ties to the smaller name; no row for each pair of people."""
+    rows = stored(sparse.rows_of(members.select("user", "topic").distinct().withColumn("x", F.lit(1.0)), "user", "topic", "x"), "members")
+    found = sparse.best(rows.select(F.col("user").alias("id"), "terms", "values", F.lit(1.0).alias("factor")), rows.withColumnRenamed("user", "query_id"), k + 1)
+    other = found.where("query_id != id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+    return other.where(F.col("rank") <= k).select(F.col("query_id").alias("user"), F.col("id").alias("partner"), F.col("score").cast("bigint").alias("items"), "rank")
+
+
 # dailies
 
 

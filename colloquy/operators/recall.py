@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import trigrams
 from ..functions.when import recency
+from . import sparse
 from .decisions import chains
+from .graphs import stored
 
 #: Shares of character counts and of words, for messages and for decisions; the least that is a match.
 MESSAGE, DECISION, FLOOR = (0.65, 0.35), (0.7, 0.3), 0.04
@@ -41,24 +43,28 @@ def content(docs: DataFrame, queries: DataFrame, shares: tuple[float, float]) ->
     return both.select("query_id", "id", (shares[0] * F.coalesce("near", F.lit(0.0)) + shares[1] * F.coalesce(F.col("shared") / F.col("of"), F.lit(0.0))).alias("content"))
 
 
-def _best(scored: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def _weighted(rows: DataFrame, key: str, shares: tuple[float, float] | None = None) -> DataFrame:
+    """(key, terms, values): counts of three characters at length 1 and words, told apart by their first character; of a query, by their shares of the content."""
+    near = shares[0] if shares else 1.0
+    grams, size = _counted(rows, key, "n")
+    cut = rows.select(key, words(F.col("text")).alias("w")).withColumn("x", F.lit(shares[1]) / F.size("w") if shares else F.lit(1.0))
+    each = grams.join(size, key).select(key, F.concat(F.lit("g"), "g").alias("t"), (near * F.col("n") / F.col("n_size")).alias("x"))
+    return sparse.rows_of(each.unionByName(cut.select(key, "x", F.explode("w").alias("w")).select(key, F.concat(F.lit("w"), "w").alias("t"), "x")), key, "t", "x")
 
 
 def local_search(messages: DataFrame, queries: DataFrame, k: int = HITS) -> DataFrame:
-    """(query_id, id, score, rank): the best messages (id, text, ts). Recency only weighs what matches by content."""
+    """(query_id, id, score, rank): the best messages (id, text, ts). Recency only weighs what matches by content, which is content()."""
     newest = messages.agg(F.max("ts").alias("newest"))
-    found = content(messages, queries, MESSAGE).where(F.col("content") >= FLOOR)
     fresh = recency((F.col("newest") - F.col("ts")) / 86400.0)
-    both = found.join(messages.select("id", "ts"), "id").crossJoin(F.broadcast(newest))
-    return _best(both.select("query_id", "id", (F.col("content") * (1 - RECENT + RECENT * F.coalesce(fresh, F.lit(0.0)))).alias("score")), k)
+    factor = messages.crossJoin(F.broadcast(newest)).select("id", (1 - RECENT + RECENT * F.coalesce(fresh, F.lit(0.0))).alias("factor"))
+    records = stored(_weighted(messages, "id").join(factor, "id"), "weighted")
+    return sparse.best(records, stored(_weighted(queries, "query_id", MESSAGE), "asked"), k, least=FLOOR)
 
 
 def decisions_found(decisions: DataFrame, queries: DataFrame, k: int = DECISIONS) -> DataFrame:
     """(query_id, id, score, rank): decisions (id, text) that a query is about."""
-    found = content(decisions, queries, DECISION).where(F.col("content") > FLOOR)
-    return _best(found.select("query_id", "id", F.col("content").alias("score")), k)
+    records = stored(_weighted(decisions, "id").withColumn("factor", F.lit(1.0)), "weighted")
+    return sparse.best(records, stored(_weighted(queries, "query_id", DECISION), "asked"), k, least=FLOOR, beyond=True)
 
 
 def answer(decisions: DataFrame, hits: DataFrame, queries: DataFrame) -> DataFrame:
