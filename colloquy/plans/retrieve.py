@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import for_analysis
 from ..functions.when import nearness
-from ..operators import evaluation, fusion, lexical, signals, vectors
+from ..operators import evaluation, fusion, lexical, signals, sparse, vectors
 from ..operators.graphs import written
 
 
@@ -86,19 +86,110 @@ class Corpus:
         return self._kept[name]
 
 
-def dense(corpus: Corpus, queries: DataFrame, preset: Preset, best: int | None = None) -> DataFrame:
-    """(query_id, id, score) of every record, or of each query's best ones; a record or a query without a vector scores 0."""
+def _sides(corpus: Corpus, queries: DataFrame, preset: Preset) -> tuple[DataFrame, DataFrame]:
+    """(id, v) of every record and (query_id, q) of every query, zeros where there is no vector."""
     space = corpus.space(preset)
     width = space.agg(F.max(F.size("v"))).first()[0] or 1
     zero = F.array_repeat(F.lit(0.0), width)
     whole = corpus.records.select("id").join(space, "id", "left").withColumn("v", F.coalesce(F.col("v").cast("array<double>"), zero))
-    asked = queries.select("query_id", F.coalesce(F.col("q").cast("array<double>"), zero).alias("q"))
+    return whole, queries.select("query_id", F.coalesce(F.col("q").cast("array<double>"), zero).alias("q"))
+
+
+def dense(corpus: Corpus, queries: DataFrame, preset: Preset, best: int | None = None) -> DataFrame:
+    """(query_id, id, score) of every record, or of each query's best ones; a record or a query without a vector scores 0."""
+    whole, asked = _sides(corpus, queries, preset)
     if preset.csls:
-        whole = vectors.with_hubness(whole, vectors.knn(space, preset.csls, "id", "v"), key="id")
+        whole = vectors.with_hubness(whole, vectors.knn(corpus.space(preset), preset.csls, "id", "v"), key="id")
     found = vectors.cosine_to(whole, asked, "id", "v", best=best, less="hub" if preset.csls else None)
     return found.withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
+def _product_stage(weight: float, records: DataFrame, asked: DataFrame) -> fusion.Stage:
+    """A stage whose scores are products of sparse rows, above zero."""
+    return fusion.Stage(
+        weight,
+        lambda q, m: sparse.best(records, asked.join(q, "query_id", "left_semi"), m, least=0.0, beyond=True),
+        lambda pairs: sparse.products(records, asked, pairs),
+        lambda q, scores: sparse.better(records, asked.join(q, "query_id", "left_semi"), scores),
+    )
+
+
+def _pair_stage(weight: float, found: DataFrame) -> fusion.Stage:
+    """A stage with few records for a query: (query_id, id, score), above zero; others come after these, also after such as are zero to nine places."""
+    found = written(found.where("score > 0").groupBy("query_id", "id").agg(F.max("score").alias("score")))
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
+
+    def above(q: DataFrame, scores: DataFrame) -> DataFrame:
+        told = scores.withColumnRenamed("score", "f").join(found, "query_id").where(F.round("score", 9) > F.col("f"))
+        return told.groupBy("query_id", F.col("f").alias("score")).agg(F.count(F.lit(1)).alias("better"))
+
+    return fusion.Stage(
+        weight,
+        lambda q, m: found.join(q, "query_id", "left_semi").withColumn("r", F.row_number().over(order)).where(F.col("r") <= m),
+        lambda pairs: pairs.join(found, ["query_id", "id"], "left").select("query_id", "id", F.coalesce("score", F.lit(-1.0)).alias("score")),
+        above,
+    )
+
+
+def _class_stage(weight: float, records: DataFrame, queries: DataFrame, key: str) -> fusion.Stage:
+    """A stage in which all records with the query's key score 1, however many they are."""
+    asked = written(queries.where(F.col(key) != "").select("query_id", key))
+    kinds = records.where(F.col(key) != "").select("id", key)
+    sizes = written(kinds.join(asked.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("better")))
+
+    def head(q: DataFrame, m: int) -> DataFrame:
+        some = asked.join(q, "query_id", "left_semi")
+        order = Window.partitionBy(key).orderBy("id")
+        first = kinds.join(some.select(key).distinct(), key, "left_semi").withColumn("r", F.row_number().over(order)).where(F.col("r") <= m)
+        return some.join(first, key).select("query_id", "id", F.lit(1.0).alias("score"))
+
+    return fusion.Stage(
+        weight,
+        head,
+        lambda pairs: pairs.join(asked.withColumnRenamed(key, "own"), "query_id", "left").join(kinds, "id", "left").select("query_id", "id", F.when(F.col(key) == F.col("own"), 1.0).otherwise(0.0).alias("score")),
+        lambda q, scores: scores.where("score < 1").join(asked, "query_id").join(sizes, key).select("query_id", "score", "better"),
+    )
+
+
+def best_fused(corpus: Corpus, queries: DataFrame, preset: Preset, k: int) -> DataFrame:
+    """(query_id, id, score): the k best of fused(), without a row for each scored pair."""
+    stages = []
+    for stage, weight in preset.stages().items():
+        if stage == "dense":
+            whole, asked = (written(df) for df in _sides(corpus, queries, preset))
+            named = lambda pairs, a=asked, w=whole: pairs.join(a, "query_id").join(w, "id")
+            stages.append(
+                fusion.Stage(
+                    weight,
+                    lambda q, m, a=asked, w=whole: vectors.cosine_to(w, a.join(q, "query_id", "left_semi"), "id", "v", best=m),
+                    lambda pairs, named=named: named(pairs).select("query_id", "id", vectors.dot(F.col("q"), F.col("v")).alias("score")),
+                    lambda q, scores, a=asked, w=whole: vectors.better(w, a.join(q, "query_id", "left_semi"), scores, "id", "v", itself=True),
+                )
+            )
+        elif stage == "lexical":
+            stages.append(_product_stage(weight, *lexical.rows(corpus.indexed(), queries.select("query_id", "text"), key="id")))
+        elif stage == "anchors":
+            table = written(signals.anchor_table(corpus.indexed()))
+            asked = queries.select("query_id", F.explode(signals.anchors(F.col("text"))).alias("anchor"))
+            weighted = written(signals.anchor_shares(signals.anchor_idf(table, corpus.records.count()), asked))
+            own = table.join(weighted.select("anchor").distinct(), "anchor", "left_semi").withColumn("x", F.lit(1.0))
+            records = sparse.rows_of(own, "id", "anchor", "x").withColumn("factor", F.lit(1.0))
+            stages.append(_product_stage(weight, written(records), written(sparse.rows_of(weighted, "query_id", "anchor", "share"))))
+        elif stage in ("thread", "user"):
+            key = {"thread": "thread_ts", "user": "user"}[stage]
+            stages.append(_class_stage(weight, corpus.records, queries, key))
+        else:
+            stages.append(_pair_stage(weight, _near_in_time(corpus, queries)))
+    return fusion.reciprocal_best(stages, queries, k, corpus.records.count())
+
+
+def _near_in_time(corpus: Corpus, queries: DataFrame) -> DataFrame:
+    """(query_id, id, score): nearness in time ends at 48 hours, so two records meet in bins of that width."""
+    width = 48 * 3600
+    asked = queries.select("query_id", F.col("ts").alias("q_ts"), F.explode(F.array(*[F.floor(F.col("ts") / width) + k for k in (-1, 0, 1)])).alias("bin"))
+    return corpus.records.select("id", "ts", F.floor(F.col("ts") / width).alias("bin")).join(asked, "bin").select("query_id", "id", nearness(F.col("ts"), F.col("q_ts")).alias("score"))
+
+
 def scored(corpus: Corpus, queries: DataFrame, preset: Preset) -> DataFrame:
     """(query_id, id, stage, score): of the dense stage for every record, of others only what is above zero.
 
@@ -124,10 +215,8 @@ def scored(corpus: Corpus, queries: DataFrame, preset: Preset) -> DataFrame:
         elif stage in ("thread", "user"):
             key = {"thread": "thread_ts", "user": "user"}[stage]
             found = queries.where(F.col(key) != "").select("query_id", key).join(corpus.records.select("id", key), key).withColumn("score", F.lit(1.0))
-        else:  # nearness in time ends at 48 hours, so two records meet in bins of that width
-            width = 48 * 3600
-            asked = queries.select("query_id", F.col("ts").alias("q_ts"), F.explode(F.array(*[F.floor(F.col("ts") / width) + k for k in (-1, 0, 1)])).alias("bin"))
-            found = corpus.records.select("id", "ts", F.floor(F.col("ts") / width).alias("bin")).join(asked, "bin").select("query_id", "id", nearness(F.col("ts"), F.col("q_ts")).alias("score"))
+        else:
+            found = _near_in_time(corpus, queries)
         found = found.select("query_id", "id", F.lit(stage).alias("stage"), "score")
         found = found if stage == "dense" else found.where("score > 0")
         out.append(written(found) if corpus.sweep else found)
@@ -169,6 +258,12 @@ def ranked(corpus: Corpus, queries: DataFrame, preset: Preset | str = "hybrid",
     if preset.stages().keys() == {"dense"} and not corpus.sweep:  # of one list only the head counts, and below a reranked one the next
         found = written(dense(corpus, queries, preset, max(k, preset.rerank, 20 if preset.jaccard < 1.0 else 0) + 1))
         base = queries.select("query_id", F.lit(0.0).alias("base"))
+    elif preset.stages().keys() == {"lexical"} and not corpus.sweep:
+        best = lexical.best(corpus.indexed(), queries.select("query_id", "text"), max(k, preset.rerank, 20 if preset.jaccard < 1.0 else 0) + 1, key="id")
+        found, base = written(best.select("query_id", F.col("doc_id").alias("id"), "score")), queries.select("query_id", F.lit(0.0).alias("base"))
+    elif preset.dense and len(preset.stages()) > 1 and not preset.csls and not corpus.sweep:
+        found = written(best_fused(corpus, queries, preset, max(k, preset.rerank, 20 if preset.jaccard < 1.0 else 0) + 1))
+        base = None
     elif len(preset.stages()) == 1:
         stages = scored(corpus, queries, preset)
         found, base = written(stages.select("query_id", "id", "score")), queries.select("query_id", F.lit(0.0).alias("base"))
@@ -202,7 +297,7 @@ def related(corpus: Corpus, ids: DataFrame, k: int = 10, preset: str = "related"
 
 def relevance(corpus: Corpus, queries: DataFrame) -> DataFrame:
     """(query_id, lexical, dense): the best absolute scores, whatever a preset fuses; 0 in an empty corpus."""
-    lex = lexical.scores(lexical.matches(corpus.indexed(), queries.select("query_id", "text"), key="id")).groupBy("query_id").agg(F.max("score").alias("lexical"))
+    lex = lexical.best(corpus.indexed(), queries.select("query_id", "text"), 1, key="id").select("query_id", F.col("score").alias("lexical"))
     out = queries.select("query_id").join(lex, "query_id", "left")
     if corpus.vectors is not None:
         dense = vectors.cosine_to(corpus.vectors, queries.select("query_id", "q"), "id", "v", best=1).groupBy("query_id").agg(F.max("score").alias("dense"))
