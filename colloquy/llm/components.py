@@ -7,18 +7,25 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
+#: Edges of a task at least: rounds over few edges don't leave files for each of very many partitions.
+TASK_EDGES = 20_000
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
+
+def _tasks(edges: int) -> int:
+    return max(1, -(-edges // TASK_EDGES))
+
+
+def _star(edges: DataFrame, small: bool, tasks: int) -> DataFrame:
     """Link each node's neighbours (the smaller ones, or the larger ones) to the least of them and itself."""
     both = edges if small else edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    least = durable(least)  # so that a hub's neighbours can be split
+    least = durable(least.coalesce(tasks))  # so that a hub's neighbours can be split
     near = both.join(least.hint("shuffle_merge"), "u")
     if small:
         moved = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     else:
         moved = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.where("u != v").distinct()
+    return moved.where("u != v").coalesce(tasks).distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -30,6 +37,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     now = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = durable(now)
+    tasks = _tasks(now.count())  # rounds don't add edges
+    now = now.coalesce(tasks)
     sums = [F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))]
     before = None
     for _ in range(most_rounds):
@@ -37,5 +46,5 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if seen == before or not seen[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = seen
-        now = durable(_star(_star(now, small=False), small=True))
+        now = durable(_star(_star(now, False, tasks), True, tasks).coalesce(tasks))
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
