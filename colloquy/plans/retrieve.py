@@ -261,7 +261,7 @@ def ranked(corpus: Corpus, queries: DataFrame, preset: Preset | str = "hybrid",
     elif preset.stages().keys() == {"lexical"} and not corpus.sweep:
         best = lexical.best(corpus.indexed(), queries.select("query_id", "text"), max(k, preset.rerank, 20 if preset.jaccard < 1.0 else 0) + 1, key="id")
         found, base = written(best.select("query_id", F.col("doc_id").alias("id"), "score")), queries.select("query_id", F.lit(0.0).alias("base"))
-    elif preset.dense and len(preset.stages()) > 1 and not preset.csls and not corpus.sweep:
+    elif preset.dense and len(preset.stages()) > 1 and preset.stages().keys() <= {"dense", "lexical", "anchors"} and not preset.csls and not corpus.sweep:  # where half of all records tie in a stage, bounds tell little
         found = written(best_fused(corpus, queries, preset, max(k, preset.rerank, 20 if preset.jaccard < 1.0 else 0) + 1))
         base = None
     elif len(preset.stages()) == 1:
