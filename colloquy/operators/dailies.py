@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ HEADINGS = {
 }
 #: How a line that ends in a colon begins, to be a heading of a part.
 BEGINNINGS = {"done": ["done"], "focus": ["focus"], "blockers": ["blocker", "pending"]}
+#: Words of which each heading and each beginning above has one.
+WORDS = ["done", "yesterday", "เมื่อวาน", "focus", "today", "วันนี้", "blocker", "pending", "ติด"]
 #: The headings that a written reply has, in order.
 TITLES = [("done", "Done Yesterday:"), ("focus", "Focus Today:"), ("blockers", "Blockers / Pending:")]
 #: Lines offered of what was done, and of each other part; characters of a blocker.
@@ -32,16 +36,27 @@ def is_placeholder(line: Column) -> Column:
     return (F.trim(line) == "") | line.rlike(PLACEHOLDER)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once: what stands in an array of one is a variable in the function."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def heading_of(line: Column) -> Column:
     """The part that a line opens; null if it opens none."""
+
+    def opened(bare: Column, words: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for part, beginnings in reversed(BEGINNINGS.items()):
+            out = F.when(bare.rlike(r":\s*$") & words.rlike(f"^(?:{'|'.join(beginnings)})"), part).otherwise(out)
+        for part, phrases in HEADINGS.items():
+            out = F.when(words.isin(phrases), part).otherwise(out)
+        return out
+
     bare = F.regexp_replace(F.regexp_replace(F.trim(line), r"^[*_~>•\-\d.\s]+", ""), "[*_~`]", "")
-    words = F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, r":\s*$", ""), r"\s*/\s*", " "), r"\s+", " ")))
-    out = F.lit(None).cast("string")
-    for part, beginnings in reversed(BEGINNINGS.items()):
-        out = F.when(bare.rlike(r":\s*$") & words.rlike(f"^(?:{'|'.join(beginnings)})"), part).otherwise(out)
-    for part, phrases in HEADINGS.items():
-        out = F.when(words.isin(phrases), part).otherwise(out)
-    return out
+    words = lambda bare: F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, r":\s*$", ""), r"\s*/\s*", " "), r"\s+", " ")))
+    # most lines have none of the words that every heading has one of, and are not taken apart
+    some = F.lower(F.translate(line, "*_~`", "")).rlike("|".join(WORDS))
+    return F.when(some, _bound(bare, lambda b: _bound(words(b), lambda w: opened(b, w))))
 
 
 def tag_of(line: Column) -> Column:
@@ -58,21 +73,29 @@ def parsed_replies(replies: DataFrame) -> DataFrame:
     """(id, kind, done, focus, blockers): replies of a thread as answers. replies(id, text).
 
     kind is answer; unfilled, if a form came back as it was; other, if no line is a heading. Lines before the first
-    heading count for nothing. blockers are (text, tag).
+    heading count for nothing. blockers are (text, tag). A reply is read within its row, so nothing is shuffled.
     """
-    lines = replies.select("id", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r?\n")).alias("pos", "raw")).withColumn("opens", heading_of(F.col("raw")))
-    part = F.last("opens", ignorenulls=True).over(Window.partitionBy("id").orderBy("pos"))
-    line = unbulleted(F.col("raw"))
-    said = lines.withColumn("part", part).withColumn("line", line)
-    told = F.col("opens").isNull() & F.col("part").isNotNull() & (F.col("line") != "") & ~is_nothing(F.col("line"))
-    said = said.withColumn("unfilled", told & is_placeholder(F.col("line"))).withColumn("told", told & ~is_placeholder(F.col("line")))
-    row = F.struct("pos", F.col("line").alias("text"), tag_of(F.col("raw")).alias("tag"))
-    of = lambda p: F.sort_array(F.collect_list(F.when(F.col("told") & (F.col("part") == p), row)))
-    g = said.groupBy("id").agg(F.count("opens").alias("headings"), F.bool_or("unfilled").alias("unfilled"), *[of(p).alias(p) for p in HEADINGS])
-    empty = (F.size("done") + F.size("focus") + F.size("blockers")) == 0
-    kind = F.when(F.col("headings") == 0, "other").when(empty & F.col("unfilled"), "unfilled").otherwise("answer")
-    texts = lambda p: F.transform(p, lambda x: x["text"]).alias(p)
-    return g.select("id", kind.alias("kind"), texts("done"), texts("focus"), F.transform("blockers", lambda x: F.struct(x["text"].alias("text"), x["tag"].alias("tag"))).alias("blockers"))
+
+    def sections(lines: Column) -> Column:
+        """(headings, each line under a heading with the part), of lines (raw, opens)."""
+        heads = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), x["opens"].alias("part"))), lambda h: h["part"].isNotNull())
+
+        def under(h: Column) -> Column:
+            end = lambda j: F.coalesce(F.get(h, j + 1)["at"], F.size(lines))
+            each = lambda x, j: F.transform(F.slice(lines, x["at"] + 2, end(j) - x["at"] - 1), lambda l: F.struct(x["part"].alias("part"), l["raw"].alias("raw"), unbulleted(l["raw"]).alias("text")))
+            return F.struct(F.size(h).alias("headings"), F.flatten(F.transform(h, each)).alias("said"))
+
+        return _bound(heads, under)
+
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), r"\r?\n"), lambda raw: F.struct(raw.alias("raw"), heading_of(raw).alias("opens")))
+    cut = replies.select("id", _bound(lines, sections).alias("cut"))
+    said = F.filter("cut.said", lambda x: (x["text"] != "") & ~is_nothing(x["text"]))
+    marked = cut.select("id", "cut.headings", F.transform(said, lambda x: F.struct(x["part"].alias("part"), x["raw"].alias("raw"), x["text"].alias("text"), is_placeholder(x["text"]).alias("form"))).alias("said"))
+    told = marked.select("id", "headings", F.exists("said", lambda x: x["form"]).alias("unfilled"), F.filter("said", lambda x: ~x["form"]).alias("told"))
+    kind = F.when(F.col("headings") == 0, "other").when((F.size("told") == 0) & F.col("unfilled"), "unfilled").otherwise("answer")
+    of = lambda part, row: F.transform(F.filter("told", lambda x: x["part"] == part), row).alias(part)
+    text = lambda x: x["text"]
+    return told.select("id", kind.alias("kind"), of("done", text), of("focus", text), of("blockers", lambda x: F.struct(x["text"].alias("text"), tag_of(x["raw"]).alias("tag"))))
 
 
 def composed(done: Column, focus: Column, blockers: Column, empty: str | None = None) -> Column:
@@ -81,7 +104,7 @@ def composed(done: Column, focus: Column, blockers: Column, empty: str | None =
     def lines(values: Column) -> Column:
         none = F.array().cast("array<string>")
         each = F.filter(F.transform(F.flatten(F.transform(F.coalesce(values, none), lambda v: F.split(F.coalesce(v, F.lit("")), r"\r?\n"))), lambda v: F.trim(v)), lambda x: x != "")
-        return F.when(F.size(each) == 0, F.array(F.lit(empty))).otherwise(each) if empty else each
+        return _bound(each, lambda e: F.when(F.size(e) == 0, F.array(F.lit(empty))).otherwise(e)) if empty else each
 
     parts = [F.concat(F.array(F.lit(title)), lines(c)) for (_, title), c in zip(TITLES, (done, focus, blockers), strict=True)]
     return F.array_join(F.concat(parts[0], F.array(F.lit("")), parts[1], F.array(F.lit("")), parts[2]), "\n")

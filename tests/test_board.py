@@ -219,3 +219,14 @@ def test_headings_and_replies(spark):
     assert [r[0] for r in lines.select(dailies.heading_of(F.col("t"))).collect()] == ["done", None, "blockers", "done", "blockers", None, None]
     text = spark.range(1).select(dailies.composed(F.array(F.lit(" a \n\n b ")), F.array().cast("array<string>"), F.lit(None).cast("array<string>")).alias("t")).first().t
     assert text == "Done Yesterday:\na\nb\n\nFocus Today:\n\nBlockers / Pending:"
+
+
+def test_replies_are_read_within_their_rows(spark):
+    text = "hello\n*Done Yesterday:*\n- closed a\n-\nFocus Today\nnone\nBlockers / Pending:\n• Pending key <@U1234567|Nok>\r\n• PO answer"
+    said = spark.createDataFrame([(1, text), (2, None), (3, "Pending nothing"), (4, "Done\nFinished ticket #[ID]"), (5, "Focus today\n- next\nxxxx\nD_o_ne:\nb"), (6, "")], "id long, text string")
+    found = dailies.parsed_replies(said)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: (r.kind, r.done, r.focus, [tuple(b) for b in r.blockers]) for r in found.collect()}
+    assert got[1] == ("answer", ["closed a"], [], [("Pending key <@U1234567|Nok>", "U1234567"), ("PO answer", "PO")])
+    assert got[2] == got[3] == got[6] == ("other", [], [], [])
+    assert got[4] == ("unfilled", [], [], []) and got[5] == ("answer", ["b"], ["next"], [])
