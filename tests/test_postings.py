@@ -50,3 +50,21 @@ def test_a_segment_without_its_last_table_does_not_count(spark, docs, tmp_path):
     want = found(index.search(queries, 3))
     docs.limit(0).selectExpr("doc_id", "0 as range", "0 as dl").write.parquet(str(tmp_path / "c/docs/segment=2"))  # a writer that was lost
     assert index.segments() == [1] and found(index.search(queries, 3)) == want
+
+
+def test_terms_are_counted_within_their_document(spark):
+    said = [(1, "b a-b a a"), (2, ""), (3, None), (4, "a c"), (4, "c d"), (None, "a")]
+    docs = spark.createDataFrame(said, "doc_id long, text string")
+    assert sorted(map(tuple, lexical.term_totals(docs).collect())) == [("a", 3, 6), ("a-b", 1, 1), ("b", 1, 3), ("c", 1, 2), ("d", 1, 1)]
+    once = lexical.term_totals(docs.where("doc_id < 4"))
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1  # only sums by term
+
+
+def test_of_rows_with_one_id_an_index_has_the_greatest_text(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "alpha beta"), (1, "zeta zeta alpha"), (2, "beta"), (3, None), (None, "beta")], "doc_id long, text string")
+    index = postings.Index(spark, str(tmp_path / "index"))
+    index.append(docs)
+    got = {(r.doc_id, r.term): (r.tf, r.dl) for r in index._whole("postings").collect()}
+    assert got == {(1, "zeta"): (2, 3), (1, "alpha"): (1, 3), (2, "beta"): (1, 1)}
+    assert tuple(index._whole("totals").select("docs", "tokens").first()) == (3, 4)
