@@ -19,8 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .graphs import written
-from .lexical import B, K1, counted, idf, query_terms, top
+from .graphs import stored, written
+from .lexical import B, K1, counted, idf, query_terms, repeated, term_counts, top
 
 #: Documents of a range, buckets of terms, and ranges of each query in the first pass.
 RANGE_DOCS, BUCKETS, FIRST = 256, 64, 4
@@ -69,8 +69,13 @@ class Index:
 
         Only the batch is cut into terms; of earlier segments the ids are read, to know what the batch replaces.
         """
-        once = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("doc_id")).agg(F.max(F.coalesce(F.col(text), F.lit(""))).alias("text"))
-        return self._write(written(counted(once).select(F.col("doc_id").cast(self.key), "dl", "terms")))
+        known = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+        twice = repeated(known)
+        if twice is not None:
+            same = known["doc_id"] == twice["__key"]
+            best = known.join(twice, same, "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+            known = known.join(twice, same, "left_anti").unionByName(best)
+        return self._write(stored(counted(known).select(F.col("doc_id").cast(self.key), "dl", term_counts(F.col("terms")).alias("counts")), "cut"))
 
     def _write(self, cut: DataFrame, merged: bool = False) -> int:
         before = self.segments()
@@ -86,13 +91,14 @@ class Index:
             self._put(old.join(cut.select("doc_id"), "doc_id", "left_semi").select("of", "doc_id", "range", "dl"), "replaced", n)
         else:
             self._put(self.spark.createDataFrame([], _SCHEMAS["replaced"].format(key=self.key)), "replaced", n)
-        each = dealt.select("doc_id", "range", "dl", F.explode("terms").alias("term")).groupBy("term", "range", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+        each = dealt.select("doc_id", "range", "dl", F.inline("counts"))
         bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
         rows = each.withColumn("bucket", bucket).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "range")
         self._put(rows.select("term", "range", "doc_id", "tf", "dl", "bucket"), "postings", n, "bucket")
         mine = self._table("postings").where(F.col("segment") == n)
-        blocks = mine.groupBy("bucket", "term", "range").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"))
-        self._put(blocks.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").select("term", "range", "n", "most_tf", "least_dl", "bucket"), "blocks", n, "bucket")
+        # dealt by bucket, which is enough for the sums by term and range as well
+        blocks = mine.select("bucket", "term", "range", "tf", "dl").repartition("bucket").groupBy("bucket", "term", "range").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"))
+        self._put(blocks.sortWithinPartitions("bucket", "term").select("term", "range", "n", "most_tf", "least_dl", "bucket"), "blocks", n, "bucket")
         self._put(self.spark.createDataFrame([(size["docs"], size["tokens"])], _SCHEMAS["totals"]).coalesce(1), "totals", n)
         return n
 
@@ -108,8 +114,9 @@ class Index:
         """The live documents as one segment of an index in another folder, from postings, without texts."""
         fresh = Index(self.spark, to, self.key, self.range_docs)
         rows = self._whole("postings").join(self.live().select("segment", "doc_id"), ["segment", "doc_id"], "left_semi")
-        terms = rows.groupBy("doc_id").agg(F.flatten(F.collect_list(F.array_repeat("term", F.col("tf").cast("int")))).alias("terms"))
-        fresh._write(written(self.live().select("doc_id", "dl").join(terms, "doc_id", "left").select("doc_id", "dl", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))), merged=True)
+        counts = rows.groupBy("doc_id").agg(F.collect_list(F.struct("term", "tf")).alias("counts"))
+        none = F.array().cast("array<struct<term:string,tf:bigint>>")
+        fresh._write(stored(self.live().select("doc_id", "dl").join(counts, "doc_id", "left").select("doc_id", "dl", F.coalesce("counts", none).alias("counts")), "cut"), merged=True)
         return fresh
 
     def known(self, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
