@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import NOTHING, PLACEHOLDER, TICKET
+from ..functions.text import NOTHING, PLACEHOLDER, TICKET, bound
 from .items import is_chat_id, stated_blocker
 
 #: Headings that open a part of a reply, without marks and in lower case.
@@ -36,11 +34,6 @@ def is_placeholder(line: Column) -> Column:
     return (F.trim(line) == "") | line.rlike(PLACEHOLDER)
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value worked out once: what stands in an array of one is a variable in the function."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def heading_of(line: Column) -> Column:
     """The part that a line opens; null if it opens none."""
 
@@ -56,7 +49,7 @@ def heading_of(line: Column) -> Column:
     words = lambda bare: F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, r":\s*$", ""), r"\s*/\s*", " "), r"\s+", " ")))
     # most lines have none of the words that every heading has one of, and are not taken apart
     some = F.lower(F.translate(line, "*_~`", "")).rlike("|".join(WORDS))
-    return F.when(some, _bound(bare, lambda b: _bound(words(b), lambda w: opened(b, w))))
+    return F.when(some, bound(bare, lambda b: bound(words(b), lambda w: opened(b, w))))
 
 
 def tag_of(line: Column) -> Column:
@@ -85,10 +78,10 @@ def parsed_replies(replies: DataFrame) -> DataFrame:
             each = lambda x, j: F.transform(F.slice(lines, x["at"] + 2, end(j) - x["at"] - 1), lambda l: F.struct(x["part"].alias("part"), l["raw"].alias("raw"), unbulleted(l["raw"]).alias("text")))
             return F.struct(F.size(h).alias("headings"), F.flatten(F.transform(h, each)).alias("said"))
 
-        return _bound(heads, under)
+        return bound(heads, under)
 
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), r"\r?\n"), lambda raw: F.struct(raw.alias("raw"), heading_of(raw).alias("opens")))
-    cut = replies.select("id", _bound(lines, sections).alias("cut"))
+    cut = replies.select("id", bound(lines, sections).alias("cut"))
     said = F.filter("cut.said", lambda x: (x["text"] != "") & ~is_nothing(x["text"]))
     marked = cut.select("id", "cut.headings", F.transform(said, lambda x: F.struct(x["part"].alias("part"), x["raw"].alias("raw"), x["text"].alias("text"), is_placeholder(x["text"]).alias("form"))).alias("said"))
     told = marked.select("id", "headings", F.exists("said", lambda x: x["form"]).alias("unfilled"), F.filter("said", lambda x: ~x["form"]).alias("told"))
@@ -104,7 +97,7 @@ def composed(done: Column, focus: Column, blockers: Column, empty: str | None =
     def lines(values: Column) -> Column:
         none = F.array().cast("array<string>")
         each = F.filter(F.transform(F.flatten(F.transform(F.coalesce(values, none), lambda v: F.split(F.coalesce(v, F.lit("")), r"\r?\n"))), lambda v: F.trim(v)), lambda x: x != "")
-        return _bound(each, lambda e: F.when(F.size(e) == 0, F.array(F.lit(empty))).otherwise(e)) if empty else each
+        return bound(each, lambda e: F.when(F.size(e) == 0, F.array(F.lit(empty))).otherwise(e)) if empty else each
 
     parts = [F.concat(F.array(F.lit(title)), lines(c)) for (_, title), c in zip(TITLES, (done, focus, blockers), strict=True)]
     return F.array_join(F.concat(parts[0], F.array(F.lit("")), parts[1], F.array(F.lit("")), parts[2]), "\n")
@@ -137,10 +130,11 @@ def offered(lines: DataFrame) -> DataFrame:
 
     done: yesterday's items, five at most. today: carried items, tickets before others and then the stalest, three at
     most; yesterday's, if nothing is carried. blocker: three at most, in the person's words, with the ticket's key.
+    Of a person's items of one name the lesser headline comes first, so that each run gives the same.
     """
     ticket = F.col("item").rlike(rf"^{TICKET}$")
     text = F.when(ticket, F.concat_ws(" ", "item", "headline")).otherwise(F.col("headline"))
-    place = lambda *order: F.row_number().over(Window.partitionBy("user").orderBy(*order, "item"))
+    place = lambda *order: F.row_number().over(Window.partitionBy("user").orderBy(*order, "item", "headline"))
     some = lambda part: lines.where(F.col("part") == part)
     done = some("yesterday").select("user", F.lit("done").alias("part"), place(F.lit(0)).alias("place"), text.alias("text")).where(F.col("place") <= MOST_DONE)
     today = some("carried").select("user", F.lit("today").alias("part"), place(F.desc(ticket), F.desc("stale_days")).alias("place"), text.alias("text"))
