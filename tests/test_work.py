@@ -314,3 +314,15 @@ def test_a_text_whose_tokens_cancel_each_other_out_is_still_told_from_one_withou
     spark.createDataFrame([(1, 0, f"waa {other}"), (1, 1, "waa"), (2, 0, "..."), (2, 1, None)], "conv_id bigint, turn bigint, text string").withColumn("role", F.lit("user")).write.parquet(f"{tmp_path}/conversations.parquet")
     assert {r.id: r.norm for r in flows.embed_cache(spark, str(tmp_path)).collect()} == {"msg_1_0": 1.0, "msg_1_1": 1.0, "msg_2_0": 0.0, "msg_2_1": 0.0}
     assert set(spark.createDataFrame([(f"waa {other}",)], "t string").select(hashed(F.col("t")).alias("v")).first().v) == {0.0}
+
+
+def test_records_of_equal_anchors_are_compared_once(spark):
+    held = {k: ({"a", "b"} if k % 3 == 0 else {"b"} if k % 3 == 1 else {"c", f"own{k}"}) for k in range(60)}
+    table = spark.createDataFrame([(k, a) for k, s in held.items() for a in s], "id long, anchor string")
+    idfs = signals.anchor_idf(table, len(held))
+    asked = table.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    found = signals.anchor_overlap(table, idfs, asked)
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]  # no row for a pair is shuffled or summed up
+    idf = {r.anchor: r.idf for r in idfs.collect()}
+    want = {(q, k): round(sum(idf[a] for a in held[q] & held[k]) / sum(idf[a] for a in held[q]), 9) for q in range(0, 60, 20) for k in held if held[q] & held[k]}
+    assert {(r.query_id, r.id): round(r.score, 9) for r in found.collect()} == want
