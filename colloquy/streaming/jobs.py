@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.upserts import Deltas, Versions
 
+#: Groups that keys of streaks are dealt into, and a day before all others.
+GROUPS, NEVER = 4096, -(1 << 62)
+
 
 def deduplicated(stream: DataFrame, key: str = "id", time: str = "ts", late: str = "2 days") -> DataFrame:
     """Rows of a stream, each key once while it may still come again. The boundary of a resumed read repeats rows."""
@@ -49,26 +53,39 @@ def corrected(store: Deltas, overrides: Versions, key: str = "id") -> Callable[[
     return write
 
 
-def streaks(days: DataFrame) -> DataFrame:
+def streaks(days: DataFrame, groups: int = GROUPS) -> DataFrame:
     """(user, blocker, date, days, since) for a stream of (day number, date, user, blocker): how long a blocker has come back.
 
-    day numbers count collected days, so only a collected day without the blocker breaks its run.
+    day numbers count collected days, so only a collected day without the blocker breaks its run. A call and a row of
+    state are those of a group of persons and blockers, whose rows are worked on together.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, count, since = state.get if state.exists else (-1, 0, "")
-        out = []
-        for row in pd.concat(list(batches)).sort_values("day").itertuples():
-            if row.day <= last:
-                continue
-            count, since = (count + 1, since) if row.day == last + 1 and count else (1, str(row.date))
-            last = int(row.day)
-            out.append((*key, str(row.date), count, since))
-        state.update((last, count, since))
-        yield pd.DataFrame(out, columns=["user", "blocker", "date", "days", "since"])
+        names, lasts, counts, sinces = state.get if state.exists else ([], [], [], [])
+        rows = pd.concat(list(batches)).sort_values(["key", "day"], kind="stable").drop_duplicates(["key", "day"])
+        known = pd.Index(names, dtype=object)
+        last = np.array([*lasts, NEVER])[known.get_indexer(rows["key"])]
+        rows = rows[rows["day"].to_numpy() > last]
+        if rows.empty:
+            return
+        name, day, date = rows["key"].to_numpy(), rows["day"].to_numpy(), rows["date"].to_numpy()
+        place = known.get_indexer(rows["key"])  # -1, the last, for what is new
+        head = np.r_[True, name[1:] != name[:-1]]
+        before = np.where(head, np.array([*lasts, NEVER])[place], np.r_[NEVER, day[:-1]])
+        fresh, at = day != before + 1, np.arange(len(day))
+        begin = np.maximum.accumulate(np.where(head | fresh, at, 0))
+        count = at - begin + 1 + np.where(fresh[begin], 0, np.array([*counts, 0])[place[begin]])
+        since = np.where(fresh[begin], date[begin], np.array([*sinces, ""], dtype=object)[place[begin]])
+        held = dict(zip(names, zip(lasts, counts, sinces, strict=True), strict=True))
+        end = np.r_[head[1:], True]
+        held.update(zip(name[end], zip(day[end].tolist(), count[end].tolist(), since[end], strict=True), strict=True))
+        state.update((list(held), *map(list, zip(*held.values(), strict=True))))
+        yield pd.DataFrame({"key": name, "date": date, "days": count.astype(np.int32), "since": since})
 
     kind = days.schema["user"].dataType.simpleString()
-    return days.groupBy("user", "blocker").applyInPandasWithState(run, f"user {kind}, blocker string, date string, days int, since string", "last long, count int, since string", "append", GroupStateTimeout.NoTimeout)
+    dealt = days.where("day is not null").select(F.pmod(F.xxhash64("user", "blocker"), F.lit(groups)).alias("group"), F.to_json(F.struct("user", "blocker")).alias("key"), F.col("day").cast("bigint").alias("day"), F.col("date").cast("string").alias("date"))
+    found = dealt.groupBy("group").applyInPandasWithState(run, "key string, date string, days int, since string", "names array<string>, lasts array<bigint>, counts array<int>, sinces array<string>", "append", GroupStateTimeout.NoTimeout)
+    return found.withColumn("k", F.from_json("key", f"user {kind}, blocker string")).select("k.user", "k.blocker", "date", "days", "since")
 
 
 def announced_once(found: DataFrame) -> DataFrame:

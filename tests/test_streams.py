@@ -78,3 +78,31 @@ def test_a_day_of_answers_ends_with_its_timer(spark, tmp_path):
         assert add(("a", "dm", at(5, 9), 14)) == [*told, ("2026-08-02", "a", 13, False)]
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
+
+
+def test_a_late_answer_counts_while_its_day_is_open(spark, tmp_path):
+    schema = "date date, user string, via string, at timestamp, id bigint, text string"
+
+    def add(*rows):
+        spark.createDataFrame([(dt.date(2026, 8, day), user, via, dt.datetime(2026, 8, day, hour), n, None) for day, hour, user, via, n in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        made = answers.day_answers(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        return sorted((str(r.date), r.user, r.id, r.text, r.kept) for r in drained(made, tmp_path))
+
+    assert add((1, 20, "a", "dm", 1)) == []
+    assert add((1, 21, "b", "dm", 2)) == []
+    assert add((1, 3, "c", "thread", 3), (1, 2, "a", "thread", 4)) == []  # long past the watermark, but the day isn't told
+    assert add((3, 9, "a", "dm", 5)) == [("2026-08-01", "a", 4, "", False), ("2026-08-01", "b", 2, "", True), ("2026-08-01", "c", 3, "", False)]
+
+
+def test_streaks_of_many_persons_share_few_rows_of_state(spark, tmp_path):
+    def add(*rows):
+        data = spark.createDataFrame([(d, dt.date(2026, 8, 10) + dt.timedelta(d), user, "api") for d, user in rows], "day bigint, date date, user bigint, blocker string")
+        data.write.mode("append").parquet(str(tmp_path / "in"))
+        return sorted((r.user or 0, r.date[8:], r.days, r.since[8:]) for r in drained(jobs.streaks(spark.readStream.schema(data.schema).parquet(str(tmp_path / "in")), groups=2), tmp_path))
+
+    first = add(*[(d, u) for u in range(1, 41) for d in (-2, -1, -1, 1)], (0, None))
+    each = lambda u: [(u, "08", 1, "08"), (u, "09", 2, "08"), (u, "11", 1, "11")]
+    assert first == [(0, "10", 1, "10"), *[x for u in range(1, 41) for x in each(u)]]
+    second = add((2, 1), (3, 1), (3, 2), (1, 3), (1, None), (5, (1 << 53) + 1))
+    more = [(0, "11", 2, "10"), (1, "12", 2, "11"), (1, "13", 3, "11"), (2, "13", 1, "13"), ((1 << 53) + 1, "15", 1, "15")]
+    assert second == sorted(first + more)
