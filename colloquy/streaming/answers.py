@@ -1,73 +1,28 @@
-"""A day's answers as keyed state that a timer ends: a thread's reply wins, and a direct answer stands only without one."""
+"""A day's answers as keyed state that the day's end ends: a thread's reply wins, and a direct answer stands only without one."""
 
 from __future__ import annotations
 
-import datetime as dt
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Where an answer comes from, the one that wins, and those that survive without it.
 THREAD, KEPT = "thread", ("dm", "simulated")
-DAY = 86_400_000
-
-
-def _end(date: dt.date, grace: int) -> int:
-    return ((date - dt.date(1970, 1, 1)).days + 1) * DAY + grace
-
-
-class _Answers(StatefulProcessor):
-    """Last answers of one person and day by where they came from; told and cleared once the day has ended."""
-
-    def __init__(self, grace: int):
-        self.grace = grace
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getMapState("last", "via string", "at long, id long, text string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        end = _end(key[0], self.grace)
-        if end > timerValues.getCurrentWatermarkInMs():
-            best: dict[str, tuple] = {}
-            for batch in rows:
-                for via, *answer in zip(batch["via"], batch["us"], batch["id"], batch["text"], strict=True):
-                    via = THREAD if via == THREAD else "kept"
-                    best[via] = max(best.get(via, (-1, -1, "")), tuple(answer), key=lambda a: a[:2])
-            for via, answer in best.items():
-                held = self.last.getValue((via,)) if self.last.containsKey((via,)) else None
-                if held is None or answer[:2] > tuple(held)[:2]:
-                    self.last.updateValue((via,), (int(answer[0]), int(answer[1]), answer[2]))
-            if best:
-                self.handle.registerTimer(end)
-        yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = {k[0]: tuple(v) for k, v in self.last.iterator()}
-        self.last.clear()
-        via = THREAD if THREAD in held else "kept"
-        if via in held:
-            _, number, text = held[via]
-            yield pd.DataFrame({"date": [key[0]], "user": [key[1]], "id": [number], "text": [text], "kept": [via != THREAD]})
-        else:
-            yield pd.DataFrame()
-
-    def close(self) -> None:
-        pass
+#: Microseconds of a day.
+DAY = 86_400_000_000
 
 
 def day_answers(replies: DataFrame, late: str = "1 hour", grace_ms: int = 0) -> DataFrame:
     """(date, user, id, text, kept) of a stream of (date, user, via, at, id, text), each person's answer once the day has ended.
 
     The last reply in the thread wins; without one the last answer by another way of KEPT stands, and ``kept`` says so.
-    Rows with another way, or without a date, user or time, take no part. A day ends when the watermark passes its
-    midnight and ``grace_ms``; what comes for it afterwards is dropped, and its state is gone by then. State is keyed by
-    person and day, so that no day is one task's work. Needs the RocksDB state store.
+    Rows with another way, or without a date, user or time, take no part. A day ends when the watermark has passed its
+    midnight and ``grace_ms``; what comes for it afterwards is dropped, and its state is gone by then. State is a row for
+    each person and day, an aggregate's, so that no day is one task's work and none of it goes through Python. The
+    watermark is that of ``at``, and its mark is put on the day's end, by which Spark then ends groups.
     """
     known = replies.where(F.col("via").isin(THREAD, *KEPT)).dropna(subset=["date", "user", "at"]).withWatermark("at", late)
-    ready = known.select("date", "user", "via", F.unix_micros("at").alias("us"), F.coalesce(F.col("id").cast("bigint"), F.lit(-1)).alias("id"), F.coalesce("text", F.lit("")).alias("text"), "at")
-    kind = replies.schema["user"].dataType.simpleString()
-    return ready.groupBy("date", "user").transformWithStateInPandas(_Answers(grace_ms), f"date date, user {kind}, id bigint, text string, kept boolean", "append", "eventTime")
+    end = F.timestamp_micros((F.unix_date("date").cast("bigint") + 1) * DAY + (grace_ms + 1) * 1000)  # a group ends at its time, a day after it
+    said = F.struct((F.col("via") == THREAD).alias("thread"), F.unix_micros("at").alias("us"), F.coalesce(F.col("id").cast("bigint"), F.lit(-1)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    ready = known.select("date", "user", end.alias("end", metadata=known.schema["at"].metadata), said.alias("said"))
+    last = ready.groupBy("date", "user", "end").agg(F.max("said").alias("last"))
+    return last.select("date", "user", F.col("last.id").alias("id"), F.col("last.text").alias("text"), (~F.col("last.thread")).alias("kept"))
