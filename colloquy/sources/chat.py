@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 from importlib import import_module
 
+import numpy as np
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ SCHEMA = "channel string, ts string, thread_ts string, user string, text string,
 PAGE, TRIES = 200, 5
 #: Seconds that a stream looks back for threads with new replies, seconds of a partition, and partitions of a channel at most.
 LOOKBACK, SPAN, RANGES = 7 * 86400.0, 86400.0, 16
+#: Bytes of a file of recorded messages that are read at a time.
+BLOCK = 1 << 20
 
 
 class Limited(Exception):
@@ -214,26 +217,86 @@ class Chat(DataSource):
         return _Stream(self.options)
 
 
-@lru_cache(maxsize=2)
-def _kept(path: str, files: tuple[tuple[str, int, int], ...]) -> tuple[list[float], list[dict], dict[str, list[dict]]]:
-    """A channel's times and heads in order, heads with what is known of their threads, and the threads, heads first.
+@dataclass
+class _Places:
+    """Where the lines of a channel's messages lie, without their texts: lines in order of time, heads, and replies by thread."""
+
+    times: np.ndarray  # of heads
+    heads: np.ndarray  # a head's line
+    replies: np.ndarray  # a reply's line, by thread and time
+    threads: np.ndarray  # its thread
+    ts: np.ndarray  # of each line, as it is written
+    place: np.ndarray  # (file, begin, length) of each line
+    files: tuple[tuple[str, int, int], ...]
+
+    def message(self, path: str, line: int) -> dict:
+        file, begin, length = self.place[line].tolist()
+        blocks = range(begin // BLOCK, (begin + length - 1) // BLOCK + 1)
+        text = b"".join(_block(path, self.files[file], i) for i in blocks)
+        return json.loads(text[begin - blocks[0] * BLOCK :][:length])
+
+    def thread(self, ts: str) -> np.ndarray:
+        low, high = (np.searchsorted(self.threads, ts.encode(), side) for side in ("left", "right"))
+        return self.replies[low:high]
+
+    def head(self, path: str, line: int) -> dict:
+        """A head with what is known of its thread."""
+        m = self.message(path, line)
+        said = self.thread(m["ts"])
+        return m | {"reply_count": len(said), "latest_reply": self.ts[said[-1]].decode()} if len(said) else m
+
+    def head_of(self, ts: str) -> np.ndarray:
+        """The last head of that time, if there is one."""
+        low, high = (np.searchsorted(self.times, float(ts), side) for side in ("left", "right"))
+        some = self.heads[low:high]
+        return some[self.ts[some] == ts.encode()][-1:]
+
+
+@lru_cache(maxsize=32)
+def _block(path: str, file: tuple[str, int, int], number: int) -> bytes:
+    """A piece of a file. A few are held, as messages of a page and their threads lie close together."""
+    with _store(path)[0].open_input_file(file[0]) as f:
+        f.seek(number * BLOCK)
+        return f.read(BLOCK)
+
+
+def _lines(store: fs.FileSystem, name: str) -> Iterator[tuple[int, bytes]]:
+    """(begin, line) of a file, read in pieces."""
+    with store.open_input_stream(name) as f:
+        at, rest, more = 0, b"", True
+        while more:
+            piece = f.read(BLOCK)
+            more = bool(piece)
+            *whole, rest = (rest + piece).split(b"\n") if more else (rest, b"")
+            for line in whole:
+                for part in line.splitlines(keepends=True):
+                    yield at, part
+                    at += len(part)
+                at += 1
 
-    The last two channels that were asked for are held, so that a page costs no more than its messages.
-    """
-    store, rows = _store(path)[0], []
-    for name, _, _ in files:
-        with store.open_input_stream(name) as f:
-            rows += [json.loads(line) for line in f.read().splitlines() if line.strip()]
-    rows.sort(key=lambda r: float(r["ts"]))
-    heads = [r for r in rows if r.get("thread_ts") in (None, r["ts"])]
-    threads: dict[str, list[dict]] = {h["ts"]: [h] for h in heads}
-    for r in rows:
-        if r.get("thread_ts") not in (None, r["ts"]):
-            threads.setdefault(r["thread_ts"], []).append(r)
-    for i, h in enumerate(heads):
-        if len(said := threads[h["ts"]]) > 1:
-            heads[i] = said[0] = h | {"reply_count": len(said) - 1, "latest_reply": said[-1]["ts"]}
-    return [float(h["ts"]) for h in heads], heads, threads
+
+@lru_cache(maxsize=2)
+def _kept(path: str, files: tuple[tuple[str, int, int], ...]) -> _Places:
+    """A channel's places. Those of the last two channels that were asked for are held: some tens of bytes for a message, however long."""
+    store, parts = _store(path)[0], []
+    for i, (name, _, _) in enumerate(files):
+        ts, thread, place = [], [], []
+        for begin, line in _lines(store, name):
+            if line.strip():
+                m = json.loads(line)
+                ts.append(m["ts"].encode())
+                thread.append(m["ts"].encode() if m.get("thread_ts") is None else m["thread_ts"].encode())
+                place.append((i, begin, len(line)))
+        parts.append((np.array(ts, dtype="S"), np.array(thread, dtype="S"), np.array(place, dtype=np.int64).reshape(-1, 3)))
+    if not parts:
+        parts = [(np.empty(0, "S1"), np.empty(0, "S1"), np.empty((0, 3), np.int64))]
+    ts, thread, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+    at = ts.astype(np.float64)
+    order = np.argsort(at, kind="stable")
+    own = ts == thread
+    heads, replies = order[own[order]], order[~own[order]]
+    replies = replies[np.argsort(thread[replies], kind="stable")]
+    return _Places(at[heads], heads, replies, thread[replies], ts, place, files)
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
@@ -255,14 +318,16 @@ def recorded(method: str, options: dict[str, str], channel: str = "", ts: str =
     if method == "chat.getPermalink":
         return {"permalink": f"{options['path']}/channel={channel}#{ts}"}
     files = store.get_file_info(fs.FileSelector(f"{path}/channel={channel}", allow_not_found=True))
-    times, heads, threads = _kept(options["path"], tuple(sorted((i.path, i.size, i.mtime_ns or 0) for i in files if i.base_name.endswith(".json"))))
+    known = _kept(options["path"], tuple(sorted((i.path, i.size, i.mtime_ns or 0) for i in files if i.base_name.endswith(".json"))))
     at = int(cursor or 0)
     if method == "conversations.replies":
-        said = threads.get(ts, [])
-        some, n = said[at : at + limit], len(said)
+        head, said = known.head_of(ts), known.thread(ts)
+        lines, n = np.r_[head, said], len(head) + len(said)
+        some = [known.head(options["path"], i) if i in head else known.message(options["path"], i) for i in lines[at : at + limit]]
     else:
-        low, high = bisect_left(times, float(oldest or 0)), bisect_right(times, float(latest or "inf"))
-        some, n = heads[max(low, high - at - limit) : max(low, high - at)][::-1], high - low
+        low, high = bisect_left(known.times, float(oldest or 0)), bisect_right(known.times, float(latest or "inf"))
+        n = max(0, high - low)
+        some = [known.head(options["path"], i) for i in known.heads[max(low, high - at - limit) : max(low, high - at)][::-1]]
     return {"messages": some, "response_metadata": {"next_cursor": str(at + limit) if at + limit < n else ""}}
 
 

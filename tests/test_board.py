@@ -1,4 +1,5 @@
 import json
+import tracemalloc
 
 import pytest
 from colloquy.functions import when
@@ -230,3 +231,27 @@ def test_replies_are_read_within_their_rows(spark):
     assert got[1] == ("answer", ["closed a"], [], [("Pending key <@U1234567|Nok>", "U1234567"), ("PO answer", "PO")])
     assert got[2] == got[3] == got[6] == ("other", [], [], [])
     assert got[4] == ("unfilled", [], [], []) and got[5] == ("answer", ["b"], ["next"], [])
+
+
+def test_recorded_pages_hold_places_and_no_texts(tmp_path, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK", 1 << 14)
+    said = [{"ts": f"{i}.0", "text": f"ก{i} " * 500, **({"thread_ts": f"{i - i % 4}.0"} if i % 4 else {})} for i in range(1, 4001)]
+    folder = tmp_path / "in" / "channel=C1"
+    folder.mkdir(parents=True)
+    for k in range(2):  # out of order, with blank lines and both ends of lines
+        (folder / f"{k}.json").write_bytes(b"\r\n\n".join(json.dumps(m).encode() for m in said[k::2][::-1]))
+    size = sum(f.stat().st_size for f in folder.iterdir())
+    service = chat._Service({"transport": "colloquy.sources.chat:recorded", "path": str(tmp_path / "in")})
+    tracemalloc.start()
+    heads = n = 0
+    for h in service.heads("C1", "8.0", "3990.0"):
+        heads += 1
+        at = int(float(h["ts"]))
+        replies = [int(float(r["ts"])) for r in service.replies("C1", h)]
+        assert h["text"] == said[at - 1]["text"] and replies == [i for i in range(at + 1, at + 4) if i <= 4000] and float(h["latest_reply"]) == replies[-1]
+        n += len(replies)
+        if heads > 60:
+            break
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (heads, n) == (61, 183) and peak < size / 3
