@@ -95,3 +95,16 @@ def test_business_days(spark):
 
 def test_blockers_compare(spark):
     assert col(spark, ["Pending รอ requirement <@U12>", "รอ requirement", "pending: the API!", "pendingx"], T.normal_blocker) == ["รอ requirement", "รอ requirement", "the api", "pendingx"]
+
+
+def test_only_records_with_a_cue_or_heading_are_taken_apart(spark, monkeypatch):
+    taken = []
+    whole = F.posexplode
+    monkeypatch.setattr(state.F, "posexplode", lambda c: taken.append(c) or whole(c))
+    rows = spark.createDataFrame([("a", "u", 1.0, "plain\n" * 50), ("b", "u", 2.0, "• the api is pending on their side"), ("c", "u", 3.0, "*On hold*\n• rollout of the new gate"), ("d", "u", 4.0, "Blockers?\nnone at all today")], "id string, user string, ts double, text string")
+    assert sorted((r.id, r.line) for r in state.waiting_lines(rows).collect()) == [("b", "the api is pending on their side"), ("c", "rollout of the new gate")]
+    assert [(r.id, r.answer) for r in state.form_slots(rows).orderBy("pos").collect()] == [("d", None), ("d", "none at all today")]
+    assert len(taken) == 2
+    for made in (state.waiting_lines(rows), state.form_slots(rows)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "exists(" in plan[plan.rindex("Generate posexplode") :]  # the filter lies below
