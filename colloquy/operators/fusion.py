@@ -34,12 +34,16 @@ class Stage:
 
     the scores of given pairs(query_id, id); above(queries, scores) how many records score more than each of scores(query_id, score), as
     (query_id, score, better), scores to nine places. queries(query_id).
+
+    A stage that knows the ranks of any pairs without counting has exact(pairs), as (query_id, id, rank), in place of the last two. Its
+    head may leave out a query's records that all have rank 1, if they are more than m.
     """
 
     weight: float
     head: Callable[[DataFrame, int], DataFrame]
-    of: Callable[[DataFrame], DataFrame]
-    above: Callable[[DataFrame, DataFrame], DataFrame]
+    of: Callable[[DataFrame], DataFrame] | None = None
+    above: Callable[[DataFrame, DataFrame], DataFrame] | None = None
+    exact: Callable[[DataFrame], DataFrame] | None = None
 
 
 def reciprocal_best(stages: list[Stage], queries: DataFrame, k: int, total: int, m: int = 128) -> DataFrame:
@@ -64,12 +68,14 @@ def reciprocal_best(stages: list[Stage], queries: DataFrame, k: int, total: int,
             ends.append(F.when(some < m, some + 1).otherwise(F.col(f"end{i}")).alias(f"end{i}"))
             sent = h.select("query_id", "id") if sent is None else sent.unionByName(h.select("query_id", "id"))
         known = written(known.select("query_id", *[F.coalesce(F.col(f"n{i}"), F.lit(0)).alias(f"n{i}") for i in range(len(stages))], *ends))
-        each = sent.distinct()
-        for i, h in enumerate(heads):
-            each = each.join(h.withColumnRenamed("rank", f"rank{i}"), ["query_id", "id"], "left")
+        each = written(sent.distinct())
+        pairs = each
+        for i, (s, h) in enumerate(zip(stages, heads, strict=True)):
+            each = each.join((s.exact(pairs) if s.exact else h).withColumnRenamed("rank", f"rank{i}"), ["query_id", "id"], "left")
         each = each.join(known, "query_id")
         share = lambda rank: reduce(lambda a, b: a + b, [s.weight / (DAMPING + rank(i)) for i, s in enumerate(stages)])
-        open_ = lambda i: F.col(f"rank{i}").isNull() & (F.col(f"n{i}") == m)
+        counted = [i for i, s in enumerate(stages) if not s.exact]
+        open_ = lambda i: F.col(f"rank{i}").isNull() & (F.col(f"n{i}") == m) if i in counted else F.lit(False)
         high = share(lambda i: F.coalesce(f"rank{i}", f"end{i}"))
         low = share(lambda i: F.when(open_(i), F.lit(total + 1)).otherwise(F.coalesce(f"rank{i}", f"end{i}")))
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("low")))
@@ -77,14 +83,15 @@ def reciprocal_best(stages: list[Stage], queries: DataFrame, k: int, total: int,
         kth = each.withColumn("p", place).where(F.col("p") == k).select("query_id", F.col("low").alias("kth"))
         some = written(each.join(kth, "query_id", "left").where("kth is null or high >= kth - 1e-9").drop("kth", "high", "low"))
         full = some
-        for i, s in enumerate(stages):
+        for i in counted:
+            s = stages[i]
             asked = written(s.of(some.where(open_(i)).select("query_id", "id")).select("query_id", "id", F.round("score", 9).alias("score")))
             counts = s.above(queries, asked.select("query_id", "score").distinct())
             found = asked.join(counts, ["query_id", "score"], "left").select("query_id", "id", (F.coalesce("better", F.lit(0)) + 1).alias(f"more{i}"))
             full = full.join(found, ["query_id", "id"], "left")
-        rank = lambda i: F.coalesce(f"rank{i}", f"more{i}", f"end{i}")
+        rank = lambda i: F.coalesce(f"rank{i}", f"more{i}", f"end{i}") if i in counted else F.col(f"rank{i}")
         # a record not sent that ties with the last one sent of a stage has a greater id than that
-        tied = reduce(lambda a, b: a | b, [(F.col(f"n{i}") == m) & (F.coalesce(f"rank{i}", F.lit(0)) == F.col(f"end{i}")) for i in range(len(stages))])
+        tied = reduce(lambda a, b: a | b, [(F.col(f"n{i}") == m) & (F.coalesce(f"rank{i}", F.lit(0)) == F.col(f"end{i}")) for i in counted], F.lit(False))
         order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
         bound = F.round(share(lambda i: F.col(f"end{i}")), 9)
         full = full.select("query_id", "id", share(rank).alias("score"), bound.alias("bound"), tied.alias("tied"))

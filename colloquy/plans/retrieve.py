@@ -116,39 +116,33 @@ def _product_stage(weight: float, records: DataFrame, asked: DataFrame) -> fusio
 
 def _pair_stage(weight: float, found: DataFrame) -> fusion.Stage:
     """A stage with few records for a query: (query_id, id, score), above zero; others come after these, also after such as are zero to nine places."""
-    found = written(found.where("score > 0").groupBy("query_id", "id").agg(F.max("score").alias("score")))
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
+    best = found.where("score > 0").groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    found = written(best.withColumn("rank", fusion.competition_rank(F.col("score"), "query_id")))
+    counts = written(found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")))
+    order = Window.partitionBy("query_id").orderBy("rank", "id")
 
-    def above(q: DataFrame, scores: DataFrame) -> DataFrame:
-        told = scores.withColumnRenamed("score", "f").join(found, "query_id").where(F.round("score", 9) > F.col("f"))
-        return told.groupBy("query_id", F.col("f").alias("score")).agg(F.count(F.lit(1)).alias("better"))
+    def exact(pairs: DataFrame) -> DataFrame:
+        told = pairs.join(found, ["query_id", "id"], "left").join(counts, "query_id", "left")
+        return told.select("query_id", "id", F.coalesce("rank", F.coalesce("n", F.lit(0)) + 1).alias("rank"))
 
-    return fusion.Stage(
-        weight,
-        lambda q, m: found.join(q, "query_id", "left_semi").withColumn("r", F.row_number().over(order)).where(F.col("r") <= m),
-        lambda pairs: pairs.join(found, ["query_id", "id"], "left").select("query_id", "id", F.coalesce("score", F.lit(-1.0)).alias("score")),
-        above,
-    )
+    return fusion.Stage(weight, lambda q, m: found.join(q, "query_id", "left_semi").withColumn("r", F.row_number().over(order)).where(F.col("r") <= m), exact=exact)
 
 
 def _class_stage(weight: float, records: DataFrame, queries: DataFrame, key: str) -> fusion.Stage:
-    """A stage in which all records with the query's key score 1, however many they are."""
-    asked = written(queries.where(F.col(key) != "").select("query_id", key))
-    kinds = records.where(F.col(key) != "").select("id", key)
-    sizes = written(kinds.join(asked.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("better")))
+    """A stage in which all records with the query's key score 1, however many they are; of very many none is sent, as one tells no more than another."""
+    kinds = written(records.where(F.col(key) != "").select("id", key))
+    sizes = kinds.groupBy(key).agg(F.count(F.lit(1)).alias("size"))
+    asked = written(queries.where(F.col(key) != "").select("query_id", F.col(key)).join(sizes, key).select("query_id", F.col(key).alias("own"), "size"))
 
     def head(q: DataFrame, m: int) -> DataFrame:
-        some = asked.join(q, "query_id", "left_semi")
-        order = Window.partitionBy(key).orderBy("id")
-        first = kinds.join(some.select(key).distinct(), key, "left_semi").withColumn("r", F.row_number().over(order)).where(F.col("r") <= m)
-        return some.join(first, key).select("query_id", "id", F.lit(1.0).alias("score"))
+        some = asked.where(F.col("size") <= m).join(q, "query_id", "left_semi")
+        return some.join(kinds, F.col("own") == F.col(key)).select("query_id", "id", F.lit(1.0).alias("score"))
 
-    return fusion.Stage(
-        weight,
-        head,
-        lambda pairs: pairs.join(asked.withColumnRenamed(key, "own"), "query_id", "left").join(kinds, "id", "left").select("query_id", "id", F.when(F.col(key) == F.col("own"), 1.0).otherwise(0.0).alias("score")),
-        lambda q, scores: scores.where("score < 1").join(asked, "query_id").join(sizes, key).select("query_id", "score", "better"),
-    )
+    def exact(pairs: DataFrame) -> DataFrame:
+        told = pairs.join(asked, "query_id", "left").join(kinds, "id", "left")
+        return told.select("query_id", "id", F.when(F.col(key) == F.col("own"), F.lit(1)).otherwise(F.coalesce("size", F.lit(0)) + 1).alias("rank"))
+
+    return fusion.Stage(weight, head, exact=exact)
 
 
 def best_fused(corpus: Corpus, queries: DataFrame, preset: Preset, k: int) -> DataFrame:
@@ -180,7 +174,7 @@ def best_fused(corpus: Corpus, queries: DataFrame, preset: Preset, k: int) -> Da
             stages.append(_class_stage(weight, corpus.records, queries, key))
         else:
             stages.append(_pair_stage(weight, _near_in_time(corpus, queries)))
-    return fusion.reciprocal_best(stages, queries, k, corpus.records.count())
+    return fusion.reciprocal_best(stages, queries, k, corpus.records.count(), 128 if len(stages) < 4 else 256)
 
 
 def _near_in_time(corpus: Corpus, queries: DataFrame) -> DataFrame:
@@ -261,7 +255,7 @@ def ranked(corpus: Corpus, queries: DataFrame, preset: Preset | str = "hybrid",
     elif preset.stages().keys() == {"lexical"} and not corpus.sweep:
         best = lexical.best(corpus.indexed(), queries.select("query_id", "text"), max(k, preset.rerank, 20 if preset.jaccard < 1.0 else 0) + 1, key="id")
         found, base = written(best.select("query_id", F.col("doc_id").alias("id"), "score")), queries.select("query_id", F.lit(0.0).alias("base"))
-    elif preset.dense and len(preset.stages()) > 1 and preset.stages().keys() <= {"dense", "lexical", "anchors"} and not preset.csls and not corpus.sweep:  # where half of all records tie in a stage, bounds tell little
+    elif preset.dense and len(preset.stages()) > 1 and not preset.csls and not corpus.sweep:
         found = written(best_fused(corpus, queries, preset, max(k, preset.rerank, 20 if preset.jaccard < 1.0 else 0) + 1))
         base = None
     elif len(preset.stages()) == 1:

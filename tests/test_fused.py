@@ -74,3 +74,23 @@ def test_neighbours_of_the_graph_are_found_once(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(i, r.tolist(), i % 3) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     _, edge, near = work._graph(spark, str(tmp_path))
     assert all("FlatMapGroupsInArrow" not in df._jdf.queryExecution().toString() for df in (edge, near))
+
+
+def test_related_records_need_no_row_for_each_scored_pair(spark, monkeypatch):
+    """All six stages, of which one has half of all records in first place, against the fusion of all scores."""
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(f"m{i}", " ".join(rnd.choices(words, k=8)) + (f" REV-{i % 5}" if i % 3 == 0 else ""), 1000.0 * i, str(i // 4), f"u{i % 2}", "C1", rnd.choice([[0.6, 0.8], [1.0, 0.0], [rnd.random(), rnd.random()]])) for i in range(90)]
+    r = spark.createDataFrame(rows, "id string, text string, ts double, thread_ts string, user string, channel_id string, v array<double>")
+    corpus = retrieve.Corpus(r.drop("v"), r.select("id", "v"))
+    own = r.where("id in ('m0', 'm41', 'm88')")
+    asked = own.select(F.col("id").alias("query_id"), "text", "ts", "thread_ts", "user", F.col("v").alias("q"))
+    preset = retrieve.PRESETS["related"]
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
+    whole = retrieve.fused(retrieve.scored(corpus, asked, preset), asked, preset).withColumn("rank", F.row_number().over(order)).where("rank <= 7")
+    want = [(x.query_id, x["rank"], x.id, round(x.score, 9)) for x in whole.orderBy("query_id", "rank").collect()]
+    monkeypatch.setattr(retrieve, "scored", None)
+    found = retrieve.ranked(corpus, asked, "related", 7)
+    assert [(x.query_id, x["rank"], x.id, round(x.score, 9)) for x in found.orderBy("query_id", "rank").collect()] == want
+    stage = retrieve._class_stage(0.2, corpus.records, asked, "user")
+    assert stage.head(asked.select("query_id"), 44).count() == 0 and stage.head(asked.select("query_id"), 45).count() == 135
