@@ -97,11 +97,23 @@ def partners(members: DataFrame) -> DataFrame:
 
 
 def best_partners(members: DataFrame, k: int) -> DataFrame:
-    """(user, partner, items, rank): the k people with whom someone shares most items, ties to the smaller name; no row for each pair of people."""
-    rows = stored(sparse.rows_of(members.select("user", "topic").distinct().withColumn("x", F.lit(1.0)), "user", "topic", "x"), "members")
-    found = sparse.best(rows.select(F.col("user").alias("id"), "terms", "values", F.lit(1.0).alias("factor")), rows.withColumnRenamed("user", "query_id"), k + 1)
-    other = found.where("query_id != id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
-    return other.where(F.col("rank") <= k).select(F.col("query_id").alias("user"), F.col("id").alias("partner"), F.col("score").cast("bigint").alias("items"), "rank")
+    """(user, partner, items, rank): the k people with whom someone shares most items, ties to the smaller name; no row for each pair of people.
+
+    People of the same items are a class, named by its first; classes are compared, not people. A class of one of the k + 1 best people has at
+    most k classes before it, by items and first name, so the k + 1 best classes and the first k + 1 people of each are enough.
+    """
+    once = members.where("user is not null and topic is not null").groupBy("user").agg(F.sort_array(F.collect_set("topic")).alias("terms"))
+    rows = stored(once, "members")
+    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy("terms").orderBy("user"))).where(F.col("place") <= k + 1)
+    heads = stored(placed, "heads")
+    first = heads.where("place = 1").select(F.col("user").alias("query_id"), "terms", F.transform("terms", lambda _: F.lit(1.0)).alias("values"))
+    near = sparse.best(first.select(F.col("query_id").alias("id"), "terms", "values", F.lit(1.0).alias("factor")), first, k + 1).select("query_id", "id", "score")
+    named = heads.join(first.select("terms", F.col("query_id").alias("id")), "terms").select("id", F.col("user").alias("partner"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "partner")
+    found = stored(near.join(named, "id").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1), "partners")
+    each = rows.join(first.select("terms", "query_id"), "terms").select("user", "query_id").join(found, "query_id").where("user != partner")
+    other = each.withColumn("rank", F.row_number().over(Window.partitionBy("user").orderBy("r")))
+    return other.where(F.col("rank") <= k).select("user", "partner", F.col("score").cast("bigint").alias("items"), "rank")
 
 
 # dailies
