@@ -9,16 +9,20 @@ terms are, by bucket of the term's hash, so that a search reads the buckets of i
 * ``docs`` (doc_id, range, dl), ``replaced`` (of, doc_id, range, dl): documents of earlier segments that this one has
   anew; and ``totals`` (docs, tokens), written last: without it a segment doesn't count.
 
-A search first scores, for each query, the ranges in which the bounds of its terms add up to most. The k-th best score
-found there is a threshold, and only ranges whose bounds reach it are read in the second pass. Results are those of a
+A search first scores the ranges in which the bounds of some query's terms add up to most. A query's k-th best score
+found there is a threshold, and only ranges whose bounds reach that of a query are read in the second pass. Results are those of a
 search without an index.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import sparse
 from .graphs import stored, written
 from .lexical import B, K1, counted, idf, query_terms, repeated, term_counts, top
 
@@ -33,6 +37,21 @@ _SCHEMAS = {
 }
 
 
+#: Rows up to which a table of terms or ranges goes to all tasks; beyond, both sides are shuffled.
+SENT = 1 << 18
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(SENT + 1).count() <= SENT else df
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, term, range, n, most_tf, least_dl) of what a batch has of each block, of (bucket, term, range, tf, dl)."""
+    for b in batches:
+        t = pa.Table.from_batches([b]).group_by(["bucket", "term", "range"]).aggregate([("tf", "count"), ("tf", "max"), ("dl", "min")])
+        yield from t.select(["bucket", "term", "range", "tf_count", "tf_max", "dl_min"]).rename_columns(["bucket", "term", "range", "n", "most_tf", "least_dl"]).combine_chunks().to_batches()
+
+
 def _saturated(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
@@ -96,8 +115,9 @@ class Index:
         rows = each.withColumn("bucket", bucket).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "range")
         self._put(rows.select("term", "range", "doc_id", "tf", "dl", "bucket"), "postings", n, "bucket")
         mine = self._table("postings").where(F.col("segment") == n)
-        # dealt by bucket, which is enough for the sums by term and range as well
-        blocks = mine.select("bucket", "term", "range", "tf", "dl").repartition("bucket").groupBy("bucket", "term", "range").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"))
+        # postings lie in order, so most of a block's are put together where they are read; dealt by bucket, which is enough for the sums by term and range as well
+        part = mine.select("bucket", "term", "range", "tf", "dl").mapInArrow(_folded, "bucket int, term string, range int, n bigint, most_tf bigint, least_dl int")
+        blocks = part.repartition("bucket").groupBy("bucket", "term", "range").agg(F.sum("n").alias("n"), F.max("most_tf").alias("most_tf"), F.min("least_dl").alias("least_dl"))
         self._put(blocks.sortWithinPartitions("bucket", "term").select("term", "range", "n", "most_tf", "least_dl", "bucket"), "blocks", n, "bucket")
         self._put(self.spark.createDataFrame([(size["docs"], size["tokens"])], _SCHEMAS["totals"]).coalesce(1), "totals", n)
         return n
@@ -142,22 +162,29 @@ class Index:
             return self.spark.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {self.key}, score double, rank int")
         told, blocks = self.known(queries)
         share = F.col("idf") * F.col("qf") * (K1 + 1) / (F.col("qf") + K1)
-        bounds = told.join(blocks, ["term", "bucket"]).groupBy("query_id", "segment", "range").agg(F.sum(share * _saturated(F.col("most_tf"), F.col("least_dl"), F.col("avgdl"))).alias("bound"))
-        bounds = written(bounds)
+        wanted = written(told.select("term", "bucket", "avgdl").distinct().withColumn("t", F.monotonically_increasing_id()))
+        asked = written(sparse.rows_of(told.join(wanted.select("term", "t"), "term").withColumn("x", share), "query_id", "t", "x"))
+        # dealt by range, which is enough for the sums by query and range as well
+        near = blocks.repartition("segment", "range").join(_small(told), ["term", "bucket"])
+        bounds = written(near.groupBy("query_id", "segment", "range").agg(F.sum(share * _saturated(F.col("most_tf"), F.col("least_dl"), F.col("avgdl"))).alias("bound")))
         order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "range")
-        begin = bounds.withColumn("r", F.row_number().over(order)).where(F.col("r") <= first).drop("r")
-        some = written(self._scored(told, begin, share))
-        least = top(some, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
-        rest = bounds.join(begin.select("query_id", "segment", "range"), ["query_id", "segment", "range"], "left_anti").join(least, "query_id", "left")
-        more = self._scored(told, rest.where("least is null or bound >= least - 1e-8"), share)
-        return top(some.unionByName(more), k)
-
-    def _scored(self, told: DataFrame, where: DataFrame, share: Column) -> DataFrame:
-        """(query_id, doc_id, score) of the live documents of the ranges given for each query."""
-        where = where.select("query_id", "segment", "range")
-        spots = written(where.join(told.select("query_id", "term", "bucket"), "query_id").select("term", "bucket", "segment", "range").distinct())
-        rows = self._whole("postings").join(spots, ["term", "bucket", "segment", "range"], "left_semi")
+        begin = written(bounds.withColumn("r", F.row_number().over(order)).where(F.col("r") <= first).select("segment", "range").distinct())
+        some = written(self._best(wanted, asked, begin, k))
+        least = some.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+        rest = bounds.join(_small(begin), ["segment", "range"], "left_anti").join(least, "query_id", "left")
+        more = self._best(wanted, asked, written(rest.where("least is null or bound >= least - 1e-8").select("segment", "range").distinct()), k)
+        return top(some.select("query_id", "doc_id", "score").unionByName(more.select("query_id", "doc_id", "score")), k)
+
+    def _best(self, wanted: DataFrame, asked: DataFrame, where: DataFrame, k: int) -> DataFrame:
+        """(query_id, doc_id, score, rank): each query's k best of the live documents of ranges(segment, range) that any query needs. wanted(term, bucket, avgdl, t), asked(query_id, terms, values), of numbers t.
+
+        Only postings of asked terms in these ranges are shuffled, without their terms' text, and none is multiplied by the queries that
+        have its term: a document's are put together, and blocks of documents meet the queries.
+        """
+        rows = self._whole("postings").join(_small(where), ["segment", "range"], "left_semi").join(_small(wanted), ["term", "bucket"])
+        each = rows.select("segment", "doc_id", "t", _saturated(F.col("tf"), F.col("dl"), F.col("avgdl")).alias("x"))
+        docs = each.groupBy("segment", "doc_id").agg(F.collect_list(F.struct("t", "x")).alias("p"))
         gone = self._whole("replaced").select(F.col("of").alias("segment"), "doc_id")
-        rows = rows.join(gone, ["segment", "doc_id"], "left_anti")
-        both = rows.join(told, ["term", "bucket"]).join(where, ["query_id", "segment", "range"], "left_semi")
-        return both.groupBy("query_id", "doc_id").agg(F.sum(share * _saturated(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score"))
+        live = docs.join(gone, ["segment", "doc_id"], "left_anti")
+        records = written(live.select(F.col("doc_id").alias("id"), F.col("p.t").alias("terms"), F.col("p.x").alias("values"), F.lit(1.0).alias("factor")))
+        return sparse.best(records, asked, k, least=0.0, beyond=True).withColumnRenamed("id", "doc_id")

@@ -68,3 +68,24 @@ def test_of_rows_with_one_id_an_index_has_the_greatest_text(spark, tmp_path):
     got = {(r.doc_id, r.term): (r.tf, r.dl) for r in index._whole("postings").collect()}
     assert got == {(1, "zeta"): (2, 3), (1, "alpha"): (1, 3), (2, "beta"): (1, 1)}
     assert tuple(index._whole("totals").select("docs", "tokens").first()) == (3, 4)
+
+
+def test_a_search_shuffles_no_row_for_each_query_of_a_posting(spark, tmp_path):
+    """Forty queries of the same words shuffle hardly more rows than one, and find the same."""
+    docs = spark.createDataFrame([(i, "kan lor " * (1 + i % 7) + f"x{i % 50}") for i in range(1500)], "doc_id bigint, text string")
+    index = postings.Index(spark, str(tmp_path / "d"), range_docs=100)
+    index.append(docs)
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def shuffled():
+        stages = store.stageList(None, False, False, none, None)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    def rows(n):
+        before = shuffled()
+        got = found(index.search(spark.createDataFrame([(q, "kan lor x7") for q in range(n)], "query_id int, text string"), 3))
+        return got, sum(v for k, v in shuffled().items() if k not in before)
+
+    (one, few), (many, more) = rows(1), rows(40)
+    assert many == [(q, *r[1:]) for q in range(40) for r in one] and len(one) == 3
+    assert more < few + 20_000
